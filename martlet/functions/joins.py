@@ -1,0 +1,23 @@
+"""Join helpers.
+
+``sized_broadcast`` broadcasts a side only after proving its size: it counts
+at most ``max_rows + 1`` rows (a bounded job, each task stops early) and
+returns the broadcast-hinted DataFrame only below the bound. Above it the
+plain DataFrame is returned and Spark shuffles (sort-merge), with AQE free to
+switch strategy or split skewed partitions from runtime statistics.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_BROADCAST_ROWS = 1_000_000
+
+
+def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(df) if row_count_at_most(df, max_rows) else df

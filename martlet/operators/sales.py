@@ -1,0 +1,186 @@
+"""Sales queries over purchase facts (``buy_fact`` shape).
+
+Every query takes an inclusive date range; Catalyst pushes the range to the
+Parquet scan (and prunes ``date`` partitions of a published mart). Money is
+summed as DECIMAL and turned into DOUBLE only at the edge, so totals are
+exact before they leave the aggregate.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..constants import (CATEGORY_PREFIX, DEFAULT_LOOKBACK_DAYS, ITEM_PREFIX,
+                         PERIOD_LABELS, TOP_K)
+from ..functions.dates import comparison_windows, parse_date, period_label
+
+
+def _between(start, end, col: str = "date") -> Column:
+    return F.col(col).between(F.lit(parse_date(start)), F.lit(parse_date(end)))
+
+
+def in_range(facts: DataFrame, start, end) -> DataFrame:
+    return facts.filter(_between(start, end))
+
+
+def money(c: Column) -> Column:
+    """Exact decimal sum -> double at the edge."""
+    return c.cast("double")
+
+
+def core_metrics(facts: DataFrame, start, end) -> DataFrame:
+    return in_range(facts, start, end).agg(
+        F.coalesce(money(F.sum("price")), F.lit(0.0)).alias("total_sales"),
+        F.count_distinct("order_id").alias("total_orders"),
+    )
+
+
+def trend(facts: DataFrame, start, end, period: str = "day") -> DataFrame:
+    return (in_range(facts, start, end)
+            .groupBy(period_label("date", period).alias("dt"))
+            .agg(money(F.sum("price")).alias("sales"),
+                 F.count_distinct("order_id").alias("orders"))
+            .orderBy("dt"))
+
+
+def comparison_sales(facts: DataFrame, start, end) -> DataFrame:
+    """Sales in a comparison window; NULL (not 0) when the window is empty."""
+    return in_range(facts, start, end).agg(money(F.sum("price")).alias("sales"))
+
+
+def _top(facts: DataFrame, start, end, key: str, prefix: str, label: str, k: int) -> DataFrame:
+    ranked = (in_range(facts, start, end).groupBy(key)
+              .agg(F.sum("price").alias("_sales"))
+              .orderBy(F.col("_sales").desc(), F.col(key).asc_nulls_last())
+              .limit(k))
+    order = Window.orderBy(F.col("_sales").desc(), F.col(key).asc_nulls_last())
+    return ranked.select(
+        F.row_number().over(order).alias("rank"),
+        key,
+        F.concat(F.lit(prefix), F.col(key).cast("string")).alias(label),
+        money(F.col("_sales")).alias("sales"),
+    )
+
+
+def top_items(facts: DataFrame, start, end, k: int = TOP_K) -> DataFrame:
+    """Top-k items by sales, ties broken by item id (per-task top-k, then
+    one k-row merge: TakeOrderedAndProject)."""
+    return _top(facts, start, end, "item_id", ITEM_PREFIX, "item_label", k)
+
+
+def top_categories(facts: DataFrame, start, end, k: int = TOP_K) -> DataFrame:
+    return _top(facts, start, end, "category_id", CATEGORY_PREFIX, "category_label", k)
+
+
+def sales_by(facts: DataFrame, start, end, dim: str) -> DataFrame:
+    if dim not in ("channel", "age_group"):
+        raise ValueError("dim must be 'channel' or 'age_group'")
+    return (in_range(facts, start, end).groupBy(dim)
+            .agg(F.sum("price").alias("_s"))
+            .orderBy(F.col("_s").desc(), F.col(dim).asc_nulls_last())
+            .select(dim, money(F.col("_s")).alias("sales")))
+
+
+def date_range(facts: DataFrame) -> DataFrame:
+    """Min / max fact date; today's date for an empty table."""
+    return facts.agg(
+        F.coalesce(F.min("date"), F.current_date()).alias("min_date"),
+        F.coalesce(F.max("date"), F.current_date()).alias("max_date"),
+    )
+
+
+def default_range(facts: DataFrame, start=None, end=None,
+                  lookback_days: int = DEFAULT_LOOKBACK_DAYS) -> DataFrame:
+    """If either bound is missing both are replaced: end = last fact date,
+    start = end - lookback. Given bounds are validated as calendar dates."""
+    if start and end:
+        s, e = parse_date(start), parse_date(end)
+        return date_range(facts).select(F.lit(s).alias("start_date"), F.lit(e).alias("end_date"))
+    return date_range(facts).select(
+        F.date_sub("max_date", lookback_days).alias("start_date"),
+        F.col("max_date").alias("end_date"),
+    )
+
+
+def _rate(current: Column, base: Column) -> Column:
+    """round((current - base) / base * 100, 2); NULL if base is NULL or 0."""
+    return F.round((current - base) / F.nullif(base, F.lit(0.0)) * 100, 2)
+
+
+def growth(facts: DataFrame, start, end, period: str = "day") -> DataFrame:
+    """Current, previous-period and last-year sales in ONE conditional
+    aggregation (the scan reads the union of the three windows)."""
+    w = comparison_windows(start, end, period)
+    cur, prev, ly = (_between(*w["current"]), _between(*w["previous"]), _between(*w["last_year"]))
+    agg = facts.filter(cur | prev | ly).agg(
+        F.sum(F.when(cur, F.col("price"))).alias("_cur"),
+        F.sum(F.when(prev, F.col("price"))).alias("_prev"),
+        F.sum(F.when(ly, F.col("price"))).alias("_ly"),
+        F.count_distinct(F.when(cur, F.col("order_id"))).alias("total_orders"),
+    )
+    total = F.round(F.coalesce(money(F.col("_cur")), F.lit(0.0)), 2)
+    return agg.select(
+        F.lit(period).alias("period"),
+        F.lit(w["previous"][0]).alias("prev_start"), F.lit(w["previous"][1]).alias("prev_end"),
+        F.lit(w["last_year"][0]).alias("ly_start"), F.lit(w["last_year"][1]).alias("ly_end"),
+        total.alias("total_sales"),
+        "total_orders",
+        money(F.col("_prev")).alias("prev_sales"),
+        money(F.col("_ly")).alias("ly_sales"),
+        _rate(total, money(F.col("_prev"))).alias("qoq_rate"),
+        _rate(total, money(F.col("_ly"))).alias("yoy_rate"),
+    )
+
+
+def kpi_summary(facts: DataFrame, funnel: DataFrame, start, end, period: str = "day") -> DataFrame:
+    """Sales, orders, paying users (strict-funnel buy user-days) and their
+    distinct count, average order value, growth rates, period label.
+
+    Facts give one aggregate row; the funnel totals join it as a scalar
+    subquery (one row), so no join of the fact table is needed.
+    """
+    from .funnel import funnel_totals
+    g = growth(facts, start, end, period)
+    buys = funnel_totals(funnel, start, end).select(
+        F.struct(F.col("buy").alias("buy"), F.col("distinct_buyers").alias("db")).alias("s")
+    ).scalar()
+    aov = F.coalesce(F.round(F.col("total_sales") / F.nullif(F.col("total_orders").cast("double"), F.lit(0.0)), 2),
+                     F.lit(0.0))
+    return g.select(
+        "total_sales", "total_orders",
+        buys["buy"].alias("paying_users"),
+        buys["db"].alias("distinct_paying_users"),
+        aov.alias("avg_order_value"),
+        "qoq_rate", "yoy_rate",
+        F.lit(PERIOD_LABELS[period]).alias("period_label"),
+    )
+
+
+def dimension_breakdown(facts: DataFrame, start, end, top_k: int = TOP_K) -> DataFrame:
+    """Sales by category (top-k), channel and age band in ONE grouping-sets
+    aggregation over a single scan. Output (dimension, name, sales, rank)."""
+    g = (in_range(facts, start, end)
+         .groupingSets([["category_id"], ["channel"], ["age_group"]],
+                       "category_id", "channel", "age_group")
+         .agg(F.sum("price").alias("_s"),
+              F.grouping("category_id").alias("_gc"),
+              F.grouping("channel").alias("_gch")))
+    dimension = (F.when(F.col("_gc") == 0, "category")
+                 .when(F.col("_gch") == 0, "channel").otherwise("age_group"))
+    name = (F.when(F.col("_gc") == 0, F.concat(F.lit(CATEGORY_PREFIX), F.col("category_id").cast("string")))
+            .when(F.col("_gch") == 0, F.col("channel")).otherwise(F.col("age_group")))
+    keyed = g.select(dimension.alias("dimension"), name.alias("name"),
+                     F.col("category_id"), F.col("_s"))
+    order = Window.partitionBy("dimension").orderBy(
+        F.col("_s").desc(), F.col("category_id").asc_nulls_last(), F.col("name").asc_nulls_last())
+    ranked = keyed.withColumn("rank", F.row_number().over(order))
+    return (ranked.filter((F.col("dimension") != "category") | (F.col("rank") <= top_k))
+            .select("dimension", "name", money(F.col("_s")).alias("sales"), "rank"))
+
+
+def dimension_share(breakdown: DataFrame) -> DataFrame:
+    """Share of each slice within its dimension, in percent."""
+    total = F.sum("sales").over(Window.partitionBy("dimension"))
+    return breakdown.withColumn(
+        "share_pct", F.round(F.col("sales") / F.nullif(total, F.lit(0.0)) * 100, 2))
