@@ -1,10 +1,12 @@
 """Batch pipeline: log + dimensions -> cleaned wide table -> marts -> publish.
 
-One pass builds and persists the cleaned wide table; the data-quality
-counters ride along on that pass via ``observe`` instead of extra scans.
-Every mart then reads the persisted table. Persisted blocks lost with an
-executor are recomputed from lineage (scan + broadcast/shuffle joins), so the
-run survives executor loss; published marts are written to shared storage.
+One pass builds and persists the joined table (events ⟕ items ⟕ users);
+the data-quality counters (rows, null price/channel/age, last date) ride
+along on that same pass through ``observe`` instead of extra scans. The
+cleaned wide table and the rejected rows are filters over that cache, and
+every mart reads it. Persisted blocks lost with an executor are recomputed
+from lineage (scan + joins), so a run survives executor loss; the marts are
+written to shared storage and switched together by one pointer commit.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.joins import DEFAULT_BROADCAST_ROWS
 from ..operators import clean, cohort, facts, funnel, quality, rfm
 from ..sinks import publish as sink
 from ..sources.files import capped
@@ -24,8 +27,8 @@ from ..sources.files import capped
 
 @dataclass
 class Marts:
+    joined: DataFrame
     wide: DataFrame
-    events: DataFrame
     buy_fact: DataFrame
     user_funnel_mart: DataFrame
     user_funnel_loose_mart: DataFrame
@@ -39,6 +42,7 @@ class Marts:
             "cohort_matrix": self.cohort_matrix,
             "user_funnel_mart": self.user_funnel_mart,
             "user_funnel_loose_mart": self.user_funnel_loose_mart,
+            "rejected_events": self.rejected,
         }
         if self.segments is not None:
             out["user_rfm"] = self.segments.user_rfm
@@ -46,52 +50,76 @@ class Marts:
 
 
 def build_marts(log: DataFrame, items: DataFrame, users: DataFrame, window=None,
-                tz: str = "UTC", max_rows: int | None = None, segment: bool = True,
-                persist: bool = True, thresholds=None, weights=None,
-                observation: Observation | None = None) -> Marts:
+                tz: str = "UTC", max_rows: int | None = None, cutoff=None,
+                segment: bool = True, thresholds=None, weights=None,
+                observation: Observation | None = None,
+                max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> Marts:
+    """Lazily define every mart over one persisted joined table.
+
+    ``cutoff`` (RFM reference date) defaults to the last windowed event date.
+    """
     raw = capped(log, max_rows)
+    events = clean.derive_events(raw, window, tz)
+    joined = clean.join_dimensions(events, items, users, max_broadcast_rows)
     if observation is not None:
-        raw = raw.observe(observation, F.count(F.lit(1)).alias("raw_rows"))
-    cl = clean.load_and_clean(raw, items, users, window, tz)
-    wide = cl.wide.persist(StorageLevel.MEMORY_AND_DISK) if persist else cl.wide
+        joined = joined.observe(
+            observation,
+            F.count(F.lit(1)).alias("joined_rows"),
+            F.count_if(F.col("price").isNull()).alias("missing_price"),
+            F.count_if(F.col("channel").isNull()).alias("missing_channel"),
+            F.count_if(F.col("age_group").isNull()).alias("missing_age_group"),
+            F.max("date").alias("cutoff_date"))
+    joined = joined.persist(StorageLevel.MEMORY_AND_DISK)
+    wide = clean.clean_wide(joined)
     strict, loose = funnel.build_funnels(wide, tz)
     seg = None
     if segment:
-        base = rfm.rfm_base(wide, rfm.cutoff_value(cl.events))
-        seg = rfm.segment_users(base, thresholds=thresholds, weights=weights)
-    return Marts(wide=wide, events=cl.events, buy_fact=facts.buy_fact(wide),
+        cut = cutoff if cutoff is not None else rfm.cutoff_value(events)
+        seg = rfm.segment_users(rfm.rfm_base(wide, cut), thresholds=thresholds, weights=weights)
+    return Marts(joined=joined, wide=wide, buy_fact=facts.buy_fact(wide),
                  user_funnel_mart=strict, user_funnel_loose_mart=loose,
                  cohort_matrix=cohort.cohort_matrix(wide),
-                 rejected=clean.rejected_events(cl.joined), segments=seg)
+                 rejected=clean.rejected_events(joined), segments=seg)
 
 
 def run_etl(spark: SparkSession, log: DataFrame, items: DataFrame, users: DataFrame,
             out_root: str, window=None, tz: str = "UTC", max_rows: int | None = None,
             model_path: str | None = None, thresholds=None, weights=None) -> dict:
-    """Build, publish (all marts switch together) and log one DQ row."""
+    """Build, publish (all marts switch together) and append one DQ log row."""
     started = time.time()
-    obs = Observation("raw")
-    marts = build_marts(log, items, users, window, tz, max_rows, segment=True,
-                        thresholds=thresholds, weights=weights, observation=obs)
+    out_root = out_root.rstrip("/")
+    obs = Observation("dq")
+    marts = build_marts(log, items, users, window, tz, max_rows, segment=False, observation=obs)
+    marts.joined.count()                       # the one pass: fills the cache and the counters
+    dq = obs.get
+    cutoff = dq["cutoff_date"]
+    if cutoff is None:
+        marts.joined.unpersist()
+        raise ValueError("no behaviour events inside the business window")
+    marts.segments = rfm.segment_users(rfm.rfm_base(marts.wide, cutoff),
+                                       thresholds=thresholds, weights=weights)
     if model_path:
         rfm.save_models(marts.segments, model_path)
     tables = marts.tables()
-    tables["rejected_events"] = marts.rejected
     version = sink.publish(spark, out_root, tables)
-    cl_items, cl_users = items, users
-    metrics = quality.dq_metrics(capped(log, max_rows), cl_items, cl_users, marts.events,
-                                 clean.join_dimensions(marts.events, items, users),
-                                 marts.wide, {n: sink.read_mart(spark, out_root, n) for n in tables})
-    extra = spark.createDataFrame(
-        [("kmeans_best_k", float(marts.segments.best_k)),
-         ("kmeans_silhouette", float(marts.segments.best_score))],
-        "metric string, value double")
-    metrics = metrics.unionByName(extra)
-    nulls = quality.dq_nulls(clean.join_dimensions(marts.events, items, users))
-    profiles = rfm.cluster_profiles(marts.segments)
-    row = quality.dq_log_row(metrics, quality.dq_warnings(nulls), profiles,
+
+    raw_rows = capped(log, max_rows).count()
+    clean_rows = sink.read_mart(spark, out_root, "rejected_events").count()
+    clean_rows = dq["joined_rows"] - clean_rows
+    values = {
+        "raw_rows": raw_rows, "item_rows": items.count(), "user_rows": users.count(),
+        "missing_price": dq["missing_price"], "missing_channel": dq["missing_channel"],
+        "missing_age_group": dq["missing_age_group"], "clean_rows": clean_rows,
+        "drop_rate_pct": round((1 - clean_rows / max(raw_rows, 1)) * 100, 2),
+        **{f"{n}_rows": sink.read_mart(spark, out_root, n).count() for n in tables},
+        "kmeans_best_k": marts.segments.best_k, "kmeans_silhouette": marts.segments.best_score,
+    }
+    metrics = spark.createDataFrame([(k, float(v)) for k, v in values.items()], "metric string, value double")
+    nulls = spark.createDataFrame([(dq["missing_price"], dq["missing_channel"], dq["missing_age_group"])],
+                                  "missing_price long, missing_channel long, missing_age_group long")
+    row = quality.dq_log_row(metrics, quality.dq_warnings(nulls), rfm.cluster_profiles(marts.segments),
                              _dt.datetime.now(), time.time() - started)
-    sink.append_log(row, f"{out_root.rstrip('/')}/etl_dq_log")
-    marts.wide.unpersist()
-    return {"version": version, "best_k": marts.segments.best_k,
-            "silhouette": marts.segments.best_score, "elapsed_seconds": time.time() - started}
+    sink.append_log(row, f"{out_root}/etl_dq_log")
+    marts.joined.unpersist()
+    return {"version": version, "cutoff_date": str(cutoff), **values,
+            "elapsed_seconds": time.time() - started}
