@@ -14,6 +14,7 @@ segment_users  VectorAssembler -> StandardScaler -> KMeans for k in 3..5,
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -78,7 +79,8 @@ class Segments:
 
 
 def segment_users(base: DataFrame, ks=KMEANS_K_RANGE, seed: int = KMEANS_SEED,
-                  thresholds: dict | None = None, weights: dict | None = None) -> Segments:
+                  thresholds: dict | None = None, weights: dict | None = None,
+                  parallelism: int = 3) -> Segments:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -93,14 +95,21 @@ def segment_users(base: DataFrame, ks=KMEANS_K_RANGE, seed: int = KMEANS_SEED,
     scaled = scaler.transform(vec).persist(StorageLevel.MEMORY_AND_DISK)
     evaluator = ClusteringEvaluator(predictionCol="cluster", featuresCol="features",
                                     metricName="silhouette", distanceMeasure="squaredEuclidean")
-    best = (None, -1.0, None)
-    sweep = []
-    for k in ks:
+    def fit(k):
         model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(scaled)
         try:
             score = float(evaluator.evaluate(model.transform(scaled)))
         except Exception:  # fewer than two clusters on degenerate data
             score = float("nan")
+        return k, score, model
+
+    # The fits are independent Spark jobs over the same cached features, so
+    # they run concurrently (as CrossValidator's ``parallelism`` does).
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(ks)))) as pool:
+        fits = list(pool.map(fit, ks))
+    best = (None, -1.0, None)
+    sweep = []
+    for k, score, model in fits:  # in k order: the first of equal scores wins
         sweep.append((k, score))
         if score == score and score > best[1]:
             best = (k, score, model)

@@ -53,12 +53,15 @@ def build_marts(log: DataFrame, items: DataFrame, users: DataFrame, window=None,
                 tz: str = "UTC", max_rows: int | None = None, cutoff=None,
                 segment: bool = True, thresholds=None, weights=None,
                 observation: Observation | None = None,
+                raw_observation: Observation | None = None,
                 max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> Marts:
     """Lazily define every mart over one persisted joined table.
 
     ``cutoff`` (RFM reference date) defaults to the last windowed event date.
     """
     raw = capped(log, max_rows)
+    if raw_observation is not None:
+        raw = raw.observe(raw_observation, F.count(F.lit(1)).alias("raw_rows"))
     events = clean.derive_events(raw, window, tz)
     joined = clean.join_dimensions(events, items, users, max_broadcast_rows)
     if observation is not None:
@@ -84,34 +87,42 @@ def build_marts(log: DataFrame, items: DataFrame, users: DataFrame, window=None,
 
 def run_etl(spark: SparkSession, log: DataFrame, items: DataFrame, users: DataFrame,
             out_root: str, window=None, tz: str = "UTC", max_rows: int | None = None,
-            model_path: str | None = None, thresholds=None, weights=None) -> dict:
-    """Build, publish (all marts switch together) and append one DQ log row."""
+            model_path: str | None = None, thresholds=None, weights=None,
+            parallelism: int = 4) -> dict:
+    """Build, publish (all marts switch together) and append one DQ log row.
+
+    Order of work: one pass fills the joined cache and the DQ counters; the
+    log-derived marts are then staged concurrently while KMeans fits; the
+    segment table joins the same version; one pointer commit publishes all.
+    """
     started = time.time()
     out_root = out_root.rstrip("/")
-    obs = Observation("dq")
-    marts = build_marts(log, items, users, window, tz, max_rows, segment=False, observation=obs)
+    obs, raw_obs = Observation("dq"), Observation("raw")
+    marts = build_marts(log, items, users, window, tz, max_rows, segment=False,
+                        observation=obs, raw_observation=raw_obs)
     marts.joined.count()                       # the one pass: fills the cache and the counters
-    dq = obs.get
+    dq, raw_rows = obs.get, raw_obs.get["raw_rows"]
     cutoff = dq["cutoff_date"]
     if cutoff is None:
         marts.joined.unpersist()
         raise ValueError("no behaviour events inside the business window")
+    stager = sink.Stager(spark, out_root, parallelism=parallelism)
+    for name, df in marts.tables().items():
+        stager.stage(name, df)
     marts.segments = rfm.segment_users(rfm.rfm_base(marts.wide, cutoff),
                                        thresholds=thresholds, weights=weights)
+    stager.stage("user_rfm", marts.segments.user_rfm)
     if model_path:
         rfm.save_models(marts.segments, model_path)
-    tables = marts.tables()
-    version = sink.publish(spark, out_root, tables)
+    rows = stager.commit()
 
-    raw_rows = capped(log, max_rows).count()
-    clean_rows = sink.read_mart(spark, out_root, "rejected_events").count()
-    clean_rows = dq["joined_rows"] - clean_rows
+    clean_rows = dq["joined_rows"] - dq["missing_price"]
     values = {
         "raw_rows": raw_rows, "item_rows": items.count(), "user_rows": users.count(),
         "missing_price": dq["missing_price"], "missing_channel": dq["missing_channel"],
         "missing_age_group": dq["missing_age_group"], "clean_rows": clean_rows,
         "drop_rate_pct": round((1 - clean_rows / max(raw_rows, 1)) * 100, 2),
-        **{f"{n}_rows": sink.read_mart(spark, out_root, n).count() for n in tables},
+        **{f"{n}_rows": r for n, r in rows.items()},
         "kmeans_best_k": marts.segments.best_k, "kmeans_silhouette": marts.segments.best_score,
     }
     metrics = spark.createDataFrame([(k, float(v)) for k, v in values.items()], "metric string, value double")
@@ -121,5 +132,5 @@ def run_etl(spark: SparkSession, log: DataFrame, items: DataFrame, users: DataFr
                              _dt.datetime.now(), time.time() - started)
     sink.append_log(row, f"{out_root}/etl_dq_log")
     marts.joined.unpersist()
-    return {"version": version, "cutoff_date": str(cutoff), **values,
+    return {"version": stager.version, "cutoff_date": str(cutoff), **values,
             "elapsed_seconds": time.time() - started}
