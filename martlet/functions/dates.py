@@ -58,6 +58,31 @@ def period_label(d, period: str) -> Column:
     return week_label(d)
 
 
+def period_key(d, period: str) -> Column:
+    """Compact grouping key of a period bucket (a date or an int), so that a
+    trend groups on 4-byte values and formats the label only once per bucket.
+    Ordering by the key equals ordering by the label."""
+    check_period(period)
+    d = _col(d)
+    if period == "day":
+        return d
+    if period == "month":
+        return F.trunc(d, "MM")
+    return F.year(d) * 100 + F.floor((F.dayofyear(d) + 6 - F.weekday(d)) / 7).cast("int")
+
+
+def key_label(key, period: str) -> Column:
+    """Label of a ``period_key`` value (same text as ``period_label``)."""
+    check_period(period)
+    key = _col(key)
+    if period == "day":
+        return F.date_format(key, "yyyy-MM-dd")
+    if period == "month":
+        return F.date_format(key, "yyyy-MM")
+    return F.concat((key / 100).cast("int").cast("string"), F.lit("-"),
+                    F.lpad((key % 100).cast("string"), 2, "0"))
+
+
 def check_period(period: str) -> str:
     if period not in PERIOD_LABELS:
         raise ValueError(f"period must be one of {sorted(PERIOD_LABELS)}, got {period!r}")

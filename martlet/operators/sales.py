@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..constants import (CATEGORY_PREFIX, DEFAULT_LOOKBACK_DAYS, ITEM_PREFIX,
                          PERIOD_LABELS, TOP_K)
-from ..functions.dates import comparison_windows, parse_date, period_label
+from ..functions.dates import comparison_windows, key_label, parse_date, period_key
 
 
 def _between(start, end, col: str = "date") -> Column:
@@ -37,11 +37,22 @@ def core_metrics(facts: DataFrame, start, end) -> DataFrame:
 
 
 def trend(facts: DataFrame, start, end, period: str = "day") -> DataFrame:
+    """Sales and distinct orders per day / week / month bucket, in order."""
     return (in_range(facts, start, end)
-            .groupBy(period_label("date", period).alias("dt"))
+            .groupBy(period_key("date", period).alias("_k"))
             .agg(money(F.sum("price")).alias("sales"),
                  F.count_distinct("order_id").alias("orders"))
-            .orderBy("dt"))
+            .orderBy("_k")
+            .select(key_label("_k", period).alias("dt"), "sales", "orders"))
+
+
+def trend_arrays(trend_rows: DataFrame) -> DataFrame:
+    """The chart shape: one row of parallel arrays (dates, sales, orders).
+    A trend has one row per bucket of the requested range, so the arrays are
+    bounded by the range length, not by the data size."""
+    ordered = F.sort_array(F.collect_list(F.struct("dt", "sales", "orders")))
+    return trend_rows.agg(ordered.alias("_t")).select(
+        F.col("_t.dt").alias("dates"), F.col("_t.sales").alias("sales"), F.col("_t.orders").alias("orders"))
 
 
 def comparison_sales(facts: DataFrame, start, end) -> DataFrame:
@@ -179,6 +190,11 @@ def dimension_breakdown(facts: DataFrame, start, end, top_k: int = TOP_K) -> Dat
             .select("dimension", "name", money(F.col("_s")).alias("sales"), "rank"))
 
 
+def ranking_axis(top: DataFrame) -> DataFrame:
+    """Top-k rows in bar-axis order (smallest first)."""
+    return top.orderBy(F.col("rank").desc())
+
+
 def dimension_share(breakdown: DataFrame) -> DataFrame:
     """Share of each slice within its dimension, in percent."""
     total = F.sum("sales").over(Window.partitionBy("dimension"))

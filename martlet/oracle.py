@@ -398,5 +398,10 @@ FROM (SELECT count(*) AS pv, count(*) FILTER (WHERE type IN ('cart', 'buy')) AS
         "safe_cast": safe,
         "adhoc_sql": facts.replace("facts AS", "buy_fact AS") + R.ADHOC_STATEMENT + " LIMIT 50",
         "publish_roundtrip": with_(*PIPE, BUY) + "SELECT * FROM buy",
+        "stream_buy_fact": with_(*PIPE, BUY) + "SELECT * FROM buy",
+        "stream_daily_volume": with_(LOG, ITEMS) + f"""SELECT {D('ts')} AS date, count(*) AS events,
+  count(*) FILTER (WHERE type = 'buy') AS buys,
+  CAST(sum(CASE WHEN type = 'buy' THEN i.price END) AS DOUBLE) AS buy_sales
+FROM log LEFT JOIN items i ON log.item_id = i.item_id GROUP BY 1""",
     }
     return q

@@ -22,6 +22,7 @@ from .session import ensure_checkpoint_dir, scratch_path
 from .sinks import publish as sink
 from .sources import fixtures as fx
 from .sources.files import capped
+from .streaming import ingest as streaming
 
 LOG_START, LOG_END = fx.LOG_WINDOW[0], "2024-01-30"
 SPAN_START, SPAN_END = fx.SALES_SPAN
@@ -136,6 +137,26 @@ def _q_publish_roundtrip(spark, d):
     return sink.read_mart(spark, root, "buy_fact")
 
 
+def _stream_input(spark, d):
+    root = scratch_path(spark, "stream")
+    streaming.stage_files(_log(spark, d), f"{root}/in", n_files=4)
+    return root, streaming.read_log_stream(spark, f"{root}/in", max_files_per_trigger=2)
+
+
+def _q_stream_buy_fact(spark, d):
+    root, stream = _stream_input(spark, d)
+    out = streaming.buy_fact_stream(stream, fx.items(spark, d), fx.users(spark, d), fx.LOG_WINDOW, fx.LOG_TZ)
+    streaming.start_parquet_sink(out, f"{root}/out", f"{root}/ckpt").awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+def _q_stream_daily_volume(spark, d):
+    root, stream = _stream_input(spark, d)
+    out = streaming.daily_volume_stream(stream, fx.items(spark, d))
+    streaming.start_table_sink(out, f"{root}/daily", f"{root}/ckpt").awaitTermination()
+    return spark.read.parquet(f"{root}/daily")
+
+
 def _q_dq_log(spark, d):
     cl = _cleaned(spark, d)
     seg = rfm.segment_users(rfm.rfm_base(cl.wide, rfm.cutoff_value(cl.events)))
@@ -225,6 +246,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "adhoc_sql": _q_adhoc,
         "publish_roundtrip": _q_publish_roundtrip,
         "dq_log": _q_dq_log,
+        # incremental ingest (Structured Streaming)
+        "stream_buy_fact": _q_stream_buy_fact,
+        "stream_daily_volume": _q_stream_daily_volume,
     }
     return q
 

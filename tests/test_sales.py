@@ -105,3 +105,20 @@ def test_dimension_breakdown_caps_categories(spark):
     b = sales.dimension_breakdown(f, "2020-01-01", "2020-01-01").filter("dimension = 'category'")
     assert b.count() == 10
     assert b.orderBy("rank").first().name == "品类14"
+
+
+def test_trend_arrays_and_axis(buy_fact):
+    t = sales.trend(buy_fact, "2017-11-15", "2017-11-16", "day")
+    r = sales.trend_arrays(t).first()
+    assert r.dates == ["2017-11-15", "2017-11-16"] and r.orders == [2, 1]
+    axis = sales.ranking_axis(sales.top_items(buy_fact, "2017-11-15", "2017-11-16")).collect()
+    assert [x.item_id for x in axis] == [103, 101, 102]
+
+
+def test_period_key_labels_match(spark):
+    from martlet.functions.dates import key_label, period_key, period_label
+    start = dt.date(1999, 12, 20)
+    df = spark.createDataFrame([(start + dt.timedelta(days=i),) for i in range(800)], "d date")
+    for p in ("day", "week", "month"):
+        rows = df.select(period_label("d", p).alias("a"), key_label(period_key("d", p), p).alias("b")).collect()
+        assert all(r.a == r.b for r in rows), p
