@@ -10,7 +10,9 @@ rewritten by Catalyst into an inner join.
 
 from __future__ import annotations
 
+import datetime as _dt
 from dataclasses import dataclass
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,10 +22,27 @@ from ..functions.dates import event_date, parse_date
 from ..functions.joins import DEFAULT_BROADCAST_ROWS, sized_broadcast
 
 
+def window_epoch_bounds(start, end, tz: str = "UTC") -> tuple:
+    """[lo, hi) epoch seconds covering local dates start..end in zone ``tz``."""
+    zone = ZoneInfo(tz)
+    lo = _dt.datetime.combine(parse_date(start), _dt.time(), zone)
+    hi = _dt.datetime.combine(parse_date(end) + _dt.timedelta(days=1), _dt.time(), zone)
+    return int(lo.timestamp()), int(hi.timestamp())
+
+
 def derive_events(log: DataFrame, window: tuple | None = None, tz: str = "UTC") -> DataFrame:
     """Add ``date`` (in zone ``tz``), keep the inclusive business window,
-    add ``order_id = user_id_ts_item_id``."""
-    out = log.withColumn("date", event_date("ts", tz))
+    add ``order_id = user_id_ts_item_id``.
+
+    The window is applied twice, equivalently: as a range on the raw ``ts``
+    column, which Catalyst pushes into the file scan (row-group skipping on a
+    time-ordered log), and as the exact date predicate.
+    """
+    out = log
+    if window is not None:
+        lo, hi = window_epoch_bounds(window[0], window[1], tz)
+        out = out.filter((F.col("ts") >= lo) & (F.col("ts") < hi))
+    out = out.withColumn("date", event_date("ts", tz))
     if window is not None:
         start, end = parse_date(window[0]), parse_date(window[1])
         out = out.filter(F.col("date").between(F.lit(start), F.lit(end)))
