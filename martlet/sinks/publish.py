@@ -29,24 +29,34 @@ from pyspark.sql import functions as F
 from ..schemas import MART_LAYOUT
 
 
-def _layout(name: str) -> dict:
+# Layout for long histories of small days: no date folders; rows are range-
+# clustered and sorted by date, so each file covers a contiguous date span and
+# Parquet min/max statistics skip files and row groups on a date range.
+CLUSTERED_BY_DATE = {"partition_by": [], "sort_by": ["date", "user_id", "order_id"]}
+
+
+def _layout(name: str, override: dict | None = None) -> dict:
+    if override and name in override:
+        return override[name]
     return MART_LAYOUT.get(name, {"partition_by": [], "sort_by": []})
 
 
-def write_table(df: DataFrame, path: str, name: str, mode: str = "errorifexists") -> int:
+def write_table(df: DataFrame, path: str, name: str, mode: str = "errorifexists",
+                layout: dict | None = None) -> int:
     """Write one table with its layout; returns the number of rows written.
 
     ``mode="overwrite"`` gives the plain replace-in-place fallback.
     """
-    layout = _layout(name)
+    layout = layout or _layout(name)
     obs = Observation(f"rows_{name}_{uuid.uuid4().hex[:6]}")
     out = df
-    if layout["partition_by"]:
+    keys = [*layout["partition_by"], *layout["sort_by"]]
+    if keys:
         # Range-partition on the partition AND sort columns: each date lands
         # in few files, yet a hot date is split over several tasks by the
         # sampled range bounds instead of going to one task (as a hash
         # repartition on the date alone would).
-        out = out.repartitionByRange(*layout["partition_by"], *layout["sort_by"])
+        out = out.repartitionByRange(*keys)
     # Counted above the range exchange: the range sampler runs the subtree
     # below it as a separate job and would otherwise be counted too.
     out = out.observe(obs, F.count(F.lit(1)).alias("rows"))
@@ -68,15 +78,18 @@ def new_version() -> str:
 class Stager:
     """Stage tables concurrently under one version, then commit them all."""
 
-    def __init__(self, spark: SparkSession, root: str, version: str | None = None, parallelism: int = 4):
+    def __init__(self, spark: SparkSession, root: str, version: str | None = None, parallelism: int = 4,
+                 layouts: dict | None = None):
         self.spark, self.root = spark, root.rstrip("/")
         self.version = version or new_version()
+        self.layouts = layouts
         self.pool = ThreadPoolExecutor(max_workers=max(1, parallelism))
         self.pending: dict[str, Future] = {}
 
     def stage(self, name: str, df: DataFrame) -> None:
         path = f"{self.root}/{name}/v={self.version}"
-        self.pending[name] = self.pool.submit(write_table, df, path, name)
+        self.pending[name] = self.pool.submit(write_table, df, path, name, "errorifexists",
+                                              _layout(name, self.layouts))
 
     def commit(self) -> dict:
         """Wait for every staged table, then append all pointers in one job.
@@ -95,8 +108,8 @@ class Stager:
 
 
 def publish(spark: SparkSession, root: str, tables: dict, version: str | None = None,
-            parallelism: int = 4) -> str:
-    stager = Stager(spark, root, version, parallelism)
+            parallelism: int = 4, layouts: dict | None = None) -> str:
+    stager = Stager(spark, root, version, parallelism, layouts)
     for name, df in tables.items():
         stager.stage(name, df)
     stager.commit()

@@ -97,3 +97,16 @@ def test_stage_conversion(spark):
     r = profile.stage_conversion(spark.createDataFrame(rows, schemas.BEHAVIOR)).first()
     assert (r.pv, r.cart, r.buy) == (10, 4, 1)
     assert (r.pv_to_cart_pct, r.cart_to_buy_pct, r.pv_to_buy_pct) == (40.0, 25.0, 10.0)
+
+
+def test_clustered_layout_prunes_by_stats(spark):
+    from martlet.operators import sales
+    from martlet.sinks.publish import CLUSTERED_BY_DATE
+    root = scratch_path(spark, "clustered")
+    f = fx.sales_facts(spark, SF_SMALL)
+    sink.publish(spark, root, {"buy_fact": f}, layouts={"buy_fact": CLUSTERED_BY_DATE})
+    served = sink.read_mart(spark, root, "buy_fact")
+    assert served.count() == f.count()
+    a = sales.core_metrics(served, "1998-03-01", "1998-03-31").first()
+    b = sales.core_metrics(f, "1998-03-01", "1998-03-31").first()
+    assert a == b and a.total_sales == 3122127.04
