@@ -80,7 +80,7 @@ class Segments:
 
 def segment_users(base: DataFrame, ks=KMEANS_K_RANGE, seed: int = KMEANS_SEED,
                   thresholds: dict | None = None, weights: dict | None = None,
-                  parallelism: int = 3) -> Segments:
+                  parallelism: int = 3, rows_per_partition: int = 1_000_000) -> Segments:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -90,9 +90,21 @@ def segment_users(base: DataFrame, ks=KMEANS_K_RANGE, seed: int = KMEANS_SEED,
     vec = VectorAssembler(inputCols=["R", "F", "M"], outputCol="features_raw").transform(
         base.select("user_id", F.col("R").cast("double").alias("R"),
                     F.col("F").cast("double").alias("F"), F.col("M").cast("double").alias("M")))
+    # Materialise the per-buyer features once (the base aggregate is the
+    # expensive part), then lay them out for the iterative fits: the number
+    # of partitions follows the row count only (~rows_per_partition rows per
+    # task, so a few thousand buyers are not spread over hundreds of tiny
+    # tasks), and rows are hash-placed and sorted by user id. Seeded KMeans
+    # initialisation depends on that layout, so this makes the segments
+    # reproducible whatever the upstream partitioning or cluster settings.
+    vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
+    n_rows = vec.count()
+    parts = max(1, -(-n_rows // rows_per_partition))
     scaler = StandardScaler(inputCol="features_raw", outputCol="features", withMean=True, withStd=True).fit(vec)
-    # Iterative fits read the features many times: keep them (spill allowed).
-    scaled = scaler.transform(vec).persist(StorageLevel.MEMORY_AND_DISK)
+    laid_out = vec.repartition(parts, "user_id").sortWithinPartitions("user_id")
+    scaled = scaler.transform(laid_out).persist(StorageLevel.MEMORY_AND_DISK)
+    scaled.count()
+    vec.unpersist()
     evaluator = ClusteringEvaluator(predictionCol="cluster", featuresCol="features",
                                     metricName="silhouette", distanceMeasure="squaredEuclidean")
     def fit(k):

@@ -166,7 +166,7 @@ def trend_sql(src: str, start, end, period: str) -> str:
 
 
 def top_sql(src: str, start, end, key: str, prefix: str, lab: str, k: int = 10) -> str:
-    return f"""SELECT row_number() OVER (ORDER BY s DESC, {key} ASC NULLS LAST) AS rank, {key},
+    return f"""SELECT CAST(row_number() OVER (ORDER BY s DESC, {key} ASC NULLS LAST) AS INTEGER) AS rank, {key},
        '{prefix}' || CAST({key} AS VARCHAR) AS {lab}, CAST(s AS DOUBLE) AS sales
 FROM (SELECT {key}, sum(price) AS s FROM {src} WHERE {rng(start, end)} GROUP BY {key}
       ORDER BY s DESC, {key} ASC NULLS LAST LIMIT {k})"""
@@ -200,8 +200,8 @@ FROM ({growth_select(src, start, end, period)})"""
 
 def breakdown_sql(src: str, start, end, k: int = 10) -> str:
     return f"""SELECT dimension, name, CAST(s AS DOUBLE) AS sales, rank FROM (
-  SELECT dimension, name, s, row_number() OVER (PARTITION BY dimension
-           ORDER BY s DESC, category_id ASC NULLS LAST, name ASC NULLS LAST) AS rank
+  SELECT dimension, name, s, CAST(row_number() OVER (PARTITION BY dimension
+           ORDER BY s DESC, category_id ASC NULLS LAST, name ASC NULLS LAST) AS INTEGER) AS rank
   FROM (SELECT CASE WHEN GROUPING(category_id) = 0 THEN 'category'
                     WHEN GROUPING(channel) = 0 THEN 'channel' ELSE 'age_group' END AS dimension,
                CASE WHEN GROUPING(category_id) = 0 THEN '{CATEGORY_PREFIX}' || CAST(category_id AS VARCHAR)
