@@ -54,9 +54,16 @@ def build_marts(log: DataFrame, items: DataFrame, users: DataFrame, window=None,
                 segment: bool = True, thresholds=None, weights=None,
                 observation: Observation | None = None,
                 raw_observation: Observation | None = None,
-                max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> Marts:
-    """Lazily define every mart over one persisted joined table.
+                max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+                materialize: str = "persist", work_path: str | None = None) -> Marts:
+    """Lazily define every mart over one materialised joined table.
 
+    ``materialize="persist"`` keeps the joined table in executor memory/disk
+    (lost blocks are recomputed from lineage). ``materialize="table"`` writes
+    it once, partitioned by date, to ``work_path`` on shared storage and
+    reads it back: the lineage is cut at a durable table, executor loss never
+    re-runs the joins, and every mart reads only its columns (Parquet
+    pruning). The table write is an action; the counters fill during it.
     ``cutoff`` (RFM reference date) defaults to the last windowed event date.
     """
     raw = capped(log, max_rows)
@@ -72,7 +79,17 @@ def build_marts(log: DataFrame, items: DataFrame, users: DataFrame, window=None,
             F.count_if(F.col("channel").isNull()).alias("missing_channel"),
             F.count_if(F.col("age_group").isNull()).alias("missing_age_group"),
             F.max("date").alias("cutoff_date"))
-    joined = joined.persist(StorageLevel.MEMORY_AND_DISK)
+    if materialize == "table":
+        if not work_path:
+            raise ValueError("materialize='table' needs a work_path on shared storage")
+        joined.write.mode("errorifexists").partitionBy("date").parquet(work_path)
+        # Declared schema: the date partition column keeps its type even where
+        # partition type inference is switched off.
+        joined = joined.sparkSession.read.schema(joined.schema).parquet(work_path)
+    elif materialize == "persist":
+        joined = joined.persist(StorageLevel.MEMORY_AND_DISK)
+    else:
+        raise ValueError("materialize must be 'persist' or 'table'")
     wide = clean.clean_wide(joined)
     strict, loose = funnel.build_funnels(wide, tz)
     seg = None
@@ -88,7 +105,7 @@ def build_marts(log: DataFrame, items: DataFrame, users: DataFrame, window=None,
 def run_etl(spark: SparkSession, log: DataFrame, items: DataFrame, users: DataFrame,
             out_root: str, window=None, tz: str = "UTC", max_rows: int | None = None,
             model_path: str | None = None, thresholds=None, weights=None,
-            parallelism: int = 4) -> dict:
+            parallelism: int = 4, materialize: str = "persist") -> dict:
     """Build, publish (all marts switch together) and append one DQ log row.
 
     Order of work: one pass fills the joined cache and the DQ counters; the
@@ -98,9 +115,12 @@ def run_etl(spark: SparkSession, log: DataFrame, items: DataFrame, users: DataFr
     started = time.time()
     out_root = out_root.rstrip("/")
     obs, raw_obs = Observation("dq"), Observation("raw")
+    work = f"{out_root}/_work/joined-{sink.new_version()}"
     marts = build_marts(log, items, users, window, tz, max_rows, segment=False,
-                        observation=obs, raw_observation=raw_obs)
-    marts.joined.count()                       # the one pass: fills the cache and the counters
+                        observation=obs, raw_observation=raw_obs,
+                        materialize=materialize, work_path=work)
+    if materialize == "persist":
+        marts.joined.count()                   # the one pass: fills the cache and the counters
     dq, raw_rows = obs.get, raw_obs.get["raw_rows"]
     cutoff = dq["cutoff_date"]
     if cutoff is None:

@@ -75,3 +75,13 @@ MART_LAYOUT = {
     "user_funnel_loose_mart": {"partition_by": ["date"], "sort_by": ["user_id"]},
     "rejected_events": {"partition_by": ["date"], "sort_by": ["user_id", "ts"]},
 }
+
+
+# Declared read schemas of the published marts.
+MART_SCHEMAS = {
+    "buy_fact": BUY_FACT,
+    "user_rfm": USER_RFM,
+    "cohort_matrix": COHORT_MATRIX,
+    "user_funnel_mart": FUNNEL_MART,
+    "user_funnel_loose_mart": FUNNEL_MART,
+}

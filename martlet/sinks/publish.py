@@ -26,7 +26,7 @@ from concurrent.futures import Future, ThreadPoolExecutor
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schemas import MART_LAYOUT
+from ..schemas import MART_LAYOUT, MART_SCHEMAS
 
 
 # Layout for long histories of small days: no date folders; rows are range-
@@ -122,12 +122,15 @@ def current_versions(spark: SparkSession, root: str) -> DataFrame:
     return log.withColumn("_r", F.row_number().over(newest)).filter("_r = 1").drop("_r")
 
 
-def read_mart(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The currently published version of one mart."""
+def read_mart(spark: SparkSession, root: str, name: str, schema=None) -> DataFrame:
+    """The currently published version of one mart (declared schema when
+    known, so partition columns keep their types)."""
     rows = current_versions(spark, root).filter(F.col("table_name") == name).select("path").take(1)
     if not rows:
         raise KeyError(f"mart {name!r} has not been published under {root}")
-    return spark.read.parquet(rows[0]["path"])
+    schema = schema or MART_SCHEMAS.get(name)
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(rows[0]["path"])
 
 
 def append_log(df: DataFrame, path: str) -> None:

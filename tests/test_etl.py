@@ -34,3 +34,14 @@ def test_run_etl_publishes_consistent_marts(spark):
     assert len(json.loads(log_row[0].cluster_profiles)) == out["kmeans_best_k"]
     from pyspark.ml.clustering import KMeansModel
     assert len(KMeansModel.load(f"{root}/model").clusterCenters()) == out["kmeans_best_k"]
+
+
+def test_run_etl_table_materialisation_matches(spark):
+    root = scratch_path(spark, "etl-table")
+    log, items, users = fx.behavior_log(spark, SF_SMALL), fx.items(spark, SF_SMALL), fx.users(spark, SF_SMALL)
+    out = run_etl(spark, log, items, users, root, window=fx.LOG_WINDOW, materialize="table")
+    assert (out["raw_rows"], out["missing_price"], out["clean_rows"], out["buy_fact_rows"]) == (600, 70, 530, 181)
+    cl = clean.load_and_clean(log, items, users, fx.LOG_WINDOW)
+    got = sink.read_mart(spark, root, "user_funnel_loose_mart")
+    want = funnel.build_funnels(cl.wide)[1]
+    assert got.select(*want.columns).exceptAll(want).count() == 0 and got.count() == want.count()
