@@ -175,6 +175,17 @@ def rfm_distribution(facts: DataFrame, user_rfm: DataFrame, start, end) -> DataF
             .agg(F.count(F.lit(1)).alias("cnt")))
 
 
+def segment_rows(dist: DataFrame) -> DataFrame:
+    """Chart rows (name, value, share_pct) of a segment distribution; the
+    distribution has one row per label (at most six), so the share window
+    runs on a handful of rows."""
+    from pyspark.sql import Window
+    total = F.sum("cnt").over(Window.partitionBy(F.lit(1)))
+    return dist.select(F.coalesce(F.col("rfm_label"), F.lit(LABEL_UNMAPPED)).alias("name"),
+                       F.col("cnt").alias("value"),
+                       F.round(F.col("cnt") / F.nullif(total, F.lit(0)) * 100, 2).alias("share_pct"))
+
+
 def save_models(seg: Segments, path: str) -> None:
     """Persist the chosen KMeans model and the scaler (overwrite)."""
     seg.kmeans_model.write().overwrite().save(path)

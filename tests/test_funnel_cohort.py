@@ -134,3 +134,11 @@ def test_cohort_read_and_grid(spark, cohort_rows):
     assert {r.row_idx for r in g} == {0}
     wide = cohort.retention_wide(cohort_rows).first()
     assert wide["0"] == 100.0 and wide["1"] == 72.0 and wide["2"] is None
+
+
+def test_last_cohorts(spark):
+    import datetime as dt
+    rows = [(dt.date(2024, 1, d), 0, 1, 1) for d in range(1, 16)]
+    m = spark.createDataFrame(rows, "cohort_date date, day_diff int, active_users long, cohort_users long")
+    kept = sorted(r.cohort_date.day for r in cohort.last_cohorts(m, 10).collect())
+    assert kept == list(range(6, 16))

@@ -110,3 +110,15 @@ def test_clustered_layout_prunes_by_stats(spark):
     a = sales.core_metrics(served, "1998-03-01", "1998-03-31").first()
     b = sales.core_metrics(f, "1998-03-01", "1998-03-31").first()
     assert a == b and a.total_sales == 3122127.04
+
+
+def test_overwrite_fallback_and_segment_rows(spark):
+    from martlet.operators.rfm import segment_rows
+    root = scratch_path(spark, "ow")
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "user_id int, rfm_label string")
+    assert sink.write_table(df, root, "user_rfm") == 2
+    assert sink.write_table(df.limit(1), root, "user_rfm", mode="overwrite") == 1
+    assert spark.read.parquet(root).count() == 1
+    dist = spark.createDataFrame([("x", 3), ("y", 1)], "rfm_label string, cnt long")
+    got = {r.name: (r.value, r.share_pct) for r in segment_rows(dist).collect()}
+    assert got == {"x": (3, 75.0), "y": (1, 25.0)}
