@@ -32,7 +32,7 @@ def main() -> None:
     from martlet.registry import queries
 
     spark = build_session(master=f"local[{cpus}]", app="martlet-bench",
-                          shuffle_partitions=int(cpus) * 2)
+                          shuffle_partitions=int(cpus))
     qs = queries()
 
     def run(name: str) -> float:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
-from ..functions.joins import DEFAULT_BROADCAST_ROWS
+from ..functions.joins import DEFAULT_BROADCAST_ROWS, sized_broadcast
 from ..operators import clean, facts
 
 
@@ -47,9 +47,10 @@ def buy_fact_stream(log_stream: DataFrame, items: DataFrame, users: DataFrame, w
     return facts.buy_fact(cl.wide)
 
 
-def daily_volume_stream(log_stream: DataFrame, items: DataFrame, lateness: str = "1 day") -> DataFrame:
+def daily_volume_stream(log_stream: DataFrame, items: DataFrame, lateness: str = "1 day",
+                        max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Per UTC day: all events, purchases and purchase sales (priced items)."""
-    priced = F.broadcast(items.select("item_id", F.col("price").alias("_p")))
+    priced = sized_broadcast(items.select("item_id", F.col("price").alias("_p")), max_broadcast_rows)
     ev = (log_stream.withColumn("event_time", F.timestamp_seconds("ts"))
           .withWatermark("event_time", lateness)
           .join(priced, "item_id", "left"))

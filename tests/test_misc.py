@@ -122,3 +122,12 @@ def test_overwrite_fallback_and_segment_rows(spark):
     dist = spark.createDataFrame([("x", 3), ("y", 1)], "rfm_label string, cnt long")
     got = {r.name: (r.value, r.share_pct) for r in segment_rows(dist).collect()}
     assert got == {"x": (3, 75.0), "y": (1, 25.0)}
+
+
+def test_sized_broadcast_bound(spark):
+    from martlet.functions.joins import row_count_at_most, sized_broadcast
+    small = fx.items(spark, SF_SMALL)
+    assert row_count_at_most(small, 18) and not row_count_at_most(small, 17)
+    assert row_count_at_most(small, 18)  # memoised proof, same answer
+    big = spark.range(100)
+    assert sized_broadcast(big, 10) is big
