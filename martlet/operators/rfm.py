@@ -76,6 +76,11 @@ class Segments:
     kmeans_model: object = None
     scaler_model: object = None
     scores: dict = field(default_factory=dict)  # cluster id -> weighted score
+    features: DataFrame | None = None  # persisted scaled features
+
+    def release(self) -> None:
+        if self.features is not None:
+            self.features.unpersist()
 
 
 def segment_users(base: DataFrame, ks=KMEANS_K_RANGE, seed: int = KMEANS_SEED,
@@ -139,7 +144,7 @@ def segment_users(base: DataFrame, ks=KMEANS_K_RANGE, seed: int = KMEANS_SEED,
         "user_id", F.coalesce(mapping[F.col("cluster")], F.lit(LABEL_UNMAPPED)).alias("rfm_label"))
     return Segments(user_rfm=user_rfm, clustered=clustered, sweep=sweep, best_k=best_k,
                     best_score=best_score, centers=centers, labels=labels,
-                    kmeans_model=model, scaler_model=scaler, scores=scores)
+                    kmeans_model=model, scaler_model=scaler, scores=scores, features=scaled)
 
 
 def sweep_frame(spark, seg: Segments) -> DataFrame:

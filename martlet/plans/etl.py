@@ -35,6 +35,14 @@ class Marts:
     cohort_matrix: DataFrame
     rejected: DataFrame
     segments: rfm.Segments | None = None
+    touch: DataFrame | None = None
+
+    def release(self) -> None:
+        for df in (self.touch, self.joined):
+            if df is not None:
+                df.unpersist()
+        if self.segments is not None:
+            self.segments.release()
 
     def tables(self) -> dict:
         out = {
@@ -91,7 +99,11 @@ def build_marts(log: DataFrame, items: DataFrame, users: DataFrame, window=None,
     else:
         raise ValueError("materialize must be 'persist' or 'table'")
     wide = clean.clean_wide(joined)
-    strict, loose = funnel.build_funnels(wide, tz)
+    # Both funnels read the same first-touch aggregate; keep it once instead
+    # of running that shuffle twice (the marts are staged concurrently).
+    touch = funnel.first_touch(wide).persist(StorageLevel.MEMORY_AND_DISK)
+    strict = funnel.funnel_mart(funnel.strict_flags(touch, tz))
+    loose = funnel.funnel_mart(funnel.loose_flags(touch, tz))
     seg = None
     if segment:
         cut = cutoff if cutoff is not None else rfm.cutoff_value(events)
@@ -99,7 +111,7 @@ def build_marts(log: DataFrame, items: DataFrame, users: DataFrame, window=None,
     return Marts(joined=joined, wide=wide, buy_fact=facts.buy_fact(wide),
                  user_funnel_mart=strict, user_funnel_loose_mart=loose,
                  cohort_matrix=cohort.cohort_matrix(wide),
-                 rejected=clean.rejected_events(joined), segments=seg)
+                 rejected=clean.rejected_events(joined), segments=seg, touch=touch)
 
 
 def run_etl(spark: SparkSession, log: DataFrame, items: DataFrame, users: DataFrame,
@@ -124,7 +136,7 @@ def run_etl(spark: SparkSession, log: DataFrame, items: DataFrame, users: DataFr
     dq, raw_rows = obs.get, raw_obs.get["raw_rows"]
     cutoff = dq["cutoff_date"]
     if cutoff is None:
-        marts.joined.unpersist()
+        marts.release()
         raise ValueError("no behaviour events inside the business window")
     stager = sink.Stager(spark, out_root, parallelism=parallelism)
     for name, df in marts.tables().items():
@@ -151,6 +163,6 @@ def run_etl(spark: SparkSession, log: DataFrame, items: DataFrame, users: DataFr
     row = quality.dq_log_row(metrics, quality.dq_warnings(nulls), rfm.cluster_profiles(marts.segments),
                              _dt.datetime.now(), time.time() - started)
     sink.append_log(row, f"{out_root}/etl_dq_log")
-    marts.joined.unpersist()
+    marts.release()
     return {"version": stager.version, "cutoff_date": str(cutoff), **values,
             "elapsed_seconds": time.time() - started}
