@@ -74,3 +74,77 @@ def daily_drilldown(facts: DataFrame, funnel_mart: DataFrame, cohort_matrix: Dat
                     day, period: str = "day", user_rfm: DataFrame | None = None) -> dict:
     d = parse_date(day)
     return dashboard_sections(facts, funnel_mart, cohort_matrix, d, d, period, user_rfm)
+
+
+class Dashboard:
+    """The dashboard's entry points over a set of marts, each returning a
+    DataFrame: core KPIs, trend, funnel, rankings, dimensions, segments,
+    retention, and the whole bundle.
+
+    Missing dates resolve like the original service: if either bound is
+    missing, the range becomes (last fact date - 30 days, last fact date).
+    Resolving reads one aggregated row (two dates) on the driver; everything
+    else stays distributed and lazy.
+    """
+
+    def __init__(self, buy_fact: DataFrame, funnel_mart: DataFrame, cohort_matrix: DataFrame,
+                 user_rfm: DataFrame | None = None):
+        self.facts, self.funnel_mart, self.cohort_matrix = buy_fact, funnel_mart, cohort_matrix
+        self.user_rfm = user_rfm
+
+    @classmethod
+    def from_published(cls, spark, root: str) -> "Dashboard":
+        from ..sinks.publish import read_mart
+        try:
+            segments = read_mart(spark, root, "user_rfm")
+        except KeyError:
+            segments = None
+        return cls(read_mart(spark, root, "buy_fact"), read_mart(spark, root, "user_funnel_mart"),
+                   read_mart(spark, root, "cohort_matrix"), segments)
+
+    def resolve(self, start=None, end=None) -> tuple:
+        if start and end:
+            return parse_date(start), parse_date(end)
+        row = sales.default_range(self.facts).first()
+        return row.start_date, row.end_date
+
+    def date_range(self) -> DataFrame:
+        return sales.date_range(self.facts)
+
+    def core(self, start=None, end=None, period: str = "day") -> DataFrame:
+        check_period(period)
+        s, e = self.resolve(start, end)
+        return sales.kpi_summary(self.facts, self.funnel_mart, s, e, period)
+
+    def trend(self, start=None, end=None, period: str = "day") -> DataFrame:
+        check_period(period)
+        s, e = self.resolve(start, end)
+        return sales.trend(self.facts, s, e, period)
+
+    def funnel(self, start=None, end=None) -> DataFrame:
+        s, e = self.resolve(start, end)
+        return funnel.funnel_long(funnel.funnel_totals(self.funnel_mart, s, e))
+
+    def rankings(self, start=None, end=None) -> DataFrame:
+        s, e = self.resolve(start, end)
+        return sales.top_items(self.facts, s, e, TOP_K)
+
+    def dimensions(self, start=None, end=None) -> DataFrame:
+        s, e = self.resolve(start, end)
+        return sales.dimension_breakdown(self.facts, s, e, TOP_K)
+
+    def rfm(self, start=None, end=None) -> DataFrame:
+        if self.user_rfm is None:
+            raise ValueError("no segment table published")
+        s, e = self.resolve(start, end)
+        return rfm.segment_rows(rfm.rfm_distribution(self.facts, self.user_rfm, s, e))
+
+    def retention(self, start=None, end=None) -> DataFrame:
+        s, e = self.resolve(start, end)
+        return cohort.retention_rates(cohort.cohort_read(self.cohort_matrix, s, e))
+
+    def all(self, start=None, end=None, period: str = "day", cache_slice: bool = False) -> dict:
+        check_period(period)
+        s, e = self.resolve(start, end)
+        return dashboard_sections(self.facts, self.funnel_mart, self.cohort_matrix, s, e, period,
+                                  self.user_rfm, cache_slice)
