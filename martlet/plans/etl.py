@@ -138,6 +138,9 @@ def run_etl(spark: SparkSession, log: DataFrame, items: DataFrame, users: DataFr
     if cutoff is None:
         marts.release()
         raise ValueError("no behaviour events inside the business window")
+    # Fill the shared first-touch cache once; the concurrently staged strict
+    # and loose marts then both read it instead of racing to compute it.
+    marts.touch.count()
     stager = sink.Stager(spark, out_root, parallelism=parallelism)
     for name, df in marts.tables().items():
         stager.stage(name, df)
