@@ -40,6 +40,10 @@ DEFAULT_LOOKBACK_DAYS = 30
 # Row cap appended to ad-hoc SQL.
 ADHOC_ROW_CAP = 50
 
+# Keywords refused in ad-hoc SQL.
+ADHOC_FORBIDDEN_KEYWORDS = ("DROP", "DELETE", "UPDATE", "INSERT", "ALTER", "CREATE", "TRUNCATE",
+                            "REPLACE", "EXEC", "EXECUTE", "GRANT", "REVOKE")
+
 # KMeans sweep.
 KMEANS_K_RANGE = (3, 4, 5)
 KMEANS_SEED = 42

@@ -26,31 +26,32 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _rules(th: dict) -> list:
+    """Ordered (predicate, label) pairs. Predicates use ``&``/``|`` so the
+    same table evaluates plain floats (a centre) and Columns (every user)."""
+    return [
+        (lambda r, f, m: r > th["high_r"], LABEL_CHURNED),
+        (lambda r, f, m: (m > th["high_m"]) & (r < 0), LABEL_CORE_VALUE),
+        (lambda r, f, m: (f > th["high_f"]) & (m <= th["high_m"]), LABEL_LOYAL),
+        (lambda r, f, m: (r <= 0) & ((f > 0) | (m > 0)), LABEL_POTENTIAL),
+    ]
+
+
 def segment_label(r="R", f="F", m="M", thresholds: dict | None = None) -> Column:
     th = {**DEFAULT_THRESHOLDS, **(thresholds or {})}
     r, f, m = _col(r), _col(f), _col(m)
-    return (
-        F.when(r > th["high_r"], LABEL_CHURNED)
-        .when((m > th["high_m"]) & (r < 0), LABEL_CORE_VALUE)
-        .when((f > th["high_f"]) & (m <= th["high_m"]), LABEL_LOYAL)
-        .when((r <= 0) & ((f > 0) | (m > 0)), LABEL_POTENTIAL)
-        .otherwise(LABEL_REGULAR)
-    )
+    expr = None
+    for predicate, label in _rules(th):
+        cond = predicate(r, f, m)
+        expr = F.when(cond, label) if expr is None else expr.when(cond, label)
+    return expr.otherwise(LABEL_REGULAR)
 
 
 def segment_label_py(center, thresholds: dict | None = None) -> str:
-    """Same rule for a centre held on the driver (at most k <= 5 of them)."""
+    """Same rule table for a centre held on the driver (at most k <= 5)."""
     th = {**DEFAULT_THRESHOLDS, **(thresholds or {})}
-    r, f, m = float(center[0]), float(center[1]), float(center[2])
-    if r > th["high_r"]:
-        return LABEL_CHURNED
-    if m > th["high_m"] and r < 0:
-        return LABEL_CORE_VALUE
-    if f > th["high_f"] and m <= th["high_m"]:
-        return LABEL_LOYAL
-    if r <= 0 and (f > 0 or m > 0):
-        return LABEL_POTENTIAL
-    return LABEL_REGULAR
+    r, f, m = (float(v) for v in center[:3])
+    return next((label for predicate, label in _rules(th) if predicate(r, f, m)), LABEL_REGULAR)
 
 
 def weighted_score(r="R", f="F", m="M", weights: dict | None = None) -> Column:

@@ -14,23 +14,35 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..constants import ADHOC_ROW_CAP
+from ..constants import ADHOC_FORBIDDEN_KEYWORDS, ADHOC_ROW_CAP
 
-_FORBIDDEN = re.compile(
-    r"\b(DROP|DELETE|UPDATE|INSERT|ALTER|CREATE|TRUNCATE|REPLACE|EXEC|EXECUTE|GRANT|REVOKE"
-    r"|MERGE|CACHE|UNCACHE|REFRESH|LOAD|SET|RESET|ADD|MSCK|USE|ANALYZE)\b",
-    re.IGNORECASE)
-_LEADING_SELECT = re.compile(r"^\s*(SELECT|WITH)\b", re.IGNORECASE)
+# Spark statements that change session or catalog state, refused as well.
+_SPARK_STATE_KEYWORDS = ("MERGE", "CACHE", "UNCACHE", "REFRESH", "LOAD", "SET", "RESET", "ADD",
+                         "MSCK", "USE", "ANALYZE")
+_FORBIDDEN = re.compile(r"\b(" + "|".join(ADHOC_FORBIDDEN_KEYWORDS + _SPARK_STATE_KEYWORDS) + r")\b",
+                        re.IGNORECASE)
+_LEADING_QUERY = re.compile(r"^\s*(SELECT|WITH)\b", re.IGNORECASE)
+
+
+def _strip_fence(text: str) -> str:
+    """Drop a surrounding markdown code fence and its optional sql tag."""
+    t = text.strip()
+    if t.startswith("```"):
+        t = t[3:]
+        if t[:3].lower() == "sql" and (len(t) == 3 or t[3].isspace()):
+            t = t[3:]
+    if t.endswith("```"):
+        t = t[:-3]
+    return t.strip()
 
 
 def validate_sql(sql: str) -> str:
-    text = re.sub(r"^```(?:sql)?\s*", "", (sql or "").strip())
-    text = re.sub(r"```\s*$", "", text.strip()).strip().rstrip(";").strip()
+    text = _strip_fence(sql or "").rstrip(";").strip()
     if not text:
         raise ValueError("empty SQL statement")
     if ";" in text:
         raise ValueError("only one statement is allowed")
-    if not _LEADING_SELECT.match(text):
+    if not _LEADING_QUERY.match(text):
         raise ValueError("SQL must start with SELECT")
     if _FORBIDDEN.search(text):
         raise ValueError("SQL contains a forbidden keyword")

@@ -30,6 +30,9 @@ def test_event_date_zone(spark):
 
 def test_validate_sql():
     assert adhoc.validate_sql("```sql\nSELECT 1;\n```") == "SELECT 1"
+    assert adhoc.validate_sql("```select 2```") == "select 2"
+    assert adhoc.validate_sql("```SQL select 3;```") == "select 3"
+    assert adhoc.validate_sql("  WITH t AS (SELECT 1 AS x) SELECT x FROM t ") == "WITH t AS (SELECT 1 AS x) SELECT x FROM t"
     for bad in ("", "DROP TABLE x", "SELECT 1; DELETE FROM x", "select * from t where x in (delete)",
                 "UPDATE t SET a = 1"):
         with pytest.raises(ValueError):
