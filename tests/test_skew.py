@@ -77,3 +77,38 @@ def test_user_keyed_exchanges_carry_partial_aggregates(spark, skewed_dir, name):
             if "Sort" in child:
                 assert "HashAggregate" in lines[i + 2], (name, lines[i + 2])
     assert seen >= 1, name
+
+
+def test_shuffle_join_splits_hot_user(spark, skewed_dir):
+    """With the user dimension over the broadcast bound, the events ⟕ users
+    join shuffles; AQE splits the hot user's partition (skew join)."""
+    from martlet.operators import clean
+    from martlet.sources import fixtures as fx
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        log = fx.behavior_log(spark, skewed_dir)
+        items, users = fx.items(spark, skewed_dir), fx.users(spark, skewed_dir)
+        forced = clean.load_and_clean(log, items, users, fx.LOG_WINDOW, max_broadcast_rows=0).joined
+        rows = forced.collect()
+        assert "SortMergeJoin(skew=true)" in _plan(forced)
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    broadcast = clean.load_and_clean(log, items, users, fx.LOG_WINDOW).joined
+    cols = broadcast.columns
+    key = lambda r: tuple(str(r[c]) for c in cols)
+    assert sorted(map(key, rows)) == sorted(map(key, broadcast.collect()))
