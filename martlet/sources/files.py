@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -27,15 +27,37 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return spark.read.format(fmt).load(path)
 
 
-def capped(log: DataFrame, max_rows: int | None) -> DataFrame:
-    """Optional source row cap.
+CAP_KEYS = ("ts", "user_id", "item_id", "category_id", "type")
+LOCAL_CAP_LIMIT = 1_000_000
 
-    The cap keeps the ``max_rows`` earliest events, ordered by time and then
-    by every other column so that the kept set is deterministic. Spark plans
-    this as a per-partition top-k plus one merge (TakeOrderedAndProject), so
-    no task sorts the whole log.
+
+def capped(log: DataFrame, max_rows: int | None, local_limit: int = LOCAL_CAP_LIMIT) -> DataFrame:
+    """Optional source row cap: the ``max_rows`` earliest events, ordered by
+    time and then by every other column, so the kept set is deterministic.
+
+    Up to ``local_limit`` rows Spark plans a per-partition top-k plus one
+    merge of at most ``max_rows`` rows (TakeOrderedAndProject). Above it no
+    single task holds the result: the log is range-sorted and checkpointed to
+    the shared checkpoint folder (fixing partition contents), each partition's
+    row count gives its global offset (one row per partition, broadcast), and
+    rows keep their global position below ``max_rows``.
     """
     if not max_rows:
         return log
-    return log.orderBy(F.col("ts").asc_nulls_last(), "user_id", "item_id",
-                       "category_id", "type").limit(int(max_rows))
+    order = [F.col(CAP_KEYS[0]).asc_nulls_last(), *CAP_KEYS[1:]]
+    if max_rows <= local_limit:
+        return log.orderBy(*order).limit(int(max_rows))
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(log.sparkSession)
+    ordered = (log.orderBy(*order)
+               .withColumn("_pid", F.spark_partition_id())
+               .withColumn("_rid", F.monotonically_increasing_id())
+               .checkpoint(eager=True))
+    # monotonically_increasing_id = (partition index << 33) + row index
+    in_part = F.col("_rid") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    sizes = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    positioned = ordered.join(F.broadcast(offsets), "_pid")
+    return (positioned.filter(F.col("_start") + in_part < int(max_rows))
+            .drop("_pid", "_rid", "_start"))

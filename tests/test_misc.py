@@ -134,3 +134,12 @@ def test_sized_broadcast_bound(spark):
     assert row_count_at_most(small, 18)  # memoised proof, same answer
     big = spark.range(100)
     assert sized_broadcast(big, 10) is big
+
+
+def test_distributed_cap_matches_topk(spark):
+    log = fx.behavior_log(spark, SF_SMALL).repartition(5)
+    for n in (1, 37, 250, 600, 10_000):
+        small = capped(log, n)
+        big = capped(log, n, local_limit=0)   # force the distributed path
+        assert big.count() == min(n, 600)
+        assert small.exceptAll(big).count() == 0 and big.exceptAll(small).count() == 0
