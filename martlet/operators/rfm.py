@@ -103,7 +103,8 @@ def segment_users(base: DataFrame, ks=KMEANS_K_RANGE, seed: int = KMEANS_SEED,
     # initialisation depends on that layout, so this makes the segments
     # reproducible whatever the upstream partitioning or cluster settings.
     vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
-    n_rows = vec.count()
+    stats = vec.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("R", "F", "M").alias("d")).first()
+    n_rows, n_distinct = int(stats["n"]), int(stats["d"])
     parts = max(1, -(-n_rows // rows_per_partition))
     scaler = StandardScaler(inputCol="features_raw", outputCol="features", withMean=True, withStd=True).fit(vec)
     laid_out = vec.repartition(parts, "user_id").sortWithinPartitions("user_id")
@@ -113,7 +114,12 @@ def segment_users(base: DataFrame, ks=KMEANS_K_RANGE, seed: int = KMEANS_SEED,
     evaluator = ClusteringEvaluator(predictionCol="cluster", featuresCol="features",
                                     metricName="silhouette", distanceMeasure="squaredEuclidean")
     def fit(k):
-        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(scaled)
+        if k > n_distinct:  # fewer distinct buyers than clusters: no fit
+            return k, float("nan"), None
+        try:
+            model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(scaled)
+        except Exception:  # degenerate input for this k
+            return k, float("nan"), None
         try:
             score = float(evaluator.evaluate(model.transform(scaled)))
         except Exception:  # fewer than two clusters on degenerate data
@@ -128,12 +134,24 @@ def segment_users(base: DataFrame, ks=KMEANS_K_RANGE, seed: int = KMEANS_SEED,
     sweep = []
     for k, score, model in fits:  # in k order: the first of equal scores wins
         sweep.append((k, score))
-        if score == score and score > best[1]:
+        if model is not None and score == score and score > best[1]:
             best = (k, score, model)
-    if best[2] is None:  # no k separated the data: keep the first fit
-        k0 = ks[0]
-        best = (k0, float("nan"), KMeans(k=k0, seed=seed, featuresCol="features",
-                                         predictionCol="cluster").fit(scaled))
+    if best[2] is None:
+        # No k separated the data (fewer than two distinct buyers, or every
+        # fit degenerate): keep the first fitted model, else one cluster at
+        # the standardised mean.
+        fitted = [(k, sc, m) for k, sc, m in fits if m is not None]
+        if fitted:
+            best = fitted[0]
+        else:
+            centers = [[0.0, 0.0, 0.0]]
+            labels = {0: segment_label_py(centers[0], th)}
+            clustered = scaled.withColumn("cluster", F.lit(0))
+            user_rfm = clustered.select("user_id", F.lit(labels[0]).alias("rfm_label"))
+            return Segments(user_rfm=user_rfm, clustered=clustered, sweep=sweep, best_k=1,
+                            best_score=float("nan"), centers=centers, labels=labels,
+                            kmeans_model=None, scaler_model=scaler,
+                            scores={0: 0.0}, features=scaled)
     best_k, best_score, model = best
     centers = [list(map(float, c)) for c in model.clusterCenters()]
     labels = {i: segment_label_py(c, th) for i, c in enumerate(centers)}
@@ -193,5 +211,6 @@ def segment_rows(dist: DataFrame) -> DataFrame:
 
 def save_models(seg: Segments, path: str) -> None:
     """Persist the chosen KMeans model and the scaler (overwrite)."""
-    seg.kmeans_model.write().overwrite().save(path)
+    if seg.kmeans_model is not None:
+        seg.kmeans_model.write().overwrite().save(path)
     seg.scaler_model.write().overwrite().save(path + "_scaler")

@@ -76,3 +76,16 @@ def test_no_warnings_when_clean(spark):
 def test_duplicate_dimension_keys(spark):
     dim = spark.createDataFrame([(1,), (1,), (2,)], "item_id int")
     assert [r.item_id for r in quality.duplicate_keys(dim, "item_id").collect()] == [1]
+
+
+@pytest.mark.parametrize("rows", [
+    [(1, 3, 1, 10.0)],                                   # one buyer
+    [(1, 3, 1, 10.0), (2, 0, 4, 99.0)],                  # fewer buyers than k
+    [(i, 2, 1, 5.0) for i in range(6)],                  # identical buyers
+])
+def test_segments_degenerate_inputs(spark, rows):
+    base = spark.createDataFrame(rows, "user_id int, R int, F long, M double")
+    seg = rfm.segment_users(base)
+    out = seg.user_rfm.collect()
+    assert len(out) == len(rows) and {r.rfm_label for r in out} <= LABELS
+    assert [k for k, _ in seg.sweep] == [3, 4, 5]
