@@ -45,3 +45,15 @@ def test_run_etl_table_materialisation_matches(spark):
     got = sink.read_mart(spark, root, "user_funnel_loose_mart")
     want = funnel.build_funnels(cl.wide)[1]
     assert got.select(*want.columns).exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def test_command_line_on_csv_inputs(spark):
+    from martlet.__main__ import main
+    root = scratch_path(spark, "cli")
+    fx.behavior_log(spark, SF_SMALL).write.csv(f"{root}/log")
+    fx.items(spark, SF_SMALL).write.option("header", True).csv(f"{root}/items")
+    fx.users(spark, SF_SMALL).write.option("header", True).csv(f"{root}/users")
+    out = main(["--behavior", f"{root}/log", "--items", f"{root}/items", "--users", f"{root}/users",
+                "--out", f"{root}/marts", "--start", "2024-01-01", "--end", "2024-01-31"], spark=spark)
+    assert (out["raw_rows"], out["clean_rows"], out["buy_fact_rows"]) == (600, 530, 181)
+    assert sink.read_mart(spark, f"{root}/marts", "buy_fact").count() == 181
