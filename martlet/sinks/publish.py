@@ -32,7 +32,7 @@ from ..schemas import MART_LAYOUT, MART_SCHEMAS
 # Layout for long histories of small days: no date folders; rows are range-
 # clustered and sorted by date, so each file covers a contiguous date span and
 # Parquet min/max statistics skip files and row groups on a date range.
-CLUSTERED_BY_DATE = {"partition_by": [], "sort_by": ["date", "user_id", "order_id"]}
+CLUSTERED_BY_DATE = {"partition_by": [], "sort_by": ["date", "user_id", "order_id"], "range": True}
 
 
 def _layout(name: str, override: dict | None = None) -> dict:
@@ -50,15 +50,18 @@ def write_table(df: DataFrame, path: str, name: str, mode: str = "errorifexists"
     layout = layout or _layout(name)
     obs = Observation(f"rows_{name}_{uuid.uuid4().hex[:6]}")
     out = df
-    keys = [*layout["partition_by"], *layout["sort_by"]]
-    if keys:
-        # Range-partition on the partition AND sort columns: each date lands
-        # in few files, yet a hot date is split over several tasks by the
-        # sampled range bounds instead of going to one task (as a hash
-        # repartition on the date alone would).
-        out = out.repartitionByRange(*keys)
-    # Counted above the range exchange: the range sampler runs the subtree
-    # below it as a separate job and would otherwise be counted too.
+    if layout.get("range"):
+        # Range-cluster on the sort keys (files cover contiguous key spans).
+        out = out.repartitionByRange(*layout["partition_by"], *layout["sort_by"])
+    elif layout["partition_by"]:
+        # Rebalance on the partition columns: few files per date, and AQE
+        # splits an oversized (hot) date over several tasks and merges small
+        # ones, without a sampling pass over the data.
+        out = out.hint("rebalance", *layout["partition_by"])
+    else:
+        out = out.hint("rebalance")
+    # Counted above any exchange: a range sampler runs the subtree below it
+    # as a separate job and would otherwise be counted too.
     out = out.observe(obs, F.count(F.lit(1)).alias("rows"))
     if layout["sort_by"]:
         # Leading partition columns keep the writer's required ordering

@@ -112,3 +112,27 @@ def test_shuffle_join_splits_hot_user(spark, skewed_dir):
     cols = broadcast.columns
     key = lambda r: tuple(str(r[c]) for c in cols)
     assert sorted(map(key, rows)) == sorted(map(key, broadcast.collect()))
+
+
+def test_hot_date_is_split_when_publishing(spark):
+    """Most purchases on one date: the rebalanced write spreads that date
+    over several tasks (files) instead of one."""
+    import datetime as dt
+    import os
+    from martlet.sinks.publish import write_table
+    rows = spark.range(20000).select(
+        F.when(F.col("id") % 10 == 0, F.lit(dt.date(2024, 1, 2))).otherwise(F.lit(dt.date(2024, 1, 1))).alias("date"),
+        (F.col("id") % 997).cast("int").alias("user_id"),
+        F.col("id").cast("string").alias("order_id"),
+        F.lit(1).alias("item_id"), F.lit(1).alias("category_id"),
+        F.lit(1.5).cast("decimal(10,2)").alias("price"), F.lit("c").alias("channel"), F.lit("a").alias("age_group"))
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16KB")
+    try:
+        path = scratch_path(spark, "hotdate")
+        assert write_table(rows.repartition(8), path, "buy_fact") == 20000
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    hot = [f for f in os.listdir(f"{path}/date=2024-01-01") if f.endswith(".parquet")]
+    assert len(hot) > 1
+    assert spark.read.parquet(path).count() == 20000
