@@ -18,7 +18,7 @@ from .functions.casts import safe_double, safe_int
 from .operators import (adhoc, clean, cohort, facts, funnel, profile, quality,
                         rfm, sales)
 from .plans import dashboard
-from .session import ensure_checkpoint_dir, scratch_path
+from .session import scratch_path
 from .sinks import publish as sink
 from .sources import fixtures as fx
 from .sources.files import capped
@@ -128,7 +128,6 @@ def _q_adhoc(spark, d):
 
 
 def _q_publish_roundtrip(spark, d):
-    ensure_checkpoint_dir(spark)
     root = scratch_path(spark, "marts")
     wide = _wide(spark, d)
     strict, loose = funnel.build_funnels(wide, fx.LOG_TZ)

@@ -1,8 +1,5 @@
 from decimal import Decimal
 
-import pytest
-from pyspark.sql import functions as F
-
 from martlet import schemas
 from martlet.operators import clean, cohort, funnel
 from conftest import ts

@@ -1,8 +1,6 @@
 import datetime as dt
-import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from martlet import schemas

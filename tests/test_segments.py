@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from martlet.constants import (LABEL_CHURNED, LABEL_CORE_VALUE, LABEL_LOYAL,
                                LABEL_POTENTIAL, LABEL_REGULAR)
