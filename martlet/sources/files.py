@@ -13,14 +13,26 @@ def read_behavior_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.BEHAVIOR).option("header", False).csv(path)
 
 
+def read_header_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """CSV with a header line, columns matched by NAME (any order, extra
+    columns ignored) and cast to the declared types. Values that do not parse
+    become NULL (visible to the DQ counters) instead of failing the job, and
+    no schema-inference pass over the data is needed."""
+    raw = spark.read.option("header", True).csv(path)
+    missing = [f.name for f in schema.fields if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path}: missing columns {missing}")
+    return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def read_items_csv(spark: SparkSession, path: str) -> DataFrame:
-    """``item_id,category_id,price`` with a header line."""
-    return spark.read.schema(schemas.ITEMS).option("header", True).csv(path)
+    """``item_id, category_id, price`` with a header line."""
+    return read_header_csv(spark, path, schemas.ITEMS)
 
 
 def read_users_csv(spark: SparkSession, path: str) -> DataFrame:
-    """``user_id,age_group,channel`` with a header line."""
-    return spark.read.schema(schemas.USERS).option("header", True).csv(path)
+    """``user_id, age_group, channel`` with a header line."""
+    return read_header_csv(spark, path, schemas.USERS)
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -141,3 +141,16 @@ def test_distributed_cap_matches_topk(spark):
         big = capped(log, n, local_limit=0)   # force the distributed path
         assert big.count() == min(n, 600)
         assert small.exceptAll(big).count() == 0 and big.exceptAll(small).count() == 0
+
+
+def test_dimension_csv_matched_by_name(spark):
+    root = scratch_path(spark, "dimcsv")
+    with open(f"{root}.csv", "w") as f:  # reordered columns, an extra one, a bad price
+        f.write("price,extra,category_id,item_id\n9.90,x,3,1\nabc,y,4,2\n")
+    items = read_items_csv(spark, f"{root}.csv").orderBy("item_id").collect()
+    assert [(r.item_id, r.category_id, r.price) for r in items] == [
+        (1, 3, __import__("decimal").Decimal("9.90")), (2, 4, None)]
+    with open(f"{root}-u.csv", "w") as f:
+        f.write("user_id,channel\n1,web\n")
+    with pytest.raises(ValueError):
+        read_users_csv(spark, f"{root}-u.csv")
