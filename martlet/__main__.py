@@ -37,7 +37,7 @@ def parse_args(argv=None) -> argparse.Namespace:
     p.add_argument("--tz", default="UTC", help="zone that turns event seconds into dates")
     p.add_argument("--max-rows", type=int, default=None, help="optional source row cap")
     p.add_argument("--model-path", default=None, help="save the KMeans and scaler models here")
-    p.add_argument("--materialize", choices=("persist", "table"), default="persist")
+    p.add_argument("--materialize", choices=("persist", "table"), default="table")
     p.add_argument("--weights", default=None, help='JSON, e.g. {"R": -0.2, "F": 0.3, "M": 0.5}')
     p.add_argument("--thresholds", default=None, help='JSON, e.g. {"high_r": 0.5, "high_m": 0.3, "high_f": 0.3}')
     return p.parse_args(argv)

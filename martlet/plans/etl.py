@@ -117,9 +117,14 @@ def build_marts(log: DataFrame, items: DataFrame, users: DataFrame, window=None,
 def run_etl(spark: SparkSession, log: DataFrame, items: DataFrame, users: DataFrame,
             out_root: str, window=None, tz: str = "UTC", max_rows: int | None = None,
             model_path: str | None = None, thresholds=None, weights=None,
-            parallelism: int = 4, materialize: str = "persist") -> dict:
+            parallelism: int = 4, materialize: str = "table") -> dict:
     """Build, publish (all marts switch together) and append one DQ log row.
 
+    By default the joined table is written once under ``out_root/_work/``
+    (shared storage) and every mart reads it back column-pruned; that copy is
+    the run's cleaned event table (rejects included) and can be expired with
+    old mart versions. ``materialize="persist"`` caches it in executors instead.
+
     Order of work: one pass fills the joined cache and the DQ counters; the
     log-derived marts are then staged concurrently while KMeans fits; the
     segment table joins the same version; one pointer commit publishes all.
