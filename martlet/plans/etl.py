@@ -68,10 +68,12 @@ def build_marts(log: DataFrame, items: DataFrame, users: DataFrame, window=None,
 
     ``materialize="persist"`` keeps the joined table in executor memory/disk
     (lost blocks are recomputed from lineage). ``materialize="table"`` writes
-    it once, partitioned by date, to ``work_path`` on shared storage and
-    reads it back: the lineage is cut at a durable table, executor loss never
-    re-runs the joins, and every mart reads only its columns (Parquet
-    pruning). The table write is an action; the counters fill during it.
+    it once to ``work_path`` on shared storage and reads it back: the lineage
+    is cut at a durable table, executor loss never re-runs the joins, and
+    every mart reads only its columns (Parquet pruning). It is written as is,
+    one file per task and no shuffle: every mart reads the whole window, so
+    date folders would only multiply files (tasks x days on an unordered
+    log). The table write is an action; the counters fill during it.
     ``cutoff`` (RFM reference date) defaults to the last windowed event date.
     """
     raw = capped(log, max_rows)
@@ -90,9 +92,7 @@ def build_marts(log: DataFrame, items: DataFrame, users: DataFrame, window=None,
     if materialize == "table":
         if not work_path:
             raise ValueError("materialize='table' needs a work_path on shared storage")
-        joined.write.mode("errorifexists").partitionBy("date").parquet(work_path)
-        # Declared schema: the date partition column keeps its type even where
-        # partition type inference is switched off.
+        joined.write.mode("errorifexists").parquet(work_path)
         joined = joined.sparkSession.read.schema(joined.schema).parquet(work_path)
     elif materialize == "persist":
         joined = joined.persist(StorageLevel.MEMORY_AND_DISK)
