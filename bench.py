@@ -2,7 +2,7 @@
 
 Each query is planned from the raw tables and executed in full with the
 no-op sink (every row is produced, nothing is collected). One warm-up run
-loads classes; each query is then timed ``BENCH_REPEAT`` times and the median
+loads classes; each query is then timed ``BENCH_REPEAT`` (default 5) times and the median
 is reported. The full batch pipeline (clean -> marts -> KMeans -> publish ->
 DQ log) is timed once as ``etl_pipeline``. Prints ONE JSON line.
 """
@@ -25,7 +25,7 @@ EXTRA = ["core_metrics", "growth_month", "dimension_breakdown", "kpi_summary",
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "5"))
     from martlet.session import build_session, scratch_path
     from martlet.plans.etl import run_etl
     from martlet.sources import fixtures as fx
