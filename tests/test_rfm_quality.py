@@ -89,3 +89,18 @@ def test_segments_degenerate_inputs(spark, rows):
     out = seg.user_rfm.collect()
     assert len(out) == len(rows) and {r.rfm_label for r in out} <= LABELS
     assert [k for k, _ in seg.sweep] == [3, 4, 5]
+
+
+def test_segments_reproducible_across_layouts(spark, cleaned):
+    base = rfm.rfm_base(cleaned.wide, rfm.cutoff_value(cleaned.events))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    results = []
+    try:
+        for parts, spread in ((8, 1), (3, 7)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            seg = rfm.segment_users(base.repartition(spread))
+            labels = {r.user_id: r.rfm_label for r in seg.user_rfm.collect()}
+            results.append((seg.best_k, [round(s, 9) for _, s in seg.sweep], labels))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert results[0] == results[1]
