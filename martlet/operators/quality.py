@@ -91,8 +91,16 @@ def dq_warnings(nulls: DataFrame) -> DataFrame:
 def dq_log_row(metrics: DataFrame, warnings: DataFrame, profiles: DataFrame | None,
                run_time: _dt.datetime, elapsed_seconds: float) -> DataFrame:
     """One log row with JSON text columns. Metric, warning and profile lists
-    are bounded (a fixed metric set, three warning kinds, k <= 5 clusters)."""
-    m = metrics.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("metric", "value")))).alias("metrics"))
+    are bounded (a fixed metric set, three warning kinds, k <= 5 clusters).
+
+    ``metrics`` is either the long (metric, value) table or one wide row of
+    typed metrics (numbers and text such as the cut-off date side by side).
+    """
+    if set(metrics.columns) == {"metric", "value"}:
+        m = metrics.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("metric", "value"))))
+                        .alias("metrics"))
+    else:
+        m = metrics.select(F.to_json(F.struct(*metrics.columns)).alias("metrics"))
     w = warnings.agg(F.to_json(F.collect_list("message")).alias("warnings")).scalar()
     if profiles is not None:
         p = profiles.agg(F.to_json(F.collect_list(F.struct(*profiles.columns))).alias("p")).scalar()

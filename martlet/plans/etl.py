@@ -165,7 +165,8 @@ def run_etl(spark: SparkSession, log: DataFrame, items: DataFrame, users: DataFr
         **{f"{n}_rows": r for n, r in rows.items()},
         "kmeans_best_k": marts.segments.best_k, "kmeans_silhouette": marts.segments.best_score,
     }
-    metrics = spark.createDataFrame([(k, float(v)) for k, v in values.items()], "metric string, value double")
+    typed = {**values, "cutoff_date": str(cutoff)}
+    metrics = spark.createDataFrame([tuple(typed.values())], list(typed.keys()))
     nulls = spark.createDataFrame([(dq["missing_price"], dq["missing_channel"], dq["missing_age_group"])],
                                   "missing_price long, missing_channel long, missing_age_group long")
     row = quality.dq_log_row(metrics, quality.dq_warnings(nulls), rfm.cluster_profiles(marts.segments),

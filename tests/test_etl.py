@@ -30,7 +30,9 @@ def test_run_etl_publishes_consistent_marts(spark):
     assert rfm_rows.count() == out["user_rfm_rows"] == cl.wide.filter("type = 'buy'").select("user_id").distinct().count()
     log_row = spark.read.parquet(f"{root}/etl_dq_log").collect()
     assert len(log_row) == 1
-    assert json.loads(log_row[0].metrics)["raw_rows"] == 600.0
+    logged = json.loads(log_row[0].metrics)
+    assert logged["raw_rows"] == 600 and logged["cutoff_date"] == "2024-01-30"
+    assert logged["drop_rate_pct"] == round((1 - 530 / 600) * 100, 2)
     assert len(json.loads(log_row[0].cluster_profiles)) == out["kmeans_best_k"]
     from pyspark.ml.clustering import KMeansModel
     assert len(KMeansModel.load(f"{root}/model").clusterCenters()) == out["kmeans_best_k"]
