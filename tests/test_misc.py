@@ -154,3 +154,17 @@ def test_dimension_csv_matched_by_name(spark):
         f.write("user_id,channel\n1,web\n")
     with pytest.raises(ValueError):
         read_users_csv(spark, f"{root}-u.csv")
+
+
+def test_failed_stage_keeps_previous_version(spark):
+    from pyspark.sql import functions as F
+    root = scratch_path(spark, "pub-fail")
+    good = spark.createDataFrame([(1, "a")], "user_id int, rfm_label string")
+    sink.publish(spark, root, {"user_rfm": good, "other": good})
+    broken = good.withColumn("rfm_label", F.when(F.col("user_id") > 0, F.raise_error(F.lit("boom"))).cast("string"))
+    newer = spark.createDataFrame([(1, "a"), (2, "b")], "user_id int, rfm_label string")
+    with pytest.raises(Exception):
+        sink.publish(spark, root, {"user_rfm": newer, "other": broken})
+    # neither table switched: readers still see the first, complete set
+    assert sink.read_mart(spark, root, "user_rfm").count() == 1
+    assert sink.read_mart(spark, root, "other").count() == 1
