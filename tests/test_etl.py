@@ -36,6 +36,16 @@ def test_run_etl_publishes_consistent_marts(spark):
     assert len(json.loads(log_row[0].cluster_profiles)) == out["kmeans_best_k"]
     from pyspark.ml.clustering import KMeansModel
     assert len(KMeansModel.load(f"{root}/model").clusterCenters()) == out["kmeans_best_k"]
+    # the dashboard entry points over the published marts
+    from martlet.plans.dashboard import Dashboard
+    dash = Dashboard.from_published(spark, root)
+    s, e = dash.resolve()
+    assert (str(s), str(e)) == ("2023-12-31", "2024-01-30")
+    totals = funnel.funnel_totals(funnel.build_funnels(cl.wide)[0], s, e).first()
+    assert [r.value for r in dash.funnel().collect()] == [totals.pv, totals.cart, totals.buy]
+    assert dash.core().first().paying_users == totals.buy
+    assert sum(r.value for r in dash.rfm().collect()) == out["user_rfm_rows"]
+    assert set(dash.all(period="month")) >= {"core", "trend", "funnel", "rankings", "dimensions", "retention", "rfm"}
 
 
 def test_run_etl_table_materialisation_matches(spark):
