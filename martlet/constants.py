@@ -32,10 +32,12 @@ CATEGORY_PREFIX = "品类"
 # Period whitelist and labels.
 PERIOD_LABELS = {"day": "日", "week": "周", "month": "月"}
 
-# Retention horizon (days after the cohort day), ranking size, look-back.
+# Retention horizon (days after the cohort day), ranking size, look-back,
+# number of most recent cohorts in the retention view.
 RETENTION_HORIZON_DAYS = 7
 TOP_K = 10
 DEFAULT_LOOKBACK_DAYS = 30
+LAST_COHORTS = 10
 
 # Row cap appended to ad-hoc SQL.
 ADHOC_ROW_CAP = 50

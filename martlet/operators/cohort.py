@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import RETENTION_HORIZON_DAYS
+from ..constants import LAST_COHORTS, RETENTION_HORIZON_DAYS
 from ..functions.dates import parse_date
 
 
@@ -79,6 +79,6 @@ def retention_wide(cohort_rows: DataFrame, horizon: int = RETENTION_HORIZON_DAYS
             .agg(F.first("retention_pct")))
 
 
-def last_cohorts(cohort_rows: DataFrame, n: int = 10) -> DataFrame:
+def last_cohorts(cohort_rows: DataFrame, n: int = LAST_COHORTS) -> DataFrame:
     recent = F.dense_rank().over(Window.orderBy(F.col("cohort_date").desc()))
     return cohort_rows.withColumn("_r", recent).filter(F.col("_r") <= n).drop("_r")

@@ -9,7 +9,7 @@ items with ``row_number``), so agreement is a real cross-check.
 
 from __future__ import annotations
 
-from .constants import (CATEGORY_PREFIX, DEFAULT_THRESHOLDS, DEFAULT_WEIGHTS,
+from .constants import (CATEGORY_PREFIX, DEFAULT_THRESHOLDS, DEFAULT_WEIGHTS, LAST_COHORTS,
                         FUNNEL_STAGE_NAMES, ITEM_PREFIX, LABEL_CHURNED,
                         LABEL_CORE_VALUE, LABEL_LOYAL, LABEL_POTENTIAL,
                         LABEL_REGULAR, UNKNOWN_AGE_GROUP, UNKNOWN_CHANNEL)
@@ -320,6 +320,8 @@ FROM (SELECT *, regexp_extract(props, '"k":\\s*([^}]*)\\}', 1) AS k FROM events)
         "scan_users": with_(USERS) + "SELECT * FROM users",
         "capped_behavior": with_(LOG) + f"SELECT * FROM log ORDER BY ts ASC NULLS LAST, user_id, item_id, "
                                         f"category_id, type LIMIT {R.CAP_ROWS}",
+        "capped_behavior_distributed": with_(LOG) + f"SELECT * FROM log ORDER BY ts ASC NULLS LAST, user_id, "
+                                                    f"item_id, category_id, type LIMIT {R.CAP_ROWS}",
         "clean_events": with_(LOG, EV) + "SELECT * FROM ev",
         "wide_events": pipe + "SELECT * FROM wide",
         "rejected_events": pipe + "SELECT * FROM joined WHERE price IS NULL",
@@ -352,6 +354,12 @@ UNION ALL SELECT 3, '{n3}', buy FROM t""",
         "retention_grid": with_(*PIPE, COHORT) + (
             "SELECT CAST(dense_rank() OVER (ORDER BY cohort_date) - 1 AS INTEGER) AS row_idx, cohort_date, day_diff, "
             "round(active_users / greatest(cohort_users, 1) * 100, 2) AS retention_pct FROM cm"),
+        "retention_wide": with_(*PIPE, COHORT) + "SELECT cohort_date, " + ", ".join(
+            f"max(CASE WHEN day_diff = {k} THEN round(active_users / greatest(cohort_users, 1) * 100, 2) END) "
+            f'AS "{k}"' for k in range(8)) + " FROM cm GROUP BY cohort_date",
+        "last_cohorts": with_(*PIPE, COHORT) + ("SELECT cohort_date, day_diff, active_users, cohort_users FROM "
+                                                "(SELECT *, dense_rank() OVER (ORDER BY cohort_date DESC) AS r FROM cm) "
+                                                f"WHERE r <= {LAST_COHORTS}"),
         "rfm_base": with_(*PIPE, RFM) + "SELECT * FROM rb",
         "rfm_zscores": with_(*PIPE, RFM) + ("SELECT user_id, R, F, M, round(R_z, 4) AS R_z, round(F_z, 4) AS F_z, "
                                             "round(M_z, 4) AS M_z FROM zs"),

@@ -172,6 +172,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "scan_items": lambda s, d: fx.items(s, d),
         "scan_users": lambda s, d: fx.users(s, d),
         "capped_behavior": lambda s, d: capped(_log(s, d), CAP_ROWS),
+        # the same cap through the distributed path used for large limits
+        "capped_behavior_distributed": lambda s, d: capped(_log(s, d), CAP_ROWS, local_limit=0),
         # cleaning
         "clean_events": lambda s, d: clean.derive_events(_log(s, d), fx.LOG_WINDOW, fx.LOG_TZ),
         "wide_events": lambda s, d: _wide(s, d),
@@ -203,6 +205,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "retention_rates": lambda s, d: cohort.retention_rates(
             cohort.cohort_read(cohort.cohort_matrix(_wide(s, d)), LOG_START, LOG_END)),
         "retention_grid": lambda s, d: cohort.retention_grid(cohort.cohort_matrix(_wide(s, d))),
+        "retention_wide": lambda s, d: cohort.retention_wide(cohort.cohort_matrix(_wide(s, d))),
+        "last_cohorts": lambda s, d: cohort.last_cohorts(cohort.cohort_matrix(_wide(s, d))),
         # RFM and segments
         "rfm_base": _rfm_base,
         "rfm_zscores": lambda s, d: rfm.rfm_zscores(_rfm_base(s, d)),
