@@ -2,13 +2,15 @@
 
 from .casts import safe_double, safe_int, safe_int_for
 from .dates import (check_period, comparison_windows, epoch_seconds, event_date,
-                    parse_date, period_label, shift_months, wall_clock, week_label)
+                    key_label, parse_date, period_key, period_label, shift_months,
+                    wall_clock, week_label)
 from .joins import sized_broadcast
 from .segments import segment_label, segment_label_py, weighted_score
 
 __all__ = [
     "safe_double", "safe_int", "safe_int_for", "check_period", "comparison_windows",
-    "epoch_seconds", "event_date", "parse_date", "period_label", "shift_months",
+    "epoch_seconds", "event_date", "key_label", "parse_date", "period_key", "period_label",
+    "shift_months",
     "wall_clock", "week_label", "sized_broadcast", "segment_label",
     "segment_label_py", "weighted_score",
 ]
