@@ -34,7 +34,7 @@ NOTES = {
                    "items becomes inner (null-price drop).",
     "first_touch": "Partial min() per (user, item) before the only exchange.",
     "funnel_strict": "Two aggregates, both partial before their exchanges; the stage unpivot is a "
-                     "Generate (inline) inside the stage.",
+                     "codegen'd Generate (stack) inside the stage.",
     "cohort_matrix": "Distinct (user, date) with partial aggregation, then a window by user over at "
                      "most one row per active day; cells counted; cohort size from the day-0 cell. "
                      "The users join is removed by Catalyst (distinct over left columns).",
