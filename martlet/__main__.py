@@ -26,6 +26,7 @@ from . import schemas
 
 
 def parse_args(argv=None) -> argparse.Namespace:
+    """Command-line arguments of the pipeline runner."""
     p = argparse.ArgumentParser(prog="martlet", description=__doc__.splitlines()[0])
     p.add_argument("--behavior", required=True, help="behaviour log path (headerless CSV or Parquet)")
     p.add_argument("--items", required=True, help="item dimension path")
@@ -44,6 +45,7 @@ def parse_args(argv=None) -> argparse.Namespace:
 
 
 def main(argv=None, spark: SparkSession | None = None) -> dict:
+    """Read the inputs, run and publish the pipeline, print the run summary."""
     args = parse_args(argv)
     if (args.start is None) != (args.end is None):
         raise SystemExit("--start and --end go together")

@@ -18,6 +18,7 @@ def _col(c) -> Column:
 
 
 def safe_double(c, default: float | None = 0.0) -> Column:
+    """Numeric text or number -> double; anything else -> ``default``."""
     parsed = _col(c).try_cast("double")
     return parsed if default is None else F.coalesce(parsed, F.lit(float(default)))
 

@@ -84,6 +84,7 @@ def key_label(key, period: str) -> Column:
 
 
 def check_period(period: str) -> str:
+    """Reject a period outside the day / week / month whitelist."""
     if period not in PERIOD_LABELS:
         raise ValueError(f"period must be one of {sorted(PERIOD_LABELS)}, got {period!r}")
     return period

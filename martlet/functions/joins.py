@@ -31,6 +31,7 @@ def _proof_key(df: DataFrame, max_rows: int):
 
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True if ``df`` has at most ``max_rows`` rows (bounded count, memoised for files)."""
     key = _proof_key(df, max_rows)
     if key is not None and key in _PROOFS:
         return _PROOFS[key]
@@ -41,4 +42,5 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
 
 
 def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast-hinted ``df`` when its size is proven small, else ``df`` unchanged."""
     return F.broadcast(df) if row_count_at_most(df, max_rows) else df

@@ -38,6 +38,7 @@ def _rules(th: dict) -> list:
 
 
 def segment_label(r="R", f="F", m="M", thresholds: dict | None = None) -> Column:
+    """Segment label Column from standardised R, F, M (ordered rule table)."""
     th = {**DEFAULT_THRESHOLDS, **(thresholds or {})}
     r, f, m = _col(r), _col(f), _col(m)
     expr = None
@@ -55,5 +56,6 @@ def segment_label_py(center, thresholds: dict | None = None) -> str:
 
 
 def weighted_score(r="R", f="F", m="M", weights: dict | None = None) -> Column:
+    """Weighted centre score wR*R + wF*F + wM*M as a Column."""
     w = {**DEFAULT_WEIGHTS, **(weights or {})}
     return F.lit(w["R"]) * _col(r) + F.lit(w["F"]) * _col(f) + F.lit(w["M"]) * _col(m)

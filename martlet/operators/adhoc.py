@@ -37,6 +37,7 @@ def _strip_fence(text: str) -> str:
 
 
 def validate_sql(sql: str) -> str:
+    """Cleaned single read-only statement, or ValueError."""
     text = _strip_fence(sql or "").rstrip(";").strip()
     if not text:
         raise ValueError("empty SQL statement")
@@ -51,12 +52,14 @@ def validate_sql(sql: str) -> str:
 
 def run_adhoc(spark: SparkSession, sql: str, views: dict | None = None,
               cap: int = ADHOC_ROW_CAP) -> DataFrame:
+    """Run a validated statement over the given views, capped at ``cap`` rows."""
     for name, df in (views or {}).items():
         df.createOrReplaceTempView(name)
     return spark.sql(validate_sql(sql)).limit(cap)
 
 
 def describe_result(df: DataFrame) -> str:
+    """'empty', 'name = value' for one scalar, or 'rows' (reads at most two rows)."""
     head = df.take(2)
     if not head:
         return "empty"

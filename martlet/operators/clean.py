@@ -79,6 +79,7 @@ class Cleaned:
 def load_and_clean(log: DataFrame, items: DataFrame, users: DataFrame,
                    window: tuple | None = None, tz: str = "UTC",
                    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> Cleaned:
+    """Dated, windowed, keyed events joined to the dimensions and cleaned."""
     events = derive_events(log, window, tz)
     joined = join_dimensions(events, items, users, max_broadcast_rows)
     return Cleaned(raw=log, events=events, joined=joined, wide=clean_wide(joined))

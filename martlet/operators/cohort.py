@@ -23,15 +23,18 @@ from ..functions.dates import parse_date
 
 
 def user_cohorts(wide: DataFrame) -> DataFrame:
+    """First active date per user: (user_id, cohort_date)."""
     return wide.groupBy("user_id").agg(F.min("date").alias("cohort_date"))
 
 
 def cohort_sizes(wide: DataFrame) -> DataFrame:
+    """Users per cohort date: (cohort_date, cohort_users)."""
     return (user_cohorts(wide).groupBy("cohort_date")
             .agg(F.count("user_id").alias("cohort_users")))
 
 
 def cohort_matrix(wide: DataFrame, horizon: int = RETENTION_HORIZON_DAYS) -> DataFrame:
+    """(cohort_date, day_diff, active_users, cohort_users) for day 0..horizon."""
     active = wide.select("user_id", "date").distinct()
     cells = (active
              .withColumn("cohort_date", F.min("date").over(Window.partitionBy("user_id")))
@@ -44,6 +47,7 @@ def cohort_matrix(wide: DataFrame, horizon: int = RETENTION_HORIZON_DAYS) -> Dat
 
 
 def cohort_read(matrix: DataFrame, start, end) -> DataFrame:
+    """Matrix rows whose cohort date lies in the range, ordered."""
     lo, hi = parse_date(start), parse_date(end)
     return (matrix.filter(F.col("cohort_date").between(F.lit(lo), F.lit(hi)))
             .select("cohort_date", "day_diff", "active_users", "cohort_users")
@@ -51,6 +55,7 @@ def cohort_read(matrix: DataFrame, start, end) -> DataFrame:
 
 
 def retention_pct() -> F.Column:
+    """round(active / max(cohort, 1) * 100, 2) as a Column."""
     return F.round(F.col("active_users") / F.greatest(F.col("cohort_users"), F.lit(1)) * 100, 2)
 
 
@@ -80,5 +85,6 @@ def retention_wide(cohort_rows: DataFrame, horizon: int = RETENTION_HORIZON_DAYS
 
 
 def last_cohorts(cohort_rows: DataFrame, n: int = LAST_COHORTS) -> DataFrame:
+    """Matrix rows of the ``n`` most recent cohort dates."""
     recent = F.dense_rank().over(Window.orderBy(F.col("cohort_date").desc()))
     return cohort_rows.withColumn("_r", recent).filter(F.col("_r") <= n).drop("_r")

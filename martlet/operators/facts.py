@@ -10,4 +10,5 @@ BUY_FACT_COLUMNS = ("date", "user_id", "order_id", "item_id", "category_id",
 
 
 def buy_fact(wide: DataFrame) -> DataFrame:
+    """Purchase rows of the cleaned table in the eight-column fact shape."""
     return wide.filter(F.col("type") == TYPE_BUY).select(*BUY_FACT_COLUMNS)

@@ -11,6 +11,7 @@ from ..functions.dates import event_date
 
 
 def daily_volume(log: DataFrame, tz: str = "UTC") -> DataFrame:
+    """Events per calendar date in zone ``tz``."""
     return (log.groupBy(event_date("ts", tz).alias("date"))
             .agg(F.count(F.lit(1)).alias("events")).orderBy("date"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 
 def data_cutoff(events: DataFrame) -> DataFrame:
+    """Last event date of the windowed log."""
     return events.agg(F.max("date").alias("cutoff_date"))
 
 

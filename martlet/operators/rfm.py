@@ -43,6 +43,7 @@ def rfm_base(wide: DataFrame, cutoff) -> DataFrame:
 
 
 def rfm_zscores(base: DataFrame, digits: int | None = 4) -> DataFrame:
+    """R, F, M with their z-scores (sample std; 0.0 when the std is 0)."""
     stats = base.select(F.struct(
         *[F.avg(c).alias(f"mean_{c}") for c in "RFM"],
         *[F.stddev_samp(c).alias(f"std_{c}") for c in "RFM"],
@@ -61,6 +62,7 @@ def segment_rule(zs: DataFrame, thresholds: dict | None = None) -> DataFrame:
 
 
 def rfm_score(zs: DataFrame, weights: dict | None = None, digits: int = 4) -> DataFrame:
+    """Weighted score of each user's z-scores."""
     return zs.select("user_id", F.round(weighted_score("R_z", "F_z", "M_z", weights), digits).alias("score"))
 
 
@@ -86,6 +88,7 @@ class Segments:
 def segment_users(base: DataFrame, ks=KMEANS_K_RANGE, seed: int = KMEANS_SEED,
                   thresholds: dict | None = None, weights: dict | None = None,
                   parallelism: int = 3, rows_per_partition: int = 1_000_000) -> Segments:
+    """Standardise, sweep k, keep the best silhouette, label clusters and users."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -166,6 +169,7 @@ def segment_users(base: DataFrame, ks=KMEANS_K_RANGE, seed: int = KMEANS_SEED,
 
 
 def sweep_frame(spark, seg: Segments) -> DataFrame:
+    """The sweep as a DataFrame: (k, silhouette, chosen)."""
     rows = [(int(k), float(s), int(k) == seg.best_k) for k, s in seg.sweep]
     return spark.createDataFrame(rows, "k int, silhouette double, chosen boolean")
 

@@ -21,6 +21,7 @@ def _between(start, end, col: str = "date") -> Column:
 
 
 def in_range(facts: DataFrame, start, end) -> DataFrame:
+    """Fact rows dated inside the inclusive range."""
     return facts.filter(_between(start, end))
 
 
@@ -30,6 +31,7 @@ def money(c: Column) -> Column:
 
 
 def core_metrics(facts: DataFrame, start, end) -> DataFrame:
+    """Total sales (0.0 when empty) and distinct orders in the range."""
     return in_range(facts, start, end).agg(
         F.coalesce(money(F.sum("price")), F.lit(0.0)).alias("total_sales"),
         F.count_distinct("order_id").alias("total_orders"),
@@ -81,10 +83,12 @@ def top_items(facts: DataFrame, start, end, k: int = TOP_K) -> DataFrame:
 
 
 def top_categories(facts: DataFrame, start, end, k: int = TOP_K) -> DataFrame:
+    """Top-k categories by sales, ties broken by category id."""
     return _top(facts, start, end, "category_id", CATEGORY_PREFIX, "category_label", k)
 
 
 def sales_by(facts: DataFrame, start, end, dim: str) -> DataFrame:
+    """Sales per channel or age band, largest first."""
     if dim not in ("channel", "age_group"):
         raise ValueError("dim must be 'channel' or 'age_group'")
     return (in_range(facts, start, end).groupBy(dim)

@@ -241,6 +241,7 @@ UNION ALL SELECT 'retention', strftime(cohort_date, '%Y-%m-%d') || ':' || CAST(d
 
 
 def oracle_sql() -> dict[str, str]:
+    """DuckDB statement per registered key (rows-only keys omitted)."""
     ls, le = R.LOG_START, R.LOG_END
     ss, se = R.SPAN_START, R.SPAN_END
     ms, me = R.MONTH_START, R.MONTH_END

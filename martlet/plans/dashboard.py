@@ -23,6 +23,7 @@ from ..operators import cohort, funnel, rfm, sales
 def dashboard_sections(facts: DataFrame, funnel_mart: DataFrame, cohort_matrix: DataFrame,
                        start, end, period: str = "day", user_rfm: DataFrame | None = None,
                        cache_slice: bool = False) -> dict:
+    """Every dashboard section for one range, each as its own DataFrame."""
     check_period(period)
     s, e = parse_date(start), parse_date(end)
     in_range = sales.in_range(facts, s, e)
@@ -45,6 +46,7 @@ def dashboard_sections(facts: DataFrame, funnel_mart: DataFrame, cohort_matrix:
 
 
 def bundle_long(sections: dict) -> DataFrame:
+    """Numeric sections stacked into one (section, name, value) table."""
     core_cols = ["total_sales", "total_orders", "paying_users", "avg_order_value", "qoq_rate", "yoy_rate"]
     core = sections["core"].select(F.inline(F.array(*[
         F.struct(F.lit("core").alias("section"), F.lit(c).alias("name"), F.col(c).cast("double").alias("value"))
@@ -72,6 +74,7 @@ def bundle_long(sections: dict) -> DataFrame:
 
 def daily_drilldown(facts: DataFrame, funnel_mart: DataFrame, cohort_matrix: DataFrame,
                     day, period: str = "day", user_rfm: DataFrame | None = None) -> dict:
+    """The dashboard sections for a single day."""
     d = parse_date(day)
     return dashboard_sections(facts, funnel_mart, cohort_matrix, d, d, period, user_rfm)
 

@@ -166,6 +166,7 @@ def _q_dq_log(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Every registered query: name -> callable(spark, sf_dir) -> DataFrame."""
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         # sources
         "scan_behavior": lambda s, d: _log(s, d),

@@ -75,6 +75,7 @@ def write_table(df: DataFrame, path: str, name: str, mode: str = "errorifexists"
 
 
 def new_version() -> str:
+    """Sortable, unique version tag (UTC time + random suffix)."""
     return _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%dT%H%M%S") + "-" + uuid.uuid4().hex[:8]
 
 
@@ -112,6 +113,7 @@ class Stager:
 
 def publish(spark: SparkSession, root: str, tables: dict, version: str | None = None,
             parallelism: int = 4, layouts: dict | None = None) -> str:
+    """Stage every table under one new version, then switch them together."""
     stager = Stager(spark, root, version, parallelism, layouts)
     for name, df in tables.items():
         stager.stage(name, df)
@@ -120,6 +122,7 @@ def publish(spark: SparkSession, root: str, tables: dict, version: str | None =
 
 
 def current_versions(spark: SparkSession, root: str) -> DataFrame:
+    """Newest pointer row per table."""
     log = spark.read.parquet(f"{root.rstrip('/')}/_versions")
     newest = Window.partitionBy("table_name").orderBy(F.col("published_at").desc(), F.col("version").desc())
     return log.withColumn("_r", F.row_number().over(newest)).filter("_r = 1").drop("_r")

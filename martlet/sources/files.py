@@ -36,6 +36,7 @@ def read_users_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Any Spark file source by format name."""
     return spark.read.format(fmt).load(path)
 
 

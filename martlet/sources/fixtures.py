@@ -44,6 +44,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def behavior_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The behaviour log mapped from ``events``."""
     ev = table(spark, sf_dir, "events")
     k = F.regexp_extract("props", r"([0-9]+)", 1).try_cast("int")
     kind = (F.when(F.col("event_type") == "view", "pv")
@@ -58,6 +59,7 @@ def behavior_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The item dimension mapped from ``part``."""
     part = table(spark, sf_dir, "part")
     return (part.filter((F.col("p_partkey") < 20) & (F.col("p_partkey") % 10 != 9))
             .select(F.col("p_partkey").cast("int").alias("item_id"),
@@ -66,6 +68,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The user dimension mapped from ``customer``."""
     cust = table(spark, sf_dir, "customer")
     nk = F.col("c_nationkey")
     age = (F.when(nk < 6, "18-24").when(nk < 13, "25-34")

@@ -43,6 +43,7 @@ def read_log_stream(spark: SparkSession, path: str, fmt: str = "parquet",
 
 def buy_fact_stream(log_stream: DataFrame, items: DataFrame, users: DataFrame, window=None,
                     tz: str = "UTC", max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Purchase facts of a log stream (same operators as the batch path)."""
     cl = clean.load_and_clean(log_stream, items, users, window, tz, max_broadcast_rows)
     return facts.buy_fact(cl.wide)
 
@@ -85,6 +86,7 @@ def stage_files(df: DataFrame, path: str, n_files: int = 4) -> str:
 def start_parquet_sink(stream: DataFrame, out_path: str, checkpoint: str,
                        partition_by=("date",), available_now: bool = True,
                        processing_time: str | None = None) -> StreamingQuery:
+    """Append a stream to Parquet (partitioned by date) with a checkpoint."""
     writer = (stream.writeStream.format("parquet").outputMode("append")
               .option("checkpointLocation", checkpoint))
     if partition_by:
