@@ -2,6 +2,11 @@
 
 All metrics are DataFrames computed by Spark; each null counter is one
 ``count_if`` inside a single aggregate over the joined table (one pass).
+
+``dq_counts`` / ``dq_metrics`` are stand-alone diagnostics: each count is its
+own aggregate over its table. The batch pipeline (``plans.etl.run_etl``)
+gathers the same counters without extra passes: ``observe`` on the single
+materialising pass and on every mart write.
 """
 
 from __future__ import annotations
