@@ -143,6 +143,11 @@ FACTS = """facts AS (
 PIPE = [LOG, ITEMS, USERS, EV, JOINED, WIDE]
 
 
+def edge(select_sql: str) -> str:
+    """Row-level price as DOUBLE, as the registered Spark output presents it."""
+    return f"SELECT * REPLACE (CAST(price AS DOUBLE) AS price) FROM ({select_sql})"
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
@@ -317,16 +322,16 @@ FROM (SELECT *, regexp_extract(props, '"k":\\s*([^}]*)\\}', 1) AS k FROM events)
     flag_cols = "user_id, item_id, has_pv, has_cart, has_buy, pv_date, cart_date, buy_date"
     q = {
         "scan_behavior": with_(LOG) + "SELECT * FROM log",
-        "scan_items": with_(ITEMS) + "SELECT * FROM items",
+        "scan_items": with_(ITEMS) + edge("SELECT * FROM items"),
         "scan_users": with_(USERS) + "SELECT * FROM users",
         "capped_behavior": with_(LOG) + f"SELECT * FROM log ORDER BY ts ASC NULLS LAST, user_id, item_id, "
                                         f"category_id, type LIMIT {R.CAP_ROWS}",
         "capped_behavior_distributed": with_(LOG) + f"SELECT * FROM log ORDER BY ts ASC NULLS LAST, user_id, "
                                                     f"item_id, category_id, type LIMIT {R.CAP_ROWS}",
         "clean_events": with_(LOG, EV) + "SELECT * FROM ev",
-        "wide_events": pipe + "SELECT * FROM wide",
-        "rejected_events": pipe + "SELECT * FROM joined WHERE price IS NULL",
-        "buy_fact": with_(*PIPE, BUY) + "SELECT * FROM buy",
+        "wide_events": pipe + edge("SELECT * FROM wide"),
+        "rejected_events": pipe + edge("SELECT * FROM joined WHERE price IS NULL"),
+        "buy_fact": with_(*PIPE, BUY) + edge("SELECT * FROM buy"),
         "data_cutoff": with_(LOG, EV) + "SELECT max(date) AS cutoff_date FROM ev",
         "dq_counts": with_(*PIPE, BUY, TOUCH, SFLAGS, LFLAGS, SMART, LMART, COHORT, RFM) + counts,
         "dq_nulls": pipe + nulls,
@@ -406,8 +411,8 @@ FROM (SELECT count(*) AS pv, count(*) FILTER (WHERE type IN ('cart', 'buy')) AS
         "events_by_time": with_(LOG) + "SELECT * FROM log ORDER BY ts, user_id, item_id, type",
         "safe_cast": safe,
         "adhoc_sql": facts.replace("facts AS", "buy_fact AS") + R.ADHOC_STATEMENT + " LIMIT 50",
-        "publish_roundtrip": with_(*PIPE, BUY) + "SELECT * FROM buy",
-        "stream_buy_fact": with_(*PIPE, BUY) + "SELECT * FROM buy",
+        "publish_roundtrip": with_(*PIPE, BUY) + edge("SELECT * FROM buy"),
+        "stream_buy_fact": with_(*PIPE, BUY) + edge("SELECT * FROM buy"),
         "stream_daily_volume": with_(LOG, ITEMS) + f"""SELECT {D('ts')} AS date, count(*) AS events,
   count(*) FILTER (WHERE type = 'buy') AS buys,
   CAST(sum(CASE WHEN type = 'buy' THEN i.price END) AS DOUBLE) AS buy_sales
