@@ -69,3 +69,18 @@ def test_command_line_on_csv_inputs(spark):
                 "--out", f"{root}/marts", "--start", "2024-01-01", "--end", "2024-01-31"], spark=spark)
     assert (out["raw_rows"], out["clean_rows"], out["buy_fact_rows"]) == (600, 530, 181)
     assert sink.read_mart(spark, f"{root}/marts", "buy_fact").count() == 181
+
+
+def test_command_line_parquet_inputs_and_argument_check(spark):
+    import pytest
+    from martlet.__main__ import main
+    root = scratch_path(spark, "cli-pq")
+    fx.behavior_log(spark, SF_SMALL).write.parquet(f"{root}/log")
+    fx.items(spark, SF_SMALL).write.parquet(f"{root}/items")
+    fx.users(spark, SF_SMALL).write.parquet(f"{root}/users")
+    args = ["--behavior", f"{root}/log", "--items", f"{root}/items", "--users", f"{root}/users",
+            "--out", f"{root}/marts", "--format", "parquet"]
+    with pytest.raises(SystemExit):
+        main(args + ["--start", "2024-01-01"], spark=spark)
+    out = main(args + ["--start", "2024-01-01", "--end", "2024-01-31", "--materialize", "persist"], spark=spark)
+    assert (out["raw_rows"], out["clean_rows"], out["buy_fact_rows"]) == (600, 530, 181)
