@@ -1,0 +1,24 @@
+"""Registered queries of the training-data operators."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import bpe, decontaminate, pii, quality_rules, simhash
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (
+        simhash.op2_simhash_near_dedup,
+        decontaminate.op4_benchmark_decontamination,
+        bpe.op5_byte_bpe,
+        pii.op7_pii,
+        quality_rules.op9_quality_rules,
+    )}
+
+
+def oracle_sql() -> dict[str, str]:
+    """DuckDB twins, where SQL can express an operator at whole-table cost."""
+    return {}
