@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import re
 from array import array
 from functools import lru_cache
 
@@ -38,9 +39,9 @@ from pyspark.sql import types as T
 
 from .common import map_columns, table
 
-MAX_STATES = 100_000    # determinised states kept
-MAX_CHUNKS = 700_000    # encoded chunks kept
-MAX_PIECES = 300_000    # encoded pieces kept
+MAX_STATES = 150_000    # determinised states kept
+MAX_CHUNKS = 500_000    # encoded chunks kept
+MAX_PIECES = 150_000    # encoded pieces kept
 MAX_CHUNK = 64          # longer ones are not kept
 BLOCK = 4096            # tokens decoded at a time
 
@@ -64,43 +65,49 @@ def merge(piece: bytes, ranks: dict[bytes, int], stop: int = 1) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+_SHIFT, _NODE = 20, (1 << 20) - 1
+
+
 class Transducer:
-    """Lazily determinised transducer from a piece's bytes to token ids."""
+    """Lazily determinised transducer from a piece's bytes to token ids.
+
+    A configuration is one number, (last token + 1) << 20 | trie node, with 0
+    for no last token. A state is a flat tuple of configurations, each followed
+    by the tuple of tokens it owes."""
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks, self.max_states = ranks, max_states
         self.token = {i: t for t, i in ranks.items()}
-        # trie: children[node] maps a byte to a node, ends[node] is a token or -1
-        self.children: list[dict[int, int]] = [{}]
+        # trie: kids maps node << 8 | byte to a node, ends[node] is a token or -1
+        self.kids: dict[int, int] = {}
         self.ends = [-1]
         for token, rank in ranks.items():
             node = 0
             for b in token:
-                nxt = self.children[node].get(b)
+                nxt = self.kids.get(node << 8 | b)
                 if nxt is None:
-                    nxt = self.children[node][b] = len(self.children)
-                    self.children.append({})
+                    nxt = self.kids[node << 8 | b] = len(self.ends)
                     self.ends.append(-1)
                 node = nxt
             self.ends[node] = rank
-        self.pairs: dict[tuple[int, int], bool] = {}
+        if len(self.ends) > _NODE:
+            raise ValueError("the vocabulary is too large")
+        self.pairs: dict[int, bool] = {}         # (first + 1) << 20 | second
         self.halves: dict[int, tuple[int, int] | None] = {}
         self._reset()
 
     def _reset(self) -> None:
-        # a state: tuple of (last token or -1, trie node, tokens owed)
         self.states: list[tuple] = []
         self.number: dict[tuple, int] = {}
-        self.move: dict[int, tuple[int, tuple[int, ...]]] = {}   # state * 256 + byte
-        self.final: list[tuple[int, ...] | None] = []
-        self._state(((-1, 0, ()),))
+        self.move: dict[int, tuple[int, tuple[int, ...]]] = {}   # state << 8 | byte
+        self.final: dict[int, list[int]] = {}
+        self._state((0, ()))
 
     def _state(self, configurations: tuple) -> int:
         n = self.number.get(configurations)
         if n is None:
             n = self.number[configurations] = len(self.states)
             self.states.append(configurations)
-            self.final.append(None)
         return n
 
     def _halves(self, token: int) -> tuple[int, int] | None:
@@ -128,7 +135,7 @@ class Transducer:
         border survives if at no time the parts beside it could have merged
         before the merge that was just undone (on a tie the left one is first).
         """
-        key = (first, second)
+        key = (first + 1) << _SHIFT | second
         known = self.pairs.get(key)
         if known is not None:
             return known
@@ -158,31 +165,44 @@ class Transducer:
         return known
 
     def _advance(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        children, ends, pairs = self.children, self.ends, self.pairs
-        root = children[0].get(byte)
+        kids, ends, pairs = self.kids, self.ends, self.pairs
+        root = kids.get(byte)
         if root is None:
             raise ValueError("the ranks do not cover every byte")
         moved = []
-        for last, node, owed in self.states[state]:
-            nxt = children[node].get(byte)
+        each = iter(self.states[state])
+        for configuration, owed in zip(each, each):
+            node = configuration & _NODE
+            nxt = kids.get(node << 8 | byte)
             if nxt is not None:
-                moved.append((last, nxt, owed))
+                moved += (configuration - node + nxt, owed)
             end = ends[node]
             if end >= 0:
-                ok = pairs.get((last, end))
-                if self.follows(last, end) if ok is None else ok:
-                    moved.append((end, root, owed + (end,)))
-        common = moved[0][2]
+                ok = pairs.get(configuration - node + end)
+                if self.follows((configuration >> _SHIFT) - 1, end) if ok is None else ok:
+                    moved += ((end + 1) << _SHIFT | root, owed + (end,))
+        common = moved[1]
         if common:
-            for _, _, owed in moved:
+            for owed in moved[3::2]:
                 k = 0
                 while k < len(common) and k < len(owed) and common[k] == owed[k]:
                     k += 1
                 common = common[:k]
             k = len(common)
-            moved = [(a, b, owed[k:]) for a, b, owed in moved]
+            if k:
+                moved[1::2] = [owed[k:] for owed in moved[1::2]]
         return self._state(tuple(moved)), common
 
+    def _end(self, state: int) -> list[int]:
+        """What remains to be emitted if a piece ends in ``state``."""
+        each = iter(self.states[state])
+        found = [owed + (self.ends[c & _NODE],) for c, owed in zip(each, each)
+                 if self.ends[c & _NODE] >= 0 and self.follows((c >> _SHIFT) - 1, self.ends[c & _NODE])]
+        if len(found) != 1:
+            raise ValueError("no unique encoding")
+        self.final[state] = made = list(found[0])
+        return made
+
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
@@ -192,7 +212,7 @@ class Transducer:
         out: list[int] = []
         state = 0
         for at in range(0, len(piece), 1024):
-            if len(self.states) > self.max_states:
+            if at and len(self.states) > self.max_states:
                 # inside a very long piece: keep only the state it is in
                 here = self.states[state]
                 self._reset()
@@ -207,14 +227,8 @@ class Transducer:
                 state, emitted = move
                 if emitted:
                     out += emitted
-        end = self.final[state]
-        if end is None:
-            ends = [owed + (self.ends[node],) for last, node, owed in self.states[state]
-                    if self.ends[node] >= 0 and self.follows(last, self.ends[node])]
-            if len(ends) != 1:
-                raise ValueError("no unique encoding")
-            end = self.final[state] = ends[0]
-        out += end
+        end = self.final.get(state)
+        out += self._end(state) if end is None else end
         return out
 
 
@@ -247,24 +261,42 @@ class Codec:
         self.transducer = Transducer(ranks)
         self.find = regex.compile(pattern).findall
         # a space at either end, or beside another blank
-        self.irregular = regex.compile(r"\s\s| $|^ ").search
+        self.irregular = re.compile(r"\s\s| $|^ ").search
         self.chunks, self.spaced, self.pieces = Recent(MAX_CHUNKS // 10), Recent(MAX_CHUNKS), Recent(MAX_PIECES)
         top = max(ranks.values(), default=-1)
         self.bytes_of: list[bytes | None] = [None] * (top + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
 
+    def _ids(self, piece: str) -> bytes:
+        return array("i", self.transducer.encode(piece.encode())).tobytes()
+
     def _pieces(self, chunk: str) -> bytes:
         found = []
         for piece in self.find(chunk):
             ids = self.pieces.get(piece)
             if ids is None:
-                ids = array("i", self.transducer.encode(piece.encode())).tobytes()
+                ids = self._ids(piece)
                 if len(piece) <= MAX_CHUNK:
                     self.pieces.put(piece, ids)
             found.append(ids)
         return b"".join(found)
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a space and a word without blanks. ASCII letters, alone or
+        before one full stop or comma, need no pattern to be cut."""
+        if word.isascii():
+            if word.isalpha():
+                return self._ids(" " + word)
+            if word[-1:] in (".", ",") and word[:-1].isalpha():
+                body = self.spaced.get(word[:-1])
+                if body is None:
+                    body = self._ids(" " + word[:-1])
+                    if len(word) <= MAX_CHUNK:
+                        self.spaced.put(word[:-1], body)
+                return body + self._pieces(word[-1])
+        return self._pieces(" " + word)
+
     def _chunk(self, chunk: str) -> bytes:
         made = self._pieces(chunk)
         if len(chunk) <= MAX_CHUNK:
@@ -297,7 +329,7 @@ class Codec:
                     word = rest[i]
                     made = get(word)
                     if made is None:
-                        made = self._pieces(" " + word)
+                        made = self._word(word)
                         if len(word) <= MAX_CHUNK:
                             put(word, made)
                     out[i] = made

@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, pii, quality_rules, simhash
+from . import (bpe, decontaminate, html_extract, passages, pii, quality_crf, quality_rules, simhash,
+               token_counts, warc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
+        quality_crf.op1_quality_classifier,
         simhash.op2_simhash_near_dedup,
+        passages.op3_substring_dedup,
         decontaminate.op4_benchmark_decontamination,
         bpe.op5_byte_bpe,
+        html_extract.op6_html_extraction,
         pii.op7_pii,
+        warc.op8_warc,
         quality_rules.op9_quality_rules,
+        token_counts.op10_token_counts,
     )}
 
 
