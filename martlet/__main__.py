@@ -6,8 +6,7 @@
 Reads the headerless behaviour CSV and the two dimension CSVs (or Parquet
 with ``--format parquet``), builds and publishes every mart, appends the DQ
 log row and prints the run summary as JSON. On a cluster, submit it with
-spark-submit; the launcher's master, memory and ``spark.checkpoint.dir`` are
-used as given.
+spark-submit; the launcher's master and memory are used as given.
 """
 
 from __future__ import annotations
@@ -20,7 +19,6 @@ from pyspark.sql import SparkSession
 
 from .constants import DEFAULT_THRESHOLDS, DEFAULT_WEIGHTS
 from .plans.etl import run_etl
-from .session import ensure_checkpoint_dir
 from .sources.files import read_behavior_csv, read_items_csv, read_users_csv
 from . import schemas
 
@@ -36,7 +34,6 @@ def parse_args(argv=None) -> argparse.Namespace:
     p.add_argument("--start", help="business window start, YYYY-MM-DD (inclusive)")
     p.add_argument("--end", help="business window end, YYYY-MM-DD (inclusive)")
     p.add_argument("--tz", default="UTC", help="zone that turns event seconds into dates")
-    p.add_argument("--max-rows", type=int, default=None, help="optional source row cap")
     p.add_argument("--model-path", default=None, help="save the KMeans and scaler models here")
     p.add_argument("--materialize", choices=("persist", "table"), default="table")
     p.add_argument("--weights", default=None, help='JSON, e.g. {"R": -0.2, "F": 0.3, "M": 0.5}')
@@ -50,7 +47,6 @@ def main(argv=None, spark: SparkSession | None = None) -> dict:
     if (args.start is None) != (args.end is None):
         raise SystemExit("--start and --end go together")
     spark = spark or SparkSession.builder.appName("martlet-etl").getOrCreate()
-    ensure_checkpoint_dir(spark)
     if args.format == "csv":
         log = read_behavior_csv(spark, args.behavior)
         items = read_items_csv(spark, args.items)
@@ -62,7 +58,7 @@ def main(argv=None, spark: SparkSession | None = None) -> dict:
     summary = run_etl(
         spark, log, items, users, args.out,
         window=(args.start, args.end) if args.start else None, tz=args.tz,
-        max_rows=args.max_rows, model_path=args.model_path, materialize=args.materialize,
+        model_path=args.model_path, materialize=args.materialize,
         weights={**DEFAULT_WEIGHTS, **json.loads(args.weights)} if args.weights else None,
         thresholds={**DEFAULT_THRESHOLDS, **json.loads(args.thresholds)} if args.thresholds else None,
     )

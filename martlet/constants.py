@@ -1,7 +1,7 @@
 """Fixed values the outputs depend on.
 
-FIXED VALUES — these must stay equal to the original system's values for
-results (labels, fill texts, thresholds, weights, horizons) to match.
+FIXED VALUES — results match only with these labels, fill texts, thresholds,
+weights and horizons.
 """
 
 # Fill texts for missing user attributes (channel, age band).
@@ -39,13 +39,6 @@ TOP_K = 10
 DEFAULT_LOOKBACK_DAYS = 30
 LAST_COHORTS = 10
 
-# Row cap appended to ad-hoc SQL.
-ADHOC_ROW_CAP = 50
-
-# Keywords refused in ad-hoc SQL.
-ADHOC_FORBIDDEN_KEYWORDS = ("DROP", "DELETE", "UPDATE", "INSERT", "ALTER", "CREATE", "TRUNCATE",
-                            "REPLACE", "EXEC", "EXECUTE", "GRANT", "REVOKE")
-
 # KMeans sweep.
 KMEANS_K_RANGE = (3, 4, 5)
 KMEANS_SEED = 42

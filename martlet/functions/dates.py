@@ -102,6 +102,14 @@ def parse_date(value) -> _dt.date:
     return _dt.date.fromisoformat(text)
 
 
+def check_range(start, end) -> tuple:
+    """Both bounds as dates; a range that ends before it starts is refused."""
+    s, e = parse_date(start), parse_date(end)
+    if s > e:
+        raise ValueError(f"the range starts after its end: {s} > {e}")
+    return s, e
+
+
 def shift_months(d: _dt.date, months: int) -> _dt.date:
     """Calendar month shift with end-of-month clamping (like add_months)."""
     total = d.year * 12 + (d.month - 1) + months
@@ -111,22 +119,15 @@ def shift_months(d: _dt.date, months: int) -> _dt.date:
 
 
 def comparison_windows(start, end, period: str) -> dict:
-    """Previous-period and last-year windows for growth rates.
-
-    day   -> the adjacent preceding window of equal length
-    week  -> both ends moved back 7 days
-    month -> both ends moved back one calendar month (clamped)
-    last year -> both ends moved back 12 months (clamped)
-    """
+    """The current window and the two it is compared with. Each of those is
+    the current window moved back as a whole: the previous one by its own
+    length (day), seven days (week) or a calendar month (month), the last-year
+    one by twelve calendar months. Calendar moves clamp at month ends."""
     check_period(period)
-    s, e = parse_date(start), parse_date(end)
-    if period == "month":
-        prev = (shift_months(s, -1), shift_months(e, -1))
-    elif period == "week":
-        prev = (s - _dt.timedelta(days=7), e - _dt.timedelta(days=7))
-    else:
-        days = (e - s).days + 1
-        prev_end = s - _dt.timedelta(days=1)
-        prev = (prev_end - _dt.timedelta(days=days - 1), prev_end)
-    last_year = (shift_months(s, -12), shift_months(e, -12))
-    return {"current": (s, e), "previous": prev, "last_year": last_year}
+    current = check_range(start, end)
+    length = (current[1] - current[0]).days + 1
+    back = {"day": {"days": length}, "week": {"days": 7}, "month": {"months": 1}}
+
+    def moved(days: int = 0, months: int = 0) -> tuple:
+        return tuple(shift_months(d, -months) - _dt.timedelta(days=days) for d in current)
+    return {"current": current, "previous": moved(**back[period]), "last_year": moved(months=12)}

@@ -1,11 +1,19 @@
-"""Guarded, read-only ad-hoc SQL over the marts.
-
-``validate_sql`` strips a code fence and trailing ``;``, requires a leading
-SELECT and refuses write/DDL keywords. ``run_adhoc`` registers the marts as
-temporary views, runs the statement through ``spark.sql`` and always caps the
-result at 50 rows with ``.limit`` (also when the statement has its own
-LIMIT). ``describe_result`` tells empty / one scalar / N rows apart without
-counting the whole result.
+"""Guarded, read-only ad-hoc SQL over given views.
+
+``run_adhoc`` decides on the parsed and the analysed statement, not on its
+words:
+
+* it is run as the body of a subquery, so only a query can parse: commands,
+  DDL and a second statement cannot;
+* every relation it names must be one of the given views or a common table
+  expression of the statement; files (``parquet.`...```), other tables and
+  table functions are refused;
+* expressions that call into the JVM by reflection are refused.
+
+Words inside string literals are ordinary text. The views exist only while the
+statement is analysed. The full result is returned, lazily; row limits belong
+to whoever displays it. ``describe_result`` tells empty / one scalar / N rows
+apart without counting the whole result.
 """
 
 from __future__ import annotations
@@ -14,14 +22,10 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..constants import ADHOC_FORBIDDEN_KEYWORDS, ADHOC_ROW_CAP
-
-# Spark statements that change session or catalog state, refused as well.
-_SPARK_STATE_KEYWORDS = ("MERGE", "CACHE", "UNCACHE", "REFRESH", "LOAD", "SET", "RESET", "ADD",
-                         "MSCK", "USE", "ANALYZE")
-_FORBIDDEN = re.compile(r"\b(" + "|".join(ADHOC_FORBIDDEN_KEYWORDS + _SPARK_STATE_KEYWORDS) + r")\b",
-                        re.IGNORECASE)
-_LEADING_QUERY = re.compile(r"^\s*(SELECT|WITH)\b", re.IGNORECASE)
+_RELATION = re.compile(r"'UnresolvedRelation \[([^\]]*)\]")
+_FUNCTION = re.compile(r"'UnresolvedTableValuedFunction")
+_CTE = re.compile(r"^[\s:+|-]*CTE \[(.*)\]\s*$", re.MULTILINE)
+_REFLECTION = ("CallMethodViaReflection", "TryReflect")
 
 
 def _strip_fence(text: str) -> str:
@@ -36,26 +40,65 @@ def _strip_fence(text: str) -> str:
     return t.strip()
 
 
-def validate_sql(sql: str) -> str:
-    """Cleaned single read-only statement, or ValueError."""
+def clean_sql(sql: str) -> str:
+    """The statement without a code fence and trailing semicolons."""
     text = _strip_fence(sql or "").rstrip(";").strip()
     if not text:
         raise ValueError("empty SQL statement")
-    if ";" in text:
-        raise ValueError("only one statement is allowed")
-    if not _LEADING_QUERY.match(text):
-        raise ValueError("SQL must start with SELECT")
-    if _FORBIDDEN.search(text):
-        raise ValueError("SQL contains a forbidden keyword")
     return text
 
 
-def run_adhoc(spark: SparkSession, sql: str, views: dict | None = None,
-              cap: int = ADHOC_ROW_CAP) -> DataFrame:
-    """Run a validated statement over the given views, capped at ``cap`` rows."""
-    for name, df in (views or {}).items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(validate_sql(sql)).limit(cap)
+def _parsed(spark: SparkSession, text: str):
+    try:
+        return spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    except Exception as e:  # the parser's own message, as a plain error
+        raise ValueError(f"not a single SELECT query: {str(e).splitlines()[0]}") from None
+
+
+def _classes(node):
+    """Class names of a JVM plan or expression tree, subquery plans included."""
+    yield node.getClass().getSimpleName()
+    parts = [node.children()]
+    if hasattr(node, "expressions") and node.getClass().getName().startswith(
+            "org.apache.spark.sql.catalyst.plans"):
+        parts.append(node.expressions())
+    for seq in parts:
+        for i in range(seq.size()):
+            yield from _classes(seq.apply(i))
+    if node.getClass().getSimpleName() in ("ScalarSubquery", "ListQuery", "Exists", "LateralSubquery"):
+        yield from _classes(node.plan())
+
+
+def check_relations(spark: SparkSession, text: str, allowed) -> None:
+    """Refuse statements that are not one query over the allowed names."""
+    plan = _parsed(spark, f"SELECT * FROM (\n{text}\n) AS adhoc").toString()
+    names = {n.lower() for n in allowed}
+    for line in _CTE.findall(plan):
+        names.update(n.strip().lower() for n in line.split(","))
+    for relation in _RELATION.findall(plan):
+        if relation.lower() not in names:
+            raise ValueError(f"unknown relation: {relation}")
+    if _FUNCTION.search(plan):
+        raise ValueError("table functions are not allowed")
+
+
+def run_adhoc(spark: SparkSession, sql: str, views: dict | None = None) -> DataFrame:
+    """Run one read-only query over the given views."""
+    views = views or {}
+    text = clean_sql(sql)
+    check_relations(spark, text, views)
+    made = []
+    try:
+        for name, df in views.items():
+            df.createTempView(name)      # raises if the session has the name
+            made.append(name)
+        result = spark.sql(f"SELECT * FROM (\n{text}\n) AS adhoc")
+        if not set(_REFLECTION).isdisjoint(_classes(result._jdf.queryExecution().analyzed())):
+            raise ValueError("reflection is not allowed")
+        return result
+    finally:
+        for name in made:
+            spark.catalog.dropTempView(name)
 
 
 def describe_result(df: DataFrame) -> str:

@@ -1,11 +1,10 @@
 """Load-and-clean: event dates, business window, order key, dimension joins,
 missing-price drop, attribute defaults, and the rejected rows.
 
-Joins: the item dimension and the user dimension are broadcast only after a
-bounded row count proves them small (``sized_broadcast``); otherwise they are
-shuffle joins, where AQE's skew-join handling splits a hot ``user_id`` on the
-event side into several tasks. A left join followed by the null-price drop is
-rewritten by Catalyst into an inner join.
+Joins carry no hint: Spark broadcasts a dimension only below its byte
+threshold, and AQE re-plans from measured sizes or splits a hot ``user_id`` of
+a shuffle join into several tasks. A left join followed by the null-price drop
+is rewritten by Catalyst into an inner join.
 """
 
 from __future__ import annotations
@@ -19,7 +18,6 @@ from pyspark.sql import functions as F
 
 from ..constants import UNKNOWN_AGE_GROUP, UNKNOWN_CHANNEL
 from ..functions.dates import event_date, parse_date
-from ..functions.joins import DEFAULT_BROADCAST_ROWS, sized_broadcast
 
 
 def window_epoch_bounds(start, end, tz: str = "UTC") -> tuple:
@@ -49,12 +47,23 @@ def derive_events(log: DataFrame, window: tuple | None = None, tz: str = "UTC")
     return out.withColumn("order_id", F.concat_ws("_", "user_id", "ts", "item_id"))
 
 
-def join_dimensions(events: DataFrame, items: DataFrame, users: DataFrame,
-                    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def join_dimensions(events: DataFrame, items: DataFrame, users: DataFrame) -> DataFrame:
     """Events ⟕ items (without their category) ⟕ users."""
-    item_side = sized_broadcast(items.drop("category_id"), max_broadcast_rows)
-    user_side = sized_broadcast(users, max_broadcast_rows)
-    return events.join(item_side, "item_id", "left").join(user_side, "user_id", "left")
+    return (events.join(items.drop("category_id"), "item_id", "left")
+            .join(users, "user_id", "left"))
+
+
+def priced_events(events: DataFrame, items: DataFrame) -> DataFrame:
+    """Events with a price, without user attributes: what RFM needs. Without
+    the users join the only exchange on ``user_id`` carries partial
+    aggregates, so a hot buyer is spread over tasks."""
+    return events.join(items.select("item_id", "price").where("price IS NOT NULL"), "item_id")
+
+
+def malformed_events(log: DataFrame) -> DataFrame:
+    """Log rows without a user, item, type or time (fields that did not parse
+    become NULL): their order keys are not unique."""
+    return log.where("user_id IS NULL OR item_id IS NULL OR type IS NULL OR ts IS NULL")
 
 
 def clean_wide(joined: DataFrame) -> DataFrame:
@@ -70,16 +79,17 @@ def rejected_events(joined: DataFrame) -> DataFrame:
 
 @dataclass
 class Cleaned:
-    raw: DataFrame      # (optionally capped) log
+    raw: DataFrame      # log as read
     events: DataFrame   # dated, windowed, keyed
     joined: DataFrame   # events ⟕ items ⟕ users
     wide: DataFrame     # cleaned wide table
+    priced: DataFrame   # events with a price, no user attributes
 
 
 def load_and_clean(log: DataFrame, items: DataFrame, users: DataFrame,
-                   window: tuple | None = None, tz: str = "UTC",
-                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> Cleaned:
+                   window: tuple | None = None, tz: str = "UTC") -> Cleaned:
     """Dated, windowed, keyed events joined to the dimensions and cleaned."""
     events = derive_events(log, window, tz)
-    joined = join_dimensions(events, items, users, max_broadcast_rows)
-    return Cleaned(raw=log, events=events, joined=joined, wide=clean_wide(joined))
+    joined = join_dimensions(events, items, users)
+    return Cleaned(raw=log, events=events, joined=joined, wide=clean_wide(joined),
+                   priced=priced_events(events, items))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..constants import PARETO_HEAD_FRACTION, PROFILE_HOUR_OFFSET, TYPE_BUY, TYPE_CART
+from ..constants import PARETO_HEAD_FRACTION, PROFILE_HOUR_OFFSET, TYPE_BUY, TYPE_CART, TYPE_PV
 from ..functions.dates import event_date
 
 
@@ -58,10 +58,10 @@ def pareto_share(log: DataFrame, head_fraction: float = PARETO_HEAD_FRACTION) ->
 
 
 def stage_conversion(log: DataFrame) -> DataFrame:
-    """Each row carries its deepest stage, so pv = all rows, cart = cart or
-    buy rows, buy = buy rows; rates guarded by max(n, 1)."""
+    """Each shop event carries its deepest stage, so pv = all of them, cart =
+    cart or buy rows, buy = buy rows; rates guarded by max(n, 1)."""
     c = log.agg(
-        F.count(F.lit(1)).alias("pv"),
+        F.count_if(F.col("type").isin(TYPE_PV, TYPE_CART, TYPE_BUY)).alias("pv"),
         F.count_if(F.col("type").isin(TYPE_CART, TYPE_BUY)).alias("cart"),
         F.count_if(F.col("type") == TYPE_BUY).alias("buy"),
     )

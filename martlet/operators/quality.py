@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .clean import malformed_events
+
 
 def data_cutoff(events: DataFrame) -> DataFrame:
     """Last event date of the windowed log."""
@@ -62,6 +64,7 @@ def dq_metrics(raw: DataFrame, items: DataFrame, users: DataFrame, events: DataF
     nulls = dq_nulls(joined)
     row = nulls.select(
         one(raw).alias("raw_rows"),
+        one(malformed_events(raw)).alias("malformed_rows"),
         one(items).alias("item_rows"),
         one(users).alias("user_rows"),
         "missing_price", "missing_channel", "missing_age_group",

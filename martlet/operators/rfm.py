@@ -2,8 +2,10 @@
 
 rfm_base       per buyer: R = days from the cut-off to the last purchase,
                F = distinct orders, M = spend. Spark plans the distinct count
-               as a two-level aggregate keyed first on (user, order), so a
-               user with a third of all orders is still spread over tasks.
+               as a two-level aggregate keyed first on (user, order). Over
+               events that were not shuffled by user before (``priced_events``
+               or a written table) the exchange on the user carries partial
+               aggregates only, so a hot buyer is spread over tasks.
 rfm_zscores    (x - mean) / sample std; mean and std come from one
                scalar subquery; a zero std gives 0.0 (as StandardScaler).
 segment_users  VectorAssembler -> StandardScaler -> KMeans for k in 3..5,
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..constants import (DEFAULT_THRESHOLDS, DEFAULT_WEIGHTS, KMEANS_K_RANGE,
                          KMEANS_SEED, LABEL_UNMAPPED, TYPE_BUY)
-from ..functions.dates import parse_date
+from ..functions.dates import check_range, parse_date
 from ..functions.segments import segment_label, segment_label_py, weighted_score
 
 
@@ -78,11 +80,6 @@ class Segments:
     kmeans_model: object = None
     scaler_model: object = None
     scores: dict = field(default_factory=dict)  # cluster id -> weighted score
-    features: DataFrame | None = None  # persisted scaled features
-
-    def release(self) -> None:
-        if self.features is not None:
-            self.features.unpersist()
 
 
 def segment_users(base: DataFrame, ks=KMEANS_K_RANGE, seed: int = KMEANS_SEED,
@@ -98,41 +95,47 @@ def segment_users(base: DataFrame, ks=KMEANS_K_RANGE, seed: int = KMEANS_SEED,
     vec = VectorAssembler(inputCols=["R", "F", "M"], outputCol="features_raw").transform(
         base.select("user_id", F.col("R").cast("double").alias("R"),
                     F.col("F").cast("double").alias("F"), F.col("M").cast("double").alias("M")))
-    # Materialise the per-buyer features once (the base aggregate is the
-    # expensive part), then lay them out for the iterative fits: the number
-    # of partitions follows the row count only (~rows_per_partition rows per
-    # task, so a few thousand buyers are not spread over hundreds of tiny
-    # tasks), and rows are hash-placed and sorted by user id. Seeded KMeans
-    # initialisation depends on that layout, so this makes the segments
-    # reproducible whatever the upstream partitioning or cluster settings.
-    vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
-    stats = vec.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("R", "F", "M").alias("d")).first()
-    n_rows, n_distinct = int(stats["n"]), int(stats["d"])
-    parts = max(1, -(-n_rows // rows_per_partition))
-    scaler = StandardScaler(inputCol="features_raw", outputCol="features", withMean=True, withStd=True).fit(vec)
-    laid_out = vec.repartition(parts, "user_id").sortWithinPartitions("user_id")
-    scaled = scaler.transform(laid_out).persist(StorageLevel.MEMORY_AND_DISK)
-    scaled.count()
-    vec.unpersist()
-    evaluator = ClusteringEvaluator(predictionCol="cluster", featuresCol="features",
-                                    metricName="silhouette", distanceMeasure="squaredEuclidean")
-    def fit(k):
-        if k > n_distinct:  # fewer distinct buyers than clusters: no fit
-            return k, float("nan"), None
-        try:
+    # The per-buyer features are cached for the iterative fits only and
+    # released at the end; results are planned from the lineage. The number of
+    # partitions follows the row count (~rows_per_partition rows per task), and
+    # rows are hash-placed and sorted by user id: seeded KMeans initialisation
+    # depends on that layout, so segments are the same whatever the upstream
+    # partitioning or cluster settings.
+    cached = []
+
+    def hold(df):
+        cached.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return cached[-1]
+
+    try:
+        held = hold(vec)
+        n_rows = held.count()
+        # enough distinct buyers for k clusters? stops at the largest k
+        n_distinct = held.select("R", "F", "M").distinct().limit(max(ks)).count()
+        parts = max(1, -(-n_rows // rows_per_partition))
+        scaler = StandardScaler(inputCol="features_raw", outputCol="features", withMean=True, withStd=True).fit(held)
+        scaled = hold(scaler.transform(held.repartition(parts, "user_id").sortWithinPartitions("user_id")))
+        scaled.count()
+        evaluator = ClusteringEvaluator(predictionCol="cluster", featuresCol="features",
+                                        metricName="silhouette", distanceMeasure="squaredEuclidean")
+
+        def fit(k):
+            if k > n_distinct:  # fewer distinct buyers than clusters: no fit
+                return k, float("nan"), None
             model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(scaled)
-        except Exception:  # degenerate input for this k
-            return k, float("nan"), None
-        try:
-            score = float(evaluator.evaluate(model.transform(scaled)))
-        except Exception:  # fewer than two clusters on degenerate data
-            score = float("nan")
-        return k, score, model
-
-    # The fits are independent Spark jobs over the same cached features, so
-    # they run concurrently (as CrossValidator's ``parallelism`` does).
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(ks)))) as pool:
-        fits = list(pool.map(fit, ks))
+            if sum(size > 0 for size in model.summary.clusterSizes) < 2:
+                return k, float("nan"), model   # one cluster: no silhouette
+            return k, float(evaluator.evaluate(model.transform(scaled))), model
+
+        # The fits are independent Spark jobs over the same cached features, so
+        # they run concurrently (as CrossValidator's ``parallelism`` does). A
+        # failed fit raises.
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(ks)))) as pool:
+            fits = list(pool.map(fit, ks))
+    finally:
+        for df in cached:
+            df.unpersist()
+    scaled = scaler.transform(vec)
     best = (None, -1.0, None)
     sweep = []
     for k, score, model in fits:  # in k order: the first of equal scores wins
@@ -154,7 +157,7 @@ def segment_users(base: DataFrame, ks=KMEANS_K_RANGE, seed: int = KMEANS_SEED,
             return Segments(user_rfm=user_rfm, clustered=clustered, sweep=sweep, best_k=1,
                             best_score=float("nan"), centers=centers, labels=labels,
                             kmeans_model=None, scaler_model=scaler,
-                            scores={0: 0.0}, features=scaled)
+                            scores={0: 0.0})
     best_k, best_score, model = best
     centers = [list(map(float, c)) for c in model.clusterCenters()]
     labels = {i: segment_label_py(c, th) for i, c in enumerate(centers)}
@@ -165,7 +168,7 @@ def segment_users(base: DataFrame, ks=KMEANS_K_RANGE, seed: int = KMEANS_SEED,
         "user_id", F.coalesce(mapping[F.col("cluster")], F.lit(LABEL_UNMAPPED)).alias("rfm_label"))
     return Segments(user_rfm=user_rfm, clustered=clustered, sweep=sweep, best_k=best_k,
                     best_score=best_score, centers=centers, labels=labels,
-                    kmeans_model=model, scaler_model=scaler, scores=scores, features=scaled)
+                    kmeans_model=model, scaler_model=scaler, scores=scores)
 
 
 def sweep_frame(spark, seg: Segments) -> DataFrame:
@@ -174,10 +177,21 @@ def sweep_frame(spark, seg: Segments) -> DataFrame:
     return spark.createDataFrame(rows, "k int, silhouette double, chosen boolean")
 
 
-def cluster_profiles(seg: Segments) -> DataFrame:
+def assign_centers(zs: DataFrame, centers: list) -> DataFrame:
+    """``cluster`` = the nearest of some given centres in z-score space (ties:
+    the first). ``zs`` comes from ``rfm_zscores``."""
+    def distance(c):
+        return sum(((F.col(f"{n}_z") - F.lit(float(v))) * (F.col(f"{n}_z") - F.lit(float(v)))
+                    for n, v in zip("RFM", c)), F.lit(0.0))
+    nearest = F.array_min(F.array(*[F.struct(distance(c).alias("d"), F.lit(i).alias("i"))
+                                    for i, c in enumerate(centers)]))
+    return zs.withColumn("cluster", nearest["i"])
+
+
+def profile_clusters(clustered: DataFrame, labels: dict) -> DataFrame:
     """Mean raw R/F/M (2 decimals), size and label per cluster, largest first."""
-    mapping = F.create_map(*[x for i, lab in seg.labels.items() for x in (F.lit(i), F.lit(lab))])
-    return (seg.clustered.groupBy("cluster").agg(
+    mapping = F.create_map(*[x for i, lab in labels.items() for x in (F.lit(i), F.lit(lab))])
+    return (clustered.groupBy("cluster").agg(
         F.round(F.avg("R"), 2).alias("r_mean"),
         F.round(F.avg("F"), 2).alias("f_mean"),
         F.round(F.avg("M"), 2).alias("m_mean"),
@@ -188,6 +202,11 @@ def cluster_profiles(seg: Segments) -> DataFrame:
         .orderBy(F.col("user_count").desc(), "cluster_id"))
 
 
+def cluster_profiles(seg: Segments) -> DataFrame:
+    """Profiles of the fitted clusters."""
+    return profile_clusters(seg.clustered, seg.labels)
+
+
 def rfm_distribution(facts: DataFrame, user_rfm: DataFrame, start, end) -> DataFrame:
     """Distinct buyers in the range per segment label.
 
@@ -195,7 +214,7 @@ def rfm_distribution(facts: DataFrame, user_rfm: DataFrame, start, end) -> DataF
     buyer is one row per task), then joined 1:1 with the segment table; the
     count of joined rows is then the exact distinct-user count.
     """
-    lo, hi = parse_date(start), parse_date(end)
+    lo, hi = check_range(start, end)
     buyers = (facts.filter(F.col("date").between(F.lit(lo), F.lit(hi)))
               .select("user_id").distinct())
     return (buyers.join(user_rfm, "user_id").groupBy("rfm_label")

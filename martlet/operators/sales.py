@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from ..constants import (CATEGORY_PREFIX, DEFAULT_LOOKBACK_DAYS, ITEM_PREFIX,
                          PERIOD_LABELS, TOP_K)
-from ..functions.dates import comparison_windows, key_label, parse_date, period_key
+from ..functions.dates import check_range, comparison_windows, key_label, period_key
 
 
 def _between(start, end, col: str = "date") -> Column:
-    return F.col(col).between(F.lit(parse_date(start)), F.lit(parse_date(end)))
+    s, e = check_range(start, end)
+    return F.col(col).between(F.lit(s), F.lit(e))
 
 
 def in_range(facts: DataFrame, start, end) -> DataFrame:
@@ -110,7 +111,7 @@ def default_range(facts: DataFrame, start=None, end=None,
     """If either bound is missing both are replaced: end = last fact date,
     start = end - lookback. Given bounds are validated as calendar dates."""
     if start and end:
-        s, e = parse_date(start), parse_date(end)
+        s, e = check_range(start, end)
         return date_range(facts).select(F.lit(s).alias("start_date"), F.lit(e).alias("end_date"))
     return date_range(facts).select(
         F.date_sub("max_date", lookback_days).alias("start_date"),
@@ -172,26 +173,33 @@ def kpi_summary(facts: DataFrame, funnel: DataFrame, start, end, period: str = "
     )
 
 
+def _cells(facts: DataFrame, start, end) -> DataFrame:
+    """Sales per (category, channel, age band): one scan and one partial
+    aggregate that the three breakdowns and the total share."""
+    return (in_range(facts, start, end).groupBy("category_id", "channel", "age_group")
+            .agg(F.sum("price").alias("_s")))
+
+
+def _breakdown(cells: DataFrame, top_k: int) -> DataFrame:
+    def ranked(dimension: str, key: str, name: Column, k: int | None = None) -> DataFrame:
+        g = cells.groupBy(key).agg(F.sum("_s").alias("_s"))
+        order = [F.col("_s").desc(), F.col(key).asc_nulls_last()]
+        if k is not None:
+            g = g.orderBy(*order).limit(k)   # per-task top-k and one merge of k rows
+        return g.select(F.lit(dimension).alias("dimension"), name.alias("name"),
+                        money(F.col("_s")).alias("sales"),
+                        F.row_number().over(Window.orderBy(*order)).alias("rank"))
+    return (ranked("category", "category_id",
+                   F.concat(F.lit(CATEGORY_PREFIX), F.col("category_id").cast("string")), top_k)
+            .unionByName(ranked("channel", "channel", F.col("channel")))
+            .unionByName(ranked("age_group", "age_group", F.col("age_group"))))
+
+
 def dimension_breakdown(facts: DataFrame, start, end, top_k: int = TOP_K) -> DataFrame:
-    """Sales by category (top-k), channel and age band in ONE grouping-sets
-    aggregation over a single scan. Output (dimension, name, sales, rank)."""
-    g = (in_range(facts, start, end)
-         .groupingSets([["category_id"], ["channel"], ["age_group"]],
-                       "category_id", "channel", "age_group")
-         .agg(F.sum("price").alias("_s"),
-              F.grouping("category_id").alias("_gc"),
-              F.grouping("channel").alias("_gch")))
-    dimension = (F.when(F.col("_gc") == 0, "category")
-                 .when(F.col("_gch") == 0, "channel").otherwise("age_group"))
-    name = (F.when(F.col("_gc") == 0, F.concat(F.lit(CATEGORY_PREFIX), F.col("category_id").cast("string")))
-            .when(F.col("_gch") == 0, F.col("channel")).otherwise(F.col("age_group")))
-    keyed = g.select(dimension.alias("dimension"), name.alias("name"),
-                     F.col("category_id"), F.col("_s"))
-    order = Window.partitionBy("dimension").orderBy(
-        F.col("_s").desc(), F.col("category_id").asc_nulls_last(), F.col("name").asc_nulls_last())
-    ranked = keyed.withColumn("rank", F.row_number().over(order))
-    return (ranked.filter((F.col("dimension") != "category") | (F.col("rank") <= top_k))
-            .select("dimension", "name", money(F.col("_s")).alias("sales"), "rank"))
+    """Sales by category (top-k), channel and age band over a single scan.
+    Output (dimension, name, sales, rank). Channels and age bands are few;
+    categories are cut to the top k before they meet in one task."""
+    return _breakdown(_cells(facts, start, end), top_k)
 
 
 def ranking_axis(top: DataFrame) -> DataFrame:
@@ -199,8 +207,10 @@ def ranking_axis(top: DataFrame) -> DataFrame:
     return top.orderBy(F.col("rank").desc())
 
 
-def dimension_share(breakdown: DataFrame) -> DataFrame:
-    """Share of each slice within its dimension, in percent."""
-    total = F.sum("sales").over(Window.partitionBy("dimension"))
-    return breakdown.withColumn(
+def dimension_share(facts: DataFrame, start, end, top_k: int = TOP_K) -> DataFrame:
+    """The breakdown with each slice's share, in percent, of all sales in the
+    range (also of the categories beyond the top k)."""
+    cells = _cells(facts, start, end)
+    total = cells.select(money(F.sum("_s"))).scalar()
+    return _breakdown(cells, top_k).withColumn(
         "share_pct", F.round(F.col("sales") / F.nullif(total, F.lit(0.0)) * 100, 2))

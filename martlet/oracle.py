@@ -9,11 +9,12 @@ items with ``row_number``), so agreement is a real cross-check.
 
 from __future__ import annotations
 
-from .constants import (CATEGORY_PREFIX, DEFAULT_THRESHOLDS, DEFAULT_WEIGHTS, LAST_COHORTS,
+from .constants import (CATEGORY_PREFIX, DEFAULT_THRESHOLDS, DEFAULT_WEIGHTS,
                         FUNNEL_STAGE_NAMES, ITEM_PREFIX, LABEL_CHURNED,
                         LABEL_CORE_VALUE, LABEL_LOYAL, LABEL_POTENTIAL,
                         LABEL_REGULAR, UNKNOWN_AGE_GROUP, UNKNOWN_CHANNEL)
 from .functions.dates import comparison_windows
+from .functions.segments import segment_label_py
 from . import registry as R
 
 
@@ -26,25 +27,30 @@ def lit(d) -> str:
     return f"DATE '{d}'"
 
 
-LOG = """log AS (
+_ITEM = ("((user_id * 13 + TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) % 4) "
+         "% (SELECT max(p_partkey) + 1 FROM part))")
+
+LOG = f"""log AS (
   SELECT CAST(user_id AS INTEGER) AS user_id,
-         CAST(TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) % 20 AS INTEGER) AS item_id,
-         CAST(TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) % 5 AS INTEGER) AS category_id,
-         CASE event_type WHEN 'view' THEN 'pv' WHEN 'click' THEN 'cart' WHEN 'purchase' THEN 'buy' END AS type,
+         CAST({_ITEM} AS INTEGER) AS item_id,
+         CAST({_ITEM} % 25 AS INTEGER) AS category_id,
+         CASE event_type WHEN 'view' THEN 'pv' WHEN 'click' THEN 'cart' WHEN 'purchase' THEN 'buy'
+              ELSE event_type END AS type,
          CAST(floor(epoch(ts)) AS BIGINT) AS ts
-  FROM events WHERE event_type IN ('view', 'click', 'purchase'))"""
+  FROM events)"""
 
 ITEMS = """items AS (
   SELECT CAST(p_partkey AS INTEGER) AS item_id, CAST(p_size AS INTEGER) AS category_id,
-         CAST(p_retailprice AS DECIMAL(10,2)) AS price
-  FROM part WHERE p_partkey < 20 AND p_partkey % 10 <> 9)"""
+         CAST(CASE WHEN p_partkey % 10 <> 9 THEN p_retailprice END AS DECIMAL(10,2)) AS price
+  FROM part)"""
 
 USERS = """users AS (
   SELECT CAST(c_custkey AS INTEGER) AS user_id,
-         CASE WHEN c_nationkey < 6 THEN '18-24' WHEN c_nationkey < 13 THEN '25-34'
+         CASE WHEN c_custkey % 11 = 10 THEN NULL
+              WHEN c_nationkey < 6 THEN '18-24' WHEN c_nationkey < 13 THEN '25-34'
               WHEN c_nationkey < 19 THEN '35-45' WHEN c_nationkey < 24 THEN '46+' END AS age_group,
-         c_mktsegment AS channel
-  FROM customer WHERE c_custkey % 11 <> 10)"""
+         CASE WHEN c_custkey % 11 <> 10 THEN c_mktsegment END AS channel
+  FROM customer)"""
 
 EV = f"""ev AS (
   SELECT user_id, item_id, category_id, type, ts, {D('ts')} AS date,
@@ -71,7 +77,7 @@ TOUCH = """touch AS (
          min(CASE WHEN type = 'buy' THEN ts END) AS first_buy
   FROM wide GROUP BY user_id, item_id)"""
 
-_DATES = f"""{D('coalesce(first_pv, first_cart, first_buy)')} AS pv_date,
+_DATES = f"""{D('first_pv')} AS pv_date,
          {D('first_cart')} AS cart_date, {D('first_buy')} AS buy_date"""
 
 SFLAGS = f"""sflags AS (
@@ -217,10 +223,19 @@ def breakdown_sql(src: str, start, end, k: int = 10) -> str:
 WHERE dimension <> 'category' OR rank <= {k}"""
 
 
+def rule_sql() -> str:
+    th = DEFAULT_THRESHOLDS
+    return f"""SELECT user_id, CASE WHEN R_z > {th['high_r']} THEN '{LABEL_CHURNED}'
+    WHEN M_z > {th['high_m']} AND R_z < 0 THEN '{LABEL_CORE_VALUE}'
+    WHEN F_z > {th['high_f']} AND M_z <= {th['high_m']} THEN '{LABEL_LOYAL}'
+    WHEN R_z <= 0 AND (F_z > 0 OR M_z > 0) THEN '{LABEL_POTENTIAL}'
+    ELSE '{LABEL_REGULAR}' END AS rule_label FROM zs"""
+
+
 def bundle_sql(start, end, period: str) -> str:
     n1, n2, n3 = FUNNEL_STAGE_NAMES
     core = kpi_select("buy", "smart", start, end, period)
-    return with_(*PIPE, BUY, TOUCH, SFLAGS, SMART, COHORT) + f"""
+    return with_(*PIPE, BUY, TOUCH, SFLAGS, SMART, COHORT, RFM) + f"""
 , core AS ({core}),
 trend AS ({trend_sql('buy', start, end, period)}),
 ft AS (SELECT CAST(COALESCE(sum(has_pv), 0) AS BIGINT) AS pv, CAST(COALESCE(sum(has_cart), 0) AS BIGINT) AS cart,
@@ -240,11 +255,27 @@ UNION ALL SELECT 'funnel', '{n2}', CAST(cart AS DOUBLE) FROM ft
 UNION ALL SELECT 'funnel', '{n3}', CAST(buy AS DOUBLE) FROM ft
 UNION ALL SELECT 'rankings', item_label, sales FROM top
 UNION ALL SELECT dimension, name, sales FROM dims
+UNION ALL SELECT 'period', period_label, 1.0 FROM core
+UNION ALL SELECT 'date_range', 'min_date', CAST(min(date) - DATE '1970-01-01' AS DOUBLE) FROM buy
+UNION ALL SELECT 'date_range', 'max_date', CAST(max(date) - DATE '1970-01-01' AS DOUBLE) FROM buy
+UNION ALL SELECT 'rfm', rule_label, CAST(count(DISTINCT buy.user_id) AS DOUBLE)
+          FROM buy JOIN ({rule_sql()}) seg ON buy.user_id = seg.user_id WHERE {rng(start, end)} GROUP BY 2
 UNION ALL SELECT 'retention', strftime(cohort_date, '%Y-%m-%d') || ':' || CAST(day_diff AS VARCHAR),
           CAST(round(active_users / greatest(cohort_users, 1) * 100, 2) AS DOUBLE)
           FROM cm WHERE {rng(start, end, 'cohort_date')}"""
 
 
+def centers_sql() -> str:
+    """Profiles of the buyers nearest to each fixed centre, written out."""
+    distance = " UNION ALL ".join(
+        f"SELECT user_id, R, F, M, {i} AS i, '{segment_label_py(c)}' AS label, "
+        + " + ".join(f"(({n}_z - ({v})) * ({n}_z - ({v})))" for n, v in zip("RFM", c)) + " AS d FROM zs"
+        for i, c in enumerate(R.CENTERS))
+    return f""", near AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY d, i) AS rn FROM ({distance}))
+SELECT i AS cluster_id, label, round(avg(R), 2) AS r_mean, round(avg(F), 2) AS f_mean, round(avg(M), 2) AS m_mean,
+       count(*) AS user_count FROM near WHERE rn = 1 GROUP BY i, label"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB statement per registered key (rows-only keys omitted)."""
     ls, le = R.LOG_START, R.LOG_END
@@ -265,14 +296,10 @@ def oracle_sql() -> dict[str, str]:
     retention = ("SELECT day_diff, strftime(cohort_date, '%Y-%m-%d') AS cohort_date, "
                  "round(active_users / greatest(cohort_users, 1) * 100, 2) AS retention_pct "
                  f"FROM cm WHERE {rng(ls, le, 'cohort_date')}")
-    th = DEFAULT_THRESHOLDS
-    rule = f"""SELECT user_id, CASE WHEN R_z > {th['high_r']} THEN '{LABEL_CHURNED}'
-    WHEN M_z > {th['high_m']} AND R_z < 0 THEN '{LABEL_CORE_VALUE}'
-    WHEN F_z > {th['high_f']} AND M_z <= {th['high_m']} THEN '{LABEL_LOYAL}'
-    WHEN R_z <= 0 AND (F_z > 0 OR M_z > 0) THEN '{LABEL_POTENTIAL}'
-    ELSE '{LABEL_REGULAR}' END AS rule_label FROM zs"""
+    rule = rule_sql()
     metrics_cte = f"""m AS (SELECT
   (SELECT count(*) FROM log) AS raw_rows, (SELECT count(*) FROM items) AS item_rows,
+  (SELECT count(*) FROM log WHERE user_id IS NULL OR item_id IS NULL OR type IS NULL OR ts IS NULL) AS malformed_rows,
   (SELECT count(*) FROM users) AS user_rows,
   (SELECT count(*) FILTER (WHERE price IS NULL) FROM joined) AS missing_price,
   (SELECT count(*) FILTER (WHERE channel IS NULL) FROM joined) AS missing_channel,
@@ -281,7 +308,7 @@ def oracle_sql() -> dict[str, str]:
   (SELECT count(*) FROM (SELECT item_id FROM items GROUP BY item_id HAVING count(*) > 1)) AS duplicate_item_keys,
   (SELECT count(*) FROM (SELECT user_id FROM users GROUP BY user_id HAVING count(*) > 1)) AS duplicate_user_keys,
   (SELECT count(*) FROM buy) AS buy_fact_rows)"""
-    metric_names = ["raw_rows", "item_rows", "user_rows", "missing_price", "missing_channel",
+    metric_names = ["raw_rows", "malformed_rows", "item_rows", "user_rows", "missing_price", "missing_channel",
                     "missing_age_group", "clean_rows", "duplicate_item_keys", "duplicate_user_keys",
                     "buy_fact_rows"]
     metrics = " UNION ALL ".join(f"SELECT '{n}' AS metric, CAST({n} AS DOUBLE) AS value FROM m"
@@ -324,10 +351,9 @@ FROM (SELECT *, regexp_extract(props, '"k":\\s*([^}]*)\\}', 1) AS k FROM events)
         "scan_behavior": with_(LOG) + "SELECT * FROM log",
         "scan_items": with_(ITEMS) + edge("SELECT * FROM items"),
         "scan_users": with_(USERS) + "SELECT * FROM users",
-        "capped_behavior": with_(LOG) + f"SELECT * FROM log ORDER BY ts ASC NULLS LAST, user_id, item_id, "
-                                        f"category_id, type LIMIT {R.CAP_ROWS}",
-        "capped_behavior_distributed": with_(LOG) + f"SELECT * FROM log ORDER BY ts ASC NULLS LAST, user_id, "
-                                                    f"item_id, category_id, type LIMIT {R.CAP_ROWS}",
+        "scan_behavior_csv": with_(LOG) + "SELECT * FROM log",
+        "scan_items_csv": with_(ITEMS) + edge("SELECT * FROM items"),
+        "scan_users_csv": with_(USERS) + "SELECT * FROM users",
         "clean_events": with_(LOG, EV) + "SELECT * FROM ev",
         "wide_events": pipe + edge("SELECT * FROM wide"),
         "rejected_events": pipe + edge("SELECT * FROM joined WHERE price IS NULL"),
@@ -365,7 +391,7 @@ UNION ALL SELECT 3, '{n3}', buy FROM t""",
             f'AS "{k}"' for k in range(8)) + " FROM cm GROUP BY cohort_date",
         "last_cohorts": with_(*PIPE, COHORT) + ("SELECT cohort_date, day_diff, active_users, cohort_users FROM "
                                                 "(SELECT *, dense_rank() OVER (ORDER BY cohort_date DESC) AS r FROM cm) "
-                                                f"WHERE r <= {LAST_COHORTS}"),
+                                                f"WHERE r <= {R.LAST_COHORTS}"),
         "rfm_base": with_(*PIPE, RFM) + "SELECT * FROM rb",
         "rfm_zscores": with_(*PIPE, RFM) + ("SELECT user_id, R, F, M, round(R_z, 4) AS R_z, round(F_z, 4) AS F_z, "
                                             "round(M_z, 4) AS M_z FROM zs"),
@@ -394,9 +420,9 @@ UNION ALL SELECT 3, '{n3}', buy FROM t""",
         "growth_month": facts + growth_select("facts", ms, me, "month"),
         "dimension_breakdown": facts + breakdown_sql("facts", ss, se),
         "dimension_share": facts + f"""SELECT dimension, name, sales, rank,
-  round(sales / NULLIF(sum(sales) OVER (PARTITION BY dimension), 0.0) * 100, 2) AS share_pct
+  round(sales / NULLIF((SELECT CAST(sum(price) AS DOUBLE) FROM facts WHERE {rng(ss, se)}), 0.0) * 100, 2) AS share_pct
 FROM ({breakdown_sql('facts', ss, se)})""",
-        "kpi_summary": with_(*PIPE, BUY, TOUCH, SFLAGS, SMART) + kpi_select("buy", "smart", ls, le, "day"),
+        "kpi_summary": with_(*PIPE, BUY, TOUCH, SFLAGS, SMART) + kpi_select("buy", "smart", *R.KPI_RANGE, "day"),
         "dashboard_bundle": bundle_sql(ls, le, "week"),
         "daily_drilldown": bundle_sql(R.DRILL_DAY, R.DRILL_DAY, "day"),
         "daily_volume": with_(LOG) + f"SELECT {D('ts')} AS date, count(*) AS events FROM log GROUP BY 1 ORDER BY 1",
@@ -406,12 +432,24 @@ FROM ({breakdown_sql('facts', ss, se)})""",
   round(cart / greatest(pv, 1) * 100, 2) AS pv_to_cart_pct,
   round(buy / greatest(cart, 1) * 100, 2) AS cart_to_buy_pct,
   round(buy / greatest(pv, 1) * 100, 2) AS pv_to_buy_pct
-FROM (SELECT count(*) AS pv, count(*) FILTER (WHERE type IN ('cart', 'buy')) AS cart,
+FROM (SELECT count(*) FILTER (WHERE type IN ('pv', 'cart', 'buy')) AS pv,
+             count(*) FILTER (WHERE type IN ('cart', 'buy')) AS cart,
              count(*) FILTER (WHERE type = 'buy') AS buy FROM log)""",
         "events_by_time": with_(LOG) + "SELECT * FROM log ORDER BY ts, user_id, item_id, type",
         "safe_cast": safe,
-        "adhoc_sql": facts.replace("facts AS", "buy_fact AS") + R.ADHOC_STATEMENT + " LIMIT 50",
+        "adhoc_sql": facts.replace("facts AS", "buy_fact AS") + R.ADHOC_STATEMENT,
         "publish_roundtrip": with_(*PIPE, BUY) + edge("SELECT * FROM buy"),
+        "publish_funnel_strict": sm + "SELECT * FROM smart",
+        "publish_funnel_loose": lm + "SELECT * FROM lmart",
+        "publish_cohort_matrix": with_(*PIPE, COHORT) + "SELECT * FROM cm",
+        "publish_user_rfm": with_(*PIPE, RFM) + rule.replace("rule_label", "rfm_label"),
+        "rfm_distribution_rule": with_(*PIPE, BUY, RFM) + f""", seg AS ({rule})
+SELECT rule_label AS rfm_label, count(DISTINCT buy.user_id) AS cnt
+FROM buy JOIN seg ON buy.user_id = seg.user_id WHERE {rng(ls, le)} GROUP BY 1""",
+        "cluster_profiles_fixed": with_(*PIPE, RFM) + centers_sql(),
+        "dq_log_append": with_(*PIPE, BUY, metrics_cte) + f""", w AS ({warnings})
+SELECT d.run_day, (SELECT CAST(count(*) AS INTEGER) FROM w) AS n_warnings, x.metric, x.value
+FROM ({metrics}) x, (VALUES {", ".join(f"('{t:%Y-%m-%d}')" for t in R.LOG_RUNS)}) AS d(run_day)""",
         "stream_buy_fact": with_(*PIPE, BUY) + edge("SELECT * FROM buy"),
         "stream_daily_volume": with_(LOG, ITEMS) + f"""SELECT {D('ts')} AS date, count(*) AS events,
   count(*) FILTER (WHERE type = 'buy') AS buys,

@@ -1,34 +1,31 @@
 """Whole-dashboard bundle for one date range, and the one-day drill-down.
 
 ``dashboard_sections`` returns each section as its own DataFrame; all the
-in-range sales sections read one filtered fact slice (optionally persisted),
-the previous-period and last-year sums come from the single growth
-aggregation. ``bundle_long`` stacks the numeric sections into one tidy
-(section, name, value) table.
+in-range sales sections read one filtered fact slice, and the previous-period
+and last-year sums come from the single growth aggregation. The sections are
+meant to read published marts, which are small beside the log and pruned by
+column and date. ``bundle_long`` stacks them into one tidy (section, name,
+value) table.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import TOP_K
-from ..functions.dates import check_period, parse_date
+from ..functions.dates import check_period, check_range, parse_date
 from ..operators import cohort, funnel, rfm, sales
 
 
 def dashboard_sections(facts: DataFrame, funnel_mart: DataFrame, cohort_matrix: DataFrame,
-                       start, end, period: str = "day", user_rfm: DataFrame | None = None,
-                       cache_slice: bool = False) -> dict:
+                       start, end, period: str = "day", user_rfm: DataFrame | None = None) -> dict:
     """Every dashboard section for one range, each as its own DataFrame."""
     check_period(period)
-    s, e = parse_date(start), parse_date(end)
+    s, e = check_range(start, end)
     in_range = sales.in_range(facts, s, e)
-    if cache_slice:
-        in_range = in_range.persist(StorageLevel.MEMORY_AND_DISK)
     totals = funnel.funnel_totals(funnel_mart, s, e)
     out = {
         "date_range": sales.date_range(facts),
@@ -55,8 +52,15 @@ def bundle_long(sections: dict) -> DataFrame:
         F.struct(F.lit("trend_sales").alias("section"), F.col("dt").alias("name"), F.col("sales").alias("value")),
         F.struct(F.lit("trend_orders").alias("section"), F.col("dt").alias("name"),
                  F.col("orders").cast("double").alias("value")))))
+    days = F.datediff(F.col("day"), F.lit("1970-01-01").cast("date")).cast("double")
+    span = sections["date_range"].select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("name"), F.col(c).alias("day")) for c in ("min_date", "max_date")])))
     parts = [
         core, trend,
+        # dates as days since 1970-01-01; the label's value is a constant
+        span.select(F.lit("date_range").alias("section"), "name", days.alias("value")),
+        sections["core"].select(F.lit("period").alias("section"), F.col("period_label").alias("name"),
+                                F.lit(1.0).alias("value")),
         sections["funnel"].select(F.lit("funnel").alias("section"), "name", F.col("value").cast("double").alias("value")),
         sections["rankings"].select(F.lit("rankings").alias("section"), F.col("item_label").alias("name"),
                                     F.col("sales").alias("value")),
@@ -84,8 +88,7 @@ class Dashboard:
     DataFrame: core KPIs, trend, funnel, rankings, dimensions, segments,
     retention, and the whole bundle.
 
-    Missing dates resolve like the original service: if either bound is
-    missing, the range becomes (last fact date - 30 days, last fact date).
+    If either bound of a range is missing, the range becomes (last fact date - 30 days, last fact date).
     Resolving reads one aggregated row (two dates) on the driver; everything
     else stays distributed and lazy.
     """
@@ -97,17 +100,17 @@ class Dashboard:
 
     @classmethod
     def from_published(cls, spark, root: str) -> "Dashboard":
-        from ..sinks.publish import read_mart
-        try:
-            segments = read_mart(spark, root, "user_rfm")
-        except KeyError:
-            segments = None
-        return cls(read_mart(spark, root, "buy_fact"), read_mart(spark, root, "user_funnel_mart"),
-                   read_mart(spark, root, "cohort_matrix"), segments)
+        from ..sinks.publish import read_marts
+        names = ("buy_fact", "user_funnel_mart", "cohort_matrix", "user_rfm")
+        marts = read_marts(spark, root, names)
+        missing = [n for n in names[:3] if n not in marts]
+        if missing:
+            raise KeyError(f"marts {missing} have not been published under {root}")
+        return cls(*[marts.get(n) for n in names])
 
     def resolve(self, start=None, end=None) -> tuple:
         if start and end:
-            return parse_date(start), parse_date(end)
+            return check_range(start, end)
         row = sales.default_range(self.facts).first()
         return row.start_date, row.end_date
 
@@ -146,8 +149,8 @@ class Dashboard:
         s, e = self.resolve(start, end)
         return cohort.retention_rates(cohort.cohort_read(self.cohort_matrix, s, e))
 
-    def all(self, start=None, end=None, period: str = "day", cache_slice: bool = False) -> dict:
+    def all(self, start=None, end=None, period: str = "day") -> dict:
         check_period(period)
         s, e = self.resolve(start, end)
         return dashboard_sections(self.facts, self.funnel_mart, self.cohort_matrix, s, e, period,
-                                  self.user_rfm, cache_slice)
+                                  self.user_rfm)

@@ -19,10 +19,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.joins import DEFAULT_BROADCAST_ROWS
 from ..operators import clean, cohort, facts, funnel, quality, rfm
 from ..sinks import publish as sink
-from ..sources.files import capped
 
 
 @dataclass
@@ -41,8 +39,6 @@ class Marts:
         for df in (self.touch, self.joined):
             if df is not None:
                 df.unpersist()
-        if self.segments is not None:
-            self.segments.release()
 
     def tables(self) -> dict:
         out = {
@@ -58,11 +54,9 @@ class Marts:
 
 
 def build_marts(log: DataFrame, items: DataFrame, users: DataFrame, window=None,
-                tz: str = "UTC", max_rows: int | None = None, cutoff=None,
+                tz: str = "UTC", cutoff=None,
                 segment: bool = True, thresholds=None, weights=None,
                 observation: Observation | None = None,
-                raw_observation: Observation | None = None,
-                max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
                 materialize: str = "persist", work_path: str | None = None) -> Marts:
     """Lazily define every mart over one materialised joined table.
 
@@ -74,13 +68,11 @@ def build_marts(log: DataFrame, items: DataFrame, users: DataFrame, window=None,
     one file per task and no shuffle: every mart reads the whole window, so
     date folders would only multiply files (tasks x days on an unordered
     log). The table write is an action; the counters fill during it.
+    Counters sit above the window filter, so its ``ts`` range reaches the scan.
     ``cutoff`` (RFM reference date) defaults to the last windowed event date.
     """
-    raw = capped(log, max_rows)
-    if raw_observation is not None:
-        raw = raw.observe(raw_observation, F.count(F.lit(1)).alias("raw_rows"))
-    events = clean.derive_events(raw, window, tz)
-    joined = clean.join_dimensions(events, items, users, max_broadcast_rows)
+    events = clean.derive_events(log, window, tz)
+    joined = clean.join_dimensions(events, items, users)
     if observation is not None:
         joined = joined.observe(
             observation,
@@ -115,63 +107,81 @@ def build_marts(log: DataFrame, items: DataFrame, users: DataFrame, window=None,
 
 
 def run_etl(spark: SparkSession, log: DataFrame, items: DataFrame, users: DataFrame,
-            out_root: str, window=None, tz: str = "UTC", max_rows: int | None = None,
+            out_root: str, window=None, tz: str = "UTC",
             model_path: str | None = None, thresholds=None, weights=None,
             parallelism: int = 4, materialize: str = "table") -> dict:
     """Build, publish (all marts switch together) and append one DQ log row.
 
     By default the joined table is written once under ``out_root/_work/``
-    (shared storage) and every mart reads it back column-pruned; that copy is
-    the run's cleaned event table (rejects included) and can be expired with
-    old mart versions. ``materialize="persist"`` caches it in executors instead.
+    (shared storage) and every mart reads it back column-pruned; the copy is
+    deleted at the end. ``materialize="persist"`` caches it in executors instead.
 
-    Order of work: one pass fills the joined cache and the DQ counters; the
+    Order of work: one pass fills the joined table and the DQ counters; the
     log-derived marts are then staged concurrently while KMeans fits; the
     segment table joins the same version; one pointer commit publishes all.
+    If anything fails, staging stops, its folders and the work table go, caches
+    are released, and the error is raised.
     """
     started = time.time()
     out_root = out_root.rstrip("/")
-    obs, raw_obs = Observation("dq"), Observation("raw")
+    obs = Observation("dq")
     work = f"{out_root}/_work/joined-{sink.new_version()}"
-    marts = build_marts(log, items, users, window, tz, max_rows, segment=False,
-                        observation=obs, raw_observation=raw_obs,
-                        materialize=materialize, work_path=work)
-    if materialize == "persist":
-        marts.joined.count()                   # the one pass: fills the cache and the counters
-    dq, raw_rows = obs.get, raw_obs.get["raw_rows"]
-    cutoff = dq["cutoff_date"]
-    if cutoff is None:
-        marts.release()
-        raise ValueError("no behaviour events inside the business window")
-    # Fill the shared first-touch cache once; the concurrently staged strict
-    # and loose marts then both read it instead of racing to compute it.
-    marts.touch.count()
-    stager = sink.Stager(spark, out_root, parallelism=parallelism)
-    for name, df in marts.tables().items():
-        stager.stage(name, df)
-    marts.segments = rfm.segment_users(rfm.rfm_base(marts.wide, cutoff),
-                                       thresholds=thresholds, weights=weights)
-    stager.stage("user_rfm", marts.segments.user_rfm)
-    if model_path:
-        rfm.save_models(marts.segments, model_path)
-    rows = stager.commit()
-
-    clean_rows = dq["joined_rows"] - dq["missing_price"]
-    values = {
-        "raw_rows": raw_rows, "item_rows": items.count(), "user_rows": users.count(),
-        "missing_price": dq["missing_price"], "missing_channel": dq["missing_channel"],
-        "missing_age_group": dq["missing_age_group"], "clean_rows": clean_rows,
-        "drop_rate_pct": round((1 - clean_rows / max(raw_rows, 1)) * 100, 2),
-        **{f"{n}_rows": r for n, r in rows.items()},
-        "kmeans_best_k": marts.segments.best_k, "kmeans_silhouette": marts.segments.best_score,
-    }
-    typed = {**values, "cutoff_date": str(cutoff)}
-    metrics = spark.createDataFrame([tuple(typed.values())], list(typed.keys()))
-    nulls = spark.createDataFrame([(dq["missing_price"], dq["missing_channel"], dq["missing_age_group"])],
-                                  "missing_price long, missing_channel long, missing_age_group long")
-    row = quality.dq_log_row(metrics, quality.dq_warnings(nulls), rfm.cluster_profiles(marts.segments),
-                             _dt.datetime.now(), time.time() - started)
-    sink.append_log(row, f"{out_root}/etl_dq_log")
-    marts.release()
-    return {"version": stager.version, "cutoff_date": str(cutoff), **values,
-            "elapsed_seconds": time.time() - started}
+    marts = stager = None
+    try:
+        marts = build_marts(log, items, users, window, tz, segment=False,
+                            observation=obs, materialize=materialize, work_path=work)
+        if materialize == "persist":
+            marts.joined.count()               # the one pass: fills the cache and the counters
+        dq = obs.get
+        cutoff = dq["cutoff_date"]
+        if cutoff is None:
+            raise ValueError("no behaviour events inside the business window")
+        # Fill the shared first-touch cache once; the concurrently staged strict
+        # and loose marts then both read it instead of racing to compute it.
+        marts.touch.count()
+        stager = sink.Stager(spark, out_root, parallelism=parallelism)
+        for name, df in marts.tables().items():
+            stager.stage(name, df)
+        marts.segments = rfm.segment_users(rfm.rfm_base(marts.wide, cutoff),
+                                           thresholds=thresholds, weights=weights)
+        stager.stage("user_rfm", marts.segments.user_rfm)
+        if model_path:
+            rfm.save_models(marts.segments, model_path)
+        profiles = rfm.cluster_profiles(marts.segments)
+        rows = stager.commit()
+        stager = None
+
+        clean_rows = dq["joined_rows"] - dq["missing_price"]
+        # counts of whole inputs: answered from file footers where they have one
+        raw_rows = log.count()
+        values = {
+            "raw_rows": raw_rows, "item_rows": items.count(), "user_rows": users.count(),
+            "malformed_rows": clean.malformed_events(log).count(),
+            "missing_price": dq["missing_price"], "missing_channel": dq["missing_channel"],
+            "missing_age_group": dq["missing_age_group"], "clean_rows": clean_rows,
+            "drop_rate_pct": round((1 - clean_rows / max(raw_rows, 1)) * 100, 2),
+            **{f"{n}_rows": r for n, r in rows.items()},
+            "kmeans_best_k": marts.segments.best_k, "kmeans_silhouette": marts.segments.best_score,
+        }
+        typed = {**values, "cutoff_date": str(cutoff)}
+        metrics = spark.createDataFrame([tuple(typed.values())], list(typed.keys()))
+        nulls = spark.createDataFrame([(dq["missing_price"], dq["missing_channel"], dq["missing_age_group"])],
+                                      "missing_price long, missing_channel long, missing_age_group long")
+        row = quality.dq_log_row(metrics, quality.dq_warnings(nulls), profiles,
+                                 _dt.datetime.now(), time.time() - started)
+        sink.append_log(row, f"{out_root}/etl_dq_log")
+        version = marts_version(spark, out_root)
+        return {"version": version, "cutoff_date": str(cutoff), **values,
+                "elapsed_seconds": time.time() - started}
+    finally:
+        if stager is not None:
+            stager.abort()
+        if marts is not None:
+            marts.release()
+        if materialize == "table":
+            sink.delete_path(spark, work)
+
+
+def marts_version(spark: SparkSession, out_root: str) -> str:
+    """Version of the newest published buy facts."""
+    return (sink.current_versions(spark, out_root).filter("table_name = 'buy_fact'").first()).version

@@ -20,13 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.casts import safe_double, safe_int
+from .functions.segments import segment_label_py
 from .operators import (adhoc, clean, cohort, facts, funnel, profile, quality,
                         rfm, sales)
 from .plans import dashboard
 from .session import scratch_path
 from .sinks import publish as sink
 from .sources import fixtures as fx
-from .sources.files import capped
+from .sources import files
 from .streaming import ingest as streaming
 
 LOG_START, LOG_END = fx.LOG_WINDOW[0], "2024-01-30"
@@ -34,7 +35,10 @@ SPAN_START, SPAN_END = fx.SALES_SPAN
 MONTH_START, MONTH_END = fx.SALES_MONTH
 PREV_MONTH = ("1998-02-01", "1998-02-28")
 DRILL_DAY = "2024-01-15"
-CAP_ROWS = 2000
+KPI_RANGE = ("2024-01-16", "2024-01-30")   # has a previous window inside the log
+LAST_COHORTS = 3
+CENTERS = ((-0.6, 0.7, 0.6), (0.9, -0.5, -0.5), (0.0, 0.0, 0.0))
+LOG_RUNS = (_dt.datetime(2024, 2, 1), _dt.datetime(2024, 2, 2))
 ADHOC_STATEMENT = ("SELECT channel, CAST(SUM(price) AS DOUBLE) AS sales, "
                    "COUNT(DISTINCT order_id) AS orders FROM buy_fact GROUP BY channel")
 
@@ -73,29 +77,54 @@ def _loose(spark, d):
 
 def _rfm_base(spark, d):
     cl = _cleaned(spark, d)
-    return rfm.rfm_base(cl.wide, rfm.cutoff_value(cl.events))
+    return rfm.rfm_base(cl.priced, rfm.cutoff_value(cl.events))
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the scratch folder and read back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _rule_segments(base: DataFrame) -> DataFrame:
+    """Segment table by the label rule on each buyer's z-scores."""
+    return rfm.segment_rule(rfm.rfm_zscores(base, digits=None)).withColumnRenamed("rule_label", "rfm_label")
+
+
+def _published(spark, d) -> str:
+    """Root of marts published from one written pass over the log."""
+    cl = _cleaned(spark, d)
+    wide = _written(cl.wide, "wide")
+    strict, loose = funnel.build_funnels(wide, fx.LOG_TZ)
+    root = scratch_path(spark, "marts")
+    sink.publish(spark, root, {
+        "buy_fact": facts.buy_fact(wide), "user_funnel_mart": strict, "user_funnel_loose_mart": loose,
+        "cohort_matrix": cohort.cohort_matrix(wide),
+        "user_rfm": _rule_segments(rfm.rfm_base(wide, rfm.cutoff_value(cl.events)))})
+    return root
 
 
 def _segments(spark, d) -> rfm.Segments:
     return rfm.segment_users(_rfm_base(spark, d))
 
 
-def _sections(spark, d, start, end, period):
-    wide = _wide(spark, d)
-    return dashboard.dashboard_sections(facts.buy_fact(wide), funnel.build_funnels(wide, fx.LOG_TZ)[0],
-                                        cohort.cohort_matrix(wide), start, end, period)
+def _bundle(spark, d, start, end, period):
+    dash = dashboard.Dashboard.from_published(spark, _published(spark, d))
+    return dashboard.bundle_long(dash.all(start, end, period))
 
 
 # ---- queries -------------------------------------------------------------
 
 def _q_dq_counts(spark, d):
     cl = _cleaned(spark, d)
-    strict, loose = funnel.build_funnels(cl.wide, fx.LOG_TZ)
+    wide = _written(cl.wide, "wide")
+    strict, loose = funnel.build_funnels(wide, fx.LOG_TZ)
     return quality.dq_counts({
         "raw_log": cl.raw, "items": fx.items(spark, d), "users": fx.users(spark, d),
-        "clean": cl.wide, "buy_fact": facts.buy_fact(cl.wide),
-        "user_rfm": rfm.rfm_base(cl.wide, rfm.cutoff_value(cl.events)),
-        "cohort_matrix": cohort.cohort_matrix(cl.wide),
+        "clean": wide, "buy_fact": facts.buy_fact(wide),
+        "user_rfm": rfm.rfm_base(wide, rfm.cutoff_value(cl.events)),
+        "cohort_matrix": cohort.cohort_matrix(wide),
         "user_funnel_mart": strict, "user_funnel_loose_mart": loose,
     })
 
@@ -137,13 +166,48 @@ def _q_adhoc(spark, d):
     return adhoc.run_adhoc(spark, ADHOC_STATEMENT, {"buy_fact": _sales(spark, d)})
 
 
-def _q_publish_roundtrip(spark, d):
-    root = scratch_path(spark, "marts")
-    wide = _wide(spark, d)
-    strict, loose = funnel.build_funnels(wide, fx.LOG_TZ)
-    sink.publish(spark, root, {"buy_fact": facts.buy_fact(wide), "user_funnel_mart": strict,
-                               "cohort_matrix": cohort.cohort_matrix(wide)})
-    return _edge(sink.read_mart(spark, root, "buy_fact"))
+def _q_read_back(name):
+    return lambda spark, d: _edge(sink.read_mart(spark, _published(spark, d), name))
+
+
+def _q_csv(name):
+    """A table written as CSV and read with the CSV reader of its kind."""
+    make, header, read = {
+        "behavior": (_log, False, files.read_behavior_csv),
+        "items": (fx.items, True, files.read_items_csv),
+        "users": (fx.users, True, files.read_users_csv)}[name]
+
+    def query(spark, d):
+        path = scratch_path(spark, f"csv-{name}")
+        make(spark, d).write.option("header", header).csv(path)
+        return _edge(read(spark, path))
+    return query
+
+
+def _q_rule_distribution(spark, d):
+    return rfm.rfm_distribution(facts.buy_fact(_wide(spark, d)), _rule_segments(_rfm_base(spark, d)),
+                                LOG_START, LOG_END)
+
+
+def _q_center_profiles(spark, d):
+    zs = rfm.rfm_zscores(_rfm_base(spark, d), digits=None)
+    return rfm.profile_clusters(rfm.assign_centers(zs, CENTERS),
+                                {i: segment_label_py(c) for i, c in enumerate(CENTERS)})
+
+
+def _q_dq_log_append(spark, d):
+    """Two runs appended to the DQ log, read back and unpacked."""
+    cl = _cleaned(spark, d)
+    metrics = _written(quality.dq_metrics(cl.raw, fx.items(spark, d), fx.users(spark, d), cl.events,
+                                          cl.joined, cl.wide, {"buy_fact": facts.buy_fact(cl.wide)}), "dq")
+    warnings = _written(quality.dq_warnings(quality.dq_nulls(cl.joined)), "dq-warnings")
+    path = scratch_path(spark, "dq-log")
+    for run in LOG_RUNS:
+        sink.append_log(quality.dq_log_row(metrics, warnings, None, run, 0.0), path)
+    back = spark.read.parquet(path)
+    return back.select(F.date_format("run_time", "yyyy-MM-dd").alias("run_day"),
+                       F.size(F.from_json("warnings", "array<string>")).alias("n_warnings"),
+                       F.explode(F.from_json("metrics", "map<string,double>")).alias("metric", "value"))
 
 
 def _stream_input(spark, d):
@@ -163,12 +227,12 @@ def _q_stream_daily_volume(spark, d):
     root, stream = _stream_input(spark, d)
     out = streaming.daily_volume_stream(stream, fx.items(spark, d))
     streaming.start_table_sink(out, f"{root}/daily", f"{root}/ckpt").awaitTermination()
-    return spark.read.parquet(f"{root}/daily")
+    return streaming.read_table_sink(spark, f"{root}/daily")
 
 
 def _q_dq_log(spark, d):
     cl = _cleaned(spark, d)
-    seg = rfm.segment_users(rfm.rfm_base(cl.wide, rfm.cutoff_value(cl.events)))
+    seg = rfm.segment_users(rfm.rfm_base(cl.priced, rfm.cutoff_value(cl.events)))
     metrics = quality.dq_metrics(cl.raw, fx.items(spark, d), fx.users(spark, d), cl.events,
                                  cl.joined, cl.wide)
     return quality.dq_log_row(metrics, quality.dq_warnings(quality.dq_nulls(cl.joined)),
@@ -182,9 +246,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "scan_behavior": lambda s, d: _log(s, d),
         "scan_items": lambda s, d: _edge(fx.items(s, d)),
         "scan_users": lambda s, d: fx.users(s, d),
-        "capped_behavior": lambda s, d: capped(_log(s, d), CAP_ROWS),
-        # the same cap through the distributed path used for large limits
-        "capped_behavior_distributed": lambda s, d: capped(_log(s, d), CAP_ROWS, local_limit=0),
+        "scan_behavior_csv": _q_csv("behavior"),
+        "scan_items_csv": _q_csv("items"),
+        "scan_users_csv": _q_csv("users"),
         # cleaning
         "clean_events": lambda s, d: clean.derive_events(_log(s, d), fx.LOG_WINDOW, fx.LOG_TZ),
         "wide_events": lambda s, d: _edge(_wide(s, d)),
@@ -217,7 +281,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             cohort.cohort_read(cohort.cohort_matrix(_wide(s, d)), LOG_START, LOG_END)),
         "retention_grid": lambda s, d: cohort.retention_grid(cohort.cohort_matrix(_wide(s, d))),
         "retention_wide": lambda s, d: cohort.retention_wide(cohort.cohort_matrix(_wide(s, d))),
-        "last_cohorts": lambda s, d: cohort.last_cohorts(cohort.cohort_matrix(_wide(s, d))),
+        "last_cohorts": lambda s, d: cohort.last_cohorts(cohort.cohort_matrix(_wide(s, d)), LAST_COHORTS),
         # RFM and segments
         "rfm_base": _rfm_base,
         "rfm_zscores": lambda s, d: rfm.rfm_zscores(_rfm_base(s, d)),
@@ -227,6 +291,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kmeans_sweep": _q_kmeans_sweep,
         "cluster_profiles": _q_cluster_profiles,
         "rfm_distribution": _q_rfm_distribution,
+        "rfm_distribution_rule": _q_rule_distribution,
+        "cluster_profiles_fixed": _q_center_profiles,
         # sales queries over purchase facts
         "core_metrics": lambda s, d: sales.core_metrics(_sales(s, d), SPAN_START, SPAN_END),
         "trend_day": lambda s, d: sales.trend(_sales(s, d), SPAN_START, SPAN_END, "day"),
@@ -243,12 +309,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "growth_week": lambda s, d: sales.growth(_sales(s, d), MONTH_START, MONTH_END, "week"),
         "growth_month": lambda s, d: sales.growth(_sales(s, d), MONTH_START, MONTH_END, "month"),
         "dimension_breakdown": lambda s, d: sales.dimension_breakdown(_sales(s, d), SPAN_START, SPAN_END),
-        "dimension_share": lambda s, d: sales.dimension_share(
-            sales.dimension_breakdown(_sales(s, d), SPAN_START, SPAN_END)),
+        "dimension_share": lambda s, d: sales.dimension_share(_sales(s, d), SPAN_START, SPAN_END),
         "kpi_summary": lambda s, d: sales.kpi_summary(
-            facts.buy_fact(_wide(s, d)), _strict(s, d), LOG_START, LOG_END, "day"),
-        "dashboard_bundle": lambda s, d: dashboard.bundle_long(_sections(s, d, LOG_START, LOG_END, "week")),
-        "daily_drilldown": lambda s, d: dashboard.bundle_long(_sections(s, d, DRILL_DAY, DRILL_DAY, "day")),
+            facts.buy_fact(_wide(s, d)), _strict(s, d), *KPI_RANGE, "day"),
+        "dashboard_bundle": lambda s, d: _bundle(s, d, LOG_START, LOG_END, "week"),
+        "daily_drilldown": lambda s, d: _bundle(s, d, DRILL_DAY, DRILL_DAY, "day"),
         # log profiling
         "daily_volume": lambda s, d: profile.daily_volume(_log(s, d), fx.LOG_TZ),
         "hourly_volume": lambda s, d: profile.hourly_volume(s, _log(s, d)),
@@ -258,8 +323,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # scalar helpers, ad-hoc SQL, sinks
         "safe_cast": _q_safe_cast,
         "adhoc_sql": _q_adhoc,
-        "publish_roundtrip": _q_publish_roundtrip,
+        "publish_roundtrip": _q_read_back("buy_fact"),
+        "publish_funnel_strict": _q_read_back("user_funnel_mart"),
+        "publish_funnel_loose": _q_read_back("user_funnel_loose_mart"),
+        "publish_cohort_matrix": _q_read_back("cohort_matrix"),
+        "publish_user_rfm": _q_read_back("user_rfm"),
         "dq_log": _q_dq_log,
+        "dq_log_append": _q_dq_log_append,
         # incremental ingest (Structured Streaming)
         "stream_buy_fact": _q_stream_buy_fact,
         "stream_daily_volume": _q_stream_daily_volume,

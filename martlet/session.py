@@ -8,6 +8,7 @@ zone, though: every date derived from epoch seconds takes an explicit zone.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -45,14 +46,15 @@ def build_session(master: str = "local[*]", app: str = "martlet",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster sets it to shared storage; only when it is unset on a local
-    master (tests, local runs) do we point it at a fresh local folder. On a
+    A cluster sets it to shared storage; only when it is unset on a master
+    inside this process (``local``, ``local[n]``: tests, local runs) do we point
+    it at a fresh local folder. On a
     cluster an unset value is an error: a machine-local folder would not be
     visible to the executors.
     """
     current = spark.conf.get(CHECKPOINT_CONF, None)
     if not current:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError(f"{CHECKPOINT_CONF} must name a shared folder when running on a cluster")
         current = tempfile.mkdtemp(prefix="martlet-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, current)

@@ -7,10 +7,12 @@ Layout under ``root``::
 
 ``publish`` writes each table into a fresh version folder (partitioned and
 sorted per ``MART_LAYOUT``), and only after every table is written appends
-one pointer row per table in a single job. Readers resolve the newest pointer
-per table, so they see either the old set of marts or the new one, never a
-half-written table. The pointer log holds one row per table per run, so
-resolving it is a small read.
+one pointer row per table in a single job. Commits are numbered, so clocks do
+not decide which is newer. Readers resolve the newest pointer per table, and
+``read_marts`` resolves several tables from one read of the pointer log, so
+they see either the old set of marts or the new one, never a half-written
+table or a mixture. The pointer log holds one row per table per run, so
+resolving it is a small read. ``expire`` deletes versions no longer pointed at.
 
 Tables are staged concurrently (independent Spark jobs from a thread pool),
 and each table's row count is gathered with ``observe`` while it is written,
@@ -101,16 +103,48 @@ class Stager:
         previously published set stays current."""
         try:
             rows = {name: fut.result() for name, fut in self.pending.items()}
-        finally:
-            self.pool.shutdown(wait=True)
+        except BaseException:
+            self.abort()
+            raise
+        self.pool.shutdown(wait=True)
         now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+        number = last_commit(self.spark, self.root) + 1
         pointers = self.spark.createDataFrame(
-            [(n, self.version, f"{self.root}/{n}/v={self.version}", now, r) for n, r in rows.items()],
-            "table_name string, version string, path string, published_at timestamp, rows long")
+            [(n, self.version, f"{self.root}/{n}/v={self.version}", number, now, r) for n, r in rows.items()],
+            POINTERS)
         pointers.coalesce(1).write.mode("append").parquet(f"{self.root}/_versions")
         return rows
 
 
+    def abort(self) -> None:
+        """Stop staging and delete what this version has written."""
+        self.pool.shutdown(wait=True, cancel_futures=True)
+        for name in self.pending:
+            delete_path(self.spark, f"{self.root}/{name}/v={self.version}")
+
+
+POINTERS = ("table_name string, version string, path string, commit long, published_at timestamp, rows long")
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's file system layer, if it exists."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def last_commit(spark: SparkSession, root: str) -> int:
+    """Number of the newest commit, 0 before the first."""
+    path = f"{root.rstrip('/')}/_versions"
+    if not exists(spark, path):
+        return 0
+    return spark.read.schema(POINTERS).parquet(path).agg(F.max("commit")).first()[0] or 0
+
+
 def publish(spark: SparkSession, root: str, tables: dict, version: str | None = None,
             parallelism: int = 4, layouts: dict | None = None) -> str:
     """Stage every table under one new version, then switch them together."""
@@ -123,20 +157,44 @@ def publish(spark: SparkSession, root: str, tables: dict, version: str | None =
 
 def current_versions(spark: SparkSession, root: str) -> DataFrame:
     """Newest pointer row per table."""
-    log = spark.read.parquet(f"{root.rstrip('/')}/_versions")
-    newest = Window.partitionBy("table_name").orderBy(F.col("published_at").desc(), F.col("version").desc())
+    log = spark.read.schema(POINTERS).parquet(f"{root.rstrip('/')}/_versions")
+    newest = Window.partitionBy("table_name").orderBy(F.col("commit").desc(), F.col("version").desc())
     return log.withColumn("_r", F.row_number().over(newest)).filter("_r = 1").drop("_r")
 
 
+def read_marts(spark: SparkSession, root: str, names, schema=None) -> dict:
+    """Published marts by name, all resolved from one read of the pointer log
+    (a commit in between changes none or all of them). Missing names are left
+    out. Declared schemas are used where known, so partition columns keep
+    their types."""
+    paths = {r.table_name: r.path for r in current_versions(spark, root).collect()}
+    out = {}
+    for name in names:
+        if name in paths:
+            declared = schema or MART_SCHEMAS.get(name)
+            reader = spark.read.schema(declared) if declared is not None else spark.read
+            out[name] = reader.parquet(paths[name])
+    return out
+
+
 def read_mart(spark: SparkSession, root: str, name: str, schema=None) -> DataFrame:
-    """The currently published version of one mart (declared schema when
-    known, so partition columns keep their types)."""
-    rows = current_versions(spark, root).filter(F.col("table_name") == name).select("path").take(1)
-    if not rows:
+    """The currently published version of one mart."""
+    found = read_marts(spark, root, [name], schema)
+    if name not in found:
         raise KeyError(f"mart {name!r} has not been published under {root}")
-    schema = schema or MART_SCHEMAS.get(name)
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(rows[0]["path"])
+    return found[name]
+
+
+def expire(spark: SparkSession, root: str, keep: int = 2) -> int:
+    """Delete the folders of all but the newest ``keep`` versions of each
+    table; returns how many were deleted. Pointer rows stay."""
+    log = spark.read.schema(POINTERS).parquet(f"{root.rstrip('/')}/_versions")
+    age = F.row_number().over(Window.partitionBy("table_name").orderBy(F.col("commit").desc(), F.col("version").desc()))
+    old = [r.path for r in log.withColumn("_r", age).filter(F.col("_r") > keep).select("path").collect()]
+    gone = [p for p in old if exists(spark, p)]
+    for path in gone:
+        delete_path(spark, path)
+    return len(gone)
 
 
 def append_log(df: DataFrame, path: str) -> None:

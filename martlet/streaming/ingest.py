@@ -3,16 +3,15 @@
 The batch operators are reused unchanged on a file stream:
 
 * ``buy_fact_stream``   dated, windowed, keyed events ⟕ items ⟕ users
-                        (stream-static joins; the dimension sides go through
-                        the same size-checked broadcast), missing price
-                        dropped, attributes filled, purchases kept. Stateless,
+                        (stream-static joins), missing price dropped, attributes filled, purchases kept. Stateless,
                         so append mode needs no watermark.
 * ``daily_volume_stream`` events and sales per UTC day over an event-time
                         watermark. In append mode a day's row is emitted once
                         the watermark passes its end and its state is dropped
                         (state bounded by the lateness); ``start_table_sink``
                         instead keeps the complete per-day table (one small row
-                        per day) and rewrites it each micro-batch.
+                        per day): each micro-batch is written as a version of its
+                        own, which ``read_table_sink`` sees once it is complete.
 
 Sinks write Parquet (partitioned by date) with the checkpoint under the
 cluster's ``spark.checkpoint.dir``; a restarted query resumes from its
@@ -26,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
-from ..functions.joins import DEFAULT_BROADCAST_ROWS, sized_broadcast
 from ..operators import clean, facts
+from ..sinks.publish import delete_path, exists
 
 
 def read_log_stream(spark: SparkSession, path: str, fmt: str = "parquet",
@@ -42,16 +41,15 @@ def read_log_stream(spark: SparkSession, path: str, fmt: str = "parquet",
 
 
 def buy_fact_stream(log_stream: DataFrame, items: DataFrame, users: DataFrame, window=None,
-                    tz: str = "UTC", max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                    tz: str = "UTC") -> DataFrame:
     """Purchase facts of a log stream (same operators as the batch path)."""
-    cl = clean.load_and_clean(log_stream, items, users, window, tz, max_broadcast_rows)
+    cl = clean.load_and_clean(log_stream, items, users, window, tz)
     return facts.buy_fact(cl.wide)
 
 
-def daily_volume_stream(log_stream: DataFrame, items: DataFrame, lateness: str = "1 day",
-                        max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def daily_volume_stream(log_stream: DataFrame, items: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Per UTC day: all events, purchases and purchase sales (priced items)."""
-    priced = sized_broadcast(items.select("item_id", F.col("price").alias("_p")), max_broadcast_rows)
+    priced = items.select("item_id", F.col("price").alias("_p"))
     ev = (log_stream.withColumn("event_time", F.timestamp_seconds("ts"))
           .withWatermark("event_time", lateness)
           .join(priced, "item_id", "left"))
@@ -67,9 +65,13 @@ def daily_volume_stream(log_stream: DataFrame, items: DataFrame, lateness: str =
 
 def start_table_sink(stream: DataFrame, out_path: str, checkpoint: str,
                      available_now: bool = True) -> StreamingQuery:
-    """Complete-mode aggregate rewritten to ``out_path`` per micro-batch."""
-    def write(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+    """Complete-mode aggregate: micro-batch n becomes ``out_path/batch=n``. A
+    retried batch replaces its own folder; older versions stay whole for
+    readers, and the last two are kept."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        if batch_id >= 2:
+            delete_path(batch.sparkSession, f"{out_path}/batch={batch_id - 2}")
     writer = (stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
               .foreachBatch(write))
     if available_now:
@@ -77,6 +79,19 @@ def start_table_sink(stream: DataFrame, out_path: str, checkpoint: str,
     return writer.start()
 
 
+def read_table_sink(spark: SparkSession, out_path: str) -> DataFrame:
+    """Newest complete version of a table sink (a version is complete once its
+    success marker is written)."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(out_path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    numbers = [int(s.getPath().getName().partition("=")[2]) for s in files.listStatus(where)
+               if s.getPath().getName().startswith("batch=")]
+    for n in sorted(numbers, reverse=True):
+        if exists(spark, f"{out_path}/batch={n}/_SUCCESS"):
+            return spark.read.parquet(f"{out_path}/batch={n}")
+    raise FileNotFoundError(f"no complete version under {out_path}")
+
+
 def stage_files(df: DataFrame, path: str, n_files: int = 4) -> str:
     """Land a DataFrame as ``n_files`` Parquet files (an arriving batch)."""
     df.repartition(n_files).write.mode("append").parquet(path)
