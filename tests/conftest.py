@@ -24,27 +24,43 @@ def D(s):
     return dt.date.fromisoformat(s)
 
 
+@pytest.fixture(scope="session")
+def duck():
+    """DuckDB over the smallest tables, for expected values."""
+    import duckdb
+    from martlet.sources.fixtures import TABLES
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
+    return con
+
+
 @pytest.fixture()
 def buy_fact(spark):
-    """The three purchase rows of the original test database."""
+    """Four orders of a spring: one with two lines, one a month later."""
     rows = [
-        (D("2017-11-15"), 1, "ORD001", 101, 10, Decimal("99.90"), "App Store", "25-34"),
-        (D("2017-11-15"), 2, "ORD002", 102, 10, Decimal("199.00"), "官网", "18-24"),
-        (D("2017-11-16"), 3, "ORD003", 103, 20, Decimal("50.00"), "小程序", "35-45"),
+        (D("2021-05-03"), 7, "A1", 501, 31, Decimal("12.50"), "web", "18-24"),
+        (D("2021-05-03"), 8, "A2", 502, 32, Decimal("40.00"), "app", "25-34"),
+        (D("2021-05-03"), 8, "A2", 503, 32, Decimal("7.25"), "app", "25-34"),
+        (D("2021-05-10"), 9, "A3", 502, 32, Decimal("40.00"), "store", "46+"),
+        (D("2021-06-01"), 7, "A4", 504, 33, Decimal("100.00"), "web", "18-24"),
     ]
     return spark.createDataFrame(rows, schemas.BUY_FACT)
 
 
 @pytest.fixture()
 def funnel_mart(spark):
-    """Pre-aggregated funnel counts as in the original fixture (1000/100/20)."""
-    return spark.createDataFrame([(0, D("2017-11-15"), 1000, 100, 20)], schemas.FUNNEL_MART)
+    """Four user-days: one buyer on two of them."""
+    rows = [(1, D("2021-05-03"), 1, 1, 0), (2, D("2021-05-03"), 1, 1, 1),
+            (3, D("2021-05-04"), 1, 0, 0), (2, D("2021-05-05"), 1, 1, 1)]
+    return spark.createDataFrame(rows, schemas.FUNNEL_MART)
 
 
 @pytest.fixture()
 def cohort_rows(spark):
     return spark.createDataFrame(
-        [(D("2017-11-15"), 0, 100, 100), (D("2017-11-15"), 1, 72, 100)], schemas.COHORT_MATRIX)
+        [(D("2021-05-03"), 0, 50, 50), (D("2021-05-03"), 1, 20, 50), (D("2021-05-03"), 3, 13, 50)],
+        schemas.COHORT_MATRIX)
 
 
 def ts(s: str) -> int:

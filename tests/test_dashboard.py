@@ -1,41 +1,49 @@
-"""The dashboard entry points over the original three-row test marts."""
+"""Dashboard entry points over small marts."""
 
 import pytest
 
-from martlet.plans.dashboard import Dashboard, bundle_long
+from martlet.constants import LABEL_LOYAL, LABEL_REGULAR
+from martlet.plans.dashboard import Dashboard, bundle_long, daily_drilldown
 
 
 @pytest.fixture()
 def dash(spark, buy_fact, funnel_mart, cohort_rows):
-    segments = spark.createDataFrame([(1, "核心高价值客户"), (2, "一般维持客户")], "user_id int, rfm_label string")
+    segments = spark.createDataFrame([(7, LABEL_LOYAL), (8, LABEL_REGULAR)], "user_id int, rfm_label string")
     return Dashboard(buy_fact, funnel_mart, cohort_rows, segments)
 
 
-def test_default_range(dash):
-    s, e = dash.resolve()
-    assert (str(s), str(e)) == ("2017-10-17", "2017-11-16")
+def test_missing_dates_resolve_to_the_last_thirty_days(dash):
+    assert tuple(map(str, dash.resolve())) == tuple(map(str, dash.resolve(start="2021-01-01"))) == (
+        "2021-05-02", "2021-06-01")
+    for bad in (("2021-02-30", "2021-03-01"), ("2021-06-01", "2021-05-01")):
+        with pytest.raises(ValueError):
+            dash.resolve(*bad)
+
+
+def test_sections(dash):
+    may = ("2021-05-01", "2021-05-31")
+    core = dash.core(*may).first()
+    assert (core.total_sales, core.total_orders, core.paying_users) == (99.75, 3, 2)
+    assert [r.dt for r in dash.trend(*may, period="week").collect()] == ["2021-18", "2021-19"]
+    assert [r.value for r in dash.funnel(*may).collect()] == [4, 3, 2]
+    assert [r.item_id for r in dash.rankings(*may).collect()] == [502, 501, 503]
+    # buyer 9 has no segment
+    assert {r.name: (r.value, r.share_pct) for r in dash.rfm(*may).collect()} == {
+        LABEL_LOYAL: (1, 50.0), LABEL_REGULAR: (1, 50.0)}
+    assert [(r.day_diff, r.retention_pct) for r in dash.retention(*may).collect()] == [(0, 100.0), (1, 40.0), (3, 26.0)]
     with pytest.raises(ValueError):
-        dash.resolve("2017-13-01", "2017-11-02")
-
-
-def test_endpoints(dash):
-    core = dash.core("2017-11-15", "2017-11-16").first()
-    assert core.total_sales == pytest.approx(348.9) and core.total_orders == 3 and core.paying_users == 20
-    assert [r.dt for r in dash.trend(period="day").collect()] == ["2017-11-15", "2017-11-16"]
-    assert [r.value for r in dash.funnel().collect()] == [1000, 100, 20]
-    assert dash.rankings().count() == 3
-    rfm = {r.name: r.value for r in dash.rfm().collect()}
-    assert rfm == {"核心高价值客户": 1, "一般维持客户": 1}   # user 3 has no segment and drops out
-    assert [r.retention_pct for r in dash.retention().collect()] == [100.0, 72.0]
-    with pytest.raises(ValueError):
-        dash.trend(period="year")
+        dash.core(*may, period="hour")
+
+
+def test_bundle_holds_every_section(dash):
+    sections = dash.all("2021-05-01", "2021-06-30", period="month")
+    assert set(sections) == {"date_range", "core", "trend", "funnel", "rankings", "dimensions", "retention", "rfm"}
+    rows = {(r.section, r.name): r.value for r in bundle_long(sections).collect()}
+    assert rows["core", "total_sales"] == rows["trend_sales", "2021-05"] + rows["trend_sales", "2021-06"] == 199.75
+    assert rows["period", "月"] == 1.0 and rows["rfm", LABEL_LOYAL] == 1.0
+    assert rows["date_range", "max_date"] - rows["date_range", "min_date"] == 29.0
 
 
-def test_bundle_sections(dash):
-    sections = dash.all(period="week", cache_slice=True)
-    assert set(sections) == {"date_range", "core", "trend", "funnel", "rankings", "dimensions",
-                             "retention", "rfm"}
-    long = bundle_long(sections)
-    trend_total = sum(r.value for r in long.filter("section = 'trend_sales'").collect())
-    core_total = long.filter("section = 'core' AND name = 'total_sales'").first().value
-    assert trend_total == pytest.approx(core_total)
+def test_one_day(dash):
+    day = daily_drilldown(dash.facts, dash.funnel_mart, dash.cohort_matrix, "2021-05-10")
+    assert day["core"].first().total_sales == 40.0 and "rfm" not in day

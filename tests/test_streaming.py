@@ -25,7 +25,7 @@ def test_restart_resumes_without_duplicates(spark):
     ingest.stage_files(late, f"{root}/in", n_files=2)
     got = run()
     want = facts.buy_fact(clean.load_and_clean(log, items, users, fx.LOG_WINDOW).wide)
-    assert got.count() == want.count() == 181
+    assert got.count() == want.count() > 0
     assert got.select(*want.columns).exceptAll(want).count() == 0
 
 
@@ -36,5 +36,5 @@ def test_daily_volume_stream_complete_table(spark):
     stream = ingest.read_log_stream(spark, f"{root}/in", max_files_per_trigger=1)
     ingest.start_table_sink(ingest.daily_volume_stream(stream, items), f"{root}/daily",
                             f"{root}/ckpt").awaitTermination()
-    daily = spark.read.parquet(f"{root}/daily")
-    assert daily.groupBy().sum("events").first()[0] == 600
+    daily = ingest.read_table_sink(spark, f"{root}/daily")
+    assert daily.groupBy().sum("events").first()[0] == log.count()
