@@ -146,7 +146,7 @@ class Page:
                         break
                     if tag in INLINE and self.tag[stack[depth]] in CONTAINERS:
                         break
-                if tag not in INLINE:
+                if tag not in INLINE and tag not in RAW:
                     texts.append((-1, " ", False))
                 continue
             if tag in RAW:

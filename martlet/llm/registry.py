@@ -25,6 +25,43 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     )}
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(column: str) -> str:
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return f"regexp_extract_all(translate(coalesce({column}, ''), '{_UPPER}', '{_LOWER}'), '{pattern}')"
+
+
+#: Windows as joined words, compared by an equi-join; hit words are counted once.
+OP4 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_words('text')} AS w FROM documents),
+b AS (SELECT item_id, w, least(10, len(w)) AS k
+      FROM (SELECT item_id, {_words('text')} AS w FROM benchmark) WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS g
+       FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM b)),
+dw AS (SELECT r, p, k, array_to_string(w[p:p + k - 1], ' ') AS g
+       FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM bw) WHERE len(w) >= k)),
+hit AS (SELECT dw.r, dw.p, dw.k, bw.item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.g = bw.g),
+n AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(p, p + k)) AS x FROM hit) GROUP BY r),
+i AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n ON d.r = n.r LEFT JOIN i ON d.r = i.r"""
+
+_BITS = " + ".join(f"{1 << (4 - k)} * CAST(substr(bits, 5 * i + {k + 1}, 1) AS INTEGER)" for k in range(5))
+#: Base32 from the digest's bits, five at a time.
+OP8 = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+s AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex,
+             max(page_id) OVER (PARTITION BY html) AS top FROM p),
+x AS (SELECT *, CAST(CAST(from_hex(hex) AS BIT) AS VARCHAR) AS bits FROM s)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_BITS}, 1) for i in range(32)], '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to FROM x"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """DuckDB twins, where SQL can express an operator at whole-table cost."""
-    return {}
+    """DuckDB twins, where SQL can express an operator over whole tables. The
+    others are tested against brute-force versions in ``tests/llm``."""
+    return {"op4_benchmark_decontamination": OP4, "op8_warc": OP8}

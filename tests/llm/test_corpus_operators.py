@@ -1,0 +1,263 @@
+"""Operators that compare documents with each other, and the pipeline."""
+
+import collections
+import hashlib
+import math
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+import corpus_pipeline
+from llm_cases import SF_SMALL, empty, small, texts  # noqa: F401
+from martlet.llm import bpe, decontaminate, passages, pii, quality_rules, registry, simhash
+
+
+# ---- SimHash
+
+def plain_fingerprint(text):
+    words = (text or "").encode().lower().split()
+    k = min(4, len(words))
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i:i + k]), seed=42) for i in range(len(words) - k + 1)] if k else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(prints):
+    """Least id reachable over links of at most four bits, by union-find."""
+    up = list(range(len(prints)))
+
+    def find(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+    fps = np.array([f for _, f in prints], np.uint64)
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 4):
+            up[find(int(j))] = find(i)
+    least = {}
+    for k, (i, _) in enumerate(prints):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    return [least.get(find(k)) for k in range(len(prints))]
+
+
+@pytest.mark.parametrize("where", ["small", "supplied"])
+def test_simhash_query(spark, small, where):
+    root = small if where == "small" else SF_SMALL
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{root}/documents.parquet").collect()]
+    prints = [(i, plain_fingerprint(t)) for i, t in docs]
+    want = collections.Counter((i, f"{f:016x}", c) for (i, f), c in zip(prints, plain_components(prints)))
+    got = collections.Counter(tuple(r) for r in registry.queries()["op2_simhash_near_dedup"](spark, root).collect())
+    assert got == want
+
+
+def test_links_are_complete(spark):
+    rng = random.Random(5)
+    fps = set()
+    for _ in range(60):
+        f = rng.getrandbits(64)
+        fps.add(f)
+        for _ in range(8):                       # neighbours at up to six bits, in any segment
+            g = f
+            for b in rng.sample(range(64), rng.randint(1, 6)):
+                g ^= 1 << b
+            fps.add(g)
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    want = {(min(a, b), max(a, b)) for i, a in enumerate(signed) for b in signed[:i]
+            if ((a ^ b) & (2 ** 64 - 1)).bit_count() <= 4}
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    assert {tuple(r) for r in simhash.links(df).distinct().collect()} == want
+    with pytest.raises(ValueError):
+        simhash.links(df, max_bits=6)
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(205, 201), (205, 203)]
+    rows = simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    want = {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 201: 201, 203: 201, 205: 201}
+    assert {r.node: r.root for r in rows} == want and len(rows) == len(want)
+
+
+# ---- passages
+
+def test_compact_windows_against_definition():
+    rng = np.random.default_rng(2)
+    sequences = [rng.integers(0, 2 ** 63, size=n).astype(np.uint64) for n in (0, 10, 45, 46, 47, 300)]
+    sequences.append(np.repeat(sequences[-1][:5], 30))               # many ties
+    seq, fn, l, c, r, _, _ = passages.compact_windows(sequences)  # noqa: E741
+    for s, values in enumerate(sequences):
+        for i in range(passages.HASHES):
+            h = passages._mixed(values + passages._SEEDS[i])
+            bits = 10                            # ties of the kept bits go to the left
+            order = [((int(x) >> bits), p) for p, x in enumerate(h)]
+            want = []
+            for at in range(len(h)):
+                a = b = at
+                while a and order[a - 1] > order[at]:
+                    a -= 1
+                while b + 1 < len(h) and order[b + 1] > order[at]:
+                    b += 1
+                if b - a + 1 >= passages.LEAST:
+                    want.append((a, at, b))
+            got = (seq == s) & (fn == i)
+            assert sorted(zip(l[got].tolist(), c[got].tolist(), r[got].tolist())) == sorted(want)
+
+
+def test_passage_query(spark, small, texts):
+    rows = registry.queries()["op3_substring_dedup"](spark, small).collect()
+    words = {i: (t or "").lower().split() for i, t in texts}
+    linked = collections.defaultdict(set)
+    for r in rows:
+        a, b = words[r.doc_id][r.start_word:r.end_word], words[r.match_id][r.match_start:r.match_end]
+        left, right = ({tuple(x[k:k + 5]) for k in range(len(x) - 4)} for x in (a, b))
+        assert min(len(a), len(b)) >= 50 and r.similarity == pytest.approx(len(left & right) / len(left | right))
+        assert r.similarity >= 0.8 and r.doc_id != r.match_id
+        linked[r.doc_id].add(r.match_id)
+        linked[r.match_id].add(r.doc_id)
+    group = lambda i: {i} | {k for j in linked[i] for k in linked[j]} | linked[i]
+    assert group(75) == {75, 76, 77, 78}          # 78 has one word changed
+    assert group(3) == {3, 71, 72} and group(4) == {4, 73} and group(5) == {5, 74}
+    assert not any(linked[i] for i in range(11, 71)) and not linked[87]
+
+
+def test_every_shared_window_is_linked(spark):
+    docs = [(r.doc_id, (r.text or "").lower().split()) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
+    holders = collections.defaultdict(set)
+    for i, w in docs:
+        for k in range(len(w) - 49):
+            holders[tuple(w[k:k + 50])].add(i)
+    up = {i: i for i, _ in docs}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+    for r in registry.queries()["op3_substring_dedup"](spark, SF_SMALL).collect():
+        up[find(r.doc_id)] = find(r.match_id)
+    shared = [s for s in holders.values() if len(s) > 1]
+    assert shared and all(len({find(i) for i in s}) == 1 for s in shared)
+
+
+# ---- quality rules
+
+def plain_counts(text):
+    text = text or ""
+    words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text) if w]
+    lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    seen = collections.Counter(tuple(words[i:i + 8]) for i in range(len(words) - 7))
+    covered = {i + k for i in range(len(words) - 7) if seen[tuple(words[i:i + 8])] > 1 for k in range(8)}
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered))
+
+
+def plain_verdicts(rows):
+    """The rules in plain numpy: (doc_id, text, lang, source) -> kept flags."""
+    counts = [plain_counts(t) for _, t, _, _ in rows]
+    distinct = [len({w for w in __import__("re").split(r"[\x20\x09-\x0D]+", t or "") if w}) for _, t, _, _ in rows]
+    failed = [c[0] < 20 or 100 * c[4] > 30 * c[0] for c in counts]
+    sizes = collections.Counter((r[2], r[3]) for r, f in zip(rows, failed) if not f)
+    group = [(r[2], r[3], False) if sizes[r[2], r[3]] >= quality_rules.MIN_GROUP else (r[2], None, True) for r in rows]
+
+    def stats(c, d):
+        n = max(c[0], 1)
+        raw = [math.log1p(n), math.log(max(c[1], 1) / n), *[math.log1p(1000 * c[k] / n) for k in (2, 3, 4)], math.log(n / max(d, 1))]
+        return [math.floor(abs(v) * quality_rules.SCALE + 0.5) * (1 if v >= 0 else -1) for v in raw]
+    x = np.array([stats(c, d) for c, d in zip(counts, distinct)], float)
+    floors = (np.array(list(quality_rules.FLOORS.values())) * quality_rules.SCALE) ** 2
+    kept = []
+    fitted = {}
+    for g in set(group):
+        z = x[[k for k, h in enumerate(group) if h == g and not failed[k]]]
+        if not len(z):
+            continue
+        middle = lambda v: np.sort(v, axis=0)[(len(v) + 1) // 2 - 1]
+        mean = middle(z)
+        cov = np.diag((1.4826 * middle(np.abs(z - mean))) ** 2)
+        ok = True
+        for _ in range(quality_rules.STEPS):
+            low = np.linalg.cholesky(cov + np.diag(floors))
+            d2 = (np.linalg.solve(low, (z - mean).T) ** 2).sum(0)
+            bins = np.floor(np.log2(np.maximum(d2, 2.0 ** -10)) * quality_rules.BINS_PER_OCTAVE)
+            edge = max(b for b in set(bins) if (bins < b).sum() < quality_rules.SUPPORT * len(z))
+            near = z[bins <= edge]
+            if len(near) < quality_rules.SUPPORT * quality_rules.MIN_GROUP:
+                ok = False
+                break
+            mean, cov = near.mean(0), 1.8 * np.cov(near.T, bias=True)
+        if ok:
+            fitted[g] = (mean, np.linalg.cholesky(cov + np.diag(floors)))
+    for k, g in enumerate(group):
+        far = False
+        if g in fitted:
+            far = (np.linalg.solve(fitted[g][1], x[k] - fitted[g][0]) ** 2).sum() > quality_rules.CUTOFF
+        kept.append(not failed[k] and not far)
+    return counts, failed, kept
+
+
+def test_quality_rules_query(spark, small):
+    for root in (small, SF_SMALL):
+        rows = [tuple(r) for r in spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+        counts, failed, kept = plain_verdicts(rows)
+        got = registry.queries()["op9_quality_rules"](spark, root).select(
+            "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
+        assert collections.Counter(map(tuple, got)) == collections.Counter(
+            (r[0], *c, f, k) for r, c, f, k in zip(rows, counts, failed, kept))
+    assert 0 < sum(kept) < len(kept)
+
+
+def test_outliers_go_and_layout_does_not_matter(spark):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(60, 300))), "en", "web") for i in range(120)]
+    rows += [(900, "## $$ && " * 30 + " ".join(vocabulary[:90]), "en", "web"), (901, " ".join(w * 9 for w in vocabulary[:120]), "en", "web")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    one = {r.doc_id: (r.kept, r.d2) for r in quality_rules.quality_rules(df, keep=("doc_id",)).select("row.doc_id", "kept", "d2").collect()}
+    two = {r.doc_id: (r.kept, r.d2) for r in quality_rules.quality_rules(df.repartition(7), keep=("doc_id",)).select("row.doc_id", "kept", "d2").collect()}
+    assert one == two
+    assert [i for i, (k, _) in one.items() if not k] == [900, 901]
+
+
+# ---- pipeline
+
+def test_stages_keep_the_columns(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == [
+        "quality_rules", "simhash_near_dedup", "benchmark_decontamination", "pii", "byte_bpe"]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, small)
+        assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
+
+
+def test_pipeline_against_plain_version(spark, small):
+    rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    kept = [r for r, k in zip(rows, plain_verdicts(rows)[2]) if k]
+    named = plain_components([(r[0], plain_fingerprint(r[1])) for r in kept])
+    one = {}
+    for r, c in zip(kept, named):
+        if r[0] == c or (r[0] is None and c is None):
+            one[r[0]] = r                          # of repeated rows one stays
+    items = [tuple(r) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    test = decontaminate.TestSet(items)
+    left = [(r, h) for r, (_, h, _) in zip(one.values(), decontaminate.scan([r[1] for r in one.values()], test))]
+    clean = [r for r, hits in left if not hits]
+    assert len(clean) < len(left) < len(kept) < len(rows)
+    counts = collections.Counter((k, v, s) for r in clean for k, _, _, _, v, s in pii.candidates(r[1]))
+    weights = pii.train(sorted((k, v, s, n) for (k, v, s), n in counts.items()))
+    masked = {r[0]: pii.mask(r[1], pii.find(r[1], weights)[1]) for r in clean}
+    assert "[EMAIL]" in masked[80] and "[CARD]" in masked[80]
+    import public_tokenizers as P
+    import tiktoken
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {}
+    for i, t in masked.items():
+        ids = encoding.encode_ordinary(t)
+        want[i] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    got = corpus_pipeline.run(spark, small).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in got} == want and len(got) == len(want)
+
+
+def test_pipeline_on_empty_tables(spark, empty):
+    assert corpus_pipeline.run(spark, empty).count() == 0
