@@ -30,7 +30,7 @@ NOTES = {
     "dimension_breakdown": "Expand + one partial aggregate for the three grouping sets; the rank "
                            "window runs on the aggregated slices only.",
     "wide_events": "Business window pushed to the scan as an epoch range when the log stores ts; "
-                   "dimensions broadcast after a bounded count proved their size; the left join to "
+                   "dimensions are joined without hints (Spark broadcasts below its byte threshold); the left join to "
                    "items becomes inner (null-price drop).",
     "first_touch": "Partial min() per (user, item) before the only exchange.",
     "funnel_strict": "Two aggregates, both partial before their exchanges; the stage unpivot is a "
@@ -60,7 +60,7 @@ def main() -> None:
     q = queries()
     out = ["# Physical plans", "",
            f"Generated by `tools/plans.py` at `{os.path.basename(sf.rstrip('/'))}` on local mode "
-           "(broadcast choices reflect the small test tables; the size checks and AQE decide "
+           "(broadcast choices reflect the small test tables; the byte threshold and AQE decide "
            "them at scale). Tree, then each scan's pushed filters and read schema.", ""]
     for key in KEYS:
         text = plan_text(q[key](spark, sf))
