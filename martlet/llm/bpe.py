@@ -1,17 +1,22 @@
 """Byte-level BPE encoding and decoding.
 
 Encoding: the merges are compiled into a finite-state transducer that is
-determinised lazily. Its non-deterministic form guesses tokens: a
-configuration is (last complete token, place in the token trie), and a token
-may follow another only if the two, encoded together, come back as these two.
-A token sequence is the BPE encoding exactly if every neighbouring pair is of
-this kind, so only one guess survives a piece. A determinised state is the set
-of open configurations with the tokens each still owes; whatever all of them
-owe in common is emitted at once, so output lags by a bounded lookahead and a
-piece of any length is encoded in one pass over its bytes.
-
-States and per-piece results are caches with a size limit; when one is full it
-is emptied and built again, which changes speed but no result.
+determinised lazily. Its non-deterministic form may start a token at every
+byte; the subset construction over the token trie makes one state of all tokens
+under way, and each state knows the tokens that end in it. States and moves are
+built when first met; there are no more than the trie has nodes.
+
+Which of the tokens that end at a byte is the right one is decided by the token
+before it: a token may follow another only if the two, encoded together, come
+back as these two. A token sequence is the BPE encoding exactly if every
+neighbouring pair is of this kind, so at most one token fits at each byte. The
+transducer keeps these in registers for the bytes that tokens under way reach
+back to; what all of them have in common before that is final and is emitted.
+The lookahead is bounded by the longest token, and a piece of any length is
+encoded in one pass with bounded memory.
+
+Pair decisions and per-piece results are caches with a size limit, which
+changes speed but no result.
 
 Decoding streams token bytes in blocks through an incremental UTF-8 state
 machine; a character split between tokens or blocks is completed by the next,
@@ -39,9 +44,10 @@ from pyspark.sql import types as T
 
 from .common import map_columns, table
 
-MAX_STATES = 150_000    # determinised states kept
-MAX_CHUNKS = 500_000    # encoded chunks kept
-MAX_PIECES = 150_000    # encoded pieces kept
+MAX_PAIRS = 400_000     # pair decisions kept
+EMIT_EVERY = 4096       # bytes of a piece between emissions
+MAX_CHUNKS = 160_000    # encoded chunks kept
+MAX_PIECES = 40_000    # encoded pieces kept
 MAX_CHUNK = 64          # longer ones are not kept
 BLOCK = 4096            # tokens decoded at a time
 
@@ -65,22 +71,18 @@ def merge(piece: bytes, ranks: dict[bytes, int], stop: int = 1) -> list[int]:
     return [ranks[p] for p in parts]
 
 
-_SHIFT, _NODE = 20, (1 << 20) - 1
+_SHIFT = 20
 
 
 class Transducer:
-    """Lazily determinised transducer from a piece's bytes to token ids.
+    """Lazily determinised transducer from a piece's bytes to token ids."""
 
-    A configuration is one number, (last token + 1) << 20 | trie node, with 0
-    for no last token. A state is a flat tuple of configurations, each followed
-    by the tuple of tokens it owes."""
-
-    def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
-        self.ranks, self.max_states = ranks, max_states
+    def __init__(self, ranks: dict[bytes, int], max_pairs: int = MAX_PAIRS):
+        self.ranks, self.max_pairs = ranks, max_pairs
         self.token = {i: t for t, i in ranks.items()}
         # trie: kids maps node << 8 | byte to a node, ends[node] is a token or -1
         self.kids: dict[int, int] = {}
-        self.ends = [-1]
+        self.ends, self.depth = [-1], [0]
         for token, rank in ranks.items():
             node = 0
             for b in token:
@@ -88,26 +90,31 @@ class Transducer:
                 if nxt is None:
                     nxt = self.kids[node << 8 | b] = len(self.ends)
                     self.ends.append(-1)
+                    self.depth.append(self.depth[node] + 1)
                 node = nxt
             self.ends[node] = rank
-        if len(self.ends) > _NODE:
+        if max(self.token, default=0) >= 1 << _SHIFT:
             raise ValueError("the vocabulary is too large")
         self.pairs: dict[int, bool] = {}         # (first + 1) << 20 | second
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self._reset()
-
-    def _reset(self) -> None:
-        self.states: list[tuple] = []
-        self.number: dict[tuple, int] = {}
-        self.move: dict[int, tuple[int, tuple[int, ...]]] = {}   # state << 8 | byte
-        self.final: dict[int, list[int]] = {}
-        self._state((0, ()))
-
-    def _state(self, configurations: tuple) -> int:
-        n = self.number.get(configurations)
+        # states: the trie nodes under way (deepest first), the tokens that end
+        self.nodes: list[tuple[int, ...]] = [()]
+        self.out: list[tuple[tuple[int, int], ...]] = [()]
+        self.number: dict[tuple[int, ...], int] = {(): 0}
+        self.move: dict[int, int] = {}           # state << 8 | byte
+
+    def _advance(self, state: int, byte: int) -> int:
+        """The state after ``byte``, made when first met."""
+        moved = [self.kids.get(node << 8 | byte) for node in (*self.nodes[state], 0)]
+        nodes = tuple(n for n in moved if n is not None)
+        if moved[-1] is None:
+            raise ValueError("the ranks do not cover every byte")
+        n = self.number.get(nodes)
         if n is None:
-            n = self.number[configurations] = len(self.states)
-            self.states.append(configurations)
+            n = self.number[nodes] = len(self.nodes)
+            self.nodes.append(nodes)
+            self.out.append(tuple((self.ends[x], self.depth[x]) for x in nodes if self.ends[x] >= 0))
+        self.move[state << 8 | byte] = n
         return n
 
     def _halves(self, token: int) -> tuple[int, int] | None:
@@ -139,7 +146,7 @@ class Transducer:
         known = self.pairs.get(key)
         if known is not None:
             return known
-        if len(self.pairs) > 10 * self.max_states:
+        if len(self.pairs) > self.max_pairs:
             self.pairs.clear()
         halves = self._halves
         if first < 0:
@@ -164,72 +171,57 @@ class Transducer:
         self.pairs[key] = known
         return known
 
-    def _advance(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        kids, ends, pairs = self.kids, self.ends, self.pairs
-        root = kids.get(byte)
-        if root is None:
-            raise ValueError("the ranks do not cover every byte")
-        moved = []
-        each = iter(self.states[state])
-        for configuration, owed in zip(each, each):
-            node = configuration & _NODE
-            nxt = kids.get(node << 8 | byte)
-            if nxt is not None:
-                moved += (configuration - node + nxt, owed)
-            end = ends[node]
-            if end >= 0:
-                ok = pairs.get(configuration - node + end)
-                if self.follows((configuration >> _SHIFT) - 1, end) if ok is None else ok:
-                    moved += ((end + 1) << _SHIFT | root, owed + (end,))
-        common = moved[1]
-        if common:
-            for owed in moved[3::2]:
-                k = 0
-                while k < len(common) and k < len(owed) and common[k] == owed[k]:
-                    k += 1
-                common = common[:k]
-            k = len(common)
-            if k:
-                moved[1::2] = [owed[k:] for owed in moved[1::2]]
-        return self._state(tuple(moved)), common
-
-    def _end(self, state: int) -> list[int]:
-        """What remains to be emitted if a piece ends in ``state``."""
-        each = iter(self.states[state])
-        found = [owed + (self.ends[c & _NODE],) for c, owed in zip(each, each)
-                 if self.ends[c & _NODE] >= 0 and self.follows((c >> _SHIFT) - 1, self.ends[c & _NODE])]
-        if len(found) != 1:
-            raise ValueError("no unique encoding")
-        self.final[state] = made = list(found[0])
-        return made
-
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > self.max_states:
-            self._reset()
-        out: list[int] = []
-        state = 0
-        for at in range(0, len(piece), 1024):
-            if at and len(self.states) > self.max_states:
-                # inside a very long piece: keep only the state it is in
-                here = self.states[state]
-                self._reset()
-                state = self._state(here)
-            moves = self.move
-            known = moves.get
-            for byte in piece[at:at + 1024]:
-                key = state << 8 | byte
-                move = known(key)
-                if move is None:
-                    move = moves[key] = self._advance(state, byte)
-                state, emitted = move
-                if emitted:
-                    out += emitted
-        end = self.final.get(state)
-        out += self._end(state) if end is None else end
-        return out
+        emitted: list[int] = []
+        # registers: last[i] is the token that ends at byte i (counted from the
+        # last emission), None where none fits; -1 or a token at the start
+        last: list[int | None] = [-1]
+        known, moves, outs, state = self.pairs.get, self.move.get, self.out, 0
+        for byte in piece:
+            nxt = moves(state << 8 | byte)
+            state = self._advance(state, byte) if nxt is None else nxt
+            fits, i = None, len(last)
+            for token, length in outs[state]:
+                before = last[i - length] if length <= i else None
+                if before is not None:
+                    ok = known((before + 1) << _SHIFT | token)
+                    if self.follows(before, token) if ok is None else ok:
+                        fits = token
+                        break
+            last.append(fits)
+            if i >= EMIT_EVERY:
+                last = self._emit(last, state, emitted)
+        self._chain(last, len(last) - 1, emitted)
+        return emitted
+
+    def _chain(self, last: list, end: int, emitted: list[int]) -> None:
+        """Append the tokens from the first register to ``end``."""
+        found, i = [], end
+        while i > 0:
+            token = last[i]
+            if token is None:
+                raise ValueError("no encoding")
+            found.append(token)
+            i -= len(self.token[token])
+        emitted.extend(reversed(found))
+
+    def _emit(self, last: list, state: int, emitted: list[int]) -> list:
+        """Emit what all tokens under way have in common; the other registers."""
+        end = len(last) - 1
+        live = {end - self.depth[n] for n in self.nodes[state]} | {end}
+        live = {i for i in live if i >= 0 and last[i] is not None}
+        while len(live) > 1:
+            i = max(live)
+            live.remove(i)
+            live.add(i - len(self.token[last[i]]) if i > 0 else 0)
+        common = live.pop()
+        if common <= 0:
+            return last
+        self._chain(last, common, emitted)
+        return last[common:]
 
 
 class Recent:
@@ -358,6 +350,16 @@ def _default(path: str | None, pattern: str | None) -> tuple[str, str]:
     return path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN
 
 
+IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
+DECODED = T.StructField("decoded", T.StringType())
+
+
+def _id_lists(coded: list[bytes]) -> pa.ListArray:
+    """One list array from the ids' bytes, without Python numbers."""
+    offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in coded]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+
+
 def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None,
            path: str | None = None, pattern: str | None = None) -> DataFrame:
     """``keep`` columns (default all) and ``ids`` (array of int)."""
@@ -365,14 +367,8 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None = N
 
     def start():
         c = codec(path, pattern)
-
-        def run(texts):
-            coded = [c.encode(t) for t in texts.to_pylist()]
-            offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in coded]))).astype(np.int32)
-            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), np.int32)))]
-        return run
-    return map_columns(docs, [text], list(keep or docs.columns),
-                       T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))]), start)
+        return lambda texts: [_id_lists([c.encode(t) for t in texts.to_pylist()])]
+    return map_columns(docs, [text], list(keep or docs.columns), T.StructType([IDS]), start)
 
 
 def decode(coded: DataFrame, ids: str = "ids", keep: tuple[str, ...] | None = None,
@@ -384,21 +380,35 @@ def decode(coded: DataFrame, ids: str = "ids", keep: tuple[str, ...] | None = No
         c = codec(path, pattern)
 
         def run(lists):
-            if isinstance(lists, pa.ChunkedArray):
-                lists = lists.combine_chunks()
             values = lists.values.to_numpy(zero_copy_only=False)
             offsets = lists.offsets.to_pylist()
             valid = lists.is_valid().to_pylist()
             return [[c.decode(values[a:b].tolist()) if ok else ""
                      for a, b, ok in zip(offsets, offsets[1:], valid)]]
         return run
-    return map_columns(coded, [ids], list(keep or coded.columns),
-                       T.StructType([T.StructField("decoded", T.StringType())]), start)
+    return map_columns(coded, [ids], list(keep or coded.columns), T.StructType([DECODED]), start)
+
+
+def round_trip(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None,
+               path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """``keep`` columns, ``ids`` and the text decoded from them: both
+    directions in one pass, so that a task has one Python worker and one set of
+    tables."""
+    path, pattern = _default(path, pattern)
+
+    def start():
+        c = codec(path, pattern)
+
+        def run(texts):
+            coded = [c.encode(t) for t in texts.to_pylist()]
+            return [_id_lists(coded), [c.decode(np.frombuffer(x, np.int32).tolist()) for x in coded]]
+        return run
+    return map_columns(docs, [text], list(keep or docs.columns), T.StructType([IDS, DECODED]), start)
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` per row."""
-    back = decode(encode(docs.select("doc_id", "text"), keep=("doc_id",)))
+    back = round_trip(docs.select("doc_id", "text"), keep=("doc_id",))
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

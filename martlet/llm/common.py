@@ -71,6 +71,17 @@ def packed(df: DataFrame, **named: str | F.Column) -> DataFrame:
         (F.col(v) if isinstance(v, str) else v).alias(k) for k, v in named.items()])
 
 
+SLICE_BYTES = 8 << 20
+
+
+def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``size`` bytes (views, nothing is copied), so
+    that the Python objects made from one part stay few."""
+    rows = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def map_columns(df: DataFrame, inputs: list[str], keep: list[str], out: T.StructType,
                 start: Callable[[], Callable[..., list]]) -> DataFrame:
     """Arrow-batched map: keep columns as they are and append computed ones.
@@ -87,7 +98,7 @@ def map_columns(df: DataFrame, inputs: list[str], keep: list[str], out: T.Struct
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = start()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             made = function(*[batch.column(c) for c in inputs])
             made = [m if isinstance(m, (pa.Array, pa.ChunkedArray)) else pa.array(m, t)
                     for m, t in zip(made, types)]

@@ -115,10 +115,17 @@ def test_bpe_query_equals_the_library(spark, small, texts, library):
     assert got == want
 
 
+def test_encoding_and_decoding_apart(spark):
+    df = spark.createDataFrame([(1, "one two", 5), (2, None, 6), (3, "", 7)], "k long, text string, decoded int")
+    coded = bpe.encode(df, keep=("k", "text"))
+    back = bpe.decode(coded.union(coded.selectExpr("k", "text", "CAST(NULL AS ARRAY<INT>)")))
+    assert sorted((r.k, r.decoded) for r in back.collect()) == [(1, ""), (1, "one two"), (2, ""), (2, ""), (3, ""), (3, "")]
+
+
 def test_bpe_on_random_texts_and_small_caches(library):
     ranks, pattern, encoding = library
     codec = bpe.Codec(ranks, pattern)
-    codec.transducer.max_states = 300          # states are dropped and built again all the time
+    codec.transducer.max_pairs = 40            # decisions are dropped and made again all the time
     codec.spaced, codec.pieces = bpe.Recent(8), bpe.Recent(8)
     rng = random.Random(1)
     parts = ["a", "th", "er", " ", "  ", "\n", "\t", "é", "ñ", "漢", "😀", "'s", "'", "1", "###", "\x1c", "\r\n", ".", "THE",
@@ -128,6 +135,8 @@ def test_bpe_on_random_texts_and_small_caches(library):
         ids = np.frombuffer(codec.encode(text), np.int32).tolist()
         assert ids == encoding.encode_ordinary(text)
         assert codec.decode(ids) == text
+    for text in ("ab" * 9000, "thentionerous" * 2000, "é漢a" * 3000, "x" * 4096, "-" * 10_000):    # emitted on the way
+        assert np.frombuffer(codec.encode(text), np.int32).tolist() == encoding.encode_ordinary(text)
 
 
 def test_decoding_is_a_stream(library):
