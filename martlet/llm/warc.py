@@ -12,6 +12,8 @@ carries its full digest.
 * Each task writes its records to one archive in the shared folder: under a
   name of its own attempt first, then renamed. A retried or speculative task
   leaves at most an unfinished file that no manifest row names.
+* Each record is a gzip member of its own, as is usual for archives: chunks are
+  compressed and decompressed as they stream by.
 * The manifest (path, size, records) is a written table; the reader deals
   archives out to tasks by it and streams each file in blocks.
 * Archive files go through the file system that the folder's URI names.
@@ -25,9 +27,11 @@ responses; an empty table gives an empty manifest and an empty result.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import os
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,6 +45,7 @@ from ..session import scratch_path
 from .common import map_columns, materialise, ship, table
 
 CHUNK = 256 << 10
+LEVEL = 1             # of compression: archives are read soon and often
 MIN_REVISIT = 0       # payloads from this size on are written once
 DATE = "2024-01-01T00:00:00Z"
 ID = "urn:record:"
@@ -133,16 +138,17 @@ def write(records: DataFrame, folder: str) -> DataFrame:
                     for _, _, digest, length, _ in chunks(body):
                         pass
                     refers = batch.column("response_id")[i].as_py()
-                    out.write(record_head("response" if refers is None else "revisit", batch.column("page_id")[i].as_py(),
-                                          batch.column("url")[i].as_py(), length if refers is None else 0,
-                                          base32_sha1(digest), refers))
+                    member = zlib.compressobj(LEVEL, wbits=31)
+                    out.write(member.compress(record_head(
+                        "response" if refers is None else "revisit", batch.column("page_id")[i].as_py(),
+                        batch.column("url")[i].as_py(), length if refers is None else 0, base32_sha1(digest), refers)))
                     if refers is None:
                         for _, view, _, _, _ in chunks(body):
-                            out.write(view)
-                    out.write(b"\r\n\r\n")
+                            out.write(member.compress(view))
+                    out.write(member.compress(b"\r\n\r\n") + member.flush())
                     n += 1
             size = out.tell()
-        path = f"{root}/part-{part:06d}-{uuid.uuid4().hex[:8]}.warc"
+        path = f"{root}/part-{part:06d}-{uuid.uuid4().hex[:8]}.warc.gz"
         if n:
             system.move(partial, path)
             yield pa.RecordBatch.from_pydict({"path": [path], "bytes": [size], "records": [n]})
@@ -238,7 +244,7 @@ def read(manifest: DataFrame, content: bool = True, rows: int = 256) -> DataFram
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 system = scheme_system
-                with system().open_input_stream(path) as source:
+                with system().open_input_stream(path, compression=None) as raw, gzip.GzipFile(fileobj=raw) as source:
                     for row in read_records(source, content=content):
                         held.append(row)
                         if len(held) >= (rows if content else 16 * rows):
