@@ -141,6 +141,48 @@ def test_every_shared_window_is_linked(spark):
     assert shared and all(len({find(i) for i in s}) == 1 for s in shared)
 
 
+def joined(rows):
+    """Root of each document over the links of a result."""
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+    for r in rows:
+        up[find(r.doc_id)] = find(r.match_id)
+    return find
+
+
+def test_hot_passages_meet_over_many_batches(spark):
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.getrandbits(32):x}" for _ in range(n)]
+    hot = [words(51) for _ in range(6)]
+    rows = []
+    for k, p in enumerate(hot):
+        for _ in range(40):
+            rows.append(words(rng.randint(20, 90)) + p + words(rng.randint(20, 90)))
+        grams = [p[i:i + 5] for i in range(47)]
+        for g in grams * 3:                      # others hold only one of its shingles
+            rows.append(words(60) + g + words(60))
+        rows += [words(60) + p[:26] + words(60) for _ in range(20)] + [words(60) + p[25:] + words(60) for _ in range(20)]
+    rng.shuffle(rows)
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "7")
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+        got = passages.near_duplicate_passages(df).collect()
+    finally:
+        spark.conf.set(conf, before)
+    find = joined(got)
+    holders = [{i for i, t in rows if " ".join(p) in t} for p in hot]
+    assert [len(h) for h in holders] == [40] * 6
+    assert [len({find(i) for i in h}) for h in holders] == [1] * 6
+    assert {i for r in got for i in (r.doc_id, r.match_id)} == set.union(*holders)
+
+
 # ---- quality rules
 
 def plain_counts(text):
