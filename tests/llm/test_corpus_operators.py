@@ -183,6 +183,37 @@ def test_hot_passages_meet_over_many_batches(spark):
     assert {i for r in got for i in (r.doc_id, r.match_id)} == set.union(*holders)
 
 
+@pytest.mark.parametrize("edit", ["change", "insert", "delete"])
+def test_one_edit_at_any_place_is_verified(edit):
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.getrandbits(40):x}" for _ in range(n)]
+    for n in range(51, 76):
+        passage = words(n)
+        for at in range(n):
+            other = passage[:at] + (["x"] if edit == "change" else ["x", passage[at]] if edit == "insert" else []) + passage[at + 1:]
+            a = passages.shingles(" ".join(words(30) + passage + words(40)))
+            b = passages.shingles(" ".join(words(60) + other + words(20)))
+            found = passages.verify(a, b)
+            assert len(found) == 1, (n, at)
+            x, y, p, q, j = found[0]
+            left, right = set(a[x:y].tolist()), set(b[p:q].tolist())
+            assert min(y - x, q - p) >= passages.LEAST and j >= 0.8
+            assert j == pytest.approx(len(left & right) / len(left | right))
+            assert 30 - 10 <= x and y <= 30 + n + 10 and 60 - 10 <= p and q <= 60 + n + 10
+
+
+def test_verification_of_texts_without_common_passages():
+    rng = np.random.default_rng(4)
+    a, b = (rng.integers(0, 2 ** 60, 400).astype(np.uint64) for _ in range(2))
+    b[100:135] = a[200:235]                                          # too short even when filled up
+    assert passages.verify(a, b) == [] and passages.verify(a[:0], b) == [] and passages.verify(a, b[:20]) == []
+    b[100:180] = a[200:280]
+    b[250:300] = a[20:70]                                            # two passages in the other order
+    assert sorted(v[:4] for v in passages.verify(a, b)) == [(20, 70, 250, 300), (200, 280, 100, 180)]
+    loop = np.tile(a[:30], 5)                                        # repeated shingles
+    assert passages.verify(np.concatenate((b[:50], loop)), np.concatenate((loop, b[:50])))
+
+
 # ---- quality rules
 
 def plain_counts(text):
