@@ -14,8 +14,11 @@ Mahalanobis cut-off are rejected.
   ``SUPPORT`` of its rows (a half by default) and re-estimates from them.
   Groups are only ever aggregated with map-side partial sums: a source with a
   third of all rows costs one row per task.
-* Scatter is regularised by a variance floor per statistic, so constant
-  statistics (most clean groups have no repeated line) stay invertible.
+* Scatter is regularised by a least variance per statistic, so constant
+  statistics (most clean groups have no repeated line) stay invertible. Each
+  floor is small enough for its statistic to cross any cut-off alone.
+* The cut-off is a robust tail quantile of each group's own distances, over all
+  of its base-passing rows.
 
 Edge cases: NULL text has no words; NULL language or source is a group of its
 own; the groups of a language with fewer than ``MIN_GROUP`` base-passing rows
@@ -45,12 +48,17 @@ SUPPORT = 0.5        # least share of rows in the concentrated set
 STEPS = 4            # concentration steps
 MIN_GROUP = 50       # fewer rows: no estimate
 BINS_PER_OCTAVE = 16  # resolution of the distance bins
-#: Standard deviation floors, in transformed units (see ``_transformed``).
-FLOORS = {"t_len": 0.30, "t_word": 0.12, "t_sym": 0.50, "t_dup": 1.20, "t_rep": 1.20, "t_rich": 0.20}
-#: Squared distance beyond which a document is rejected: chi-squared with six
-#: degrees of freedom far beyond 1 - 1e-9, as text statistics have long tails
-#: (the longest clean documents lie near 50, junk mostly beyond 150).
+#: Least standard deviations, in transformed units (see ``_transformed``).
+#: Repeated lines and windows reach log(301) within the base rules, which is
+#: nine floors.
+FLOORS = {"t_len": 0.30, "t_word": 0.12, "t_sym": 0.50, "t_dup": 0.62, "t_rep": 0.62, "t_rich": 0.20}
+#: Bounds of the squared distance beyond which a document is rejected. At
+#: least the 0.999 quantile of chi-squared with six degrees of freedom; at
+#: most nine standard deviations in one statistic, so that a group with much
+#: junk cannot raise it at will.
+LEAST_CUTOFF = 22.46
 CUTOFF = 80.0
+TAIL = 3.09          # normal quantile of 0.999
 DIMS = list(FLOORS)
 
 
@@ -176,7 +184,7 @@ def _factored(groups: DataFrame, cov: dict[tuple[str, str], Column]) -> DataFram
         for j, b in enumerate(DIMS[:i + 1]):
             done = [F.col(f"l_{a}_{c}") * F.col(f"l_{b}_{c}") for c in DIMS[:j]]
             rest = cov[a, b] - reduce(lambda x, y: x + y, done, F.lit(0.0))
-            value = (F.sqrt(F.greatest(rest + floor, F.lit(floor))) if a == b
+            value = (F.sqrt(F.greatest(rest, F.lit(floor))) if a == b
                      else rest / F.col(f"l_{b}_{b}"))
             out = out.withColumn(f"l_{a}_{b}", value)
     return out.select(*GROUP, *[f"m_{d}" for d in DIMS],
@@ -194,13 +202,16 @@ def _with_distance(rows: DataFrame, groups: DataFrame, how: str = "inner") -> Da
         rest = F.col(a) - F.col(f"m_{a}") - reduce(lambda x, y: x + y, used, F.lit(0.0))
         out = out.withColumn(f"z_{a}", rest / F.col(f"l_{a}_{a}"))
     d2 = reduce(lambda x, y: x + y, [F.col(f"z_{d}") * F.col(f"z_{d}") for d in DIMS])
-    return out.select(*rows.columns, d2.alias("d2"))
+    return out.select(*rows.columns, d2.alias("d2"), *[c for c in ("cut",) if c in groups.columns])
+
+
+def _bin() -> Column:
+    return F.floor(F.log2(F.greatest(F.col("d2"), F.lit(2.0 ** -10))) * BINS_PER_OCTAVE).cast("int")
 
 
 def _concentrate(stats: DataFrame, groups: DataFrame) -> DataFrame:
     """One concentration step: estimates from each group's nearest half."""
-    near = _with_distance(stats, groups).withColumn(
-        "bin", F.floor(F.log2(F.greatest(F.col("d2"), F.lit(2.0 ** -10))) * BINS_PER_OCTAVE).cast("int"))
+    near = _with_distance(stats, groups).withColumn("bin", _bin())
     sums = [F.count("*").alias("n"), *[F.sum(d).alias(f"s_{d}") for d in DIMS],
             *[F.sum(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for i, a in enumerate(DIMS) for b in DIMS[:i + 1]]]
     bins = near.groupBy(*GROUP, "bin").agg(*sums)
@@ -220,6 +231,22 @@ def _concentrate(stats: DataFrame, groups: DataFrame) -> DataFrame:
                      {k: factor * v for k, v in cov.items()})
 
 
+def _with_cutoff(stats: DataFrame, groups: DataFrame) -> DataFrame:
+    """Append ``cut``: cube roots of chi-squared distances are close to normal,
+    and the 0.999 quantile of that normal follows from their median and upper
+    quartile, which junk of up to a quarter of the rows hardly moves."""
+    bins = (_with_distance(stats, groups).groupBy(*GROUP, _bin().alias("bin")).agg(F.count("*").alias("n")))
+    w = Window.partitionBy(*GROUP)
+    upto, total = F.sum("n").over(w.orderBy("bin")), F.sum("n").over(w)
+    root = F.pow(F.lit(2.0), (F.col("bin") + 0.5) / (3 * BINS_PER_OCTAVE))
+    cut = (bins.select(*GROUP, root.alias("root"), upto.alias("upto"), total.alias("total")).groupBy(*GROUP)
+           .agg(F.min(F.when(2 * F.col("upto") >= F.col("total"), F.col("root"))).alias("half"),
+                F.min(F.when(4 * F.col("upto") >= 3 * F.col("total"), F.col("root"))).alias("upper")))
+    tail = F.pow(F.col("half") + TAIL / 0.6745 * (F.col("upper") - F.col("half")), F.lit(3.0))
+    cut = cut.select(*GROUP, F.greatest(F.lit(LEAST_CUTOFF), F.least(F.lit(CUTOFF), tail)).alias("cut"))
+    return _join_groups(groups, cut, "inner")
+
+
 def grouped(stats: DataFrame) -> DataFrame:
     """Add ``g_pooled``; small (language, source) groups join their language's
     pool (``g_source`` NULL). The size table has a row per group."""
@@ -234,7 +261,7 @@ def grouped(stats: DataFrame) -> DataFrame:
 
 
 def fit(stats: DataFrame) -> DataFrame:
-    """Centre and Cholesky factor per group, from the rows that pass the base
+    """Centre, Cholesky factor and cut-off per group, from the rows that pass the base
     rules. ``stats`` comes from :func:`grouped` over a written table; a slim
     copy (integers only) is written once and read once per step."""
     slim = materialise(stats.where(~base_failed()).select(
@@ -243,6 +270,8 @@ def fit(stats: DataFrame) -> DataFrame:
     for _ in range(STEPS):
         previous, groups = groups, materialise(_concentrate(slim, groups), "mcd-step")
         discard(previous)
+    previous, groups = groups, materialise(_with_cutoff(slim, groups), "mcd-cutoff")
+    discard(previous)
     discard(slim)
     return groups
 
@@ -251,7 +280,8 @@ def judge(stats: DataFrame, groups: DataFrame) -> DataFrame:
     """Append ``base_failed, d2, kept`` (d2 NULL where a group has no estimate)."""
     rows = stats.withColumns(_transformed())
     out = _with_distance(rows, groups, "left").withColumn("base_failed", base_failed())
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("d2") > CUTOFF, F.lit(False)))
+    far = F.coalesce(F.col("d2") > F.col("cut"), F.lit(False))
+    return out.withColumn("kept", ~F.col("base_failed") & ~far).drop("cut")
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang",

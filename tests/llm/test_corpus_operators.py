@@ -292,6 +292,31 @@ def test_outliers_go_and_layout_does_not_matter(spark):
     assert [i for i, (k, _) in one.items() if not k] == [900, 901]
 
 
+@pytest.mark.parametrize("statistic,counts", [
+    ("t_len", {"n_words": 20_000, "n_distinct": 14_000, "word_chars": 100_000}),
+    ("t_word", {"word_chars": 4000}),
+    ("t_sym", {"n_symbols": 400}),
+    ("t_dup", {"n_dup_lines": 58}),
+    ("t_rep", {"n_repeat_words": 59}),
+    ("t_rich", {"n_distinct": 12}),
+])
+def test_an_outlier_in_one_statistic_goes(spark, statistic, counts):
+    rng = random.Random(13)
+    rows = []
+    for i in range(200):
+        n = rng.randint(150, 260)
+        # a few clean rows have a repeated line
+        rows.append((i, n, n * rng.randint(66, 74) // 100, n * rng.randint(48, 52) // 10, 0, int(i % 40 == 0), 0))
+    base = {"doc_id": 900, "n_words": 200, "n_distinct": 140, "word_chars": 1000, "n_symbols": 0, "n_dup_lines": 0, "n_repeat_words": 0}
+    rows += [tuple(base.values()), tuple({**base, "doc_id": 901, **counts}.values())]
+    stats = spark.createDataFrame([(*r, "en", "web", False) for r in rows], ", ".join(
+        [f"{c} long" for c in base] + ["g_lang string", "g_source string", "g_pooled boolean"]))
+    got = {r.doc_id: r for r in quality_rules.judge(stats, quality_rules.fit(stats)).collect()}
+    assert not got[901].base_failed and [i for i, r in got.items() if not r.kept] == [901]
+    # alone beyond the highest cut-off any group can have
+    assert got[901].d2 > quality_rules.CUTOFF and got[900].d2 < quality_rules.LEAST_CUTOFF
+
+
 # ---- pipeline
 
 def test_stages_keep_the_columns(spark, small):
