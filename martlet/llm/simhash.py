@@ -142,6 +142,13 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """``doc_id, fp, component_id`` per input row."""
+    return _components_of(docs, doc_id, text, shingle, max_bits).select("doc_id", "fp", "component_id")
+
+
+def _components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                   shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """``doc_id, fp, component_id, root`` per input row; root is the least
+    fingerprint of the component, as two components can have one least id."""
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     prints = materialise(fingerprints(base, shingle=shingle), "simhash")
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
@@ -150,8 +157,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = nodes.join(member, nodes["fp"] == member["node"], "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = named.join(ids, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = named.join(ids, "root").select("fp", "component_id", "root")
+    return prints.join(of, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,23 +167,23 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each component stays, the one whose
-    doc_id names it (of repeated rows with that id, one). Rows without a
-    doc_id stay only where no member of their component has one."""
-    found = materialise(near_duplicates(docs), "near-dups")
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone.withColumnRenamed("doc_id", "gone_id"),
-                     docs["doc_id"] == F.col("gone_id"), "left_anti")
-    again = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().where("count > 1")
-    nameless = found.where(F.col("doc_id").isNull() & F.col("component_id").isNotNull())
-    if not again.isEmpty():
-        kept = (kept.where(F.col("doc_id").isNull()).unionByName(
-            kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])))
-    if not nameless.isEmpty():
-        # NULL ids cannot be told apart by id: compare by fingerprint
-        fps = nameless.select("fp").distinct()
-        rows = fingerprints(kept.where(F.col("doc_id").isNull()).select(F.struct("*").alias("row"), "text"),
-                            keep=("row",))
-        kept = kept.where(F.col("doc_id").isNotNull()).unionByName(
-            rows.join(fps, "fp", "left_anti").select("row.*"))
-    return kept
+    """Pipeline stage: exactly one row of each component stays, one whose
+    doc_id names it; where no member has an id, any one. Rows go by id and
+    fingerprint; only where an id is NULL or repeated are texts read for it."""
+    found = materialise(_components_of(docs), "near-dups")
+    best = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root")
+            .agg(F.min("component_id").alias("best_id"), F.min("fp").alias("best_fp")).drop("root"))
+    repeated = materialise(found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
+                           .select(F.col("doc_id").alias("other_id")), "near-dup-ids")
+    out = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("other_id"))
+    kept = (docs.where(F.col("doc_id").isNotNull())
+            .join(out.union(repeated).distinct(), docs["doc_id"] == F.col("other_id"), "left_anti"))
+    special = docs.where(F.col("doc_id").isNull())
+    if not repeated.isEmpty():
+        special = special.unionByName(docs.join(repeated, docs["doc_id"] == F.col("other_id"), "left_semi"))
+    elif found.where(F.col("doc_id").isNull()).isEmpty():
+        return kept
+    rows = fingerprints(special.select(F.struct("*").alias("row"), "doc_id", "text"), keep=("row", "doc_id"))
+    one = (rows.join(best, F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("fp") == F.col("best_fp")), "left_semi")
+           .dropDuplicates(["doc_id", "fp"]))
+    return kept.unionByName(one.select("row.*"))

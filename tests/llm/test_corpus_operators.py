@@ -357,5 +357,17 @@ def test_pipeline_against_plain_version(spark, small):
     assert {r.doc_id: tuple(r)[1:] for r in got} == want and len(got) == len(want)
 
 
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(14)
+    x, y, z, v, n = (" ".join(f"w{rng.getrandbits(32):x}" for _ in range(80)) for _ in range(5))
+    rows = [(5, x), (9, x),            # names x; the id is also in y's component, which 2 names
+            (2, y), (5, y),
+            (7, z), (7, v),            # one id with two unlinked texts
+            (None, n), (None, n), (None, x)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in simhash.stage(spark, df, "").collect()), key=str)
+    assert got == sorted([(5, x), (2, y), (7, z), (7, v), (None, n)], key=str)
+
+
 def test_pipeline_on_empty_tables(spark, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0
