@@ -19,7 +19,8 @@ carries its full digest.
 * Archive files go through the file system that the folder's URI names.
 
 Edge cases: NULL payloads are empty; empty payloads are equal to each other; a
-NULL record id is written with the id ``null`` and read back as NULL; repeated
+NULL record id is written with the id ``null`` and read back as NULL; one id
+may come with several payloads, a revisit means the one of its digest; repeated
 rows are records of their own, and of equal rows with the largest id all are
 responses; an empty table gives an empty manifest and an empty result.
 """
@@ -65,9 +66,9 @@ def chunks(payload, size: int = CHUNK) -> Iterator[tuple[int, memoryview, bytes,
         yield number, part, so_far.digest(), at + len(part), at + size >= len(view)
 
 
-def payload_digests(pages: DataFrame, page_id: str = "page_id", payload: str = "html") -> DataFrame:
-    """``page_id, payload_digest, payload_bytes`` per row."""
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(payload).alias("html"))
+def payload_digests(rows: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep``, ``payload_digest`` and ``payload_bytes`` per row
+    (payload: ``html``)."""
 
     def start():
         def run(texts):
@@ -78,22 +79,27 @@ def payload_digests(pages: DataFrame, page_id: str = "page_id", payload: str = "
                 out.append((base32_sha1(digest), n))
             return [[d for d, _ in out], [n for _, n in out]]
         return run
-    return map_columns(rows, ["html"], ["page_id"], T.StructType([
+    return map_columns(rows, ["html"], list(keep), T.StructType([
         T.StructField("payload_digest", T.StringType()), T.StructField("payload_bytes", T.LongType())]), start)
 
 
 def with_types(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html",
                least: int = MIN_REVISIT) -> DataFrame:
     """``page_id, url, html, response_id`` (NULL for responses): of equal
-    payloads the row with the largest id is the response."""
+    payloads the row with the largest id is the response. Rows go by id and
+    digest, as one id can come with several payloads."""
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(payload).alias("html"))
-    digests = materialise(payload_digests(rows), "warc-digests")
+    digests = materialise(payload_digests(rows, "page_id"), "warc-digests")
     first = (digests.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes")
              .agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")).where("n > 1"))
     revisits = (digests.join(first, ["payload_digest", "payload_bytes"])
                 .where(F.col("page_id") != F.col("response_id"))
-                .select(F.col("page_id").alias("revisit_id"), "response_id").distinct())
-    return rows.join(revisits, F.col("page_id") == F.col("revisit_id"), "left").drop("revisit_id")
+                .select(F.col("page_id").alias("revisit_id"), F.col("payload_digest").alias("revisit_digest"),
+                        "response_id").distinct())
+    return (payload_digests(rows, *rows.columns)
+            .join(revisits, (F.col("page_id") == F.col("revisit_id"))
+                  & (F.col("payload_digest") == F.col("revisit_digest")), "left")
+            .select(*rows.columns, "response_id"))
 
 
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
@@ -269,7 +275,8 @@ def round_trip(pages: DataFrame, folder: str, **columns: str) -> DataFrame:
     whole = ends.where("record_type = 'response'")
     payloads = whole.select(F.col("record_id").alias("r_id"), F.col("bytes_so_far").alias("r_bytes"),
                             F.col("digest_so_far").alias("r_digest")).distinct()
-    revisit = ends.where("record_type = 'revisit'").join(payloads, F.col("refers_to") == F.col("r_id"), "left")
+    revisit = ends.where("record_type = 'revisit'").join(
+        payloads, (F.col("refers_to") == F.col("r_id")) & (F.col("declared_digest") == F.col("r_digest")), "left")
     check = lambda d: F.when(F.col("declared_digest") == F.col(d), F.col(d)).otherwise(
         F.raise_error(F.lit("a payload does not match its declared digest")))
     return whole.select(F.col("record_id").alias("page_id"), F.col("bytes_so_far").alias("payload_bytes"),

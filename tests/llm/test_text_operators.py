@@ -282,6 +282,17 @@ def test_archives_hold_whole_payloads(spark, small, tmp_path):
     assert got[18] == whole[18] and got[14] == whole[14] and got[1] == b"" and len(got) == 18
 
 
+def test_one_page_id_with_two_payloads(spark, tmp_path):
+    rows = [(1, "u", "aa"), (1, "u", "bbb"), (2, "v", "aa"), (2, "v", "cccc"), (3, "w", "dd")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = rows_of(warc.round_trip(df, str(tmp_path)))
+    digest = lambda t: warc.base32_sha1(hashlib.sha1(t.encode()).digest())
+    assert got == collections.Counter([
+        (1, 2, digest("aa"), "revisit", 2), (1, 3, digest("bbb"), "response", None),
+        (2, 2, digest("aa"), "response", None), (2, 4, digest("cccc"), "response", None),
+        (3, 2, digest("dd"), "response", None)])
+
+
 # ---- token counts
 
 @pytest.mark.parametrize("most", [100_000, 40, 0])
