@@ -15,7 +15,10 @@ containers at their host's winning path.
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are joined in page order by one space. Left out are menus, page
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments, by element or by the words of class, id and role.
+reader comments, by element or by the words of class, id and role. Words never
+leave out an article, unless it lies in another one as reader comments do; in
+articles and main, headers stay and ids of headings and paragraphs, which are
+mostly made from their text, say nothing.
 
 Edge cases: NULL and empty pages give an empty text; a page without its host's
 path uses its own best container; a NULL or odd url votes under the empty
@@ -51,6 +54,8 @@ OUT_WORDS = frozenset(
     "cookie cookies disclaimer dropdown footer gdpr header masthead menu menubar modal nav navbar navigation newsletter "
     "notice notices notification pager pagination popup promo promoted related share sharing sidebar signup skip "
     "social sponsor sponsored subscribe toolbar widget widgets complementary contentinfo search".split())
+#: Elements whose id says nothing inside a landmark.
+SLUGGED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 #: Elements that are never boilerplate by their class words alone.
 WHOLE = frozenset("html body main".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 "
@@ -91,16 +96,20 @@ class Page:
     def _open(self, stack: list[int], tag: str, attrs: str) -> int:
         up = stack[-1]
         words, label = set(), tag
+        inside = any(self.tag[n] in LANDMARKS for n in stack)
         if attrs:
             for name, a, b, c in _ATTR.findall(attrs):
                 value = a or b or c
                 found = [w.lower() for w in _WORDS.findall(value)]
-                words.update(found)
+                if not (inside and tag in SLUGGED and name.lower() == "id"):
+                    words.update(found)
                 if name.lower() == "class":
                     label = tag + "".join("." + w for w in sorted(set(found)))
-        inside = any(self.tag[n] in LANDMARKS for n in stack)
+        if inside:
+            words.discard("header")
+        whole = tag in WHOLE or (tag == "article" and not any(self.tag[n] == "article" for n in stack))
         out = self.out[up] or tag in OUT_TAGS or (tag == "header" and not inside) or (
-            tag not in WHOLE and not OUT_WORDS.isdisjoint(words))
+            not whole and not OUT_WORDS.isdisjoint(words))
         self.parent.append(up)
         self.tag.append(tag)
         self.path.append(f"{self.path[up]}/{label}" if tag not in INLINE else self.path[up])

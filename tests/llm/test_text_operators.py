@@ -168,6 +168,20 @@ def test_extraction(page, text):
     assert html_extract.Page(page).text(None) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<article class='post has-sidebar'><p>a</p></article><footer>f", "a"),
+    ("<main><article id='related' class='social'><p>a</p></article></main>", "a"),
+    ("<article><h2 id='search-engines'>H</h2><p id='cookie-notice'>a</p></article>", "H a"),
+    ("<article><div class='article-header'><h1>T</h1></div><header class='post-header'>s</header><p>a</p></article>", "T s a"),
+    # still left out
+    ("<article><p>a</p><article class='comment'><p>c</p></article><p class='byline'>b</p></article>", "a"),
+    ("<article><p>a</p><div id='comments'><p>c</p></div><h2 class='related'>r</h2></article>", "a"),
+    ("<div class='page-header'>h</div><h2 id='search'>s</h2><div><p>a</p></div>", "a"),
+])
+def test_boilerplate_words_spare_articles(page, text):
+    assert html_extract.Page(page).text(None) == text
+
+
 def test_html_query(spark, small):
     rows = {r.page_id: r for r in registry.queries()["op6_html_extraction"](spark, small).collect()}
     assert len(rows) == 18
