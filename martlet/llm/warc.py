@@ -1,9 +1,13 @@
 """WARC archives as a chunked record table.
 
-Method: a payload is handled as rows of (record id, chunk number, bytes), each
-carrying the SHA-1 and length of the payload so far. Writer and reader stream
-chunks and never need a whole record in one buffer; the last chunk of a record
-carries its full digest.
+Method: archives are read as rows of (record id, chunk number, bytes), each
+carrying the SHA-1 and length of the payload so far; the last chunk of a record
+carries its full digest. ``read`` streams chunks and never needs a whole record
+in one buffer; the round trip reads without bytes and keeps only last chunks.
+The write path is not chunked into rows: a payload is a value of the pages
+table and comes as one Arrow buffer, which digests, compression and output walk
+in views of ``CHUNK`` bytes without a copy of the whole. Its memory grows with
+the largest payload in a batch.
 
 * Digests of payloads come first (one pass). Equal payloads are found by a
   grouped maximum with map-side partial aggregation, so a payload that a third
