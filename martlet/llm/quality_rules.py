@@ -22,8 +22,9 @@ Mahalanobis cut-off are rejected.
 
 Edge cases: NULL text has no words; NULL language or source is a group of its
 own; the groups of a language with fewer than ``MIN_GROUP`` base-passing rows
-are pooled, and where even the pool is smaller there is no estimate and the
-base rules alone decide; an empty table gives an empty result. Repeated rows
+are pooled, and where the pool is smaller too it is judged by an estimate over
+all rows of the language; where those are fewer as well there is no estimate
+and the base rules alone decide; an empty table gives an empty result. Repeated rows
 are judged alike.
 """
 
@@ -260,12 +261,27 @@ def grouped(stats: DataFrame) -> DataFrame:
             .drop("r_lang", "r_source", "g_n"))
 
 
+def _widened(slim: DataFrame) -> DataFrame:
+    """Pools of fewer than ``MIN_GROUP`` rows also get the rows of their
+    language's large groups, which stay in those as well."""
+    few = materialise(slim.groupBy("g_lang").agg(F.count_if("g_pooled").alias("pooled"), F.count("*").alias("n"))
+                      .where((F.col("pooled") > 0) & (F.col("pooled") < MIN_GROUP) & (F.col("n") > F.col("pooled")))
+                      .select(F.col("g_lang").alias("few_lang")), "mcd-few")
+    if few.isEmpty():
+        return slim
+    more = (slim.where(~F.col("g_pooled")).join(few, F.col("g_lang").eqNullSafe(F.col("few_lang")), "left_semi")
+            .withColumn("g_source", F.lit(None).cast(slim.schema["g_source"].dataType)).withColumn("g_pooled", F.lit(True)))
+    out = materialise(slim.unionByName(more), "mcd-rows")
+    discard(slim)
+    return out
+
+
 def fit(stats: DataFrame) -> DataFrame:
     """Centre, Cholesky factor and cut-off per group, from the rows that pass the base
     rules. ``stats`` comes from :func:`grouped` over a written table; a slim
     copy (integers only) is written once and read once per step."""
-    slim = materialise(stats.where(~base_failed()).select(
-        *GROUP, *[c.alias(k) for k, c in _transformed().items()]), "mcd-rows")
+    slim = _widened(materialise(stats.where(~base_failed()).select(
+        *GROUP, *[c.alias(k) for k, c in _transformed().items()]), "mcd-rows"))
     groups = materialise(_start(slim), "mcd-start")
     for _ in range(STEPS):
         previous, groups = groups, materialise(_concentrate(slim, groups), "mcd-step")

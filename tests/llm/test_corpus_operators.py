@@ -317,6 +317,22 @@ def test_an_outlier_in_one_statistic_goes(spark, statistic, counts):
     assert got[901].d2 > quality_rules.CUTOFF and got[900].d2 < quality_rules.LEAST_CUTOFF
 
 
+@pytest.mark.parametrize("lang", ["en", None])
+def test_small_sources_are_judged_by_their_language(spark, lang):
+    rng = random.Random(15)
+    rows = []
+    for i in range(200):
+        n = rng.randint(150, 260)
+        rows.append((i, n, n * 7 // 10, n * 5, 0, 0, 0, lang, "web" if i < 194 else "tiny"))
+    rows += [(900, 200, 140, 1000, 400, 0, 0, lang, "tiny"), (901, 200, 140, 1000, 400, 0, 0, lang, None)]
+    stats = quality_rules.grouped(spark.createDataFrame(
+        rows, "doc_id long, n_words long, n_distinct long, word_chars long, n_symbols long, n_dup_lines long, "
+              "n_repeat_words long, g_lang string, g_source string"))
+    got = quality_rules.judge(stats, quality_rules.fit(stats)).collect()
+    assert len(got) == 202 and all(r.d2 is not None for r in got)
+    assert sorted(r.doc_id for r in got if not r.kept) == [900, 901]
+
+
 # ---- pipeline
 
 def test_stages_keep_the_columns(spark, small):
