@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (bpe, decontaminate, html_extract, passages, pii, quality_crf, quality_rules, simhash,
-               token_counts, warc)
+from . import (bpe, decontaminate, divergence, html_extract, passages, pii, quality_crf, quality_rules,
+               simhash, token_counts, warc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         warc.op8_warc,
         quality_rules.op9_quality_rules,
         token_counts.op10_token_counts,
+        divergence.op11_source_divergence,
     )}
 
 
@@ -60,8 +61,36 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
        CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> top THEN top END AS refers_to FROM x"""
 
+#: Shares and divergences as HUGEINT, every group against every kept term.
+OP11 = rf"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+w AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS total FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS c FROM w JOIN k USING (lang, term) GROUP BY lang, source, term),
+n AS (SELECT lang, source, sum(c)::HUGEINT AS n FROM c GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+             1 + 1000000000::HUGEINT * (coalesce(c.c, 0) + 2) // (coalesce(n.n, 0) + 2 * v.v) AS p,
+             1 + 1000000000::HUGEINT * (k.total + 2) // (v.n + 2 * v.v) AS q
+      FROM g JOIN k ON g.lang = k.lang JOIN v ON g.lang = v.lang
+      LEFT JOIN n ON g.lang = n.lang AND g.source = n.source
+      LEFT JOIN c ON g.lang = c.lang AND g.source = c.source AND k.term = c.term),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value
+         FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+                    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source
+                    GROUP BY x.lang, x.source, y.source) s
+         ON a.lang = s.lang AND a.source = s.source AND b.source = s.item),
+term AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE c > 0 AND p > q),
+u AS (SELECT lang, source, 'pair' AS part, item, value FROM pair
+      UNION ALL SELECT lang, source, 'term' AS part, item, value FROM term),
+x AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM u)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM x WHERE part = 'pair' OR rank <= 10"""
+
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB twins, where SQL can express an operator over whole tables. The
     others are tested against brute-force versions in ``tests/llm``."""
-    return {"op4_benchmark_decontamination": OP4, "op8_warc": OP8}
+    return {"op4_benchmark_decontamination": OP4, "op8_warc": OP8, "op11_source_divergence": OP11}
