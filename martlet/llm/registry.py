@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (bpe, decontaminate, divergence, html_extract, passages, pii, quality_crf, quality_rules,
-               simhash, token_counts, warc)
+from . import (bpe, decontaminate, divergence, html_extract, passages, pii, prefix_trie, quality_crf,
+               quality_rules, simhash, token_counts, token_ids, warc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         quality_rules.op9_quality_rules,
         token_counts.op10_token_counts,
         divergence.op11_source_divergence,
+        token_ids.op12_token_ids,
+        prefix_trie.op13_conversation_trie,
     )}
 
 
@@ -89,8 +91,34 @@ x AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY valu
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
 FROM x WHERE part = 'pair' OR rank <= 10"""
 
+#: CRC-32 bit by bit: a byte is added, then eight steps (-1) follow.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(
+  regexp_extract_all(CAST(conv_id AS VARCHAR), '.'), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"""
+#: Prefixes as lists of turns; every node is counted at each of its prefixes.
+OP13 = f"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) AS s
+      FROM r GROUP BY conv_id),
+h AS (SELECT conv_id, s, CAST({_CRC} % 6 AS INTEGER) AS h FROM o),
+b AS (SELECT h.conv_id, list_concat(coalesce(o.s[1:h.h], []), h.s[h.h + 1:]) AS s
+      FROM h LEFT JOIN o ON o.conv_id = h.conv_id - h.conv_id % 100),
+m AS (SELECT conv_id, len(s) AS l, d, s[1:d] AS p FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM b)),
+g AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n,
+             string_agg(CASE WHEN l = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends FROM m GROUP BY p, d),
+k AS (SELECT p[1:d - 1] AS p, count(*) AS children FROM g WHERE d > 0 GROUP BY p[1:d - 1]),
+w AS (SELECT g.p, g.d, CASE WHEN k.p IS NULL THEN 1 ELSE 0 END AS leaf,
+             CASE WHEN g.d > 0 THEN (g.n - 1) * length(g.p[g.d].t) ELSE 0 END AS saved FROM g LEFT JOIN k ON g.p = k.p),
+t AS (SELECT p[1:e] AS p, sum(leaf) AS leaves, sum(saved) AS saved
+      FROM (SELECT p, leaf, saved, unnest(range(0, d + 1)) AS e FROM w) GROUP BY p[1:e])
+SELECT g.conv_id, CAST(g.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAST(g.n AS BIGINT) AS n_convs,
+       CAST(coalesce(k.children, 0) AS BIGINT) AS n_children, CAST(t.leaves AS BIGINT) AS n_leaves,
+       CAST(t.saved AS BIGINT) AS saved_tokens, sha256(coalesce(g.ends, '')) AS ends_sha256
+FROM g JOIN t ON g.p = t.p LEFT JOIN k ON g.p = k.p LEFT JOIN g u ON g.d > 0 AND u.d = g.d - 1 AND u.p = g.p[1:g.d - 1]"""
+
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB twins, where SQL can express an operator over whole tables. The
     others are tested against brute-force versions in ``tests/llm``."""
-    return {"op4_benchmark_decontamination": OP4, "op8_warc": OP8, "op11_source_divergence": OP11}
+    return {"op4_benchmark_decontamination": OP4, "op8_warc": OP8, "op11_source_divergence": OP11,
+            "op13_conversation_trie": OP13}
