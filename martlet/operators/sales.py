@@ -16,14 +16,14 @@ from ..constants import (CATEGORY_PREFIX, DEFAULT_LOOKBACK_DAYS, ITEM_PREFIX,
 from ..functions.dates import check_range, comparison_windows, key_label, period_key
 
 
-def _between(start, end, col: str = "date") -> Column:
+def between(start, end, col: str = "date") -> Column:
     s, e = check_range(start, end)
     return F.col(col).between(F.lit(s), F.lit(e))
 
 
 def in_range(facts: DataFrame, start, end) -> DataFrame:
     """Fact rows dated inside the inclusive range."""
-    return facts.filter(_between(start, end))
+    return facts.filter(between(start, end))
 
 
 def money(c: Column) -> Column:
@@ -128,13 +128,19 @@ def growth(facts: DataFrame, start, end, period: str = "day") -> DataFrame:
     """Current, previous-period and last-year sales in ONE conditional
     aggregation (the scan reads the union of the three windows)."""
     w = comparison_windows(start, end, period)
-    cur, prev, ly = (_between(*w["current"]), _between(*w["previous"]), _between(*w["last_year"]))
+    cur, prev, ly = (between(*w["current"]), between(*w["previous"]), between(*w["last_year"]))
     agg = facts.filter(cur | prev | ly).agg(
         F.sum(F.when(cur, F.col("price"))).alias("_cur"),
         F.sum(F.when(prev, F.col("price"))).alias("_prev"),
         F.sum(F.when(ly, F.col("price"))).alias("_ly"),
         F.count_distinct(F.when(cur, F.col("order_id"))).alias("total_orders"),
     )
+    return growth_row(agg, w, period)
+
+
+def growth_row(agg: DataFrame, w: dict, period: str) -> DataFrame:
+    """The growth columns of one row of window sums ``_cur, _prev, _ly`` and
+    ``total_orders``."""
     total = F.round(F.coalesce(money(F.col("_cur")), F.lit(0.0)), 2)
     return agg.select(
         F.lit(period).alias("period"),
@@ -157,16 +163,18 @@ def kpi_summary(facts: DataFrame, funnel: DataFrame, start, end, period: str = "
     subquery (one row), so no join of the fact table is needed.
     """
     from .funnel import funnel_totals
-    g = growth(facts, start, end, period)
-    buys = funnel_totals(funnel, start, end).select(
-        F.struct(F.col("buy").alias("buy"), F.col("distinct_buyers").alias("db")).alias("s")
-    ).scalar()
+    return kpi_row(growth(facts, start, end, period), funnel_totals(funnel, start, end), period)
+
+
+def kpi_row(g: DataFrame, totals: DataFrame, period: str) -> DataFrame:
+    """The KPI row of one growth row and one row of funnel totals."""
+    buys = totals.select(F.struct("buy", "distinct_buyers").alias("s")).scalar()
     aov = F.coalesce(F.round(F.col("total_sales") / F.nullif(F.col("total_orders").cast("double"), F.lit(0.0)), 2),
                      F.lit(0.0))
     return g.select(
         "total_sales", "total_orders",
         buys["buy"].alias("paying_users"),
-        buys["db"].alias("distinct_paying_users"),
+        buys["distinct_buyers"].alias("distinct_paying_users"),
         aov.alias("avg_order_value"),
         "qoq_rate", "yoy_rate",
         F.lit(PERIOD_LABELS[period]).alias("period_label"),

@@ -425,6 +425,21 @@ FROM ({breakdown_sql('facts', ss, se)})""",
         "kpi_summary": with_(*PIPE, BUY, TOUCH, SFLAGS, SMART) + kpi_select("buy", "smart", *R.KPI_RANGE, "day"),
         "dashboard_bundle": bundle_sql(ls, le, "week"),
         "daily_drilldown": bundle_sql(R.DRILL_DAY, R.DRILL_DAY, "day"),
+        "sales_cells": facts + ("SELECT date, item_id, category_id, channel, age_group, CAST(sum(price) AS DOUBLE) AS sales, "
+                                "count(*) AS n_rows FROM facts GROUP BY ALL"),
+        "set_trend_day": facts + trend_sql("facts", ss, se, "day"),
+        "set_trend_week": facts + trend_sql("facts", ss, se, "week"),
+        "set_trend_month": facts + trend_sql("facts", ss, se, "month"),
+        "set_core_metrics": facts + (f"SELECT COALESCE(CAST(sum(price) AS DOUBLE), 0.0) AS total_sales, "
+                                     f"count(DISTINCT order_id) AS total_orders FROM facts WHERE {rng(ss, se)}"),
+        "set_growth_month": facts + growth_select("facts", ms, me, "month"),
+        "set_rfm_distribution": with_(*PIPE, BUY, RFM) + f""", seg AS ({rule})
+SELECT rule_label AS rfm_label, count(DISTINCT buy.user_id) AS cnt
+FROM buy JOIN seg ON buy.user_id = seg.user_id WHERE {rng(ls, le)} GROUP BY 1""",
+        "cube_slices": facts + f""", top AS ({top_sql('facts', ss, se, 'item_id', ITEM_PREFIX, 'item_label')}),
+dims AS ({breakdown_sql('facts', ss, se)})
+SELECT 'rankings' AS section, item_label AS name, sales AS value FROM top
+UNION ALL SELECT dimension, name, sales FROM dims""",
         "daily_volume": with_(LOG) + f"SELECT {D('ts')} AS date, count(*) AS events FROM log GROUP BY 1 ORDER BY 1",
         "hourly_volume": with_(LOG) + hourly,
         "pareto_share": "WITH " + LOG + pareto,

@@ -6,6 +6,10 @@ and last-year sums come from the single growth aggregation. The sections are
 meant to read published marts, which are small beside the log and pruned by
 column and date. ``bundle_long`` stacks them into one tidy (section, name,
 value) table.
+
+``cube_marts`` are the pre-aggregated marts kept beside the facts, and
+``cube_bundle`` gives the same table from them: the cube is read once, sums and
+distinct counts come from daily sets (``operators.cube``), facts are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..constants import TOP_K
 from ..functions.dates import check_period, check_range, parse_date
-from ..operators import cohort, funnel, rfm, sales
+from ..operators import cohort, cube, funnel, rfm, sales
 
 
 def dashboard_sections(facts: DataFrame, funnel_mart: DataFrame, cohort_matrix: DataFrame,
@@ -42,33 +46,49 @@ def dashboard_sections(facts: DataFrame, funnel_mart: DataFrame, cohort_matrix:
     return out
 
 
-def bundle_long(sections: dict) -> DataFrame:
-    """Numeric sections stacked into one (section, name, value) table."""
-    core_cols = ["total_sales", "total_orders", "paying_users", "avg_order_value", "qoq_rate", "yoy_rate"]
-    core = sections["core"].select(F.inline(F.array(*[
-        F.struct(F.lit("core").alias("section"), F.lit(c).alias("name"), F.col(c).cast("double").alias("value"))
-        for c in core_cols])))
-    trend = sections["trend"].select(F.inline(F.array(
+def _core_long(core: DataFrame) -> DataFrame:
+    """KPI values, and the period's label with a constant."""
+    cols = ["total_sales", "total_orders", "paying_users", "avg_order_value", "qoq_rate", "yoy_rate"]
+    return core.select(F.inline(F.array(
+        *[F.struct(F.lit("core").alias("section"), F.lit(c).alias("name"), F.col(c).cast("double").alias("value"))
+          for c in cols],
+        F.struct(F.lit("period").alias("section"), F.col("period_label").alias("name"), F.lit(1.0).alias("value")))))
+
+
+def _trend_long(trend: DataFrame) -> DataFrame:
+    return trend.select(F.inline(F.array(
         F.struct(F.lit("trend_sales").alias("section"), F.col("dt").alias("name"), F.col("sales").alias("value")),
         F.struct(F.lit("trend_orders").alias("section"), F.col("dt").alias("name"),
                  F.col("orders").cast("double").alias("value")))))
-    days = F.datediff(F.col("day"), F.lit("1970-01-01").cast("date")).cast("double")
-    span = sections["date_range"].select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("name"), F.col(c).alias("day")) for c in ("min_date", "max_date")])))
+
+
+def _range_long(span: DataFrame) -> DataFrame:
+    """Dates as days since 1970-01-01."""
+    return span.select(F.inline(F.array(*[
+        F.struct(F.lit("date_range").alias("section"), F.lit(c).alias("name"),
+                 F.datediff(F.col(c), F.lit("1970-01-01").cast("date")).cast("double").alias("value"))
+        for c in ("min_date", "max_date")])))
+
+
+def _funnel_long(rows: DataFrame) -> DataFrame:
+    return rows.select(F.lit("funnel").alias("section"), "name", F.col("value").cast("double").alias("value"))
+
+
+def _retention_long(rates: DataFrame) -> DataFrame:
+    return rates.select(F.lit("retention").alias("section"),
+                        F.concat_ws(":", "cohort_date", F.col("day_diff").cast("string")).alias("name"),
+                        F.col("retention_pct").cast("double").alias("value"))
+
+
+def bundle_long(sections: dict) -> DataFrame:
+    """Numeric sections stacked into one (section, name, value) table."""
     parts = [
-        core, trend,
-        # dates as days since 1970-01-01; the label's value is a constant
-        span.select(F.lit("date_range").alias("section"), "name", days.alias("value")),
-        sections["core"].select(F.lit("period").alias("section"), F.col("period_label").alias("name"),
-                                F.lit(1.0).alias("value")),
-        sections["funnel"].select(F.lit("funnel").alias("section"), "name", F.col("value").cast("double").alias("value")),
+        _core_long(sections["core"]), _trend_long(sections["trend"]), _range_long(sections["date_range"]),
+        _funnel_long(sections["funnel"]),
         sections["rankings"].select(F.lit("rankings").alias("section"), F.col("item_label").alias("name"),
                                     F.col("sales").alias("value")),
         sections["dimensions"].select(F.col("dimension").alias("section"), "name", F.col("sales").alias("value")),
-        sections["retention"].select(
-            F.lit("retention").alias("section"),
-            F.concat_ws(":", "cohort_date", F.col("day_diff").cast("string")).alias("name"),
-            F.col("retention_pct").cast("double").alias("value")),
+        _retention_long(sections["retention"]),
     ]
     if "rfm" in sections:
         parts.append(sections["rfm"].select(F.lit("rfm").alias("section"), "name",
@@ -76,6 +96,36 @@ def bundle_long(sections: dict) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def cube_marts(buy_fact: DataFrame, user_rfm: DataFrame | None = None) -> dict:
+    """The marts that serve the dashboard without the facts, by name."""
+    out = {"sales_cells": cube.sales_cells(buy_fact),
+           "day_orders": cube.member_sets(buy_fact, cube.dense_numbers(buy_fact, "order_id"), "order_id")}
+    if user_rfm is not None:
+        labelled = buy_fact.select("date", "user_id", "price").join(user_rfm, "user_id")
+        out["day_buyers"] = cube.member_sets(labelled, cube.dense_numbers(buy_fact, "user_id"), "user_id", "rfm_label")
+    return out
+
+
+def cube_bundle(cells: DataFrame, day_orders: DataFrame, funnel_mart: DataFrame, cohort_matrix: DataFrame,
+                start, end, period: str = "day", day_buyers: DataFrame | None = None) -> DataFrame:
+    """``bundle_long`` of the range from the pre-aggregated marts."""
+    check_period(period)
+    s, e = check_range(start, end)
+    totals = funnel.funnel_totals(funnel_mart, s, e)
+    parts = [
+        _core_long(sales.kpi_row(cube.set_growth(day_orders, s, e, period), totals, period)),
+        _trend_long(cube.set_trend(day_orders, s, e, period)),
+        _range_long(sales.date_range(day_orders)),
+        _funnel_long(funnel.funnel_long(totals)),
+        cube.ranked_slices(cells, s, e, TOP_K),
+        _retention_long(cohort.retention_rates(cohort.cohort_read(cohort_matrix, s, e))),
+    ]
+    if day_buyers is not None:
+        parts.append(cube.set_distribution(day_buyers, s, e).select(
+            F.lit("rfm").alias("section"), F.col("rfm_label").alias("name"), F.col("cnt").cast("double").alias("value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def daily_drilldown(facts: DataFrame, funnel_mart: DataFrame, cohort_matrix: DataFrame,
                     day, period: str = "day", user_rfm: DataFrame | None = None) -> dict:
     """The dashboard sections for a single day."""
@@ -94,24 +144,25 @@ class Dashboard:
     """
 
     def __init__(self, buy_fact: DataFrame, funnel_mart: DataFrame, cohort_matrix: DataFrame,
-                 user_rfm: DataFrame | None = None):
+                 user_rfm: DataFrame | None = None, cubes: dict | None = None):
         self.facts, self.funnel_mart, self.cohort_matrix = buy_fact, funnel_mart, cohort_matrix
-        self.user_rfm = user_rfm
+        self.user_rfm, self.cubes = user_rfm, cubes or {}
 
     @classmethod
     def from_published(cls, spark, root: str) -> "Dashboard":
         from ..sinks.publish import read_marts
         names = ("buy_fact", "user_funnel_mart", "cohort_matrix", "user_rfm")
-        marts = read_marts(spark, root, names)
+        cubes = ("sales_cells", "day_orders", "day_buyers")
+        marts = read_marts(spark, root, names + cubes)
         missing = [n for n in names[:3] if n not in marts]
         if missing:
             raise KeyError(f"marts {missing} have not been published under {root}")
-        return cls(*[marts.get(n) for n in names])
+        return cls(*[marts.get(n) for n in names], {n: marts[n] for n in cubes if n in marts})
 
     def resolve(self, start=None, end=None) -> tuple:
         if start and end:
             return check_range(start, end)
-        row = sales.default_range(self.facts).first()
+        row = sales.default_range(self.cubes.get("day_orders", self.facts)).first()
         return row.start_date, row.end_date
 
     def date_range(self) -> DataFrame:
@@ -154,3 +205,14 @@ class Dashboard:
         s, e = self.resolve(start, end)
         return dashboard_sections(self.facts, self.funnel_mart, self.cohort_matrix, s, e, period,
                                   self.user_rfm)
+
+    def bundle(self, start=None, end=None, period: str = "day") -> DataFrame:
+        """All sections in one (section, name, value) table, from the
+        pre-aggregated marts where they are published."""
+        check_period(period)
+        s, e = self.resolve(start, end)
+        if "sales_cells" in self.cubes and "day_orders" in self.cubes and (
+                self.user_rfm is None or "day_buyers" in self.cubes):
+            return cube_bundle(self.cubes["sales_cells"], self.cubes["day_orders"], self.funnel_mart,
+                               self.cohort_matrix, s, e, period, self.cubes.get("day_buyers"))
+        return bundle_long(self.all(s, e, period))

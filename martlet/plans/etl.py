@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, cohort, facts, funnel, quality, rfm
 from ..sinks import publish as sink
+from .dashboard import cube_marts
 
 
 @dataclass
@@ -118,7 +119,8 @@ def run_etl(spark: SparkSession, log: DataFrame, items: DataFrame, users: DataFr
 
     Order of work: one pass fills the joined table and the DQ counters; the
     log-derived marts are then staged concurrently while KMeans fits; the
-    segment table joins the same version; one pointer commit publishes all.
+    segment table and the cube marts (``plans.dashboard.cube_marts``) join the
+    same version; one pointer commit publishes all.
     If anything fails, staging stops, its folders and the work table go, caches
     are released, and the error is raised.
     """
@@ -145,6 +147,8 @@ def run_etl(spark: SparkSession, log: DataFrame, items: DataFrame, users: DataFr
         marts.segments = rfm.segment_users(rfm.rfm_base(marts.wide, cutoff),
                                            thresholds=thresholds, weights=weights)
         stager.stage("user_rfm", marts.segments.user_rfm)
+        for name, df in cube_marts(marts.buy_fact, marts.segments.user_rfm).items():
+            stager.stage(name, df)
         if model_path:
             rfm.save_models(marts.segments, model_path)
         profiles = rfm.cluster_profiles(marts.segments)
@@ -184,4 +188,4 @@ def run_etl(spark: SparkSession, log: DataFrame, items: DataFrame, users: DataFr
 
 def marts_version(spark: SparkSession, out_root: str) -> str:
     """Version of the newest published buy facts."""
-    return (sink.current_versions(spark, out_root).filter("table_name = 'buy_fact'").first()).version
+    return sink.current_versions(spark, out_root)["buy_fact"]["version"]

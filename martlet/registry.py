@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .functions.casts import safe_double, safe_int
 from .functions.segments import segment_label_py
-from .operators import (adhoc, clean, cohort, facts, funnel, profile, quality,
+from .operators import (adhoc, clean, cohort, cube, facts, funnel, profile, quality,
                         rfm, sales)
 from .plans import dashboard
 from .session import scratch_path
@@ -92,16 +92,20 @@ def _rule_segments(base: DataFrame) -> DataFrame:
     return rfm.segment_rule(rfm.rfm_zscores(base, digits=None)).withColumnRenamed("rule_label", "rfm_label")
 
 
-def _published(spark, d) -> str:
+def _published(spark, d, cubes: bool = False) -> str:
     """Root of marts published from one written pass over the log."""
     cl = _cleaned(spark, d)
     wide = _written(cl.wide, "wide")
     strict, loose = funnel.build_funnels(wide, fx.LOG_TZ)
     root = scratch_path(spark, "marts")
-    sink.publish(spark, root, {
+    marts = {
         "buy_fact": facts.buy_fact(wide), "user_funnel_mart": strict, "user_funnel_loose_mart": loose,
         "cohort_matrix": cohort.cohort_matrix(wide),
-        "user_rfm": _rule_segments(rfm.rfm_base(wide, rfm.cutoff_value(cl.events)))})
+        "user_rfm": _rule_segments(rfm.rfm_base(wide, rfm.cutoff_value(cl.events)))}
+    if cubes:
+        marts["user_rfm"] = _written(marts["user_rfm"], "segments")
+        marts |= dashboard.cube_marts(marts["buy_fact"], marts["user_rfm"])
+    sink.publish(spark, root, marts)
     return root
 
 
@@ -110,8 +114,19 @@ def _segments(spark, d) -> rfm.Segments:
 
 
 def _bundle(spark, d, start, end, period):
-    dash = dashboard.Dashboard.from_published(spark, _published(spark, d))
-    return dashboard.bundle_long(dash.all(start, end, period))
+    return dashboard.Dashboard.from_published(spark, _published(spark, d, cubes=True)).bundle(start, end, period)
+
+
+def _order_sets(spark, d):
+    """Daily order sets of the sales facts, written once as a mart is."""
+    rows = _sales(spark, d)
+    return _written(cube.member_sets(rows, cube.dense_numbers(rows, "order_id"), "order_id"), "day-orders")
+
+
+def _buyer_sets(spark, d):
+    rows = facts.buy_fact(_written(_wide(spark, d), "wide"))
+    marts = dashboard.cube_marts(rows, _rule_segments(_rfm_base(spark, d)))
+    return _written(marts["day_buyers"], "day-buyers")
 
 
 # ---- queries -------------------------------------------------------------
@@ -162,6 +177,12 @@ def _q_safe_cast(spark, d):
     )
 
 
+def _q_kpi_summary(spark, d):
+    """Facts and strict funnel from one written pass over the log."""
+    wide = _written(_wide(spark, d), "wide")
+    return sales.kpi_summary(facts.buy_fact(wide), funnel.build_funnels(wide, fx.LOG_TZ)[0], *KPI_RANGE, "day")
+
+
 def _q_adhoc(spark, d):
     return adhoc.run_adhoc(spark, ADHOC_STATEMENT, {"buy_fact": _sales(spark, d)})
 
@@ -310,10 +331,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "growth_month": lambda s, d: sales.growth(_sales(s, d), MONTH_START, MONTH_END, "month"),
         "dimension_breakdown": lambda s, d: sales.dimension_breakdown(_sales(s, d), SPAN_START, SPAN_END),
         "dimension_share": lambda s, d: sales.dimension_share(_sales(s, d), SPAN_START, SPAN_END),
-        "kpi_summary": lambda s, d: sales.kpi_summary(
-            facts.buy_fact(_wide(s, d)), _strict(s, d), *KPI_RANGE, "day"),
+        "kpi_summary": _q_kpi_summary,
         "dashboard_bundle": lambda s, d: _bundle(s, d, LOG_START, LOG_END, "week"),
         "daily_drilldown": lambda s, d: _bundle(s, d, DRILL_DAY, DRILL_DAY, "day"),
+        # pre-aggregated marts: the cube and mergeable sets
+        "sales_cells": lambda s, d: cube.sales_cells(_sales(s, d)).withColumn("sales", F.col("sales").cast("double")),
+        "set_trend_day": lambda s, d: cube.set_trend(_order_sets(s, d), SPAN_START, SPAN_END, "day"),
+        "set_trend_week": lambda s, d: cube.set_trend(_order_sets(s, d), SPAN_START, SPAN_END, "week"),
+        "set_trend_month": lambda s, d: cube.set_trend(_order_sets(s, d), SPAN_START, SPAN_END, "month"),
+        "set_core_metrics": lambda s, d: cube.set_core(_order_sets(s, d), SPAN_START, SPAN_END),
+        "set_growth_month": lambda s, d: cube.set_growth(_order_sets(s, d), MONTH_START, MONTH_END, "month"),
+        "set_rfm_distribution": lambda s, d: cube.set_distribution(_buyer_sets(s, d), LOG_START, LOG_END),
+        "cube_slices": lambda s, d: cube.ranked_slices(cube.sales_cells(_sales(s, d)), SPAN_START, SPAN_END),
         # log profiling
         "daily_volume": lambda s, d: profile.daily_volume(_log(s, d), fx.LOG_TZ),
         "hourly_volume": lambda s, d: profile.hourly_volume(s, _log(s, d)),

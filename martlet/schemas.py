@@ -1,6 +1,6 @@
 """Declared schemas: one StructType per table, no inference passes."""
 
-from pyspark.sql.types import (DateType, DecimalType, DoubleType, IntegerType,
+from pyspark.sql.types import (BinaryType, DateType, DecimalType, DoubleType, IntegerType,
                                LongType, StringType, StructField, StructType,
                                TimestampType)
 
@@ -58,6 +58,26 @@ FUNNEL_MART = StructType([
     StructField("has_buy", IntegerType()),
 ])
 
+# Pre-aggregated marts the dashboard is served from.
+SALES_CELLS = StructType([
+    StructField("date", DateType()),
+    StructField("item_id", IntegerType()),
+    StructField("category_id", IntegerType()),
+    StructField("channel", StringType()),
+    StructField("age_group", StringType()),
+    StructField("sales", DecimalType(20, 2)),
+    StructField("n_rows", LongType()),
+])
+
+DAY_ORDERS = StructType([
+    StructField("date", DateType()),
+    StructField("bucket", LongType()),
+    StructField("sales", DecimalType(30, 2)),
+    StructField("members", BinaryType()),
+])
+
+DAY_BUYERS = StructType([StructField("rfm_label", StringType()), *DAY_ORDERS.fields])
+
 DQ_LOG = StructType([
     StructField("run_time", TimestampType()),
     StructField("elapsed_seconds", DoubleType()),
@@ -74,6 +94,10 @@ MART_LAYOUT = {
     "user_funnel_mart": {"partition_by": ["date"], "sort_by": ["user_id"]},
     "user_funnel_loose_mart": {"partition_by": ["date"], "sort_by": ["user_id"]},
     "rejected_events": {"partition_by": ["date"], "sort_by": ["user_id", "ts"]},
+    # small beside the facts: no date folders, files of contiguous dates
+    "sales_cells": {"partition_by": [], "sort_by": ["date", "item_id"], "range": True},
+    "day_orders": {"partition_by": [], "sort_by": ["date", "bucket"], "range": True},
+    "day_buyers": {"partition_by": [], "sort_by": ["date", "rfm_label", "bucket"], "range": True},
 }
 
 
@@ -84,4 +108,7 @@ MART_SCHEMAS = {
     "cohort_matrix": COHORT_MATRIX,
     "user_funnel_mart": FUNNEL_MART,
     "user_funnel_loose_mart": FUNNEL_MART,
+    "sales_cells": SALES_CELLS,
+    "day_orders": DAY_ORDERS,
+    "day_buyers": DAY_BUYERS,
 }

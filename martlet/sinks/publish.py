@@ -3,16 +3,17 @@
 Layout under ``root``::
 
     root/<table>/v=<version>/...       immutable staged data (Parquet)
-    root/_versions/                    append-only pointer log
+    root/_commits/commit-<n>.json      which version of each table is current
 
 ``publish`` writes each table into a fresh version folder (partitioned and
-sorted per ``MART_LAYOUT``), and only after every table is written appends
-one pointer row per table in a single job. Commits are numbered, so clocks do
-not decide which is newer. Readers resolve the newest pointer per table, and
-``read_marts`` resolves several tables from one read of the pointer log, so
-they see either the old set of marts or the new one, never a half-written
-table or a mixture. The pointer log holds one row per table per run, so
-resolving it is a small read. ``expire`` deletes versions no longer pointed at.
+sorted per ``MART_LAYOUT``), and only after every table is written creates one
+commit (``sinks.commits``) that carries the pointers of all tables, the new
+ones and those it leaves alone. Commits are numbered and created only if
+absent, so clocks do not decide which is newer, and of two writers at once
+neither loses its tables. Readers resolve all names from the newest commit: one
+small file, read without a Spark job. They see either the old set of marts or
+the new one, never a half-written table or a mixture. ``expire`` deletes
+versions no longer pointed at.
 
 Tables are staged concurrently (independent Spark jobs from a thread pool),
 and each table's row count is gathered with ``observe`` while it is written,
@@ -25,10 +26,11 @@ import datetime as _dt
 import uuid
 from concurrent.futures import Future, ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import MART_LAYOUT, MART_SCHEMAS
+from . import commits
 
 
 # Layout for long histories of small days: no date folders; rows are range-
@@ -98,7 +100,7 @@ class Stager:
                                               _layout(name, self.layouts))
 
     def commit(self) -> dict:
-        """Wait for every staged table, then append all pointers in one job.
+        """Wait for every staged table, then commit all pointers at once.
         Returns ``{table: rows}``. A failed table aborts the commit, so the
         previously published set stays current."""
         try:
@@ -107,14 +109,13 @@ class Stager:
             self.abort()
             raise
         self.pool.shutdown(wait=True)
-        now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-        number = last_commit(self.spark, self.root) + 1
-        pointers = self.spark.createDataFrame(
-            [(n, self.version, f"{self.root}/{n}/v={self.version}", number, now, r) for n, r in rows.items()],
-            POINTERS)
-        pointers.coalesce(1).write.mode("append").parquet(f"{self.root}/_versions")
-        return rows
+        now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None).isoformat()
 
+        def point(number: int, state: dict) -> dict:
+            return state | {n: {"version": self.version, "path": f"{self.root}/{n}/v={self.version}", "commit": number,
+                                "published_at": now, "rows": r} for n, r in rows.items()}
+        self.number = commits.commit(self.spark, f"{self.root}/_commits", point)
+        return rows
 
     def abort(self) -> None:
         """Stop staging and delete what this version has written."""
@@ -123,9 +124,6 @@ class Stager:
             delete_path(self.spark, f"{self.root}/{name}/v={self.version}")
 
 
-POINTERS = ("table_name string, version string, path string, commit long, published_at timestamp, rows long")
-
-
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a folder through Spark's file system layer, if it exists."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -139,10 +137,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def last_commit(spark: SparkSession, root: str) -> int:
     """Number of the newest commit, 0 before the first."""
-    path = f"{root.rstrip('/')}/_versions"
-    if not exists(spark, path):
-        return 0
-    return spark.read.schema(POINTERS).parquet(path).agg(F.max("commit")).first()[0] or 0
+    return (commits.numbers(spark, f"{root.rstrip('/')}/_commits") or [0])[-1]
 
 
 def publish(spark: SparkSession, root: str, tables: dict, version: str | None = None,
@@ -155,25 +150,22 @@ def publish(spark: SparkSession, root: str, tables: dict, version: str | None =
     return stager.version
 
 
-def current_versions(spark: SparkSession, root: str) -> DataFrame:
-    """Newest pointer row per table."""
-    log = spark.read.schema(POINTERS).parquet(f"{root.rstrip('/')}/_versions")
-    newest = Window.partitionBy("table_name").orderBy(F.col("commit").desc(), F.col("version").desc())
-    return log.withColumn("_r", F.row_number().over(newest)).filter("_r = 1").drop("_r")
+def current_versions(spark: SparkSession, root: str) -> dict:
+    """The pointer of every published table: version, path, commit, rows."""
+    return commits.newest(spark, f"{root.rstrip('/')}/_commits")[1]
 
 
 def read_marts(spark: SparkSession, root: str, names, schema=None) -> dict:
-    """Published marts by name, all resolved from one read of the pointer log
-    (a commit in between changes none or all of them). Missing names are left
-    out. Declared schemas are used where known, so partition columns keep
-    their types."""
-    paths = {r.table_name: r.path for r in current_versions(spark, root).collect()}
+    """Published marts by name, all resolved from one commit (another one in
+    between changes none or all of them). Missing names are left out. Declared
+    schemas are used where known, so partition columns keep their types."""
+    pointers = current_versions(spark, root)
     out = {}
     for name in names:
-        if name in paths:
+        if name in pointers:
             declared = schema or MART_SCHEMAS.get(name)
             reader = spark.read.schema(declared) if declared is not None else spark.read
-            out[name] = reader.parquet(paths[name])
+            out[name] = reader.parquet(pointers[name]["path"])
     return out
 
 
@@ -187,11 +179,15 @@ def read_mart(spark: SparkSession, root: str, name: str, schema=None) -> DataFra
 
 def expire(spark: SparkSession, root: str, keep: int = 2) -> int:
     """Delete the folders of all but the newest ``keep`` versions of each
-    table; returns how many were deleted. Pointer rows stay."""
-    log = spark.read.schema(POINTERS).parquet(f"{root.rstrip('/')}/_versions")
-    age = F.row_number().over(Window.partitionBy("table_name").orderBy(F.col("commit").desc(), F.col("version").desc()))
-    old = [r.path for r in log.withColumn("_r", age).filter(F.col("_r") > keep).select("path").collect()]
-    gone = [p for p in old if exists(spark, p)]
+    table; returns how many were deleted. Commit files stay."""
+    folder = f"{root.rstrip('/')}/_commits"
+    versions: dict[str, list[str]] = {}
+    for number in reversed(commits.numbers(spark, folder)):
+        for name, pointer in commits.read(spark, folder, number).items():
+            paths = versions.setdefault(name, [])
+            if pointer["path"] not in paths:
+                paths.append(pointer["path"])
+    gone = [p for paths in versions.values() for p in paths[keep:] if exists(spark, p)]
     for path in gone:
         delete_path(spark, path)
     return len(gone)
