@@ -46,12 +46,16 @@ def cohort_matrix(wide: DataFrame, horizon: int = RETENTION_HORIZON_DAYS) -> Dat
     return cells.withColumn("cohort_users", day0.over(Window.partitionBy("cohort_date")))
 
 
-def cohort_read(matrix: DataFrame, start, end) -> DataFrame:
-    """Matrix rows whose cohort date lies in the range, ordered."""
+def cohorts_in(matrix: DataFrame, start, end) -> DataFrame:
+    """Matrix rows whose cohort date lies in the range."""
     lo, hi = parse_date(start), parse_date(end)
     return (matrix.filter(F.col("cohort_date").between(F.lit(lo), F.lit(hi)))
-            .select("cohort_date", "day_diff", "active_users", "cohort_users")
-            .orderBy("cohort_date", "day_diff"))
+            .select("cohort_date", "day_diff", "active_users", "cohort_users"))
+
+
+def cohort_read(matrix: DataFrame, start, end) -> DataFrame:
+    """Matrix rows whose cohort date lies in the range, ordered."""
+    return cohorts_in(matrix, start, end).orderBy("cohort_date", "day_diff")
 
 
 def retention_pct() -> F.Column:

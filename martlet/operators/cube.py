@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..constants import CATEGORY_PREFIX, ITEM_PREFIX, TOP_K
 from ..functions.dates import comparison_windows, key_label, period_key
 from ..session import scratch_path
-from .sales import between, growth_row, in_range, money
+from .sales import growth_row, in_range, money
 
 CELL = ["date", "item_id", "category_id", "channel", "age_group"]
 _PLACE = 33            # bits of the place inside a partition in a monotonic id
@@ -67,16 +67,20 @@ def member_sets(facts: DataFrame, numbers: DataFrame, member: str, *by: str) ->
                  F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("members")))
 
 
-def merged(sets: DataFrame, *by) -> DataFrame:
-    """Sets OR-ed over everything but ``by``: (*by, sales, members_count)."""
-    return (sets.groupBy(*by, "bucket").agg(F.sum("sales").alias("sales"), F.bitmap_or_agg("members").alias("members"))
-            .groupBy(*[b if isinstance(b, str) else "_k" for b in by])
-            .agg(F.sum("sales").alias("sales"), F.sum(F.bitmap_count("members")).alias("members_count")))
+def merged(sets: DataFrame, by: str) -> DataFrame:
+    """Sets OR-ed over everything but ``by``: (by, sales, members_count)."""
+    return (sets.groupBy(by, "bucket").agg(F.expr("sum(sales) AS sales"), F.expr("bitmap_or_agg(members) AS members"))
+            .groupBy(by).agg(F.expr("sum(sales) AS sales"), F.expr("sum(bitmap_count(members)) AS members_count")))
+
+
+def set_buckets(sets: DataFrame, start, end, period: str = "day") -> DataFrame:
+    """Sales and distinct members per period bucket, in no order."""
+    return merged(in_range(sets, start, end).withColumn("_k", period_key("date", period)), "_k")
 
 
 def set_trend(sets: DataFrame, start, end, period: str = "day") -> DataFrame:
-    """The trend (dt, sales, orders) from daily order sets."""
-    return (merged(in_range(sets, start, end), period_key("date", period).alias("_k")).orderBy("_k")
+    """The trend (dt, sales, orders) from daily order sets, in order."""
+    return (set_buckets(sets, start, end, period).orderBy("_k")
             .select(key_label("_k", period).alias("dt"), money(F.col("sales")).alias("sales"),
                     F.col("members_count").alias("orders")))
 
@@ -92,14 +96,14 @@ def set_core(sets: DataFrame, start, end) -> DataFrame:
 def set_growth(sets: DataFrame, start, end, period: str = "day") -> DataFrame:
     """``sales.growth`` from daily order sets: three windows, one pass."""
     w = comparison_windows(start, end, period)
-    cur, prev, ly = (between(*w[k]) for k in ("current", "previous", "last_year"))
-    buckets = sets.where(cur | prev | ly).groupBy("bucket").agg(
-        F.sum(F.when(cur, F.col("sales"))).alias("_cur"), F.sum(F.when(prev, F.col("sales"))).alias("_prev"),
-        F.sum(F.when(ly, F.col("sales"))).alias("_ly"),
-        F.bitmap_or_agg(F.when(cur, F.col("members"))).alias("_members"))
-    return growth_row(buckets.agg(
-        F.sum("_cur").alias("_cur"), F.sum("_prev").alias("_prev"), F.sum("_ly").alias("_ly"),
-        F.coalesce(F.sum(F.bitmap_count("_members")), F.lit(0)).alias("total_orders")), w, period)
+    cur, prev, ly = (f"(date BETWEEN DATE'{a}' AND DATE'{b}')" for a, b in (w["current"], w["previous"], w["last_year"]))
+    buckets = sets.where(f"{cur} OR {prev} OR {ly}").groupBy("bucket").agg(
+        F.expr(f"sum(CASE WHEN {cur} THEN sales END) AS _cur"), F.expr(f"sum(CASE WHEN {prev} THEN sales END) AS _prev"),
+        F.expr(f"sum(CASE WHEN {ly} THEN sales END) AS _ly"),
+        F.expr(f"bitmap_or_agg(CASE WHEN {cur} THEN members END) AS _members"))
+    return growth_row(buckets.agg(*map(F.expr, (
+        "sum(_cur) AS _cur", "sum(_prev) AS _prev", "sum(_ly) AS _ly",
+        "coalesce(sum(bitmap_count(_members)), 0) AS total_orders"))), w, period)
 
 
 def set_distribution(buyers: DataFrame, start, end, by: str = "rfm_label") -> DataFrame:
@@ -120,17 +124,15 @@ def ranked_slices(cells: DataFrame, start, end, top_k: int = TOP_K) -> DataFrame
     # grouping_id has a bit per grouping column, set where it is rolled up
     item, category, channel, age = (0b0111, 0b1011, 0b1101, 0b1110)
     grouped = (in_range(cells, start, end).groupingSets(sets, "item_id", "category_id", "channel", "age_group")
-               .agg(F.grouping_id().cast("int").alias("_kind"), F.sum("sales").alias("_sales")))
-    of = lambda k: F.col("_kind") == k
-    rows = grouped.select(
-        "_kind", "_sales", F.when(of(item), F.col("item_id")).when(of(category), F.col("category_id")).alias("_id"),
-        F.when(of(channel), F.col("channel")).when(of(age), F.col("age_group")).alias("_text"))
-    order = Window.partitionBy("_kind", "_text").orderBy(F.col("_sales").desc(), F.col("_id").asc_nulls_last())
-    top = rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= top_k)
-    named = lambda prefix: F.concat(F.lit(prefix), F.col("_id").cast("string"))
-    return top.select(
-        F.when(of(item), "rankings").when(of(category), "category").when(of(channel), "channel")
-        .otherwise("age_group").alias("section"),
-        F.when(of(item), named(ITEM_PREFIX)).when(of(category), named(CATEGORY_PREFIX))
-        .otherwise(F.col("_text")).alias("name"),
-        money(F.col("_sales")).alias("value"))
+               .agg(F.expr("CAST(grouping_id() AS INT) AS _kind"), F.expr("sum(sales) AS _sales")))
+    rows = grouped.selectExpr(
+        "_kind", "_sales", f"CASE _kind WHEN {item} THEN item_id WHEN {category} THEN category_id END AS _id",
+        f"CASE _kind WHEN {channel} THEN channel WHEN {age} THEN age_group END AS _text")
+    top = rows.withColumn("_rank", F.expr(
+        "row_number() OVER (PARTITION BY _kind, _text ORDER BY _sales DESC, _id ASC NULLS LAST)")).where(f"_rank <= {top_k}")
+    return top.selectExpr(
+        f"CASE _kind WHEN {item} THEN 'rankings' WHEN {category} THEN 'category' WHEN {channel} THEN 'channel' "
+        "ELSE 'age_group' END AS section",
+        f"CASE _kind WHEN {item} THEN concat('{ITEM_PREFIX}', CAST(_id AS STRING)) "
+        f"WHEN {category} THEN concat('{CATEGORY_PREFIX}', CAST(_id AS STRING)) ELSE _text END AS name",
+        "CAST(_sales AS DOUBLE) AS value")

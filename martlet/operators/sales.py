@@ -119,11 +119,6 @@ def default_range(facts: DataFrame, start=None, end=None,
     )
 
 
-def _rate(current: Column, base: Column) -> Column:
-    """round((current - base) / base * 100, 2); NULL if base is NULL or 0."""
-    return F.round((current - base) / F.nullif(base, F.lit(0.0)) * 100, 2)
-
-
 def growth(facts: DataFrame, start, end, period: str = "day") -> DataFrame:
     """Current, previous-period and last-year sales in ONE conditional
     aggregation (the scan reads the union of the three windows)."""
@@ -141,18 +136,15 @@ def growth(facts: DataFrame, start, end, period: str = "day") -> DataFrame:
 def growth_row(agg: DataFrame, w: dict, period: str) -> DataFrame:
     """The growth columns of one row of window sums ``_cur, _prev, _ly`` and
     ``total_orders``."""
-    total = F.round(F.coalesce(money(F.col("_cur")), F.lit(0.0)), 2)
-    return agg.select(
-        F.lit(period).alias("period"),
-        F.lit(w["previous"][0]).alias("prev_start"), F.lit(w["previous"][1]).alias("prev_end"),
-        F.lit(w["last_year"][0]).alias("ly_start"), F.lit(w["last_year"][1]).alias("ly_end"),
-        total.alias("total_sales"),
-        "total_orders",
-        money(F.col("_prev")).alias("prev_sales"),
-        money(F.col("_ly")).alias("ly_sales"),
-        _rate(total, money(F.col("_prev"))).alias("qoq_rate"),
-        _rate(total, money(F.col("_ly"))).alias("yoy_rate"),
-    )
+    rate = "round((total_sales - {0}) / nullif({0}, 0.0D) * 100, 2) AS {1}".format
+    sums = agg.selectExpr("round(coalesce(CAST(_cur AS DOUBLE), 0.0D), 2) AS total_sales", "total_orders",
+                          "CAST(_prev AS DOUBLE) AS prev_sales", "CAST(_ly AS DOUBLE) AS ly_sales")
+    return sums.selectExpr(
+        f"'{period}' AS period",
+        f"DATE'{w['previous'][0]}' AS prev_start", f"DATE'{w['previous'][1]}' AS prev_end",
+        f"DATE'{w['last_year'][0]}' AS ly_start", f"DATE'{w['last_year'][1]}' AS ly_end",
+        "total_sales", "total_orders", "prev_sales", "ly_sales",
+        rate("prev_sales", "qoq_rate"), rate("ly_sales", "yoy_rate"))
 
 
 def kpi_summary(facts: DataFrame, funnel: DataFrame, start, end, period: str = "day") -> DataFrame:
@@ -169,16 +161,10 @@ def kpi_summary(facts: DataFrame, funnel: DataFrame, start, end, period: str = "
 def kpi_row(g: DataFrame, totals: DataFrame, period: str) -> DataFrame:
     """The KPI row of one growth row and one row of funnel totals."""
     buys = totals.select(F.struct("buy", "distinct_buyers").alias("s")).scalar()
-    aov = F.coalesce(F.round(F.col("total_sales") / F.nullif(F.col("total_orders").cast("double"), F.lit(0.0)), 2),
-                     F.lit(0.0))
-    return g.select(
-        "total_sales", "total_orders",
-        buys["buy"].alias("paying_users"),
-        buys["distinct_buyers"].alias("distinct_paying_users"),
-        aov.alias("avg_order_value"),
-        "qoq_rate", "yoy_rate",
-        F.lit(PERIOD_LABELS[period]).alias("period_label"),
-    )
+    return g.withColumn("_buys", buys).selectExpr(
+        "total_sales", "total_orders", "_buys.buy AS paying_users", "_buys.distinct_buyers AS distinct_paying_users",
+        "coalesce(round(total_sales / nullif(CAST(total_orders AS DOUBLE), 0.0D), 2), 0.0D) AS avg_order_value",
+        "qoq_rate", "yoy_rate", f"'{PERIOD_LABELS[period]}' AS period_label")
 
 
 def _cells(facts: DataFrame, start, end) -> DataFrame:

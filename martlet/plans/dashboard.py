@@ -19,8 +19,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import TOP_K
-from ..functions.dates import check_period, check_range, parse_date
+from ..constants import FUNNEL_STAGE_NAMES, PERIOD_LABELS, TOP_K
+from ..functions.dates import check_period, check_range, key_label, parse_date
 from ..operators import cohort, cube, funnel, rfm, sales
 
 
@@ -46,38 +46,37 @@ def dashboard_sections(facts: DataFrame, funnel_mart: DataFrame, cohort_matrix:
     return out
 
 
-def _core_long(core: DataFrame) -> DataFrame:
-    """KPI values, and the period's label with a constant."""
+# The stacking expressions are SQL text: one parse each instead of a call into
+# the JVM per column, which is what a short query's time would go to.
+
+def _long(section: str, name: str, value: str) -> str:
+    return f"struct('{section}' AS section, {name} AS name, CAST({value} AS DOUBLE) AS value)"
+
+
+def _core_long(core: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """KPI values, the period's label with a constant, and ``more`` rows."""
     cols = ["total_sales", "total_orders", "paying_users", "avg_order_value", "qoq_rate", "yoy_rate"]
-    return core.select(F.inline(F.array(
-        *[F.struct(F.lit("core").alias("section"), F.lit(c).alias("name"), F.col(c).cast("double").alias("value"))
-          for c in cols],
-        F.struct(F.lit("period").alias("section"), F.col("period_label").alias("name"), F.lit(1.0).alias("value")))))
+    rows = [_long("core", f"'{c}'", c) for c in cols] + [_long("period", "period_label", "1"), *more]
+    return core.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def _trend_long(trend: DataFrame) -> DataFrame:
-    return trend.select(F.inline(F.array(
-        F.struct(F.lit("trend_sales").alias("section"), F.col("dt").alias("name"), F.col("sales").alias("value")),
-        F.struct(F.lit("trend_orders").alias("section"), F.col("dt").alias("name"),
-                 F.col("orders").cast("double").alias("value")))))
+    return trend.selectExpr(f"inline(array({_long('trend_sales', 'dt', 'sales')}, {_long('trend_orders', 'dt', 'orders')}))")
 
 
 def _range_long(span: DataFrame) -> DataFrame:
     """Dates as days since 1970-01-01."""
-    return span.select(F.inline(F.array(*[
-        F.struct(F.lit("date_range").alias("section"), F.lit(c).alias("name"),
-                 F.datediff(F.col(c), F.lit("1970-01-01").cast("date")).cast("double").alias("value"))
-        for c in ("min_date", "max_date")])))
+    rows = [_long("date_range", f"'{c}'", f"datediff({c}, DATE'1970-01-01')") for c in ("min_date", "max_date")]
+    return span.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def _funnel_long(rows: DataFrame) -> DataFrame:
-    return rows.select(F.lit("funnel").alias("section"), "name", F.col("value").cast("double").alias("value"))
+    return rows.selectExpr("'funnel' AS section", "name", "CAST(value AS DOUBLE) AS value")
 
 
 def _retention_long(rates: DataFrame) -> DataFrame:
-    return rates.select(F.lit("retention").alias("section"),
-                        F.concat_ws(":", "cohort_date", F.col("day_diff").cast("string")).alias("name"),
-                        F.col("retention_pct").cast("double").alias("value"))
+    return rates.selectExpr("'retention' AS section", "concat_ws(':', cohort_date, CAST(day_diff AS STRING)) AS name",
+                            "CAST(retention_pct AS DOUBLE) AS value")
 
 
 def bundle_long(sections: dict) -> DataFrame:
@@ -111,18 +110,25 @@ def cube_bundle(cells: DataFrame, day_orders: DataFrame, funnel_mart: DataFrame,
     """``bundle_long`` of the range from the pre-aggregated marts."""
     check_period(period)
     s, e = check_range(start, end)
-    totals = funnel.funnel_totals(funnel_mart, s, e)
+    # the stage sums are one row that the KPIs and the funnel share; nothing is
+    # sorted, as the stacked table has no order
+    stages = funnel.stage_totals(funnel_mart, s, e).selectExpr("struct(pv, cart, buy) AS stages").scalar()
+    core = cube.set_growth(day_orders, s, e, period).withColumn("_stages", stages).selectExpr(
+        "total_sales", "total_orders", "_stages.buy AS paying_users",
+        "coalesce(round(total_sales / nullif(CAST(total_orders AS DOUBLE), 0.0D), 2), 0.0D) AS avg_order_value",
+        "qoq_rate", "yoy_rate", f"'{PERIOD_LABELS[period]}' AS period_label", "_stages.pv", "_stages.cart", "_stages.buy")
+    trend = cube.set_buckets(day_orders, s, e, period).select(
+        key_label("_k", period).alias("dt"), "sales", F.col("members_count").alias("orders"))
     parts = [
-        _core_long(sales.kpi_row(cube.set_growth(day_orders, s, e, period), totals, period)),
-        _trend_long(cube.set_trend(day_orders, s, e, period)),
+        _core_long(core, tuple(_long("funnel", f"'{name}'", c) for name, c in zip(FUNNEL_STAGE_NAMES, ("pv", "cart", "buy")))),
+        _trend_long(trend),
         _range_long(sales.date_range(day_orders)),
-        _funnel_long(funnel.funnel_long(totals)),
         cube.ranked_slices(cells, s, e, TOP_K),
-        _retention_long(cohort.retention_rates(cohort.cohort_read(cohort_matrix, s, e))),
+        _retention_long(cohort.retention_rates(cohort.cohorts_in(cohort_matrix, s, e))),
     ]
     if day_buyers is not None:
-        parts.append(cube.set_distribution(day_buyers, s, e).select(
-            F.lit("rfm").alias("section"), F.col("rfm_label").alias("name"), F.col("cnt").cast("double").alias("value")))
+        parts.append(cube.set_distribution(day_buyers, s, e).selectExpr(
+            "'rfm' AS section", "rfm_label AS name", "CAST(cnt AS DOUBLE) AS value"))
     return reduce(DataFrame.unionByName, parts)
 
 
