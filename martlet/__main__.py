@@ -19,7 +19,7 @@ from pyspark.sql import SparkSession
 
 from .constants import DEFAULT_THRESHOLDS, DEFAULT_WEIGHTS
 from .plans.etl import run_etl
-from .sources.files import read_behavior_csv, read_items_csv, read_users_csv
+from .sources.files import read_behavior_lines, read_items_csv, read_users_csv
 from . import schemas
 
 
@@ -48,7 +48,7 @@ def main(argv=None, spark: SparkSession | None = None) -> dict:
         raise SystemExit("--start and --end go together")
     spark = spark or SparkSession.builder.appName("martlet-etl").getOrCreate()
     if args.format == "csv":
-        log = read_behavior_csv(spark, args.behavior)
+        log = read_behavior_lines(spark, args.behavior)
         items = read_items_csv(spark, args.items)
         users = read_users_csv(spark, args.users)
     else:

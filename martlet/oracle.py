@@ -39,6 +39,25 @@ LOG = f"""log AS (
          CAST(floor(epoch(ts)) AS BIGINT) AS ts
   FROM events)"""
 
+# The broken lines, and what each kind has wrong with it.
+RAW = f"""raw AS (
+  SELECT kind, u, i, c, t, s, CASE kind
+    WHEN 0 THEN concat_ws(',', u, i, c, t) WHEN 1 THEN concat_ws(',', u, i, c, t, s, '9')
+    WHEN 2 THEN concat_ws(',', 'abc', i, c, t, s) WHEN 3 THEN concat_ws(',', u, i, c, t, 'noon')
+    WHEN 4 THEN concat_ws(',', u, '', c, t, s) WHEN 5 THEN concat_ws(',', u, i, c, '', s)
+    WHEN 6 THEN concat_ws(',', '99999999999', i, c, t, s) WHEN 7 THEN concat_ws(',', u, i, c, '"' || t || '"', s)
+    WHEN 8 THEN concat_ws(',', u, i, '', t, s) WHEN 9 THEN concat_ws(',', u, i, 'x', t, s)
+    WHEN 10 THEN concat_ws(',', u, 'z', c, t, '') WHEN 11 THEN concat_ws(',', ' ' || u || ' ', i, c, ' ' || t || ' ', s)
+    WHEN 12 THEN concat_ws(',', u, i, c, '"' || t, s) WHEN 13 THEN ',,,,'
+    ELSE concat_ws(',', u, i, c, t, s) END AS line,
+    CASE WHEN kind IN (0, 1, 12) THEN 'fields' WHEN kind IN (2, 6) THEN 'user_id' WHEN kind = 3 THEN 'ts' WHEN kind = 4 THEN 'item_id'
+         WHEN kind = 5 THEN 'type' WHEN kind = 9 THEN 'category_id' WHEN kind = 10 THEN 'item_id,ts'
+         WHEN kind = 13 THEN 'user_id,item_id,type,ts' END AS reason
+  FROM (SELECT event_id % 50 AS kind, CAST(user_id AS INTEGER) AS u, CAST({_ITEM} AS INTEGER) AS i,
+               CAST({_ITEM} % 25 AS INTEGER) AS c,
+               CASE event_type WHEN 'view' THEN 'pv' WHEN 'click' THEN 'cart' WHEN 'purchase' THEN 'buy'
+                    ELSE event_type END AS t, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events))"""
+
 ITEMS = """items AS (
   SELECT CAST(p_partkey AS INTEGER) AS item_id, CAST(p_size AS INTEGER) AS category_id,
          CAST(CASE WHEN p_partkey % 10 <> 9 THEN p_retailprice END AS DECIMAL(10,2)) AS price
@@ -354,6 +373,10 @@ FROM (SELECT *, regexp_extract(props, '"k":\\s*([^}]*)\\}', 1) AS k FROM events)
         "scan_behavior_csv": with_(LOG) + "SELECT * FROM log",
         "scan_items_csv": with_(ITEMS) + edge("SELECT * FROM items"),
         "scan_users_csv": with_(USERS) + "SELECT * FROM users",
+        "csv_clean_rows": with_(RAW) + ("SELECT u AS user_id, i AS item_id, CASE WHEN kind <> 8 THEN c END AS category_id, t AS type, "
+                                        "s AS ts FROM raw WHERE reason IS NULL"),
+        "csv_dead_letters": with_(RAW) + "SELECT line, reason FROM raw WHERE reason IS NOT NULL",
+        "csv_line_counts": with_(RAW) + "SELECT COALESCE(reason, '') AS reason, count(*) AS lines FROM raw GROUP BY 1",
         "clean_events": with_(LOG, EV) + "SELECT * FROM ev",
         "wide_events": pipe + edge("SELECT * FROM wide"),
         "rejected_events": pipe + edge("SELECT * FROM joined WHERE price IS NULL"),

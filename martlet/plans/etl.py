@@ -19,7 +19,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clean, cohort, facts, funnel, quality, rfm
+from .. import schemas
+from ..operators import clean, cohort, dead_letters, facts, funnel, quality, rfm
 from ..sinks import publish as sink
 from .dashboard import cube_marts
 
@@ -121,16 +122,29 @@ def run_etl(spark: SparkSession, log: DataFrame, items: DataFrame, users: DataFr
     log-derived marts are then staged concurrently while KMeans fits; the
     segment table and the cube marts (``plans.dashboard.cube_marts``) join the
     same version; one pointer commit publishes all.
+    ``log`` is a typed log, or one read line by line with a ``reason`` column
+    (``files.read_behavior_lines``). Rows that did not parse, or lack a column
+    their order key needs, do not reach any other mart: they are published as
+    ``dead_letters``. Of a text log, lines and rejects are counted in the one
+    pass; it is read again only if there are rejects to write.
+
     If anything fails, staging stops, its folders and the work table go, caches
     are released, and the error is raised.
     """
     started = time.time()
     out_root = out_root.rstrip("/")
-    obs = Observation("dq")
+    obs, lines = Observation("dq"), None
+    if "reason" in log.columns:
+        lines = Observation("lines")
+        bad = dead_letters.rejected_lines(log)
+        rows_in = dead_letters.clean_rows(log.observe(
+            lines, F.count(F.lit(1)).alias("raw_rows"), F.count_if(F.col("reason").isNotNull()).alias("rejects")))
+    else:
+        bad, rows_in = dead_letters.set_aside(log), dead_letters.well_formed(log)
     work = f"{out_root}/_work/joined-{sink.new_version()}"
     marts = stager = None
     try:
-        marts = build_marts(log, items, users, window, tz, segment=False,
+        marts = build_marts(rows_in, items, users, window, tz, segment=False,
                             observation=obs, materialize=materialize, work_path=work)
         if materialize == "persist":
             marts.joined.count()               # the one pass: fills the cache and the counters
@@ -142,7 +156,9 @@ def run_etl(spark: SparkSession, log: DataFrame, items: DataFrame, users: DataFr
         # and loose marts then both read it instead of racing to compute it.
         marts.touch.count()
         stager = sink.Stager(spark, out_root, parallelism=parallelism)
-        for name, df in marts.tables().items():
+        if lines is not None and not lines.get["rejects"]:
+            bad = spark.createDataFrame([], schemas.DEAD_LETTERS)
+        for name, df in (marts.tables() | {"dead_letters": bad}).items():
             stager.stage(name, df)
         marts.segments = rfm.segment_users(rfm.rfm_base(marts.wide, cutoff),
                                            thresholds=thresholds, weights=weights)
@@ -156,11 +172,11 @@ def run_etl(spark: SparkSession, log: DataFrame, items: DataFrame, users: DataFr
         stager = None
 
         clean_rows = dq["joined_rows"] - dq["missing_price"]
-        # counts of whole inputs: answered from file footers where they have one
-        raw_rows = log.count()
+        # a whole typed log is counted from its file footers
+        raw_rows = log.count() if lines is None else lines.get["raw_rows"]
         values = {
             "raw_rows": raw_rows, "item_rows": items.count(), "user_rows": users.count(),
-            "malformed_rows": clean.malformed_events(log).count(),
+            "malformed_rows": rows["dead_letters"],
             "missing_price": dq["missing_price"], "missing_channel": dq["missing_channel"],
             "missing_age_group": dq["missing_age_group"], "clean_rows": clean_rows,
             "drop_rate_pct": round((1 - clean_rows / max(raw_rows, 1)) * 100, 2),

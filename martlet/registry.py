@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .functions.casts import safe_double, safe_int
 from .functions.segments import segment_label_py
-from .operators import (adhoc, clean, cohort, cube, facts, funnel, profile, quality,
-                        rfm, sales)
+from .operators import (adhoc, clean, cohort, cube, dead_letters, facts, funnel, profile,
+                        quality, rfm, sales)
 from .plans import dashboard
 from .session import scratch_path
 from .sinks import publish as sink
@@ -205,6 +205,19 @@ def _q_csv(name):
     return query
 
 
+def _parsed_lines(spark, d):
+    """The log with broken lines, written as text and read line by line."""
+    path = scratch_path(spark, "raw-lines")
+    fx.raw_lines(spark, d).write.text(path)
+    return files.read_behavior_lines(spark, path)
+
+
+def _q_line_counts(spark, d):
+    """Lines per reason ('' for rows): all lines are in exactly one part."""
+    return (_parsed_lines(spark, d).groupBy(F.coalesce("reason", F.lit("")).alias("reason"))
+            .agg(F.count("*").alias("lines")))
+
+
 def _q_rule_distribution(spark, d):
     return rfm.rfm_distribution(facts.buy_fact(_wide(spark, d)), _rule_segments(_rfm_base(spark, d)),
                                 LOG_START, LOG_END)
@@ -270,6 +283,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "scan_behavior_csv": _q_csv("behavior"),
         "scan_items_csv": _q_csv("items"),
         "scan_users_csv": _q_csv("users"),
+        "csv_clean_rows": lambda s, d: dead_letters.clean_rows(_parsed_lines(s, d)),
+        "csv_dead_letters": lambda s, d: dead_letters.rejected_lines(_parsed_lines(s, d)),
+        "csv_line_counts": _q_line_counts,
         # cleaning
         "clean_events": lambda s, d: clean.derive_events(_log(s, d), fx.LOG_WINDOW, fx.LOG_TZ),
         "wide_events": lambda s, d: _edge(_wide(s, d)),

@@ -78,6 +78,9 @@ DAY_ORDERS = StructType([
 
 DAY_BUYERS = StructType([StructField("rfm_label", StringType()), *DAY_ORDERS.fields])
 
+# Log rows that did not parse, as they were.
+DEAD_LETTERS = StructType([StructField("line", StringType()), StructField("reason", StringType())])
+
 DQ_LOG = StructType([
     StructField("run_time", TimestampType()),
     StructField("elapsed_seconds", DoubleType()),
@@ -94,6 +97,7 @@ MART_LAYOUT = {
     "user_funnel_mart": {"partition_by": ["date"], "sort_by": ["user_id"]},
     "user_funnel_loose_mart": {"partition_by": ["date"], "sort_by": ["user_id"]},
     "rejected_events": {"partition_by": ["date"], "sort_by": ["user_id", "ts"]},
+    "dead_letters": {"partition_by": [], "sort_by": ["reason"]},
     # small beside the facts: no date folders, files of contiguous dates
     "sales_cells": {"partition_by": [], "sort_by": ["date", "item_id"], "range": True},
     "day_orders": {"partition_by": [], "sort_by": ["date", "bucket"], "range": True},
@@ -108,6 +112,7 @@ MART_SCHEMAS = {
     "cohort_matrix": COHORT_MATRIX,
     "user_funnel_mart": FUNNEL_MART,
     "user_funnel_loose_mart": FUNNEL_MART,
+    "dead_letters": DEAD_LETTERS,
     "sales_cells": SALES_CELLS,
     "day_orders": DAY_ORDERS,
     "day_buyers": DAY_BUYERS,

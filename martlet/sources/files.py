@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators.dead_letters import parse_lines
 
 
 def read_behavior_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -13,6 +14,12 @@ def read_behavior_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.BEHAVIOR).option("header", False).csv(path)
 
 
+def read_behavior_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same log line by line: (line, reason, log columns), where ``reason``
+    says why a line is no row (``operators.dead_letters``)."""
+    return parse_lines(spark.read.text(path))
+
+
 def read_header_csv(spark: SparkSession, path: str, schema) -> DataFrame:
     """CSV with a header line, columns matched by NAME (any order, extra
     columns ignored) and cast to the declared types. Values that do not parse

@@ -20,6 +20,8 @@ has a DuckDB twin in ``martlet.oracle``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +37,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def behavior_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The behaviour log mapped from ``events``."""
+def behavior_log(spark: SparkSession, sf_dir: str, *more) -> DataFrame:
+    """The behaviour log mapped from ``events``, with ``more`` columns of it."""
     ev = table(spark, sf_dir, "events")
     n_items = table(spark, sf_dir, "part").select(F.max("p_partkey") + 1).scalar()
     k = F.regexp_extract("props", r"([0-9]+)", 1).try_cast("int")
@@ -49,7 +51,32 @@ def behavior_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                      item.cast("int").alias("item_id"),
                      (item % 25).cast("int").alias("category_id"),
                      kind.alias("type"),
-                     epoch_seconds("ts").alias("ts"))
+                     epoch_seconds("ts").alias("ts"), *more)
+
+
+#: Lines by the event's number modulo 50: user, item, category, type, time.
+BROKEN_EVERY = 50
+BROKEN = {
+    0: "{u},{i},{c},{t}", 1: "{u},{i},{c},{t},{s},9", 2: "abc,{i},{c},{t},{s}", 3: "{u},{i},{c},{t},noon",
+    4: "{u},,{c},{t},{s}", 5: "{u},{i},{c},,{s}", 6: "99999999999,{i},{c},{t},{s}", 7: '{u},{i},{c},"{t}",{s}',
+    8: "{u},{i},,{t},{s}", 9: "{u},{i},x,{t},{s}", 10: "{u},z,{c},{t},", 11: " {u} ,{i},{c}, {t} ,{s}",
+    12: '{u},{i},{c},"{t},{s}', 13: ",,,,"}
+
+
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The behaviour log as CSV lines (``value``), some of them broken."""
+    at = (F.col("event_id") % BROKEN_EVERY).cast("int")
+    log = behavior_log(spark, sf_dir, at.alias("_at"))
+    columns = dict(u="user_id", i="item_id", c="category_id", t="type", s="ts")
+
+    def filled(pattern: str):
+        """The pattern with columns in the places of their letters."""
+        parts = re.split(r"\{(\w)\}", pattern)
+        return F.concat(*[F.lit(p) if n % 2 == 0 else F.col(columns[p]).cast("string") for n, p in enumerate(parts)])
+    line = filled("{u},{i},{c},{t},{s}")
+    for number, pattern in BROKEN.items():
+        line = F.when(F.col("_at") == number, filled(pattern)).otherwise(line)
+    return log.select(line.alias("value"))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
