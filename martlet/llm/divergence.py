@@ -109,7 +109,7 @@ class Block:
         docs.update(seen)
         self.size += len(docs) - before
 
-    def run(self, shards: int) -> Iterator[tuple]:
+    def run(self, shards: int, segment: int = SEGMENT) -> Iterator[tuple]:
         """Segments of the block, sorted by shard, language and term."""
         langs = sorted({g[0] for g in self.docs})
         names = sorted({g[1] for g in self.docs})
@@ -132,8 +132,8 @@ class Block:
         words = [words[i] for i in order.tolist()]
         edges = np.flatnonzero((np.diff(shard) != 0) | (np.diff(lang) != 0)) + 1
         for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(words)]):
-            for i in range(a, b, SEGMENT):
-                j = min(b, i + SEGMENT)
+            for i in range(a, b, segment):
+                j = min(b, i + segment)
                 used, index = np.unique(which[i:j], return_inverse=True)
                 yield (int(shard[i]), langs[lang[i]], words[i], b" ".join(words[i:j]), [names[k] for k in used],
                        index.astype(np.uint32).tobytes(), times[i:j].tobytes(), docs[i:j].tobytes())
@@ -143,14 +143,14 @@ def _batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 
-def runs(docs: DataFrame, shards: int, most: int = MOST_POSTINGS) -> DataFrame:
+def runs(docs: DataFrame, shards: int, most: int = MOST_POSTINGS, segment: int = SEGMENT) -> DataFrame:
     """Segments of the runs of ``text, lang, source`` rows."""
     ship(docs.sparkSession)
 
     def make(batches):
         def spill(block):
             held = []
-            for row in block.run(shards):
+            for row in block.run(shards, segment):
                 held.append(row)
                 if len(held) >= 256:
                     yield _batch(held, _RUN_TYPES, RUNS.fieldNames())
@@ -220,11 +220,12 @@ def merged(segments: Iterator[dict]) -> Iterator[tuple[str, bytes, int, dict[str
         yield (now[1], *x)
 
 
-def frequencies(docs: DataFrame, least: int = LEAST_DOCS, most: int = MOST_POSTINGS) -> DataFrame:
+def frequencies(docs: DataFrame, least: int = LEAST_DOCS, most: int = MOST_POSTINGS,
+                segment: int = SEGMENT) -> DataFrame:
     """``lang, term, total, sources, counts``: one row per kept term, and one
     per language with the term ``#`` whose sources are all its groups."""
     width = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    made = runs(docs, 8 * width, most)
+    made = runs(docs, 8 * width, most, segment)
 
     def merge(batches):
         rows = (row for batch in batches for part in slices(batch, 1 << 20) for row in part.to_pylist())
@@ -266,7 +267,8 @@ def _divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 class PairSums:
     """Corrections per pair of sources of one language, held up to a limit."""
 
-    def __init__(self):
+    def __init__(self, most: int = MOST_PAIRS):
+        self.most = most
         self.number: dict[str, int] = {}
         self.keys, self.values, self.size = [], [], 0
 
@@ -277,7 +279,7 @@ class PairSums:
         self.keys.append((np.minimum(a, b) << 32 | np.maximum(a, b)).ravel())
         self.values.append(value.ravel())
         self.size += value.size
-        if self.size > 8 * MOST_PAIRS:
+        if self.size > 8 * self.most:
             self.fold()
 
     def fold(self) -> None:
@@ -300,39 +302,47 @@ class PairSums:
         self.keys, self.values, self.size = [], [], 0
 
 
-def _correct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Corrections from ``lang, lo, of`` rows, summed per pair: groups of the
-    term from number ``lo`` on, ``SLICE`` of them, with all after them."""
-    sums: dict[str, PairSums] = {}
-    for batch in (part for whole in batches for part in slices(whole)):
-        rows: dict[tuple[str, int, int], list[list[dict]]] = {}
-        for lang, lo, of in zip(*(batch.column(c).to_pylist() for c in ("lang", "lo", "of"))):
-            rows.setdefault((lang, lo, len(of)), []).append(of)
-        for (lang, lo, k), alike in rows.items():
-            s = sums.setdefault(lang, PairSums())
-            flat = [x for of in alike for x in of]
-            who = np.array([s.number.setdefault(x["source"], len(s.number)) for x in flat], np.int64).reshape(-1, k)
-            p = np.array([x["p"] for x in flat], np.int64).reshape(-1, k)
-            p0 = np.array([x["p0"] for x in flat], np.int64).reshape(-1, k)
-            for i0 in range(lo, min(lo + SLICE, k - 1), 64):
-                first = np.arange(i0, min(i0 + 64, lo + SLICE, k - 1))
-                i = np.repeat(first, k - 1 - first)
-                j = np.concatenate([np.arange(x + 1, k) for x in first])
-                step = max(1, MOST_PAIRS // len(i))
-                for r in range(0, len(who), step):
-                    s.add(who[r:r + step], p[r:r + step], p0[r:r + step], i, j)
-            if s.size > MOST_PAIRS:
-                s.fold()
-                if s.size > MOST_PAIRS:
-                    yield from s.rows(lang)
-    for lang, s in sums.items():
-        yield from s.rows(lang)
+def corrections(terms_of: DataFrame, slice_size: int = SLICE, most: int = MOST_PAIRS) -> DataFrame:
+    """(lang, a, b, value): the pair corrections of ``lang, of`` rows, where
+    ``of`` are a term's groups (source, p, p0), added up as far as tasks hold
+    them. A row pairs ``slice_size`` of its groups with all after them."""
+    ship(terms_of.sparkSession)
+
+    def run(batches):
+        sums: dict[str, PairSums] = {}
+        for batch in (part for whole in batches for part in slices(whole)):
+            rows: dict[tuple[str, int, int], list[list[dict]]] = {}
+            for lang, lo, of in zip(*(batch.column(c).to_pylist() for c in ("lang", "lo", "of"))):
+                rows.setdefault((lang, lo, len(of)), []).append(of)
+            for (lang, lo, k), alike in rows.items():
+                s = sums.setdefault(lang, PairSums(most))
+                flat = [x for of in alike for x in of]
+                who = np.array([s.number.setdefault(x["source"], len(s.number)) for x in flat], np.int64).reshape(-1, k)
+                p = np.array([x["p"] for x in flat], np.int64).reshape(-1, k)
+                p0 = np.array([x["p0"] for x in flat], np.int64).reshape(-1, k)
+                last = min(lo + slice_size, k - 1)
+                for at in range(lo, last, 64):
+                    first = np.arange(at, min(at + 64, last))
+                    i = np.repeat(first, k - 1 - first)
+                    j = np.concatenate([np.arange(x + 1, k) for x in first])
+                    step = max(1, most // len(i))
+                    for r in range(0, len(who), step):
+                        s.add(who[r:r + step], p[r:r + step], p0[r:r + step], i, j)
+                if s.size > most:
+                    s.fold()
+                    if s.size > most:
+                        yield from s.rows(lang)
+        for lang, s in sums.items():
+            yield from s.rows(lang)
+
+    dealt = terms_of.where("size(of) > 1").select(
+        "lang", F.explode(F.expr(f"sequence(0, size(of) - 2, {slice_size})")).alias("lo"), "of")
+    return dealt.mapInArrow(run, PAIRS)
 
 
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
           least: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
     """``lang, source, part, item, value, rank`` as in the module's docstring."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
     found = materialise(frequencies(rows, least), "divergence-terms")
     marker = GROUP.decode()
@@ -370,12 +380,8 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     absent = (groups.select("lang", "v", F.col("source").alias("a"), F.col("p0").alias("p"))
               .join(groups.select("lang", F.col("source").alias("b"), F.col("p0").alias("q")), "lang").where("a != b")
               .select("lang", "a", "b", F.when(F.col("v") > 0, -F.col("v") * _f("p", "q")).otherwise(0).alias("value")))
-    shared = (scored.groupBy("lang", "term").agg(F.sort_array(F.collect_list(F.struct("source", "p", "p0"))).alias("of"))
-              .where(F.size("of") > 1)
-              .select("lang", F.explode(F.expr(f"sequence(0, size(of) - 2, {SLICE})")).alias("lo"), "of"))
-    ship(spark)
-    corrections = shared.mapInArrow(_correct, PAIRS)
-    sums = (one_way.unionAll(corrections).select("lang", both_ways, "value").select("lang", "x.*", "value")
+    shared = scored.groupBy("lang", "term").agg(F.sort_array(F.collect_list(F.struct("source", "p", "p0"))).alias("of"))
+    sums = (one_way.unionAll(corrections(shared)).select("lang", both_ways, "value").select("lang", "x.*", "value")
             .unionAll(absent).groupBy("lang", "a", "b").agg(F.sum("value").alias("value")))
     pair_part = (sums.select("lang", F.col("a").alias("source"), F.lit("pair").alias("part"),
                              F.col("b").alias("item"), "value")

@@ -72,13 +72,32 @@ def make_pages():
                      "html": pa.array([p[2] for p in pages], pa.string())})
 
 
+def make_conversations():
+    """Bases that are missing, short or long; ties, NULLs and repeated rows; a
+    conversation of many turns; copies; a first turn that most share."""
+    rng = random.Random(11)
+    rows = []
+    for c in [*range(0, 60), *range(100, 130), *range(205, 240), 300, 301, 399, -7, -100, -101]:
+        for t in range(rng.choice([1, 1, 2, 3, 4, 5, 8, 9, 13]) if c != 100 else 2):
+            text = "hello" if t == 0 and c % 3 else rng.choice(["x", "yy", "", None, "z\U0001F600 e\u0301"])
+            rows.append((c, rng.choice([t, t, t, t, None]), rng.choice(["user", "assistant", None]), text))
+    rows += [(55, t, "user", f"turn {t % 7}") for t in range(300)]
+    rows += rows[:9] + [(None, 0, "user", "nobody"), (None, None, None, None)]
+    table = pa.table({"conv_id": pa.array([r[0] for r in rows], pa.int64()), "turn": pa.array([r[1] for r in rows], pa.int64()),
+                      "role": [r[2] for r in rows], "text": [r[3] for r in rows]})
+    for name in ("depth", "turn_key", "k1", "n_convs", "own"):
+        table = table.append_column(name, pa.array(["x"] * table.num_rows))
+    return table
+
+
 @pytest.fixture(scope="session")
 def small(tmp_path_factory):
     root = tmp_path_factory.mktemp("llm-tables")
     docs, bench = make_documents()
     labels = pa.table({"doc_id": pa.array([*range(1, 71), 81, 82], pa.int64()),
                        "quality": pa.array([1] * 70 + [0, 0], pa.int32()), "toxic": pa.array([0] * 72, pa.int32())})
-    for name, table in (("documents", docs), ("benchmark", bench), ("pages", make_pages()), ("labels", labels)):
+    for name, table in (("documents", docs), ("benchmark", bench), ("pages", make_pages()), ("labels", labels),
+                        ("conversations", make_conversations())):
         pq.write_table(table, f"{root}/{name}.parquet")
     return str(root)
 
@@ -89,7 +108,8 @@ def empty(tmp_path_factory):
     docs, bench = make_documents()
     labels = pa.table({"doc_id": pa.array([], pa.int64()), "quality": pa.array([], pa.int32())})
     for name, table in (("documents", docs.slice(0, 0)), ("benchmark", bench.slice(0, 0)),
-                        ("pages", make_pages().slice(0, 0)), ("labels", labels)):
+                        ("pages", make_pages().slice(0, 0)), ("labels", labels),
+                        ("conversations", make_conversations().slice(0, 0))):
         pq.write_table(table, f"{root}/{name}.parquet")
     return str(root)
 

@@ -27,7 +27,7 @@ def test_empty_tables(spark, empty, name):
 def test_twins(spark, small, name):
     for root in (small, SF_SMALL):
         con = duckdb.connect()
-        for t in ("documents", "benchmark", "pages"):
+        for t in ("documents", "benchmark", "pages", "conversations"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{root}/{t}.parquet')")
         df = registry.queries()[name](spark, root)
         cur = con.execute(registry.oracle_sql()[name])
