@@ -120,15 +120,13 @@ class Encoder:
         found = list(map(self.known.young.get, parts))
         strange = np.zeros(len(parts) + 1, bool)
         missing = []
-        for i, ids in enumerate(found):
-            if ids is None:
-                part = parts[i]
-                found[i] = self.known.get(part)
-                if found[i] is None:
-                    if odd(part):
-                        strange[i] = True
-                    else:
-                        missing.append(i)
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            found[i] = self.known.get(parts[i])
+            if found[i] is None:
+                if odd(parts[i]):
+                    strange[i] = True
+                else:
+                    missing.append(i)
         irregular = np.logical_or.reduceat(strange[codes], offsets[:-1])
         if missing and irregular.any():                   # parts of irregular texts alone may not be cut right
             used = np.zeros(len(parts) + 1, bool)

@@ -18,29 +18,26 @@ COUNTS = np.array([120, 1] + [n for n, _ in PACKED], np.int64)
 LARGEST = np.uint64((1 << 60) - 1)
 
 
-def _best(width: np.ndarray) -> np.ndarray:
-    """Per position the selector of a word that would begin there: the one of
-    most values of which all fit."""
-    n = len(width)
-    at = np.arange(n, dtype=np.int32)
-    best = np.full(n, ESCAPE, np.int8)
-    widest = int(width.max())
+# values of a selector -> the next smaller number of values, at least half of it
+_COUNTS_UP = sorted({int(n) for n in COUNTS})
+_STEPS = COUNTS.astype(np.uint8)
 
-    def room(bits: int) -> np.ndarray:
-        """Values from here on, in a row, of at most ``bits`` bits."""
-        stop = np.where(width > bits, at, np.int32(n))
-        return np.minimum.accumulate(stop[::-1])[::-1] - at
 
-    narrowest = int(width.min())
-    whole = n - at
-    for selector in range(len(PACKED) + 1, 1, -1):
-        count, bits = PACKED[selector - 2]
-        if count > n or bits < narrowest:
-            continue
-        fits = (whole if bits >= widest else room(bits)) >= count
-        best[fits] = selector
-    if narrowest == 0 and n >= COUNTS[ZEROS]:
-        best[room(0) >= COUNTS[ZEROS]] = ZEROS
+def _best(width: np.ndarray) -> np.ndarray:
+    """Per position the selector of a word that would begin there: the one of
+    most values of which all fit. The widest of the next n values comes from
+    two overlapping stretches of the number before n."""
+    best = np.full(len(width), ESCAPE, np.int8)
+    widest, before = width, 1
+    bits_of = {n: (s, b) for s, (n, b) in enumerate(PACKED, 2)} | {int(COUNTS[ZEROS]): (ZEROS, 0)}
+    for n in _COUNTS_UP:
+        if n > len(width):
+            break
+        if n > before:
+            shift = n - before
+            widest, before = np.maximum(widest[:len(widest) - shift], widest[shift:]), n
+        selector, bits = bits_of[n]
+        np.copyto(best[:len(widest)], np.int8(selector), where=widest <= bits)
     return best
 
 
@@ -52,7 +49,7 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     # bits of a value; beyond 2^53 rounding may add one, which only escapes more
     width = np.frexp(values.astype(np.float64))[1].astype(np.int8)
     best = _best(width)
-    step = COUNTS[best].tolist()
+    step = _STEPS[best].tobytes()
     starts, i, n = [], 0, len(values)
     add = starts.append
     while i < n:
