@@ -1,23 +1,32 @@
 """Data-quality metrics, warnings and the per-run log row.
 
-All metrics are DataFrames computed by Spark; each null counter is one
-``count_if`` inside a single aggregate over the joined table (one pass).
-
-``dq_counts`` / ``dq_metrics`` are stand-alone diagnostics: each count is its
-own aggregate over its table. The batch pipeline (``plans.etl.run_etl``)
-gathers the same counters without extra passes: ``observe`` on the single
-materialising pass and on every mart write.
+All metrics are DataFrames computed by Spark. A metric is an aggregate
+expression over a source (``Metric``); ``fused`` groups metrics by source plan
+and takes all of one source in one pass.
+
+``dq_metrics`` goes further: the joined table is not built to count its rows.
+Each dimension is reduced to one row per key with its number of rows and of
+rows without an attribute; an event then stands for as many joined rows as the
+product of both, so all counters of the log and of the join are sums over one
+pass of the log, and duplicate keys multiply as they do in the join.
+
+The batch pipeline (``plans.etl.run_etl``) gathers the same counters without
+extra passes: ``observe`` on the single materialising pass and on every mart
+write.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .clean import malformed_events
+from ..constants import TYPE_BUY
+from ..functions.dates import event_date, parse_date
+from .dead_letters import REQUIRED
 
 
 def data_cutoff(events: DataFrame) -> DataFrame:
@@ -25,11 +34,40 @@ def data_cutoff(events: DataFrame) -> DataFrame:
     return events.agg(F.max("date").alias("cutoff_date"))
 
 
+@dataclass
+class Metric:
+    """A named aggregate over a source."""
+    name: str
+    source: DataFrame
+    value: Column
+
+
+def fused(metrics: list[Metric], name: str = "metric", value: str = "value") -> DataFrame:
+    """Long (name, value) table: one aggregate per distinct source plan."""
+    groups: list[tuple[DataFrame, list[Metric]]] = []
+    for m in metrics:
+        for source, own in groups:
+            if source is m.source or source.sameSemantics(m.source):
+                own.append(m)
+                break
+        else:
+            groups.append((m.source, [m]))
+
+    def rows(source: DataFrame, own: list[Metric]) -> DataFrame:
+        one = source.agg(*[m.value.alias(f"_{i}") for i, m in enumerate(own)])
+        return one.select(F.inline(F.array(*[F.struct(F.lit(m.name).alias(name), F.col(f"_{i}").alias(value))
+                                             for i, m in enumerate(own)])))
+    return reduce(DataFrame.unionByName, [rows(*g) for g in groups])
+
+
 def dq_counts(tables: dict) -> DataFrame:
-    """(table_name, rows) for each named DataFrame."""
-    parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
-             for name, df in tables.items()]
-    return reduce(DataFrame.unionByName, parts)
+    """(table_name, rows) for each named DataFrame, or (DataFrame, condition)
+    for its rows that meet one; tables over one source share its pass."""
+    metrics = []
+    for name, t in tables.items():
+        source, condition = t if isinstance(t, tuple) else (t, None)
+        metrics.append(Metric(name, source, F.count(F.lit(1)) if condition is None else F.count_if(condition)))
+    return fused(metrics, "table_name", "rows")
 
 
 def dq_nulls(joined: DataFrame) -> DataFrame:
@@ -57,29 +95,54 @@ def duplicate_keys(dim: DataFrame, key: str) -> DataFrame:
     return dim.groupBy(key).agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1)
 
 
-def dq_metrics(raw: DataFrame, items: DataFrame, users: DataFrame, events: DataFrame,
-               joined: DataFrame, wide: DataFrame, marts: dict | None = None) -> DataFrame:
-    """Long (metric, value) table. Later metrics of the same name win."""
-    one = lambda df: df.select(F.count(F.lit(1))).scalar()
-    nulls = dq_nulls(joined)
-    row = nulls.select(
-        one(raw).alias("raw_rows"),
-        one(malformed_events(raw)).alias("malformed_rows"),
-        one(items).alias("item_rows"),
-        one(users).alias("user_rows"),
-        "missing_price", "missing_channel", "missing_age_group",
-        one(wide).alias("clean_rows"),
-        one(duplicate_keys(items, "item_id")).alias("duplicate_item_keys"),
-        one(duplicate_keys(users, "user_id")).alias("duplicate_user_keys"),
-        *[one(df).alias(f"{name}_rows") for name, df in (marts or {}).items()],
-    )
-    names = [c for c in row.columns]
-    row = row.withColumn("drop_rate_pct", F.round(
-        (1 - F.col("clean_rows") / F.greatest(F.col("raw_rows"), F.lit(1))) * 100, 2))
-    names.append("drop_rate_pct")
-    stacked = F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value"))
-                                 for n in names]))
-    return row.select(stacked)
+def _per_key(dim: DataFrame, key: str, *attributes: str) -> DataFrame:
+    """One row per key: its rows, and those that lack each attribute."""
+    return dim.groupBy(F.col(key).alias(f"_{key}")).agg(
+        F.count("*").alias(f"_{key}_rows"),
+        *[F.count_if(F.col(a).isNull()).alias(f"_no_{a}") for a in attributes])
+
+
+def dq_metrics(log: DataFrame, items: DataFrame, users: DataFrame, window: tuple | None = None, tz: str = "UTC",
+               marts: bool = False) -> DataFrame:
+    """Long (metric, value) table of a log and its dimensions: raw, malformed
+    and clean rows, missing attributes after the joins, keys that occur more
+    than once, and with ``marts`` the purchase facts. Each input is read once:
+    the dimensions' own metrics come from the same per-key rows that the log is
+    joined to."""
+    item, user = _per_key(items, "item_id", "price"), _per_key(users, "user_id", "channel", "age_group")
+    inside = F.lit(True)
+    if window is not None:
+        inside = event_date("ts", tz).between(F.lit(parse_date(window[0])), F.lit(parse_date(window[1])))
+    joined = (log.withColumn("_inside", F.coalesce(inside, F.lit(False)))
+              .join(item, F.col("item_id") == F.col("_item_id"), "left")
+              .join(user, F.col("user_id") == F.col("_user_id"), "left"))
+    # a key that is not in the dimension is one joined row without attributes
+    n = lambda c: F.coalesce(F.col(c), F.lit(1))
+    priced = n("_item_id_rows") - n("_no_price")
+    total = lambda c: F.coalesce(F.sum(F.when(F.col("_inside"), c)), F.lit(0)).cast("double")
+    count = lambda c: F.count_if(c).cast("double")
+    absent = reduce(Column.__or__, [F.col(c).isNull() for c in REQUIRED])
+    metrics = [
+        Metric("raw_rows", joined, F.count("*").cast("double")),
+        Metric("malformed_rows", joined, count(absent)),
+        Metric("missing_price", joined, total(n("_no_price") * n("_user_id_rows"))),
+        Metric("missing_channel", joined, total(n("_item_id_rows") * n("_no_channel"))),
+        Metric("missing_age_group", joined, total(n("_item_id_rows") * n("_no_age_group"))),
+        Metric("clean_rows", joined, total(priced * n("_user_id_rows"))),
+        Metric("drop_rate_pct", joined, F.round(
+            (1 - total(priced * n("_user_id_rows")) / F.greatest(F.count("*"), F.lit(1))) * 100, 2)),
+        Metric("item_rows", item, F.coalesce(F.sum("_item_id_rows"), F.lit(0)).cast("double")),
+        Metric("unpriced_items", item, F.coalesce(F.sum("_no_price"), F.lit(0)).cast("double")),
+        Metric("duplicate_item_keys", item, count((F.col("_item_id_rows") > 1))),
+        Metric("user_rows", user, F.coalesce(F.sum("_user_id_rows"), F.lit(0)).cast("double")),
+        Metric("users_without_channel", user, F.coalesce(F.sum("_no_channel"), F.lit(0)).cast("double")),
+        Metric("users_without_age_group", user, F.coalesce(F.sum("_no_age_group"), F.lit(0)).cast("double")),
+        Metric("duplicate_user_keys", user, count(F.col("_user_id_rows") > 1)),
+    ]
+    if marts:
+        metrics.append(Metric("buy_fact_rows", joined, total(
+            F.when(F.col("type") == TYPE_BUY, priced * n("_user_id_rows")))))
+    return fused(metrics)
 
 
 _WARNINGS = (

@@ -295,6 +295,46 @@ SELECT i AS cluster_id, label, round(avg(R), 2) AS r_mean, round(avg(F), 2) AS f
        count(*) AS user_count FROM near WHERE rn = 1 GROUP BY i, label"""
 
 
+def _nearest(centers: str) -> str:
+    """Points with the nearest row (i, r, f, m) of ``centers``; ties: the first."""
+    d = " + ".join(f"({n}_z - c.{n.lower()}) * ({n}_z - c.{n.lower()})" for n in "RFM")
+    return (f"SELECT user_id, R_z, F_z, M_z, i FROM (SELECT zs.*, c.i, row_number() OVER (PARTITION BY user_id "
+            f"ORDER BY {d}, c.i) AS rn FROM zs, {centers} c) WHERE rn = 1")
+
+
+_START = ("c0 AS (SELECT * FROM (VALUES "
+          + ", ".join(f"({i}, CAST({r} AS DOUBLE), CAST({f} AS DOUBLE), CAST({m} AS DOUBLE))"
+                      for i, (r, f, m) in enumerate(R.CENTERS)) + ") AS v(i, r, f, m))")
+
+
+def silhouette_sql() -> str:
+    """By definition: the distances of all pairs of points."""
+    return f""", {_START}, pts AS ({_nearest('c0')}),
+pair AS (SELECT a.user_id, a.i AS own, b.i AS other, count(*) AS n,
+                sum((a.R_z - b.R_z) * (a.R_z - b.R_z) + (a.F_z - b.F_z) * (a.F_z - b.F_z) + (a.M_z - b.M_z) * (a.M_z - b.M_z)) AS d
+         FROM pts a, pts b GROUP BY 1, 2, 3),
+ab AS (SELECT user_id, own, max(CASE WHEN own = other THEN n END) AS n, max(CASE WHEN own = other AND n > 1 THEN d / (n - 1) END) AS a,
+              min(CASE WHEN own <> other THEN d / n END) AS b FROM pair GROUP BY 1, 2),
+s AS (SELECT own, CASE WHEN b IS NULL THEN NULL WHEN n = 1 THEN 0.0
+                       ELSE COALESCE((b - a) / NULLIF(greatest(a, b), 0.0), 0.0) END AS s FROM ab)
+SELECT own AS cluster_id, count(*) AS user_count, round(avg(s), 6) AS silhouette FROM s GROUP BY own
+UNION ALL SELECT -1, count(*), round(avg(s), 6) FROM s HAVING count(*) > 0"""
+
+
+def lloyd_sql(steps: int) -> str:
+    """Every step written out."""
+    ctes = [_START]
+    for k in range(steps):
+        ctes.append(f"a{k} AS ({_nearest(f'c{k}')})")
+        ctes.append(f"c{k + 1} AS (SELECT c.i, " + ", ".join(
+            f"COALESCE((SELECT avg({n}_z) FROM a{k} WHERE a{k}.i = c.i), c.{n.lower()}) AS {n.lower()}" for n in "RFM")
+            + f" FROM c{k} c)")
+    last = steps - 1
+    return f""", {", ".join(ctes)}
+SELECT c.i AS cluster_id, (SELECT count(*) FROM a{last} WHERE a{last}.i = c.i) AS user_count,
+       round(r, 6) AS R_z, round(f, 6) AS F_z, round(m, 6) AS M_z FROM c{steps} c"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB statement per registered key (rows-only keys omitted)."""
     ls, le = R.LOG_START, R.LOG_END
@@ -320,6 +360,9 @@ def oracle_sql() -> dict[str, str]:
   (SELECT count(*) FROM log) AS raw_rows, (SELECT count(*) FROM items) AS item_rows,
   (SELECT count(*) FROM log WHERE user_id IS NULL OR item_id IS NULL OR type IS NULL OR ts IS NULL) AS malformed_rows,
   (SELECT count(*) FROM users) AS user_rows,
+  (SELECT count(*) FROM items WHERE price IS NULL) AS unpriced_items,
+  (SELECT count(*) FROM users WHERE channel IS NULL) AS users_without_channel,
+  (SELECT count(*) FROM users WHERE age_group IS NULL) AS users_without_age_group,
   (SELECT count(*) FILTER (WHERE price IS NULL) FROM joined) AS missing_price,
   (SELECT count(*) FILTER (WHERE channel IS NULL) FROM joined) AS missing_channel,
   (SELECT count(*) FILTER (WHERE age_group IS NULL) FROM joined) AS missing_age_group,
@@ -329,7 +372,7 @@ def oracle_sql() -> dict[str, str]:
   (SELECT count(*) FROM buy) AS buy_fact_rows)"""
     metric_names = ["raw_rows", "malformed_rows", "item_rows", "user_rows", "missing_price", "missing_channel",
                     "missing_age_group", "clean_rows", "duplicate_item_keys", "duplicate_user_keys",
-                    "buy_fact_rows"]
+                    "unpriced_items", "users_without_channel", "users_without_age_group", "buy_fact_rows"]
     metrics = " UNION ALL ".join(f"SELECT '{n}' AS metric, CAST({n} AS DOUBLE) AS value FROM m"
                                  for n in metric_names)
     metrics += (" UNION ALL SELECT 'drop_rate_pct', CAST(round((1 - clean_rows / greatest(raw_rows, 1)) * 100, 2) "
@@ -485,6 +528,11 @@ FROM (SELECT count(*) FILTER (WHERE type IN ('pv', 'cart', 'buy')) AS pv,
 SELECT rule_label AS rfm_label, count(DISTINCT buy.user_id) AS cnt
 FROM buy JOIN seg ON buy.user_id = seg.user_id WHERE {rng(ls, le)} GROUP BY 1""",
         "cluster_profiles_fixed": with_(*PIPE, RFM) + centers_sql(),
+        "silhouette_fixed": with_(*PIPE, RFM) + silhouette_sql(),
+        "lloyd_fixed": with_(*PIPE, RFM) + lloyd_sql(R.LLOYD_STEPS),
+        "kmeans_fixpoint": with_(*PIPE, RFM) + " UNION ALL ".join(
+            f"SELECT '{c}' AS check, (SELECT count(*) FROM rb) AS cases, CAST(0 AS BIGINT) AS violations"
+            for c in ("members", "nearest", "centre", "label")),
         "dq_log_append": with_(*PIPE, BUY, metrics_cte) + f""", w AS ({warnings})
 SELECT d.run_day, (SELECT CAST(count(*) AS INTEGER) FROM w) AS n_warnings, x.metric, x.value
 FROM ({metrics}) x, (VALUES {", ".join(f"('{t:%Y-%m-%d}')" for t in R.LOG_RUNS)}) AS d(run_day)""",

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .functions.casts import safe_double, safe_int
 from .functions.segments import segment_label_py
-from .operators import (adhoc, clean, cohort, cube, dead_letters, facts, funnel, profile,
+from .operators import (adhoc, clean, clustering, cohort, cube, dead_letters, facts, funnel, profile,
                         quality, rfm, sales)
 from .plans import dashboard
 from .session import scratch_path
@@ -38,6 +38,7 @@ DRILL_DAY = "2024-01-15"
 KPI_RANGE = ("2024-01-16", "2024-01-30")   # has a previous window inside the log
 LAST_COHORTS = 3
 CENTERS = ((-0.6, 0.7, 0.6), (0.9, -0.5, -0.5), (0.0, 0.0, 0.0))
+LLOYD_STEPS, FIXPOINT_TOLERANCE = 4, 1e-3
 LOG_RUNS = (_dt.datetime(2024, 2, 1), _dt.datetime(2024, 2, 2))
 ADHOC_STATEMENT = ("SELECT channel, CAST(SUM(price) AS DOUBLE) AS sales, "
                    "COUNT(DISTINCT order_id) AS orders FROM buy_fact GROUP BY channel")
@@ -137,17 +138,15 @@ def _q_dq_counts(spark, d):
     strict, loose = funnel.build_funnels(wide, fx.LOG_TZ)
     return quality.dq_counts({
         "raw_log": cl.raw, "items": fx.items(spark, d), "users": fx.users(spark, d),
-        "clean": wide, "buy_fact": facts.buy_fact(wide),
+        "clean": wide, "buy_fact": (wide, facts.is_purchase()),
         "user_rfm": rfm.rfm_base(wide, rfm.cutoff_value(cl.events)),
         "cohort_matrix": cohort.cohort_matrix(wide),
         "user_funnel_mart": strict, "user_funnel_loose_mart": loose,
     })
 
 
-def _q_dq_metrics(spark, d):
-    cl = _cleaned(spark, d)
-    return quality.dq_metrics(cl.raw, fx.items(spark, d), fx.users(spark, d), cl.events,
-                              cl.joined, cl.wide, {"buy_fact": facts.buy_fact(cl.wide)})
+def _metrics(spark, d, marts: bool = True):
+    return quality.dq_metrics(_log(spark, d), fx.items(spark, d), fx.users(spark, d), fx.LOG_WINDOW, fx.LOG_TZ, marts)
 
 
 def _q_kmeans_sweep(spark, d):
@@ -229,11 +228,28 @@ def _q_center_profiles(spark, d):
                                 {i: segment_label_py(c) for i, c in enumerate(CENTERS)})
 
 
+def _assigned(spark, d):
+    """Buyers' z-scores, each with the nearest of the fixed centres."""
+    return rfm.assign_centers(_written(rfm.rfm_zscores(_rfm_base(spark, d), digits=None), "zscores"), CENTERS)
+
+
+def _q_lloyd(spark, d):
+    zs = _written(rfm.rfm_zscores(_rfm_base(spark, d), digits=None), "zscores")
+    return clustering.lloyd(zs, CENTERS, LLOYD_STEPS).select(
+        "cluster_id", "user_count", *[F.round(a, 6).alias(a) for a in clustering.AXES])
+
+
+def _q_kmeans_fixpoint(spark, d):
+    """The fitted segmentation, written, checked as data."""
+    seg = rfm.segment_users(_written(_rfm_base(spark, d), "rfm-base"))
+    points = _written(clustering.z_points(seg.clustered), "assignment")
+    return clustering.fixpoint(points, seg.centers, seg.labels, FIXPOINT_TOLERANCE)
+
+
 def _q_dq_log_append(spark, d):
     """Two runs appended to the DQ log, read back and unpacked."""
     cl = _cleaned(spark, d)
-    metrics = _written(quality.dq_metrics(cl.raw, fx.items(spark, d), fx.users(spark, d), cl.events,
-                                          cl.joined, cl.wide, {"buy_fact": facts.buy_fact(cl.wide)}), "dq")
+    metrics = _written(_metrics(spark, d), "dq")
     warnings = _written(quality.dq_warnings(quality.dq_nulls(cl.joined)), "dq-warnings")
     path = scratch_path(spark, "dq-log")
     for run in LOG_RUNS:
@@ -267,9 +283,7 @@ def _q_stream_daily_volume(spark, d):
 def _q_dq_log(spark, d):
     cl = _cleaned(spark, d)
     seg = rfm.segment_users(rfm.rfm_base(cl.priced, rfm.cutoff_value(cl.events)))
-    metrics = quality.dq_metrics(cl.raw, fx.items(spark, d), fx.users(spark, d), cl.events,
-                                 cl.joined, cl.wide)
-    return quality.dq_log_row(metrics, quality.dq_warnings(quality.dq_nulls(cl.joined)),
+    return quality.dq_log_row(_metrics(spark, d, marts=False), quality.dq_warnings(quality.dq_nulls(cl.joined)),
                               rfm.cluster_profiles(seg), _dt.datetime(2024, 2, 1), 0.0)
 
 
@@ -296,7 +310,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dq_counts": _q_dq_counts,
         "dq_nulls": lambda s, d: quality.dq_nulls(_cleaned(s, d).joined),
         "dq_drop_rate": lambda s, d: quality.dq_drop_rate(_log(s, d), _wide(s, d)),
-        "dq_metrics": _q_dq_metrics,
+        "dq_metrics": _metrics,
         "dq_warnings": lambda s, d: quality.dq_warnings(quality.dq_nulls(_cleaned(s, d).joined)),
         # funnels
         "first_touch": lambda s, d: funnel.first_touch(_wide(s, d)),
@@ -330,6 +344,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rfm_distribution": _q_rfm_distribution,
         "rfm_distribution_rule": _q_rule_distribution,
         "cluster_profiles_fixed": _q_center_profiles,
+        "silhouette_fixed": lambda s, d: clustering.silhouette_by_cluster(_assigned(s, d)),
+        "lloyd_fixed": _q_lloyd,
+        "kmeans_fixpoint": _q_kmeans_fixpoint,
         # sales queries over purchase facts
         "core_metrics": lambda s, d: sales.core_metrics(_sales(s, d), SPAN_START, SPAN_END),
         "trend_day": lambda s, d: sales.trend(_sales(s, d), SPAN_START, SPAN_END, "day"),
