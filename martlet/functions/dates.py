@@ -103,7 +103,10 @@ def parse_date(value) -> _dt.date:
 
 
 def check_range(start, end) -> tuple:
-    """Both bounds as dates; a range that ends before it starts is refused."""
+    """Both bounds as dates; a range that ends before it starts is refused.
+    Bounds that are Columns (dates known only at run time) stay as they are."""
+    if isinstance(start, Column) or isinstance(end, Column):
+        return tuple(b if isinstance(b, Column) else F.lit(parse_date(b)) for b in (start, end))
     s, e = parse_date(start), parse_date(end)
     if s > e:
         raise ValueError(f"the range starts after its end: {s} > {e}")
@@ -125,6 +128,12 @@ def comparison_windows(start, end, period: str) -> dict:
     one by twelve calendar months. Calendar moves clamp at month ends."""
     check_period(period)
     current = check_range(start, end)
+    if isinstance(current[0], Column):
+        length = F.datediff(current[1], current[0]) + 1
+        back = {"day": lambda d: F.date_sub(d, length), "week": lambda d: F.date_sub(d, 7),
+                "month": lambda d: F.add_months(d, -1)}[period]
+        return {"current": current, "previous": tuple(map(back, current)),
+                "last_year": tuple(F.add_months(d, -12) for d in current)}
     length = (current[1] - current[0]).days + 1
     back = {"day": {"days": length}, "week": {"days": 7}, "month": {"months": 1}}
 

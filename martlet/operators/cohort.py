@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import LAST_COHORTS, RETENTION_HORIZON_DAYS
-from ..functions.dates import parse_date
+from ..functions.dates import check_range
 
 
 def user_cohorts(wide: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def cohort_matrix(wide: DataFrame, horizon: int = RETENTION_HORIZON_DAYS) -> Dat
 
 def cohorts_in(matrix: DataFrame, start, end) -> DataFrame:
     """Matrix rows whose cohort date lies in the range."""
-    lo, hi = parse_date(start), parse_date(end)
+    lo, hi = check_range(start, end)
     return (matrix.filter(F.col("cohort_date").between(F.lit(lo), F.lit(hi)))
             .select("cohort_date", "day_diff", "active_users", "cohort_users"))
 

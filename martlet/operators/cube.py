@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..constants import CATEGORY_PREFIX, ITEM_PREFIX, TOP_K
 from ..functions.dates import comparison_windows, key_label, period_key
 from ..session import scratch_path
-from .sales import growth_row, in_range, money
+from .sales import between, growth_row, in_range, money
 
 CELL = ["date", "item_id", "category_id", "channel", "age_group"]
 _PLACE = 33            # bits of the place inside a partition in a monotonic id
@@ -96,11 +96,11 @@ def set_core(sets: DataFrame, start, end) -> DataFrame:
 def set_growth(sets: DataFrame, start, end, period: str = "day") -> DataFrame:
     """``sales.growth`` from daily order sets: three windows, one pass."""
     w = comparison_windows(start, end, period)
-    cur, prev, ly = (f"(date BETWEEN DATE'{a}' AND DATE'{b}')" for a, b in (w["current"], w["previous"], w["last_year"]))
-    buckets = sets.where(f"{cur} OR {prev} OR {ly}").groupBy("bucket").agg(
-        F.expr(f"sum(CASE WHEN {cur} THEN sales END) AS _cur"), F.expr(f"sum(CASE WHEN {prev} THEN sales END) AS _prev"),
-        F.expr(f"sum(CASE WHEN {ly} THEN sales END) AS _ly"),
-        F.expr(f"bitmap_or_agg(CASE WHEN {cur} THEN members END) AS _members"))
+    cur, prev, ly = (between(*w[k]) for k in ("current", "previous", "last_year"))
+    sales = F.col("sales")
+    buckets = sets.where(cur | prev | ly).groupBy("bucket").agg(
+        F.sum(F.when(cur, sales)).alias("_cur"), F.sum(F.when(prev, sales)).alias("_prev"),
+        F.sum(F.when(ly, sales)).alias("_ly"), F.bitmap_or_agg(F.when(cur, F.col("members"))).alias("_members"))
     return growth_row(buckets.agg(*map(F.expr, (
         "sum(_cur) AS _cur", "sum(_prev) AS _prev", "sum(_ly) AS _ly",
         "coalesce(sum(bitmap_count(_members)), 0) AS total_orders"))), w, period)

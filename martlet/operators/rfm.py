@@ -207,12 +207,20 @@ def cluster_profiles(seg: Segments) -> DataFrame:
     return profile_clusters(seg.clustered, seg.labels)
 
 
+def buyer_days(facts: DataFrame) -> DataFrame:
+    """Distinct (user_id, date) of the purchases: at most one row per day of a
+    buyer, however many purchases."""
+    return facts.select("user_id", "date").distinct()
+
+
 def rfm_distribution(facts: DataFrame, user_rfm: DataFrame, start, end) -> DataFrame:
-    """Distinct buyers in the range per segment label.
+    """Distinct buyers in the range per segment label. ``facts`` may be the
+    facts or their ``buyer_days``.
 
     Facts are first reduced to distinct buyers (partial aggregation, so a hot
     buyer is one row per task), then joined 1:1 with the segment table; the
-    count of joined rows is then the exact distinct-user count.
+    count of joined rows is then the exact distinct-user count. Over marts
+    bucketed by ``user_id`` neither step needs an exchange.
     """
     lo, hi = check_range(start, end)
     buyers = (facts.filter(F.col("date").between(F.lit(lo), F.lit(hi)))

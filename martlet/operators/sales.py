@@ -119,6 +119,13 @@ def default_range(facts: DataFrame, start=None, end=None,
     )
 
 
+def default_bounds(facts: DataFrame, lookback_days: int = DEFAULT_LOOKBACK_DAYS) -> tuple[Column, Column]:
+    """The default range as scalar subqueries: nothing runs when a query over it
+    is defined, and the dates prune partitions and row groups at run time."""
+    row = default_range(facts, lookback_days=lookback_days).select(F.struct("start_date", "end_date").alias("r")).scalar()
+    return row["start_date"], row["end_date"]
+
+
 def growth(facts: DataFrame, start, end, period: str = "day") -> DataFrame:
     """Current, previous-period and last-year sales in ONE conditional
     aggregation (the scan reads the union of the three windows)."""
@@ -141,10 +148,9 @@ def growth_row(agg: DataFrame, w: dict, period: str) -> DataFrame:
                           "CAST(_prev AS DOUBLE) AS prev_sales", "CAST(_ly AS DOUBLE) AS ly_sales")
     return sums.selectExpr(
         f"'{period}' AS period",
-        f"DATE'{w['previous'][0]}' AS prev_start", f"DATE'{w['previous'][1]}' AS prev_end",
-        f"DATE'{w['last_year'][0]}' AS ly_start", f"DATE'{w['last_year'][1]}' AS ly_end",
         "total_sales", "total_orders", "prev_sales", "ly_sales",
-        rate("prev_sales", "qoq_rate"), rate("ly_sales", "yoy_rate"))
+        rate("prev_sales", "qoq_rate"), rate("ly_sales", "yoy_rate")).withColumns(dict(zip(
+            ("prev_start", "prev_end", "ly_start", "ly_end"), map(F.lit, (*w["previous"], *w["last_year"])))))
 
 
 def kpi_summary(facts: DataFrame, funnel: DataFrame, start, end, period: str = "day") -> DataFrame:

@@ -438,6 +438,8 @@ FROM (SELECT *, regexp_extract(props, '"k":\\s*([^}]*)\\}', 1) AS k FROM events)
         "funnel_events": with_(*PIPE, TOUCH, SFLAGS, stages("sflags", "sev")) + "SELECT * FROM sev",
         "funnel_strict": sm + "SELECT * FROM smart",
         "funnel_loose": lm + "SELECT * FROM lmart",
+        "funnel_strict_incremental": sm + "SELECT * FROM smart",
+        "funnel_loose_incremental": lm + "SELECT * FROM lmart",
         "funnel_totals": sm + totals.format(m="smart"),
         "funnel_totals_loose": lm + totals.format(m="lmart"),
         "funnel_long": sm + f""", t AS ({totals.format(m='smart')})
@@ -468,6 +470,9 @@ UNION ALL SELECT 3, '{n3}', buy FROM t""",
         "core_metrics": facts + (f"SELECT COALESCE(CAST(sum(price) AS DOUBLE), 0.0) AS total_sales, "
                                  f"count(DISTINCT order_id) AS total_orders FROM facts WHERE {rng(ss, se)}"),
         "trend_day": facts + trend_sql("facts", ss, se, "day"),
+        "trend_default_range": with_(*PIPE, BUY) + (
+            f"SELECT {label('date', 'day')} AS dt, CAST(sum(price) AS DOUBLE) AS sales, count(DISTINCT order_id) AS orders "
+            f"FROM buy WHERE date >= (SELECT max(date) FROM buy) - {R.TREND_DAYS} GROUP BY 1 ORDER BY 1"),
         "trend_week": facts + trend_sql("facts", ss, se, "week"),
         "trend_month": facts + trend_sql("facts", ss, se, "month"),
         "comparison_sales": facts + f"SELECT CAST(sum(price) AS DOUBLE) AS sales FROM facts WHERE {rng(*R.PREV_MONTH)}",
@@ -526,6 +531,9 @@ FROM (SELECT count(*) FILTER (WHERE type IN ('pv', 'cart', 'buy')) AS pv,
         "publish_user_rfm": with_(*PIPE, RFM) + rule.replace("rule_label", "rfm_label"),
         "rfm_distribution_rule": with_(*PIPE, BUY, RFM) + f""", seg AS ({rule})
 SELECT rule_label AS rfm_label, count(DISTINCT buy.user_id) AS cnt
+FROM buy JOIN seg ON buy.user_id = seg.user_id WHERE {rng(ls, le)} GROUP BY 1""",
+        "rfm_distribution_bucketed": with_(*PIPE, BUY, RFM) + f""", seg AS ({rule})
+SELECT rule_label AS rfm_label, count(DISTINCT buy.user_id) AS cnt
 FROM buy JOIN seg ON buy.user_id = seg.user_id WHERE {rng(ls, le)} GROUP BY 1""",
         "cluster_profiles_fixed": with_(*PIPE, RFM) + centers_sql(),
         "silhouette_fixed": with_(*PIPE, RFM) + silhouette_sql(),

@@ -144,9 +144,9 @@ class Dashboard:
     DataFrame: core KPIs, trend, funnel, rankings, dimensions, segments,
     retention, and the whole bundle.
 
-    If either bound of a range is missing, the range becomes (last fact date - 30 days, last fact date).
-    Resolving reads one aggregated row (two dates) on the driver; everything
-    else stays distributed and lazy.
+    If either bound of a range is missing, the range becomes (last fact date -
+    30 days, last fact date), as scalar subqueries: no job runs when a section
+    is defined, and date folders are pruned at run time.
     """
 
     def __init__(self, buy_fact: DataFrame, funnel_mart: DataFrame, cohort_matrix: DataFrame,
@@ -168,8 +168,7 @@ class Dashboard:
     def resolve(self, start=None, end=None) -> tuple:
         if start and end:
             return check_range(start, end)
-        row = sales.default_range(self.cubes.get("day_orders", self.facts)).first()
-        return row.start_date, row.end_date
+        return sales.default_bounds(self.cubes.get("day_orders", self.facts))
 
     def date_range(self) -> DataFrame:
         return sales.date_range(self.facts)

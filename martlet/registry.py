@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 from .functions.casts import safe_double, safe_int
 from .functions.segments import segment_label_py
-from .operators import (adhoc, clean, clustering, cohort, cube, dead_letters, facts, funnel, profile,
-                        quality, rfm, sales)
+from .operators import (adhoc, clean, clustering, cohort, cube, dead_letters, facts, funnel, funnel_state,
+                        profile, quality, rfm, sales)
 from .plans import dashboard
+from .schemas import BUY_FACT
 from .session import scratch_path
 from .sinks import publish as sink
 from .sources import fixtures as fx
@@ -38,6 +39,7 @@ DRILL_DAY = "2024-01-15"
 KPI_RANGE = ("2024-01-16", "2024-01-30")   # has a previous window inside the log
 LAST_COHORTS = 3
 CENTERS = ((-0.6, 0.7, 0.6), (0.9, -0.5, -0.5), (0.0, 0.0, 0.0))
+BATCHES, TREND_DAYS = 4, 9
 LLOYD_STEPS, FIXPOINT_TOLERANCE = 4, 1e-3
 LOG_RUNS = (_dt.datetime(2024, 2, 1), _dt.datetime(2024, 2, 2))
 ADHOC_STATEMENT = ("SELECT channel, CAST(SUM(price) AS DOUBLE) AS sales, "
@@ -182,6 +184,14 @@ def _q_kpi_summary(spark, d):
     return sales.kpi_summary(facts.buy_fact(wide), funnel.build_funnels(wide, fx.LOG_TZ)[0], *KPI_RANGE, "day")
 
 
+def _q_trend_default(spark, d):
+    """The trend of the default range over facts in date folders."""
+    path = scratch_path(spark, "buy-fact")
+    sink.write_table(facts.buy_fact(_wide(spark, d)), path, "buy_fact")
+    stored = spark.read.schema(BUY_FACT).parquet(path)
+    return sales.trend(stored, *sales.default_bounds(stored, TREND_DAYS), "day")
+
+
 def _q_adhoc(spark, d):
     return adhoc.run_adhoc(spark, ADHOC_STATEMENT, {"buy_fact": _sales(spark, d)})
 
@@ -217,6 +227,26 @@ def _q_line_counts(spark, d):
             .agg(F.count("*").alias("lines")))
 
 
+def _bucketed(spark, d):
+    """Buyer days and rule segments, both in buckets by user."""
+    wide = _written(_wide(spark, d), "wide")
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    segments = _rule_segments(_rfm_base(spark, d))
+    return [sink.write_bucketed(df, scratch_path(spark, "bucketed"), "user_id", buckets)
+            for df in (rfm.buyer_days(facts.buy_fact(wide)), segments.select("user_id", "rfm_label"))]
+
+
+def _incremental(kind):
+    """The funnel after the log came in batches, every fourth day in each."""
+    def query(spark, d):
+        wide = _written(_wide(spark, d), "wide")
+        state = funnel_state.FunnelState(spark, scratch_path(spark, f"funnel-{kind}"), kind, fx.LOG_TZ)
+        for n in range(BATCHES):
+            state.update(wide.where(F.dayofyear("date") % BATCHES == n), f"batch-{n}")
+        return state.mart().select("user_id", "date", "has_pv", "has_cart", "has_buy")
+    return query
+
+
 def _q_rule_distribution(spark, d):
     return rfm.rfm_distribution(facts.buy_fact(_wide(spark, d)), _rule_segments(_rfm_base(spark, d)),
                                 LOG_START, LOG_END)
@@ -323,6 +353,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "funnel_totals": lambda s, d: funnel.funnel_totals(_strict(s, d), LOG_START, LOG_END),
         "funnel_totals_loose": lambda s, d: funnel.funnel_totals(_loose(s, d), LOG_START, LOG_END),
         "funnel_long": lambda s, d: funnel.funnel_long(funnel.funnel_totals(_strict(s, d), LOG_START, LOG_END)),
+        "funnel_strict_incremental": _incremental("strict"),
+        "funnel_loose_incremental": _incremental("loose"),
         # cohorts
         "user_cohorts": lambda s, d: cohort.user_cohorts(_wide(s, d)),
         "cohort_sizes": lambda s, d: cohort.cohort_sizes(_wide(s, d)),
@@ -343,6 +375,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cluster_profiles": _q_cluster_profiles,
         "rfm_distribution": _q_rfm_distribution,
         "rfm_distribution_rule": _q_rule_distribution,
+        "rfm_distribution_bucketed": lambda s, d: rfm.rfm_distribution(*_bucketed(s, d), LOG_START, LOG_END),
         "cluster_profiles_fixed": _q_center_profiles,
         "silhouette_fixed": lambda s, d: clustering.silhouette_by_cluster(_assigned(s, d)),
         "lloyd_fixed": _q_lloyd,
@@ -358,6 +391,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sales_by_channel": lambda s, d: sales.sales_by(_sales(s, d), SPAN_START, SPAN_END, "channel"),
         "sales_by_age_group": lambda s, d: sales.sales_by(_sales(s, d), SPAN_START, SPAN_END, "age_group"),
         "date_range": lambda s, d: sales.date_range(_sales(s, d)),
+        "trend_default_range": _q_trend_default,
         "default_range": lambda s, d: sales.default_range(_sales(s, d)),
         "growth_day": lambda s, d: sales.growth(_sales(s, d), MONTH_START, MONTH_END, "day"),
         "growth_week": lambda s, d: sales.growth(_sales(s, d), MONTH_START, MONTH_END, "week"),

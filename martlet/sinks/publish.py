@@ -23,6 +23,7 @@ so no second pass is needed to report sizes.
 from __future__ import annotations
 
 import datetime as _dt
+import hashlib
 import uuid
 from concurrent.futures import Future, ThreadPoolExecutor
 
@@ -193,6 +194,29 @@ def expire(spark: SparkSession, root: str, keep: int = 2) -> int:
     return len(gone)
 
 
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` to ``path`` in ``buckets`` buckets by ``key``, sorted by it
+    inside, and read it back (:func:`read_bucketed`). Tables bucketed alike
+    join and aggregate on the key without an exchange. A bucket is read by one
+    task, so rows should be few per key (reduced to distinct ones)."""
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex[:12]}"
+    # one task per bucket: as many files as buckets
+    (df.repartition(buckets, key).write.format("parquet").option("path", path)
+     .bucketBy(buckets, key).sortBy(key).saveAsTable(name))
+    spark.sql(f"DROP TABLE {name}")          # external: the files stay
+    return read_bucketed(spark, path, df.schema, key, buckets)
+
+
+def read_bucketed(spark: SparkSession, path: str, schema, key: str, buckets: int) -> DataFrame:
+    """The bucketed files under ``path`` with their bucketing known to Spark,
+    as an external table of the session's catalog named after the path."""
+    name = "bucketed_" + hashlib.sha256(f"{path} {key} {buckets}".encode()).hexdigest()[:16]
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
+              f"CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Append rows (the DQ log) to a Parquet table."""
     df.coalesce(1).write.mode("append").parquet(path)
