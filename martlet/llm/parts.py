@@ -115,7 +115,7 @@ class Encoder:
         cut = pc.split_pattern(lines, " ")
         offsets = cut.offsets.to_numpy() - cut.offsets[0].as_py()
         coded = cut.flatten().dictionary_encode()
-        codes, parts = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
+        codes, parts = coded.indices.to_numpy().copy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         codes[offsets[:-1]] = len(parts)                  # before the first line end: nothing
         found = list(map(self.known.young.get, parts))
         strange = np.zeros(len(parts) + 1, bool)

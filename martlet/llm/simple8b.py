@@ -21,6 +21,7 @@ LARGEST = np.uint64((1 << 60) - 1)
 # values of a selector -> the next smaller number of values, at least half of it
 _COUNTS_UP = sorted({int(n) for n in COUNTS})
 _STEPS = COUNTS.astype(np.uint8)
+_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.int8)
 
 
 def _best(width: np.ndarray) -> np.ndarray:
@@ -43,11 +44,14 @@ def _best(width: np.ndarray) -> np.ndarray:
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, escaped values), both uint64."""
-    values = np.ascontiguousarray(values, np.uint64)
     if not len(values):
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    # bits of a value; beyond 2^53 rounding may add one, which only escapes more
-    width = np.frexp(values.astype(np.float64))[1].astype(np.int8)
+    if int(values.max()) < len(_BITS):
+        width = _BITS[values]
+    else:
+        # beyond 2^53 rounding may add a bit, which only escapes more
+        width = np.frexp(np.asarray(values, np.float64))[1].astype(np.int8)
+    values = np.ascontiguousarray(values, np.uint64)
     best = _best(width)
     step = _STEPS[best].tobytes()
     starts, i, n = [], 0, len(values)

@@ -29,7 +29,7 @@ and an empty result; ids of 64 bits are kept exactly.
 
 from __future__ import annotations
 
-import os
+import re
 import struct
 import uuid
 import zlib
@@ -53,42 +53,73 @@ BLOCK = 1 << 16             # ids of a block
 MAGIC = b"S8B-IDS1"
 END = 0                     # id that ends a document
 KNOWN = 600_000             # parts whose ids are kept
-TOGETHER = 2000             # parts the tokenizer gets as one text
+TOGETHER = 200              # parts the tokenizer gets as one text
 _encoders: dict[str, Encoder] = {}
 
 
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+# byte-level vocabularies write bytes that are no visible Latin-1 character as
+# the characters from U+0100 on, in order: a space U+0120, a line end U+010A
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SPELL = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+SPACE, LINE_END = chr(_SPELL[32]), chr(_SPELL[10])
+
+
+def spelled(part: str) -> str | None:
+    """A blank and a word of letters as the vocabulary writes them, piece by
+    piece; None for other parts."""
+    word = part[1:]
+    if not _LETTERS(word):
+        return None
+    if not word.isascii():
+        word = word.encode().decode("latin-1").translate(_SPELL)
+    return SPACE + word if part[0] == " " else LINE_END + " " + word
+
+
 def encoder(path: str) -> Encoder:
     """One encoder per Python worker and tokenizer file."""
     found = _encoders.get(path)
     if found is not None:
         return found
     made = tokenizer(path)
-    size = made.get_vocab_size(with_added_tokens=True)
-    # byte-level vocabularies write a space as U+0120 and a line end as U+010A
-    opens = np.zeros(size, bool)
+    from tokenizers import Tokenizer, pre_tokenizers
+    # the same merges for text that is spelled and cut already
+    words = Tokenizer(Tokenizer.from_file(path).model)
+    words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    opens = np.zeros(made.get_vocab_size(with_added_tokens=True), bool)
     for token, i in made.get_vocab(with_added_tokens=True).items():
-        opens[i] = token[:1] in ("Ġ", "Ċ")
+        opens[i] = token[:1] in (SPACE, LINE_END)
 
     def each(parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.int32).tobytes() for e in made.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def many(parts: list[str]) -> list[bytes]:
+    def together(parts: list[str], texts: list[str], coder, between: str) -> list[bytes]:
         """Parts that begin with a blank and have no other space or line end
         are encoded as one text: their ids begin where a token does so."""
         out: list[bytes] = []
         for at in range(0, len(parts), TOGETHER):
+            text = between.join(texts[at:at + TOGETHER])
+            ids = np.array(coder.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            starts = np.flatnonzero(opens[ids])
             some = parts[at:at + TOGETHER]
-            if all(p[0] in " \n" and len(p) > 1 for p in some):
-                ids = np.array(made.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.int32)
-                starts = np.flatnonzero(opens[ids])
-                if len(starts) == len(some) and starts[0] == 0:
-                    edges = [*(4 * starts).tolist(), 4 * len(ids)]
-                    data = ids.tobytes()
-                    out += [data[a:b] for a, b in zip(edges, edges[1:])]
-                    continue
-            out += each(some)
+            if len(starts) == len(some) and starts[0] == 0:
+                edges = [*(4 * starts).tolist(), 4 * len(ids)]
+                data = ids.tobytes()
+                out += [data[a:b] for a, b in zip(edges, edges[1:])]
+            else:
+                out += each(some)
         return out
 
+    def many(parts: list[str]) -> list[bytes]:
+        if not all(p[:1] in (" ", LINE) and len(p) > 1 for p in parts):
+            return each(parts)
+        texts = [spelled(p) for p in parts]
+        plain = [p for p, t in zip(parts, texts) if t is not None]
+        other = [p for p, t in zip(parts, texts) if t is None]
+        ids = iter(together(plain, [t for t in texts if t is not None], words, " "))
+        rest = iter(together(other, other, made, ""))
+        return [next(rest) if t is None else next(ids) for t in texts]
+
     found = _encoders[path] = Encoder(many, KNOWN)
     if len(found.line) != 1:
         raise ValueError(f"{LINE!r} is not one token")
@@ -117,7 +148,7 @@ class Writer:
         self.doc_ids.append(doc_ids)
         self.named.append(named)
         self.counts.append(counts)
-        self.held.append(ids)
+        self.held.append(ids if ids.dtype == np.uint64 else ids.astype(np.uint32))
         self.n_held += len(ids)
         self.n_ids += len(ids)
         if self.n_held >= BLOCK:
@@ -169,7 +200,7 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
             for batch in (x for whole in batches for x in slices(whole)):
                 ids, counts = coder.encode(batch.column("text"))
                 edges = np.cumsum(counts)
-                ids = np.insert(ids, edges, end).astype(np.uint64)
+                ids = np.insert(ids, edges, end)
                 named = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
                 writer = writer or Writer(out)
                 writer.add(batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), named, ids, counts + 1)
