@@ -15,11 +15,13 @@ back to; what all of them have in common before that is final and is emitted.
 The lookahead is bounded by the longest token, and a piece of any length is
 encoded in one pass with bounded memory.
 
-Pair decisions and per-piece results are caches with a size limit, which
-changes speed but no result.
+Texts are cut into parts at single spaces and line ends (:mod:`.parts`), where
+the pattern surely begins a piece, and each distinct part of a slice goes
+through the transducer once. Pair decisions, pieces and parts are caches with a
+size limit, which changes speed but no result.
 
-Decoding streams token bytes in blocks through an incremental UTF-8 state
-machine; a character split between tokens or blocks is completed by the next,
+Decoding looks token bytes up in blocks and streams each text's through an
+incremental UTF-8 state machine; a character split between tokens or blocks is completed by the next,
 and bytes that are not UTF-8 give U+FFFD.
 
 Both directions are Arrow passes over rows that stay where they are. Edge
@@ -31,25 +33,25 @@ from __future__ import annotations
 
 import base64
 import codecs
-import re
 from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_columns, table
+from .parts import LINE, MAX_PART, Encoder, Recent
 
 MAX_PAIRS = 400_000     # pair decisions kept
 EMIT_EVERY = 4096       # bytes of a piece between emissions
-MAX_CHUNKS = 160_000    # encoded chunks kept
-MAX_PIECES = 40_000    # encoded pieces kept
-MAX_CHUNK = 64          # longer ones are not kept
-BLOCK = 4096            # tokens decoded at a time
+MAX_PARTS = 500_000     # parts whose ids are kept
+MAX_PIECES = 40_000     # encoded pieces kept
+BLOCK = 1 << 16         # tokens decoded at a time
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -224,119 +226,92 @@ class Transducer:
         return last[common:]
 
 
-class Recent:
-    """A dictionary of at most about ``size`` entries that keeps what is in
-    use: when the young half is full it becomes the old half, and what is
-    found in the old half moves back to the young one."""
-
-    def __init__(self, size: int):
-        self.half, self.young, self.old = size // 2, {}, {}
-
-    def get(self, key):
-        value = self.young.get(key)
-        if value is None:
-            value = self.old.get(key)
-            if value is not None:
-                self.put(key, value)
-        return value
-
-    def put(self, key, value) -> None:
-        if len(self.young) >= self.half:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
-
-
 class Codec:
-    """Whole texts to ids (int32 bytes) and back."""
+    """Whole texts to ids and back, many at a time."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.find = regex.compile(pattern).findall
-        # a space at either end, or beside another blank
-        self.irregular = re.compile(r"\s\s| $|^ ").search
-        self.chunks, self.spaced, self.pieces = Recent(MAX_CHUNKS // 10), Recent(MAX_CHUNKS), Recent(MAX_PIECES)
+        self.pieces = Recent(MAX_PIECES)
+        self.encoder = Encoder(lambda parts: list(map(self._part, parts)), MAX_PARTS)
+        # all tokens' bytes in a row, and where each begins
         top = max(ranks.values(), default=-1)
-        self.bytes_of: list[bytes | None] = [None] * (top + 1)
+        by_id: list[bytes | None] = [None] * (top + 1)
         for token, rank in ranks.items():
-            self.bytes_of[rank] = token
+            by_id[rank] = token
+        self.known = np.array([t is not None for t in by_id], bool)
+        self.size = np.array([len(t or b"") for t in by_id], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(t or b"" for t in by_id), np.uint8)
+
+    @property
+    def spaced(self) -> Recent:
+        """The parts whose ids are kept."""
+        return self.encoder.known
+
+    @spaced.setter
+    def spaced(self, value: Recent) -> None:
+        self.encoder.known = value
 
     def _ids(self, piece: str) -> bytes:
         return array("i", self.transducer.encode(piece.encode())).tobytes()
 
-    def _pieces(self, chunk: str) -> bytes:
+    def _part(self, part: str) -> bytes:
+        """Ids of a part of a text. A blank and ASCII letters need no pattern
+        to be cut."""
+        word = part[1:]
+        if word.isascii() and word.isalpha():
+            if part[0] == " ":
+                return self._ids(part)
+            if part[0] == LINE:
+                return self._ids(LINE) + self._ids(word)
         found = []
-        for piece in self.find(chunk):
+        for piece in self.find(part):
             ids = self.pieces.get(piece)
             if ids is None:
                 ids = self._ids(piece)
-                if len(piece) <= MAX_CHUNK:
+                if len(piece) <= MAX_PART:
                     self.pieces.put(piece, ids)
             found.append(ids)
         return b"".join(found)
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a space and a word without blanks. ASCII letters, alone or
-        before one full stop or comma, need no pattern to be cut."""
-        if word.isascii():
-            if word.isalpha():
-                return self._ids(" " + word)
-            if word[-1:] in (".", ",") and word[:-1].isalpha():
-                body = self.spaced.get(word[:-1])
-                if body is None:
-                    body = self._ids(" " + word[:-1])
-                    if len(word) <= MAX_CHUNK:
-                        self.spaced.put(word[:-1], body)
-                return body + self._pieces(word[-1])
-        return self._pieces(" " + word)
-
-    def _chunk(self, chunk: str) -> bytes:
-        made = self._pieces(chunk)
-        if len(chunk) <= MAX_CHUNK:
-            self.chunks.put(chunk, made)
-        return made
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each)."""
+        return self.encoder.encode(texts)
 
     def encode(self, text: str | None) -> bytes:
-        """Ids of a text. A single space between two non-blank characters
-        always begins a piece under the pattern, so texts are cut there first
-        and repeated chunks are looked up. Chunks keep their leading space."""
-        if not text:
-            return b""
-        if self.irregular(text):
-            parts = text.split(" ")
-            chunks = [parts[0]]
-            for part in parts[1:]:
-                last = chunks[-1]
-                if part and last and not part[0].isspace() and not last[-1].isspace():
-                    chunks.append(" " + part)
-                else:
-                    chunks[-1] = last + " " + part
-            return b"".join([self.chunks.get(c) or self._chunk(c) for c in chunks])
-        # every space is a cut; the leading space is left out of the key
-        first, *rest = text.split(" ")
-        out = list(map(self.spaced.young.get, rest))
-        if None in out:
-            get, put = self.spaced.get, self.spaced.put
-            for i, made in enumerate(out):
-                if made is None:
-                    word = rest[i]
-                    made = get(word)
-                    if made is None:
-                        made = self._word(word)
-                        if len(word) <= MAX_CHUNK:
-                            put(word, made)
-                    out[i] = made
-        return (self.chunks.get(first) or self._chunk(first)) + b"".join(out)
+        """Ids of a text, as int32 bytes."""
+        return self.encode_all(pa.array([text], pa.string()))[0].astype(np.int32).tobytes()
+
+    def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The texts of runs of ids. ``BLOCK`` ids at a time become bytes, by
+        one lookup; an incremental UTF-8 machine reads each text's bytes."""
+        if len(ids) and (int(ids.min()) < 0 or int(ids.max()) >= len(self.known) or not self.known[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
+        machine = codecs.getincrementaldecoder("utf-8")(errors="replace")
+        edges = np.concatenate(([0], np.cumsum(counts))).tolist()
+        out: list[str] = []
+        held: list[str] = []            # of a text that goes on in the next block
+        for at in range(0, max(1, len(ids)), BLOCK):
+            some = ids[at:at + BLOCK]
+            size = self.size[some]
+            ends = np.cumsum(size)
+            total = int(ends[-1]) if len(ends) else 0
+            data = memoryview(self.bytes[np.repeat(self.start[some] - (ends - size), size) + np.arange(total)])
+            places = np.concatenate(([0], ends))
+            begin = 0
+            while len(out) < len(counts) and edges[len(out) + 1] <= at + len(some):
+                end = int(places[edges[len(out) + 1] - at])
+                text = machine.decode(data[begin:end], True)
+                machine.reset()
+                out.append("".join(held) + text if held else text)
+                held, begin = [], end
+            if begin < total:
+                held.append(machine.decode(data[begin:]))
+        return out
 
     def decode(self, ids: list[int]) -> str:
-        machine = codecs.getincrementaldecoder("utf-8")(errors="replace")
-        out = []
-        for i in range(0, len(ids), BLOCK):
-            parts = [self.bytes_of[t] if 0 <= t < len(self.bytes_of) else None for t in ids[i:i + BLOCK]]
-            if None in parts:
-                raise ValueError("an id is not in the vocabulary")
-            out.append(machine.decode(b"".join(parts)))
-        out.append(machine.decode(b"", True))
-        return "".join(out)
+        return self.decode_all(np.array(ids, np.int64), np.array([len(ids)]))[0]
 
 
 @lru_cache(maxsize=2)
@@ -354,10 +329,9 @@ IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
 DECODED = T.StructField("decoded", T.StringType())
 
 
-def _id_lists(coded: list[bytes]) -> pa.ListArray:
-    """One list array from the ids' bytes, without Python numbers."""
-    offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in coded]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+def _id_lists(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32, copy=False)))
 
 
 def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None,
@@ -367,7 +341,7 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None = N
 
     def start():
         c = codec(path, pattern)
-        return lambda texts: [_id_lists([c.encode(t) for t in texts.to_pylist()])]
+        return lambda texts: [_id_lists(*c.encode_all(texts))]
     return map_columns(docs, [text], list(keep or docs.columns), T.StructType([IDS]), start)
 
 
@@ -380,11 +354,8 @@ def decode(coded: DataFrame, ids: str = "ids", keep: tuple[str, ...] | None = No
         c = codec(path, pattern)
 
         def run(lists):
-            values = lists.values.to_numpy(zero_copy_only=False)
-            offsets = lists.offsets.to_pylist()
-            valid = lists.is_valid().to_pylist()
-            return [[c.decode(values[a:b].tolist()) if ok else ""
-                     for a, b, ok in zip(offsets, offsets[1:], valid)]]
+            counts = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+            return [c.decode_all(lists.flatten().to_numpy(zero_copy_only=False), counts)]
         return run
     return map_columns(coded, [ids], list(keep or coded.columns), T.StructType([DECODED]), start)
 
@@ -400,8 +371,8 @@ def round_trip(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None
         c = codec(path, pattern)
 
         def run(texts):
-            coded = [c.encode(t) for t in texts.to_pylist()]
-            return [_id_lists(coded), [c.decode(np.frombuffer(x, np.int32).tolist()) for x in coded]]
+            ids, counts = c.encode_all(texts)
+            return [_id_lists(ids, counts), c.decode_all(ids, counts)]
         return run
     return map_columns(docs, [text], list(keep or docs.columns), T.StructType([IDS, DECODED]), start)
 
