@@ -36,21 +36,26 @@ def _words(column: str) -> str:
     return f"regexp_extract_all(translate(coalesce({column}, ''), '{_UPPER}', '{_LOWER}'), '{pattern}')"
 
 
-#: Windows as joined words, compared by an equi-join; hit words are counted once.
+#: Windows as joined words, compared by an equi-join; hit words are counted
+#: once; a longest match is the longest run of windows that hit side by side.
 OP4 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_words('text')} AS w FROM documents),
-b AS (SELECT item_id, w, least(10, len(w)) AS k
+b AS (SELECT row_number() OVER () AS t, item_id, w, least(10, len(w)) AS k
       FROM (SELECT item_id, {_words('text')} AS w FROM benchmark) WHERE len(w) > 0),
-bw AS (SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS g
-       FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM b)),
+bw AS (SELECT t, item_id, k, p AS q, array_to_string(w[p:p + k - 1], ' ') AS g
+       FROM (SELECT t, item_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM b)),
 dw AS (SELECT r, p, k, array_to_string(w[p:p + k - 1], ' ') AS g
        FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM bw) WHERE len(w) >= k)),
-hit AS (SELECT dw.r, dw.p, dw.k, bw.item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.g = bw.g),
+hit AS (SELECT dw.r, dw.p, dw.k, bw.item_id, bw.t, bw.q FROM dw JOIN bw ON dw.k = bw.k AND dw.g = bw.g),
 n AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(p, p + k)) AS x FROM hit) GROUP BY r),
 i AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-      FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY r)
+      FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY r),
+side AS (SELECT r, p, k, p - row_number() OVER (PARTITION BY r, t, p - q ORDER BY p) AS run, t, p - q AS shift FROM hit),
+m AS (SELECT r, min(p) AS p, count(*) - 1 + any_value(k) AS words FROM side GROUP BY r, t, shift, run),
+l AS (SELECT r, max(words) AS words, arg_min(p, [-words, p]) AS p FROM m GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN n ON d.r = n.r LEFT JOIN i ON d.r = i.r"""
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       CAST(coalesce(words, 0) AS BIGINT) AS longest_match, CAST(p - 1 AS BIGINT) AS longest_start
+FROM d LEFT JOIN n ON d.r = n.r LEFT JOIN i ON d.r = i.r LEFT JOIN l ON d.r = l.r"""
 
 _BITS = " + ".join(f"{1 << (4 - k)} * CAST(substr(bits, 5 * i + {k + 1}, 1) AS INTEGER)" for k in range(5))
 #: Base32 from the digest's bits, five at a time.

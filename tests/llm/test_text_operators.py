@@ -95,6 +95,62 @@ def test_shards_do_not_change_hits(texts):
     assert decontaminate.scan(body, test, 50) == decontaminate.scan(body, test)
 
 
+def plain_matches(texts, items, window=10):
+    """Per text: hit words, items, and the longest match by comparing all places."""
+    out = []
+    items = [(i, decontaminate.words(t)) for i, t in items]
+    for text in texts:
+        w, hit, found, top = decontaminate.words(text), set(), set(), (0, None)
+        for k, (_, u) in enumerate(i for i in items if i[1]):
+            width = min(window, len(u))
+            for p in range(len(w)):
+                for q in range(len(u) - width + 1):
+                    if w[p:p + width] == u[q:q + width]:
+                        n = width
+                        while p + n < len(w) and q + n < len(u) and w[p + n] == u[q + n]:
+                            n += 1
+                        hit |= set(range(p, p + width))
+                        found.add(k)
+                        if n > top[0]:
+                            top = n, p
+                        elif n == top[0] and p < top[1]:
+                            top = n, p
+        out.append((len(w), hit, sorted(found), top))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_matches_by_comparing_all_places(seed):
+    rng = random.Random(seed)
+    some = "a b c" if seed % 2 else "a b c d e f g h i j k l m n o p"
+    draw = lambda n: " ".join(rng.choice(some.split()) for _ in range(n))
+    items = [(k, draw(rng.choice([1, 4, 9, 10, 11, 25, 60]))) for k in range(5)] + [(5, "!"), (6, None)]
+    whole = [t for _, t in items if t]
+    texts = [draw(40) + " " + rng.choice(whole) + " zz " + rng.choice(whole)[5:] + " " + draw(20) for _ in range(6)] + ["", None, "zz"]
+    test = decontaminate.TestSet(items)
+    for size in (30, 10 ** 6):
+        got = decontaminate.scan(texts, test, size)
+        assert [(n, {x for a, b in h for x in range(a, b)}, k, t) for n, h, k, t in got] == plain_matches(texts, items)
+
+
+def test_a_long_item_needs_linear_memory():
+    """200,000 words in one item and in one text, all different or all the same."""
+    import subprocess
+    import sys
+    code = """
+import random, resource, sys
+from martlet.llm import decontaminate as d
+w = [f"w{random.Random(1).randrange(9) if k % 3 else k}" for k in range(200_000)]
+for item, text in ((" ".join(w), " ".join(["x", *w[1000:150_000], "y"])), ("a " * 200_000, "a " * 150_000 + "b")):
+    n, hits, items, top = d.scan([text], d.TestSet([("i", item)]))[0]
+    assert len(hits) == 1 and items == [0] and top[0] == hits[0][1] - hits[0][0] >= 149_000, (n, hits, items, top)
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 500 << 10, "more than 500 MB"
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=str(__import__("pathlib").Path(__file__).parents[2]), capture_output=True,
+                          text=True, timeout=600)
+    assert done.returncode == 0, done.stderr
+
+
 # ---- byte-level BPE
 
 @pytest.fixture(scope="module")
