@@ -10,7 +10,12 @@ containers at their host's winning path.
   third of all pages costs a row per task and path. Winners are a written
   table with a row per host; whether it is broadcast is left to Spark's byte
   threshold, beyond which AQE splits a hot host.
-* Parsing is a single scan with an element stack and never backs up.
+* Parsing is a single scan with an element stack that never backs up and is
+  never walked: where a tag was opened last, and where the last container, is
+  kept beside it. Paths are numbers (parent path, label) with a digest each, and
+  texts look for containers only, so time and memory follow the page's size,
+  however deep it is nested. Paths of over ``DEEP`` steps are written as their
+  last steps and the digest of the whole.
 
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are joined in page order by one space. Left out are menus, page
@@ -27,6 +32,7 @@ host; a page without containers is its body; rows repeat as given.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
@@ -65,6 +71,7 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
             "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
             "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 LANDMARKS = frozenset(["article", "main"])
+DEEP = 64
 
 
 def tag_end(source: str, at: int) -> int:
@@ -84,19 +91,40 @@ def tag_end(source: str, at: int) -> int:
 
 
 class Page:
-    """Elements and text of one page: nodes are (parent, path, out, first text,
-    last text), texts are (node, string, inside a link); a break is (-1, " ", _)."""
+    """Elements and text of one page: nodes are (parent, tag, path, out, first
+    text, last text, nearest container), texts are (node, string, inside a
+    link); a break is (-1, " ", _)."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.path, self.out = [-1], ["#"], [""], [False]
-        self.first, self.last = [0], [0]
+        self.parent, self.tag, self.path, self.out = [-1], ["#"], [0], [False]
+        self.first, self.last, self.container = [0], [0], [-1]
+        # paths: (parent path, label) by number, with steps and digest
+        self.steps: list[tuple[int, str, int, bytes]] = [(-1, "", 0, b"")]
+        self.number: dict[tuple[int, str], int] = {}
         self.texts: list[tuple[int, str, bool]] = []
         self._parse(source)
 
-    def _open(self, stack: list[int], tag: str, attrs: str) -> int:
-        up = stack[-1]
+    def _path(self, up: int, label: str) -> int:
+        """The number of the path that goes on from ``up``."""
+        found = self.number.get((up, label))
+        if found is None:
+            found = self.number[up, label] = len(self.steps)
+            _, _, depth, digest = self.steps[up]
+            self.steps.append((up, label, depth + 1, hashlib.blake2b(digest + b"/" + label.encode(), digest_size=12).digest()))
+        return found
+
+    def path_text(self, path: int) -> str:
+        _, _, depth, digest = self.steps[path]
+        labels = []
+        while path and len(labels) < DEEP:
+            path, label, _, _ = self.steps[path]
+            labels.append(label)
+        labels.append("" if depth <= DEEP else f"~{digest.hex()}")
+        return "/".join(reversed(labels))
+
+    def _open(self, up: int, tag: str, attrs: str, open_at: dict[str, list[int]]) -> int:
         words, label = set(), tag
-        inside = any(self.tag[n] in LANDMARKS for n in stack)
+        inside = any(open_at.get(t) for t in LANDMARKS)
         if attrs:
             for name, a, b, c in _ATTR.findall(attrs):
                 value = a or b or c
@@ -107,27 +135,37 @@ class Page:
                     label = tag + "".join("." + w for w in sorted(set(found)))
         if inside:
             words.discard("header")
-        whole = tag in WHOLE or (tag == "article" and not any(self.tag[n] == "article" for n in stack))
+        whole = tag in WHOLE or (tag == "article" and not open_at.get("article"))
         out = self.out[up] or tag in OUT_TAGS or (tag == "header" and not inside) or (
             not whole and not OUT_WORDS.isdisjoint(words))
         self.parent.append(up)
         self.tag.append(tag)
-        self.path.append(f"{self.path[up]}/{label}" if tag not in INLINE else self.path[up])
+        self.path.append(self._path(self.path[up], label) if tag not in INLINE else self.path[up])
         self.out.append(out)
         self.first.append(len(self.texts))
         self.last.append(len(self.texts))
-        return len(self.parent) - 1
+        node = len(self.parent) - 1
+        self.container.append(node if tag in CONTAINERS else self.container[up])
+        return node
 
     def _parse(self, source: str) -> None:
         stack, at, n, links = [0], 0, len(source), 0
         texts, low = self.texts, None
+        open_at: dict[str, list[int]] = {}      # places in the stack, per tag
+        containers: list[int] = []              # and of containers
+        last = lambda tags: max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
 
         def close(upto: int) -> None:
             nonlocal links
             while len(stack) > upto:
                 node = stack.pop()
                 self.last[node] = len(texts)
-                links -= self.tag[node] == "a"
+                tag = self.tag[node]
+                links -= tag == "a"
+                if node:
+                    open_at[tag].pop()
+                    if tag in CONTAINERS:
+                        containers.pop()
 
         while at < n:
             m = _TOKEN.search(source, at)
@@ -149,12 +187,9 @@ class Page:
                 break                   # cut inside a tag
             attrs, at = source[at:end], end + 1
             if m.group(1):
-                for depth in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[depth]] == tag:
-                        close(depth)
-                        break
-                    if tag in INLINE and self.tag[stack[depth]] in CONTAINERS:
-                        break
+                found = last((tag,))
+                if found and not (tag in INLINE and containers and containers[-1] > found):
+                    close(found)
                 if tag not in INLINE and tag not in RAW:
                     texts.append((-1, " ", False))
                 continue
@@ -170,21 +205,19 @@ class Page:
             if tag in VOID or attrs.endswith("/") and tag not in CONTAINERS:
                 continue
             if tag in CLOSES_P:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[depth]] == "p":
-                        close(depth)
-                        break
-                    if self.tag[stack[depth]] in CONTAINERS:
-                        break
+                found = last(("p",))
+                if found > (containers[-1] if containers else 0):
+                    close(found)
             if tag in SIBLINGS:
                 same, limit = SIBLINGS[tag]
-                for depth in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[depth]] in same:
-                        close(depth)
-                        break
-                    if self.tag[stack[depth]] in limit:
-                        break
-            stack.append(self._open(stack, tag, attrs))
+                found = last(same)
+                if found > last(limit):
+                    close(found)
+            node = self._open(stack[-1], tag, attrs, open_at)
+            open_at.setdefault(tag, []).append(len(stack))
+            if tag in CONTAINERS:
+                containers.append(len(stack))
+            stack.append(node)
             links += tag == "a"
         close(0)
 
@@ -200,26 +233,29 @@ class Page:
             if not text.strip():
                 continue
             weight = -2 * size if link else 2 * size
+            node = self.container[node]
             while node > 0 and weight:
-                if self.tag[node] in CONTAINERS:
-                    got[node] = got.get(node, 0) + (2 * weight if self.tag[node] in LANDMARKS else weight)
-                    weight = weight // 2 if weight > 0 else -(-weight // 2)
-                node = self.parent[node]
+                got[node] = got.get(node, 0) + (2 * weight if self.tag[node] in LANDMARKS else weight)
+                weight = weight // 2 if weight > 0 else -(-weight // 2)
+                node = self.container[self.parent[node]]
         return got
 
     def votes(self) -> dict[str, int]:
         """Thousandths of the page's score per path (its best node counts)."""
-        best: dict[str, int] = {}
+        best: dict[int, int] = {}
         for node, score in self.scores().items():
             if score > 0:
                 best[self.path[node]] = max(best.get(self.path[node], 0), score)
         total = sum(best.values())
-        return {p: 1000 * s // total for p, s in best.items()} if total else {}
+        return {self.path_text(p): 1000 * s // total for p, s in best.items()} if total else {}
 
     def text(self, path: str | None) -> str:
         """Main text from the nodes at ``path``, else from the best node."""
-        nodes = [i for i in range(1, len(self.path)) if self.path[i] == path and not self.out[i]
-                 and self.tag[i] in CONTAINERS] if path else []
+        steps = path.count("/") if path else 0
+        alike = {p for p in set(self.path) if path and (self.steps[p][2] == steps or steps >= DEEP < self.steps[p][2])
+                 and self.path_text(p) == path}
+        nodes = [i for i in range(1, len(self.path)) if self.path[i] in alike and not self.out[i]
+                 and self.tag[i] in CONTAINERS]
         if not any(self.last[i] > self.first[i] for i in nodes):
             scores = self.scores()
             nodes = [min(scores, key=lambda i: (-scores[i], i))] if scores else [0]

@@ -247,6 +247,35 @@ def test_html_query(spark, small):
     assert rows[18].n_chars == 700_000
 
 
+def test_a_deep_page_needs_linear_memory():
+    """200,000 nested tags, blocks and inline ones, and as many stray end tags."""
+    import subprocess
+    import sys
+    code = """
+import resource
+from martlet.llm.html_extract import Page
+n = 200_000
+for source in ("<div>" * n + "deep text" + "</div>" * n, "<div>" + "<span>" * n + "deep text" + "</a>" * n,
+               "<p><b><i class=x>" * (n // 3) + "deep text" + "</u></li>" * n, "<div>a b " * n):
+    page = Page(source)
+    votes = page.votes()
+    assert page.text(max(votes, key=votes.get) if votes else None).endswith(("deep text", "a b")), source[:40]
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 500 << 10, "more than 500 MB"
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=str(__import__("pathlib").Path(__file__).parents[2]), capture_output=True,
+                          text=True, timeout=600)
+    assert done.returncode == 0, done.stderr
+
+
+def test_deep_paths_are_told_apart():
+    """Paths that differ only far above are different, equal ones are equal."""
+    deep = html_extract.DEEP + 10
+    page = lambda first: html_extract.Page(f"<div class={first}>" + "<div>" * deep + "some text")
+    a, b, c = (max(page(x).votes()) for x in ("one", "two", "one"))
+    assert a == c != b and a.startswith("~") and len(a) < 1000
+    assert page("one").text(a) == "some text"
+
+
 def test_hosts_vote(spark):
     page = lambda extra: f"<div class='post p1'><p>{'body ' * 30}</p></div>{extra}"
     rows = [(i, "http://h.example/x", page("")) for i in range(5)]
