@@ -154,6 +154,58 @@ def joined(rows):
     return find
 
 
+def passage_documents(rng, n_pairs):
+    """Passages in unrelated text, with one to four changed words in every
+    second copy, some in many documents, some twice in one; whole copies."""
+    words = lambda n: [f"w{rng.getrandbits(32):x}" for _ in range(n)]
+    rows, pairs = [], []
+    for k in range(n_pairs):
+        p = words(rng.randint(60, 200))
+        q = list(p)
+        for at in rng.sample(range(len(q)), rng.randint(1, 4)):
+            q[at] = "changed"
+        grams = [{tuple(x[i:i + 5]) for i in range(len(x) - 4)} for x in (p, q)]
+        rows += [words(rng.randint(10, 90)) + x + words(rng.randint(10, 90)) for x in (p, q)]
+        if len(grams[0] & grams[1]) >= 0.8 * len(grams[0] | grams[1]):
+            pairs.append((2 * k, 2 * k + 1))
+    hot = words(70)
+    rows += [words(rng.randint(5, 60)) + hot + words(20) + (hot if i % 9 == 0 else []) for i in range(60)]
+    rows += [rows[-1], rows[3], rows[3]]
+    return [(i, " ".join(r)) for i, r in enumerate(rows)], pairs
+
+
+def test_rows_do_not_depend_on_partitioning(spark):
+    rows, _ = passage_documents(random.Random(21), 40)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, found = spark.conf.get(conf), []
+    try:
+        for parts, batch in ((3, 10000), (16, 10000), (5, 4), (1, 33)):
+            spark.conf.set(conf, str(batch))
+            got = passages.near_duplicate_passages(df.repartition(parts, "text")).collect()
+            found.append(collections.Counter(map(tuple, got)))
+    finally:
+        spark.conf.set(conf, before)
+    assert found[0] and all(f == found[0] for f in found[1:])
+
+
+def test_near_passages_are_found(spark):
+    """Recall of passages that are similar to 0.8 and more but not equal."""
+    rows, pairs = passage_documents(random.Random(22), 150)
+    got = passages.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    find = joined(got)
+    caught = sum(find(a) == find(b) for a, b in pairs)
+    assert len(pairs) > 80 and caught >= 0.9 * len(pairs), (caught, len(pairs))
+    assert all(r.similarity >= 0.8 for r in got)
+
+
+def test_blocks_keep_their_columns():
+    rng = np.random.default_rng(1)
+    columns = [rng.integers(0, 1 << 60, 50).astype(t) for t in passages._KEYED]
+    back = passages._unpack(passages._pack(columns, passages._KEYED), 50, passages._KEYED)
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(columns, back))
+
+
 def test_hot_passages_meet_over_many_batches(spark):
     rng = random.Random(11)
     words = lambda n: [f"w{rng.getrandbits(32):x}" for _ in range(n)]
