@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -277,59 +278,86 @@ def plain_counts(text):
     return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered))
 
 
+def floored_factor(cov):
+    """Cholesky factor whose every pivot is at least its statistic's floor."""
+    floors = [(f * quality_rules.SCALE) ** 2 for f in quality_rules.FLOORS.values()]
+    low = np.zeros_like(cov)
+    for i in range(len(cov)):
+        for j in range(i + 1):
+            rest = cov[i, j] - low[i, :j] @ low[j, :j]
+            low[i, j] = math.sqrt(max(rest, floors[i])) if i == j else rest / low[j, j]
+    return low
+
+
 def plain_verdicts(rows):
     """The rules in plain numpy: (doc_id, text, lang, source) -> kept flags."""
+    rules = quality_rules
     counts = [plain_counts(t) for _, t, _, _ in rows]
-    distinct = [len({w for w in __import__("re").split(r"[\x20\x09-\x0D]+", t or "") if w}) for _, t, _, _ in rows]
+    distinct = [len({w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w}) for _, t, _, _ in rows]
     failed = [c[0] < 20 or 100 * c[4] > 30 * c[0] for c in counts]
-    sizes = collections.Counter((r[2], r[3]) for r, f in zip(rows, failed) if not f)
-    group = [(r[2], r[3], False) if sizes[r[2], r[3]] >= quality_rules.MIN_GROUP else (r[2], None, True) for r in rows]
+    passing = [k for k, f in enumerate(failed) if not f]
 
     def stats(c, d):
         n = max(c[0], 1)
         raw = [math.log1p(n), math.log(max(c[1], 1) / n), *[math.log1p(1000 * c[k] / n) for k in (2, 3, 4)], math.log(n / max(d, 1))]
-        return [math.floor(abs(v) * quality_rules.SCALE + 0.5) * (1 if v >= 0 else -1) for v in raw]
+        return [math.floor(abs(v) * rules.SCALE + 0.5) * (1 if v >= 0 else -1) for v in raw]
     x = np.array([stats(c, d) for c, d in zip(counts, distinct)], float)
-    floors = (np.array(list(quality_rules.FLOORS.values())) * quality_rules.SCALE) ** 2
-    kept = []
-    fitted = {}
-    for g in set(group):
-        z = x[[k for k, h in enumerate(group) if h == g and not failed[k]]]
-        if not len(z):
-            continue
+
+    # a source with enough rows is a group; the others of a language are one,
+    # and where that is too small, all rows of the language are its sample
+    sizes = collections.Counter((rows[k][2], rows[k][3]) for k in passing)
+    group = [(r[2], r[3]) if sizes[r[2], r[3]] >= rules.MIN_GROUP else (r[2], "the others") for r in rows]
+    samples = {g: [k for k in passing if group[k] == g] for g in set(group)}
+    for g, sample in samples.items():
+        if g[1] == "the others" and 0 < len(sample) < rules.MIN_GROUP:
+            samples[g] = [k for k in passing if rows[k][2] == g[0]]
+
+    def distances(z, mean, low):
+        return (np.linalg.solve(low, (z - mean).T) ** 2).sum(0)
+
+    def bins_of(d2):
+        return np.floor(np.log2(np.maximum(d2, 2.0 ** -10)) * rules.BINS_PER_OCTAVE)
+
+    def estimate(z):
         middle = lambda v: np.sort(v, axis=0)[(len(v) + 1) // 2 - 1]
         mean = middle(z)
-        cov = np.diag((1.4826 * middle(np.abs(z - mean))) ** 2)
-        ok = True
-        for _ in range(quality_rules.STEPS):
-            low = np.linalg.cholesky(cov + np.diag(floors))
-            d2 = (np.linalg.solve(low, (z - mean).T) ** 2).sum(0)
-            bins = np.floor(np.log2(np.maximum(d2, 2.0 ** -10)) * quality_rules.BINS_PER_OCTAVE)
-            edge = max(b for b in set(bins) if (bins < b).sum() < quality_rules.SUPPORT * len(z))
-            near = z[bins <= edge]
-            if len(near) < quality_rules.SUPPORT * quality_rules.MIN_GROUP:
-                ok = False
-                break
-            mean, cov = near.mean(0), 1.8 * np.cov(near.T, bias=True)
-        if ok:
-            fitted[g] = (mean, np.linalg.cholesky(cov + np.diag(floors)))
+        low = floored_factor(np.diag((1.4826 * middle(np.abs(z - mean))) ** 2))
+        for _ in range(rules.STEPS):
+            bins = bins_of(distances(z, mean, low))
+            near = z[bins <= max(b for b in set(bins) if (bins < b).sum() < rules.SUPPORT * len(z))]
+            if len(near) < rules.SUPPORT * rules.MIN_GROUP:
+                return None
+            mean, low = near.mean(0), floored_factor(1.8 * np.cov(near.T, bias=True))
+        roots = np.sort(2.0 ** ((bins_of(distances(z, mean, low)) + 0.5) / (3 * rules.BINS_PER_OCTAVE)))
+        half, upper = roots[-(-len(z) // 2) - 1], roots[-(-3 * len(z) // 4) - 1]
+        tail = (half + rules.TAIL / 0.6745 * (upper - half)) ** 3
+        return mean, low, max(rules.LEAST_CUTOFF, min(rules.CUTOFF, tail))
+
+    fitted = {g: estimate(x[sample]) for g, sample in samples.items() if sample}
+    kept = []
     for k, g in enumerate(group):
-        far = False
-        if g in fitted:
-            far = (np.linalg.solve(fitted[g][1], x[k] - fitted[g][0]) ** 2).sum() > quality_rules.CUTOFF
+        found = fitted.get(g)
+        far = found is not None and distances(x[k:k + 1], *found[:2])[0] > found[2]
         kept.append(not failed[k] and not far)
     return counts, failed, kept
 
 
-def test_quality_rules_query(spark, small):
-    for root in (small, SF_SMALL):
-        rows = [tuple(r) for r in spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
-        counts, failed, kept = plain_verdicts(rows)
-        got = registry.queries()["op9_quality_rules"](spark, root).select(
-            "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
-        assert collections.Counter(map(tuple, got)) == collections.Counter(
-            (r[0], *c, f, k) for r, c, f, k in zip(rows, counts, failed, kept))
+SF_MIDDLE, SF_LARGE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
+
+
+@pytest.mark.parametrize("where", ["small", SF_SMALL, SF_MIDDLE, SF_LARGE])
+def test_quality_rules_query(spark, small, where):
+    root = small if where == "small" else where
+    rows = [tuple(r) for r in spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    counts, failed, kept = plain_verdicts(rows)
+    got = registry.queries()["op9_quality_rules"](spark, root).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(
+        (r[0], *c, f, k) for r, c, f, k in zip(rows, counts, failed, kept))
     assert 0 < sum(kept) < len(kept)
+    if where == SF_LARGE:       # sources are judged on their own there, and more than the base rules reject
+        assert sum(n >= quality_rules.MIN_GROUP for n in collections.Counter((r[2], r[3]) for r in rows).values()) > 20
+        assert sum(kept) < len(rows) - sum(failed)
 
 
 def test_outliers_go_and_layout_does_not_matter(spark):
