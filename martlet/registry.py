@@ -66,8 +66,12 @@ def _wide(spark, d):
     return _cleaned(spark, d).wide
 
 
-def _sales(spark, d):
-    return fx.sales_facts(spark, d)
+def _sales(spark, d, *columns):
+    return fx.sales_facts(spark, d, *columns)
+
+
+# What the sales queries need of the facts.
+_DAILY = ("date", "order_id", "price")
 
 
 def _strict(spark, d):
@@ -122,7 +126,7 @@ def _bundle(spark, d, start, end, period):
 
 def _order_sets(spark, d):
     """Daily order sets of the sales facts, written once as a mart is."""
-    rows = _sales(spark, d)
+    rows = _sales(spark, d, *_DAILY)
     return _written(cube.member_sets(rows, cube.dense_numbers(rows, "order_id"), "order_id"), "day-orders")
 
 
@@ -381,21 +385,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lloyd_fixed": _q_lloyd,
         "kmeans_fixpoint": _q_kmeans_fixpoint,
         # sales queries over purchase facts
-        "core_metrics": lambda s, d: sales.core_metrics(_sales(s, d), SPAN_START, SPAN_END),
-        "trend_day": lambda s, d: sales.trend(_sales(s, d), SPAN_START, SPAN_END, "day"),
-        "trend_week": lambda s, d: sales.trend(_sales(s, d), SPAN_START, SPAN_END, "week"),
-        "trend_month": lambda s, d: sales.trend(_sales(s, d), SPAN_START, SPAN_END, "month"),
-        "comparison_sales": lambda s, d: sales.comparison_sales(_sales(s, d), *PREV_MONTH),
-        "top_items": lambda s, d: sales.top_items(_sales(s, d), SPAN_START, SPAN_END),
-        "top_categories": lambda s, d: sales.top_categories(_sales(s, d), SPAN_START, SPAN_END),
-        "sales_by_channel": lambda s, d: sales.sales_by(_sales(s, d), SPAN_START, SPAN_END, "channel"),
-        "sales_by_age_group": lambda s, d: sales.sales_by(_sales(s, d), SPAN_START, SPAN_END, "age_group"),
-        "date_range": lambda s, d: sales.date_range(_sales(s, d)),
+        "core_metrics": lambda s, d: sales.core_metrics(_sales(s, d, *_DAILY), SPAN_START, SPAN_END),
+        "trend_day": lambda s, d: sales.trend(_sales(s, d, *_DAILY), SPAN_START, SPAN_END, "day"),
+        "trend_week": lambda s, d: sales.trend(_sales(s, d, *_DAILY), SPAN_START, SPAN_END, "week"),
+        "trend_month": lambda s, d: sales.trend(_sales(s, d, *_DAILY), SPAN_START, SPAN_END, "month"),
+        "comparison_sales": lambda s, d: sales.comparison_sales(_sales(s, d, "date", "price"), *PREV_MONTH),
+        "top_items": lambda s, d: sales.top_items(_sales(s, d, "date", "item_id", "price"), SPAN_START, SPAN_END),
+        "top_categories": lambda s, d: sales.top_categories(_sales(s, d, "date", "category_id", "price"), SPAN_START, SPAN_END),
+        "sales_by_channel": lambda s, d: sales.sales_by(_sales(s, d, "date", "channel", "price"), SPAN_START, SPAN_END, "channel"),
+        "sales_by_age_group": lambda s, d: sales.sales_by(_sales(s, d, "date", "age_group", "price"), SPAN_START, SPAN_END, "age_group"),
+        "date_range": lambda s, d: sales.date_range(_sales(s, d, "date")),
         "trend_default_range": _q_trend_default,
-        "default_range": lambda s, d: sales.default_range(_sales(s, d)),
-        "growth_day": lambda s, d: sales.growth(_sales(s, d), MONTH_START, MONTH_END, "day"),
-        "growth_week": lambda s, d: sales.growth(_sales(s, d), MONTH_START, MONTH_END, "week"),
-        "growth_month": lambda s, d: sales.growth(_sales(s, d), MONTH_START, MONTH_END, "month"),
+        "default_range": lambda s, d: sales.default_range(_sales(s, d, "date")),
+        "growth_day": lambda s, d: sales.growth(_sales(s, d, *_DAILY), MONTH_START, MONTH_END, "day"),
+        "growth_week": lambda s, d: sales.growth(_sales(s, d, *_DAILY), MONTH_START, MONTH_END, "week"),
+        "growth_month": lambda s, d: sales.growth(_sales(s, d, *_DAILY), MONTH_START, MONTH_END, "month"),
         "dimension_breakdown": lambda s, d: sales.dimension_breakdown(_sales(s, d), SPAN_START, SPAN_END),
         "dimension_share": lambda s, d: sales.dimension_share(_sales(s, d), SPAN_START, SPAN_END),
         "kpi_summary": _q_kpi_summary,

@@ -99,30 +99,35 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(known, F.col("c_mktsegment")).alias("channel"))
 
 
-def sales_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchase facts in the ``buy_fact`` shape.
-
-    All four inputs grow with the scale factor, so no side is hinted: AQE
-    picks broadcast for a side that turns out small at run time and keeps
-    the shuffle join otherwise.
+def sales_facts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Purchase facts in the ``buy_fact`` shape, or some of its columns.
+
+    Every line has its order, and orders and lines have their customer and
+    part, so a side that gives none of the columns asked for is not joined.
+    All inputs grow with the scale factor, so no side is hinted: AQE picks
+    broadcast for a side that turns out small at run time and keeps the shuffle
+    join otherwise.
     """
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice")
-    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    pt = table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    cu = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    joined = (li.join(od, li.l_orderkey == od.o_orderkey)
-              .join(pt, li.l_partkey == pt.p_partkey)
-              .join(cu, od.o_custkey == cu.c_custkey))
-    return joined.select(
-        F.to_date("o_orderdate").alias("date"),
-        F.col("o_custkey").cast("int").alias("user_id"),
-        F.col("l_orderkey").cast("string").alias("order_id"),
-        F.col("l_partkey").cast("int").alias("item_id"),
-        F.col("p_size").cast("int").alias("category_id"),
-        F.col("l_extendedprice").cast("decimal(10,2)").alias("price"),
-        F.col("o_orderpriority").alias("channel"),
-        F.col("c_mktsegment").alias("age_group"),
-    )
+    made = {
+        "date": ("orders", F.to_date("o_orderdate")),
+        "user_id": ("orders", F.col("o_custkey").cast("int")),
+        "order_id": ("lineitem", F.col("l_orderkey").cast("string")),
+        "item_id": ("lineitem", F.col("l_partkey").cast("int")),
+        "category_id": ("part", F.col("p_size").cast("int")),
+        "price": ("lineitem", F.col("l_extendedprice").cast("decimal(10,2)")),
+        "channel": ("orders", F.col("o_orderpriority")),
+        "age_group": ("customer", F.col("c_mktsegment")),
+    }
+    wanted = columns or tuple(made)
+    sides = {made[c][0] for c in wanted}
+    out = table(spark, sf_dir, "lineitem")
+    if sides & {"orders", "customer"}:
+        out = out.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    if "part" in sides:
+        out = out.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    if "customer" in sides:
+        out = out.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return out.select(*[made[c][1].alias(c) for c in wanted])
 
 
 # Parameters the registered queries use with the fixtures.
