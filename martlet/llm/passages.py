@@ -1,47 +1,53 @@
 """Near-duplicate passages across documents by compact windows.
 
-Method: a text is its sequence of five-word shingles. For each of ``HASHES``
-hash functions, the Cartesian tree of the shingles' hash values groups all
-subsequences of at least ``LEAST`` shingles by the place of their minimum: a
-node c with bounds l and r stands for every subsequence from within [l, c] to
-within [c, r], and these share the signature of c's shingle. Only nodes that
-span ``LEAST`` shingles are kept, about two per ``LEAST`` shingles.
+Method: a text is its sequence of five-word shingles. The Cartesian tree of the
+shingles' hash values groups all subsequences of at least ``BLOCK`` shingles by
+the place of their minimum: a node c with bounds l and r stands for every
+subsequence from within [l, c] to within [c, r]. Only nodes that span ``BLOCK``
+shingles are kept, about two per ``BLOCK`` shingles.
+
+An edit of one word makes nine foreign shingles or more (five and four), so two
+passages of ``LEAST`` shingles and a Jaccard similarity of 0.8 have 21 equal
+shingles in a row, 19 where the words around edits repeat. Such a block has its
+minimum at one place in both, and at least half of it lies up to or from there:
+the two passages share a key. That holds for every pair and one hash function;
+texts of so few words that similar ones have no such block in common are the
+exception.
 
 1. One Arrow pass lists the compact windows. Nodes come from sliding minima,
    bounds from binary lifting over range minima; whole batches of documents are
    handled at once and no window crosses a document.
-2. Windows with one key are joined as a star around the key's least window (by
-   document id, then place). A window has up to three keys: its signature, and
-   the signature with all of the ``HALF`` shingles up to c, and from c on, where
-   the window reaches so far. Of equal passages one half at least is as long,
-   wherever the minimum lies, so they meet under a half key whatever surrounds
-   them. Each batch ships its least window of a key (and that document's others)
-   alone, so a frequent key is one document per batch where keys meet; windows go in blocks per key range, column
-   by column in byte planes. Where a batch's window is not the least one, the
-   answer goes back to the batch's other windows by an equi-join. So the
-   representative of a key, and every link, follow from the table alone, not
-   from its partitions.
-3. Interval join: links between the same two documents that overlap on both
-   sides are put together; ``ENOUGH`` different hash functions, or one equal
-   half, make a candidate.
+2. A window has up to two keys: the shingles of half a block up to c, and from
+   c on, where the window reaches so far. Windows with one key are joined as a
+   star around the key's least window (by document id, then place). Each batch
+   ships its least window of a key (and that document's others) alone, so a
+   frequent key is one document per batch where keys meet; windows go in blocks
+   per key range, column by column in byte planes. Where a batch's window is
+   not the least one, the answer goes back to the batch's other windows by an
+   equi-join. So every link follows from the table alone, not from its
+   partitions.
+3. Interval join: links between the same two documents whose surroundings
+   (``MARGIN``) overlap on both sides are one candidate.
 4. Candidates are verified on the shingles of both regions: blocks of equal
    shingles are aligned, and the longest stretch from block to block with at
    least ``LEAST`` shingles on both sides and a Jaccard similarity of at least
    0.8 is cut out (the densest stretch where blocks cannot be aligned). The
    similarity of each result is exact.
+5. A representative may hold the key but not the passage. Windows that are not
+   similar to it make a second star; then all documents of a key are compared
+   pair by pair, but for those whose windows lie in passages that verified rows
+   already join (components of overlapping passages) or that are both similar
+   to the star's representative. Whole copies meet others through their first.
 
 The result has a row per passage and representative (``doc_id, start_word,
 end_word, match_id, match_start, match_end, similarity``; word numbers, end
-exclusive). Copies of one passage point at their representative and are not
-expanded into pairs.
+exclusive). Copies of one passage point at their representative and need not be
+expanded into pairs; passages that no representative joins have a row per pair.
+All numbers that links depend on are functions of one document, so results do
+not depend on how rows are dealt out.
 
-Two passages of similarity s are missed by chance with the probability that
-fewer than ``ENOUGH`` of ``HASHES`` minima agree: under one percent at 0.8.
-Equal passages share a half key in each function. They stay apart only if the
-representatives of all those keys hold that half but not the passage, and no
-two functions have the same representative that does. All numbers that links
-depend on are functions of one document, so results do not depend on how rows
-are dealt out.
+Step 5 grows with the square of the documents that hold one key without a
+passage in common; that is the price of leaving out no pair.
 
 Edge cases: NULL, empty and short texts have no windows; rows without a doc_id
 cannot be named in a result and are left out; rows with one id are one
@@ -56,17 +62,19 @@ import bisect
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_columns, materialise, ship, table
+from .simhash import components
 
 SHINGLE = 5
 LEAST = 46           # shingles: 50 words
 HASHES = 5
-ENOUGH = 2
-HALF = LEAST // 2 + 1  # shingles that equal passages share on one side of their minimum, with it
+BLOCK = 19           # shingles in a row that similar passages share
+MARGIN = LEAST + BLOCK + 2 * SHINGLE  # a passage reaches so far from a place in its blocks
+NEAR = 128           # windows of a key so near are compared as one
 SIMILARITY = 0.8
 CHUNK = 500_000      # shingles handled at once (a longer text is a chunk of its own)
 _SEEDS = [np.uint64(xxhash.xxh64_intdigest(b"window", i)) for i in range(HASHES)]
@@ -102,7 +110,7 @@ def _range_minima(order: np.ndarray, longest: int) -> list[np.ndarray]:
     return levels
 
 
-def compact_windows(sequences: list[np.ndarray], least: int = LEAST):
+def compact_windows(sequences: list[np.ndarray], least: int = LEAST, functions: int = HASHES):
     """Arrays (sequence, function, l, c, r, signature, halves) of all compact
     windows that span at least ``least`` shingles; halves has two columns, the
     keys up to c and from c on, 0 where the window ends before."""
@@ -125,7 +133,7 @@ def compact_windows(sequences: list[np.ndarray], least: int = LEAST):
     half = least // 2 + 1
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(values))))
     tops = []
-    for seed in _SEEDS:
+    for seed in _SEEDS[:functions]:
         order = (_mixed(values + seed) >> bits << bits) | place
         order[border] = 0
         tops.append(order)
@@ -166,8 +174,8 @@ def star(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return new_key, np.maximum.accumulate(np.where(new_key, np.arange(len(key)), 0))
 
 
-#: A window: document, bounds (l << 32 | r) and place (function << 40 | c);
-#: in blocks and links of half keys the function is HASHES higher.
+#: A window: document, bounds (l << 32 | r) and place (side << 40 | c); the side
+#: is 0 where the key goes up to c, 1 where it goes on from c.
 _WINDOW = [T.StructField("doc", T.LongType()), T.StructField("lr", T.LongType()), T.StructField("at", T.LongType())]
 #: A batch's windows of one key range, or (range below 0) links inside a batch.
 BLOCKS = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("batch", T.LongType()),
@@ -176,7 +184,7 @@ BLOCKS = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("b
 #: which have no ``b``.
 LINKS = T.StructType([T.StructField("ask", T.LongType())]
                      + [T.StructField(f"{s}_{f.name}", T.LongType()) for s in "ab" for f in _WINDOW])
-_KEYED = (np.uint64, np.int64, np.uint32, np.uint32, np.uint32, np.uint8, np.uint8)   # key, doc, l, c - l, r - c, function, asks
+_KEYED = (np.uint64, np.int64, np.uint32, np.uint32, np.uint32, np.uint8, np.uint8)   # key, doc, l, c - l, r - c, side, asks
 _INSIDE = (np.uint64,) + 2 * (np.int64, np.uint32, np.uint32, np.uint32, np.uint8)    # ask and two windows
 ROWS_OF_BLOCK = 1 << 15
 
@@ -198,15 +206,15 @@ def _unpack(data: bytes, n: int, types) -> list[np.ndarray]:
 
 
 def _spans(lr: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """l, c - l, r - c and function of windows."""
+    """l, c - l, r - c and side of windows."""
     l, r, c = lr >> 32, lr & 0xFFFFFFFF, at & _POSITION  # noqa: E741
     return [l, c - l, r - c, at >> 40]
 
 
-def _window(doc, l, left, right, fn) -> list[np.ndarray]:  # noqa: E741
+def _window(doc, l, left, right, side) -> list[np.ndarray]:  # noqa: E741
     """doc, lr and at from the columns of a block."""
     l, c, r = l.astype(np.int64), l.astype(np.int64) + left, l.astype(np.int64) + left + right  # noqa: E741
-    return [doc, l << 32 | r, fn.astype(np.int64) << 40 | c]
+    return [doc, l << 32 | r, side.astype(np.int64) << 40 | c]
 
 
 def _list_windows(ranges: int):
@@ -217,11 +225,12 @@ def _list_windows(ranges: int):
             parts, chunk, held, begin = [], [], 0, 0
 
             def flush(end):
-                seq, fn, l, c, r, sig, halves = compact_windows(chunk)  # noqa: E741
-                parts.append((sig, halves, ids[begin + seq], l << 32 | r, fn << 40 | c))
+                seq, _, _, c, _, sig, halves = compact_windows(chunk, BLOCK, 1)
+                parts.append((sig, halves, ids[begin + seq], c << 32 | c, c))
 
             for k, text in enumerate(batch.column("text")):
                 s = shingles(text.as_py())
+                s = s if len(s) >= LEAST else s[:0]
                 if chunk and len(s) >= CHUNK:              # a chunk of its own
                     flush(k)
                     chunk, held, begin = [], 0, k
@@ -241,10 +250,10 @@ def _list_windows(ranges: int):
             sig, halves, doc, lr, at = (x[order] for x in (sig, halves, doc, lr, at))
             # a batch's number follows from what is in it
             batch_id = _mixed(np.array([np.bitwise_xor.reduce(_mixed(sig + doc.view(np.uint64) + at.view(np.uint64)))]))
-            for kind, key in enumerate((halves[:, 0], halves[:, 1], sig)):
-                rows = np.flatnonzero(key) if kind < 2 else np.arange(len(key))
+            for side in range(2):
+                key, raised = halves[:, side], side << 40
+                rows = np.flatnonzero(key)
                 rows = rows[np.argsort(key[rows], kind="stable")]      # by key, document and place
-                raised = HASHES << 40 if kind < 2 else 0
                 firsts, to = star(key[rows]) if len(rows) else (np.zeros(0, bool), rows)
                 # the least window goes where keys meet, and its own document's
                 # other windows with it; other documents' are linked here
@@ -295,12 +304,12 @@ def _join_windows(batches):
     window is not the key's least, and the links inside batches as they are."""
     def whole(blocks):
         parts = [_unpack(data, n, _KEYED) for _, n, data in blocks]
-        key, doc, l, left, right, fn, asks = (np.concatenate(x) for x in zip(*parts))  # noqa: E741
+        key, doc, l, left, right, side, asks = (np.concatenate(x) for x in zip(*parts))  # noqa: E741
         batch = np.repeat(np.array([b for b, _, _ in blocks], np.int64).view(np.uint64), [n for _, n, _ in blocks])
         _, count = np.unique(key, return_counts=True)
         if (count == 1).all():
             return
-        doc, lr, at = _window(doc, l, left, right, fn)
+        doc, lr, at = _window(doc, l, left, right, side)
         order = np.lexsort((at, lr, doc, key))
         key, doc, lr, at, asks, batch = (x[order] for x in (key, doc, lr, at, asks, batch))
         _, to = star(key)
@@ -348,24 +357,21 @@ def window_links(docs: DataFrame) -> DataFrame:
     return found.where("ask IS NULL").select(*ends).unionByName(inside).where("a_doc != b_doc")
 
 
-def regions(rows: list[tuple], enough: int = ENOUGH, least: int = LEAST) -> list[dict]:
+def regions(rows: list[tuple], least: int = LEAST) -> list[dict]:
     """Interval join of the links of one document pair, sorted rows of (c, c of
-    b, l, r, l and r of b, function): hulls of links that overlap on both sides,
-    where ``enough`` hash functions or a half key take part."""
+    b, l, r, l and r of b): hulls of links that overlap on both sides."""
     open_, done = [], []
-    for ca, cb, la, ra, lb, rb, fn in rows:
+    for ca, cb, la, ra, lb, rb in rows:
         for h in open_:
             if la <= h["a_to"] and lb <= h["b_to"] and rb >= h["b_from"] and abs((ca - cb) - h["shift"]) <= least:
                 h.update(a_from=min(h["a_from"], la), a_to=max(h["a_to"], ra), b_from=min(h["b_from"], lb),
                          b_to=max(h["b_to"], rb), shift=ca - cb)
-                h["functions"].add(fn)
                 break
         else:
             still = [h for h in open_ if h["a_to"] >= la]
             done += [h for h in open_ if h["a_to"] < la]
-            open_ = still + [{"a_from": la, "a_to": ra, "b_from": lb, "b_to": rb, "shift": ca - cb, "functions": {fn}}]
-    return [{k: h[k] for k in ("a_from", "a_to", "b_from", "b_to")} for h in done + open_
-            if max(h["functions"]) >= HASHES or len(h["functions"]) >= enough]
+            open_ = still + [{"a_from": la, "a_to": ra, "b_from": lb, "b_to": rb, "shift": ca - cb}]
+    return [{k: h[k] for k in ("a_from", "a_to", "b_from", "b_to")} for h in done + open_]
 
 
 def _densest(member: np.ndarray, cost: int) -> tuple[int, int]:
@@ -478,6 +484,8 @@ def verify(a: np.ndarray, b: np.ndarray, least: int = LEAST, similarity: float =
     """(a from, a to, b from, b to, Jaccard) of matching stretches of two
     shingle arrays; ends exclusive. First the longest aligned stretch that is
     similar as a whole; where there is none, the densest ones."""
+    if np.count_nonzero(np.isin(a, b)) < int(least * similarity):     # no stretch can be similar
+        return []
     out, todo = [], [(0, len(a))]
     while todo:
         lo, hi = todo.pop()
@@ -521,15 +529,14 @@ def _start_regions():
         flat = links.flatten()
         a_lr, a_at, b_lr, b_at = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
         pair = np.repeat(np.arange(len(sizes)), sizes)
-        fn = a_at >> 40
-        columns = [a_at & _POSITION, b_at & _POSITION, a_lr >> 32, a_lr & 0xFFFFFFFF, b_lr >> 32, b_lr & 0xFFFFFFFF]
-        # of links between the same windows by one function, that of a half key says all
-        order = np.lexsort((-fn, fn % HASHES, *columns[::-1], pair))
-        pair, fn, columns = pair[order], fn[order], [c[order] for c in columns]
+        wider = lambda lr: [np.maximum((lr >> 32) - MARGIN, 0), (lr & 0xFFFFFFFF) + MARGIN]
+        columns = [a_at & _POSITION, b_at & _POSITION, *wider(a_lr), *wider(b_lr)]
+        order = np.lexsort((*columns[::-1], pair))
+        pair, columns = pair[order], [c[order] for c in columns]
         new = np.ones(len(pair), bool)
-        if len(pair):
-            new[1:] = np.any([x[1:] != x[:-1] for x in (pair, fn % HASHES, *columns)], axis=0)
-        rows = list(zip(*(c[new].tolist() for c in (*columns, fn))))
+        if len(pair):                                 # a window may be linked on both sides
+            new[1:] = np.any([x[1:] != x[:-1] for x in (pair, *columns)], axis=0)
+        rows = list(zip(*(c[new].tolist() for c in columns)))
         ends = np.cumsum(np.bincount(pair[new], minlength=len(sizes))).tolist()
         return [[regions(rows[x:y]) for x, y in zip([0, *ends], ends)]]
     return run
@@ -551,22 +558,17 @@ def _start_verify():
     return run
 
 
-def near_duplicate_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per passage and representative, as the module describes."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL")
-    pairs = (window_links(rows).groupBy("a_doc", "b_doc")
-             .agg(F.collect_list(F.struct("a_lr", "a_at", "b_lr", "b_at")).alias("links")))
-    # (function << 40 | place): two functions or a half key at least, before the interval join
-    functions = F.transform("links", lambda x: F.shiftright(x["a_at"], 40))
-    several = (F.array_max(functions) >= HASHES) | (F.size(F.array_distinct(functions)) >= ENOUGH)
-    candidates = materialise(
-        map_columns(pairs.where(several), ["links"], ["a_doc", "b_doc"], REGIONS, _start_regions)
-        .select("a_doc", "b_doc", F.explode("regions").alias("h")).select("a_doc", "b_doc", "h.*"), "passages")
-    involved = candidates.select(F.explode(F.array("a_doc", "b_doc")).alias("i_doc")).distinct()
-    content = materialise(map_columns(
-        rows.join(involved, F.col("doc") == F.col("i_doc"), "left_semi").dropDuplicates(["doc"]),
-        ["text"], ["doc"], T.StructType([T.StructField("s", T.ArrayType(T.IntegerType()))]), _start_shingles),
-        "passage-shingles")
+def _by_pair(links: DataFrame) -> DataFrame:
+    return links.groupBy("a_doc", "b_doc").agg(F.collect_list(F.struct("a_lr", "a_at", "b_lr", "b_at")).alias("links"))
+
+
+def _candidates(pairs: DataFrame) -> DataFrame:
+    return (map_columns(pairs, ["links"], ["a_doc", "b_doc"], REGIONS, _start_regions)
+            .select("a_doc", "b_doc", F.explode("regions").alias("h")).select("a_doc", "b_doc", "h.*"))
+
+
+def _matches(candidates: DataFrame, content: DataFrame) -> DataFrame:
+    """Verified passages of candidates."""
     cut = lambda side: F.slice("s", (F.col(f"{side}_from") + 1).cast("int"),
                                (F.col(f"{side}_to") - F.col(f"{side}_from") + 1).cast("int"))
     with_a = (candidates.join(content.withColumnRenamed("doc", "c_doc"), F.col("a_doc") == F.col("c_doc"))
@@ -574,9 +576,98 @@ def near_duplicate_passages(docs: DataFrame, doc_id: str = "doc_id", text: str =
     with_b = (with_a.join(content.withColumnRenamed("doc", "c_doc"), F.col("b_doc") == F.col("c_doc"))
               .select("a_doc", "b_doc", "a_from", "b_from", "left", cut("b").alias("right")))
     checked = map_columns(with_b, ["left", "right", "a_from", "b_from"], ["a_doc", "b_doc"], FOUND, _start_verify)
-    return (checked.select(F.col("b_doc").alias("doc_id"), F.col("a_doc").alias("match_id"), F.explode("found").alias("f"))
-            .select("doc_id", "f.start_word", "f.end_word", "match_id", "f.match_start", "f.match_end", "f.similarity")
-            .distinct())
+    return checked.select("a_doc", "b_doc", F.explode("found").alias("f")).select("a_doc", "b_doc", "f.*")
+
+
+def _stars(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The windows of each star (g_doc, g_at: its representative's), settled
+    where a passage similar to the representative's covers both places."""
+    matches = found.groupBy("a_doc", "b_doc").agg(
+        F.collect_list(F.struct("match_start", "match_end", "start_word", "end_word")).alias("found"))
+    return (pairs.join(matches, ["a_doc", "b_doc"], "left").select("a_doc", "b_doc", "found", F.explode("links").alias("x"))
+            .select(F.col("a_doc").alias("g_doc"), F.col("x.a_at").alias("g_at"), F.col("b_doc").alias("doc"),
+                    F.col("x.b_lr").alias("lr"), F.col("x.b_at").alias("at"), F.expr(f"""
+        coalesce(exists(found, f -> x.a_at & {_POSITION} BETWEEN f.match_start AND f.match_end - {SHINGLE}
+                                AND x.b_at & {_POSITION} BETWEEN f.start_word AND f.end_word - {SHINGLE}), false)""").alias("settled")))
+
+
+def _ends(x: str, y: str) -> list:
+    return [F.col(f"{s}.{k}").alias(f"{end}_{k}") for end, s in (("a", x), ("b", y)) for k in ("doc", "lr", "at")]
+
+
+def _classes(found: DataFrame) -> DataFrame:
+    """Passages of each document that verified rows name, those that overlap by
+    half a passage as one, with the root of all that are linked to them."""
+    side = lambda doc, start, end: found.select(F.col(doc).alias("doc"), F.col(start).alias("start"), F.col(end).alias("end"))
+    spans = side("a_doc", "match_start", "match_end").unionByName(side("b_doc", "start_word", "end_word")).distinct()
+    order = Window.partitionBy("doc").orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = (spans.withColumn("new", F.coalesce((F.col("start") + LEAST // 2 > before).cast("int"), F.lit(1)))
+             .withColumn("node", F.xxhash64("doc", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))))
+    spans = materialise(spans.drop("new"), "passage-spans")
+    ends = [spans.select(F.col("doc").alias(doc), F.col("start").alias(start), F.col("end").alias(end), F.col("node").alias(name))
+            for name, doc, start, end in (("a", "a_doc", "match_start", "match_end"), ("b", "b_doc", "start_word", "end_word"))]
+    edges = found.join(ends[0], ends[0].columns[:3]).join(ends[1], ends[1].columns[:3]).select("a", "b")
+    return (spans.groupBy("doc", "node").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+            .join(components(edges), "node").select("doc", "start", "end", "root"))
+
+
+def _placed(windows: DataFrame, classes: DataFrame) -> DataFrame:
+    """One row per key, document, part of it and class of the passages around
+    its windows; those without a passage are a class of their own."""
+    passages = classes.groupBy("doc").agg(F.collect_list(F.struct("start", "end", "root")).alias("held"))
+    hull = F.shiftleft(F.min(F.shiftright("lr", 32)), 32).bitwiseOR(F.max(F.col("lr").bitwiseAND(F.lit(0xFFFFFFFF))))
+    return (windows.join(passages, ["doc"], "left").withColumn("class", F.expr(f"""
+        coalesce(array_min(transform(filter(held, h -> at & {_POSITION} BETWEEN h.start AND h.end - {SHINGLE}), h -> h.root)),
+                 xxhash64(doc, g_doc, g_at))"""))
+            .groupBy("g_doc", "g_at", "doc", "class", F.floor(F.shiftright("lr", 32) / NEAR)).agg(hull.alias("lr"), F.min("at").alias("at"), F.min("settled").alias("settled"))
+            .select("g_doc", "g_at", "doc", "class", "lr", "at", "settled"))
+
+
+def _unsettled(windows: DataFrame, found: DataFrame, verified) -> DataFrame:
+    """Passages of windows that have a key in common but no representative to
+    which both are similar. Those that are not similar to their star's
+    representative make a second star; then all windows of a key meet, but for
+    those that verified passages already join there."""
+    group = ["g_doc", "g_at"]
+    meet = ((F.col("a.g_doc") == F.col("b.g_doc")) & (F.col("a.g_at") == F.col("b.g_at")) & (F.col("a.doc") != F.col("b.doc"))
+            & (F.col("a.class") != F.col("b.class")))
+    several = (windows.groupBy(*group).agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("settled").alias("all"))
+               .where("low < high AND NOT all").select(*group))
+    windows = materialise(windows.join(several, group, "left_semi"), "passage-members")
+    rest = materialise(_placed(windows.where("NOT settled"), _classes(found)), "passage-rest")
+    least = rest.groupBy(*group).agg(F.min(F.struct("doc", "lr", "at", "class")).alias("r")).select(*group, "r.*")
+    second = verified(_by_pair(least.alias("a").join(rest.alias("b"), meet).select(*_ends("a", "b"))))
+    placed = materialise(_placed(windows, _classes(found.unionByName(second))), "passage-placed")
+    third = verified(_by_pair(placed.alias("a").join(placed.alias("b"), meet & F.expr("a.doc < b.doc AND NOT (a.settled AND b.settled)"))
+                              .select(*_ends("a", "b"))))
+    return second.unionByName(third)
+
+
+def near_duplicate_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per passage and representative, as the module describes."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL")
+    pairs = materialise(_by_pair(window_links(rows)), "passage-pairs")
+    involved = pairs.select(F.explode(F.array("a_doc", "b_doc")).alias("i_doc")).distinct()
+    content = materialise(map_columns(
+        rows.join(involved, F.col("doc") == F.col("i_doc"), "left_semi").dropDuplicates(["doc"]),
+        ["text"], ["doc"], T.StructType([T.StructField("s", T.ArrayType(T.IntegerType()))]), _start_shingles),
+        "passage-shingles")
+    # whole copies are linked to their first, and only that meets others
+    equal = content.select("doc", F.size("s").alias("n"), F.xxhash64("s").alias("h"), F.hash("s").alias("h2"))
+    copies = (equal.join(equal.groupBy("n", "h", "h2").agg(F.min("doc").alias("first")), ["n", "h", "h2"])
+              .where(f"doc != first AND n >= {LEAST}").select("doc", "first", F.col("n") + SHINGLE - 1))
+    copies = materialise(copies.toDF("doc", "first", "words"), "passage-copies")
+    verified = lambda pairs: materialise(_matches(_candidates(pairs), content), "passages")
+    found = verified(pairs)
+    windows = materialise(_stars(pairs, found).join(copies.select("doc"), ["doc"], "left_anti"), "passage-stars")
+    found = found.unionByName(_unsettled(windows, found, verified))
+    whole = copies.select(F.col("first").alias("a_doc"), F.col("doc").alias("b_doc"), F.lit(0).alias("match_start"),
+                          F.col("words").alias("match_end"), F.lit(0).alias("start_word"), F.col("words").alias("end_word"),
+                          F.lit(1.0).alias("similarity"))
+    found = found.unionByName(whole.select(*[F.col(f.name).cast(f.dataType) for f in found.schema.fields]))
+    return (found.select(F.col("b_doc").alias("doc_id"), "start_word", "end_word", F.col("a_doc").alias("match_id"),
+                         "match_start", "match_end", "similarity").distinct())
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,6 +236,21 @@ def test_hot_passages_meet_over_many_batches(spark):
     assert {i for r in got for i in (r.doc_id, r.match_id)} == set.union(*holders)
 
 
+@pytest.mark.parametrize("edited", [False, True])
+def test_passages_meet_where_representatives_hold_a_part(spark, edited):
+    """The first documents hold 30 words from each place of a passage of 60,
+    too few to be similar; two later ones hold it whole."""
+    rng = random.Random(14)
+    words = lambda n: [f"w{rng.getrandbits(40):x}" for _ in range(n)]
+    passage = words(60)
+    other = passage[:40] + ["changed"] + passage[41:] if edited else passage
+    rows = [words(40) + passage[k:k + 30] + words(40) for k in range(31)] + [words(50) + p + words(50) for p in (passage, other)]
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    got = passages.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.match_id) for r in got] == [(32, 31)]
+    assert got[0].similarity >= 0.8 and got[0].end_word - got[0].start_word >= 50
+
+
 @pytest.mark.parametrize("edit", ["change", "insert", "delete"])
 def test_one_edit_at_any_place_is_verified(edit):
     rng = random.Random(12)
