@@ -251,6 +251,43 @@ def test_passages_meet_where_representatives_hold_a_part(spark, edited):
     assert got[0].similarity >= 0.8 and got[0].end_word - got[0].start_word >= 50
 
 
+def test_common_phrases_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """150 documents hold 30 words in other text, too few for a passage, and
+    three of them a passage that goes on. What is verified grows with the
+    documents, not with their pairs."""
+    rng = random.Random(15)
+    words = lambda n: [f"w{rng.getrandbits(40):x}" for _ in range(n)]
+    passage = words(70)
+    rows = [words(60) + passage[:70 if i in (40, 90, 149) else 30] + words(60) for i in range(150)]
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    by_pair, sizes = passages._by_pair, []
+
+    def counted(links):
+        sizes.append(links.select("a_doc", "b_doc").distinct().count())
+        return by_pair(links)
+    monkeypatch.setattr(passages, "_by_pair", counted)
+    got = passages.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    find = joined(got)
+    assert {r.doc_id for r in got} | {r.match_id for r in got} == {40, 90, 149} and find(40) == find(90) == find(149)
+    assert sum(sizes) < 3 * len(rows), sizes
+
+
+def test_no_similar_stretch_is_ruled_out():
+    """Bounds against all stretches, for texts of many and of few words."""
+    rng, similar = np.random.default_rng(5), 0
+    for trial in range(300):
+        a = rng.integers(0, (4, 12, 1000)[trial % 3], 22)
+        b = np.concatenate((rng.integers(0, 1000, 3), a[2:20]))
+        b[rng.integers(0, len(b), 2)] = -1
+        spans = lambda x: [(i, k) for i in range(len(x) - 11) for k in range(i + 12, len(x) + 1)]
+        ends = [(x, y, p, q) for x, y in spans(a) for p, q in spans(b) if x <= 11 < y and p <= 12 < q]
+        if any(len(set(a[x:y]) & set(b[p:q])) >= 0.8 * len(set(a[x:y]) | set(b[p:q])) for x, y, p, q in ends):
+            similar += 1
+            bounds = [passages._density(passages._before(x), np.isin(x, z), at, at, 12) for x, z, at in ((a, b, 11), (b, a, 12))]
+            assert sum(bounds) >= 0
+    assert 50 < similar < 300
+
+
 @pytest.mark.parametrize("edit", ["change", "insert", "delete"])
 def test_one_edit_at_any_place_is_verified(edit):
     rng = random.Random(12)
