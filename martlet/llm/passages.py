@@ -648,10 +648,11 @@ def _placed(windows: DataFrame, classes: DataFrame) -> DataFrame:
     its windows; those without a passage are a class of their own."""
     passages = classes.groupBy("doc").agg(F.collect_list(F.struct("start", "end", "root")).alias("held"))
     hull = F.shiftleft(F.min(F.shiftright("lr", 32)), 32).bitwiseOR(F.max(F.col("lr").bitwiseAND(F.lit(0xFFFFFFFF))))
-    return (windows.join(passages, ["doc"], "left").withColumn("class", F.expr(f"""
+    return (windows.withColumn("part", F.floor(F.shiftright("lr", 32) / NEAR))
+            .join(passages, ["doc"], "left").withColumn("class", F.expr(f"""
         coalesce(array_min(transform(filter(held, h -> at & {_POSITION} BETWEEN h.start AND h.end - {SHINGLE}), h -> h.root)),
-                 xxhash64(doc, g_doc, g_at))"""))
-            .groupBy("g_doc", "g_at", "doc", "class", F.floor(F.shiftright("lr", 32) / NEAR)).agg(hull.alias("lr"), F.min("at").alias("at"), F.min("settled").alias("settled"))
+                 xxhash64(doc, g_doc, g_at, part))"""))
+            .groupBy("g_doc", "g_at", "doc", "class", "part").agg(hull.alias("lr"), F.min("at").alias("at"), F.min("settled").alias("settled"))
             .select("g_doc", "g_at", "doc", "class", "lr", "at", "settled"))
 
 
@@ -680,7 +681,8 @@ def _cell_pairs(doc, of, settled, block, place, last, contexts: list[np.ndarray]
     """Pairs of a cell's windows (rows, the lower doc first) with similar
     passages around both; ``place`` and ``last`` are where a row's windows lie
     in its surroundings. Those whose surroundings share most come first; pairs
-    whose classes ``of`` are one, or were joined by such a passage, are left out."""
+    whose classes ``of`` are one, or were joined by a passage with all windows
+    of both rows, are left out."""
     # copies of a class and its surroundings stand for each other: the first,
     # or the first of another document where that is the other window's
     names, first, second = {}, [], {}
@@ -723,10 +725,11 @@ def _cell_pairs(doc, of, settled, block, place, last, contexts: list[np.ndarray]
         if doc[i] == doc[j]:
             i, j = (i, other[y]) if other[y] is not None else (other[x], j)
         i, j = (i, j) if doc[i] < doc[j] else (j, i)
-        around = [p <= last[i] and q > place[i] and r <= last[j] and t > place[j] for p, q, r, t, _ in verify(contexts[i], contexts[j])]
-        if any(around):
+        matches = verify(contexts[i], contexts[j])
+        if any(p <= last[i] and q > place[i] and r <= last[j] and t > place[j] for p, q, r, t, _ in matches):
             found.append((i, j))
-            root[root == root[y]] = root[x]
+            if any(p <= place[i] and q > last[i] and r <= place[j] and t > last[j] for p, q, r, t, _ in matches):
+                root[root == root[y]] = root[x]
     return found
 
 
