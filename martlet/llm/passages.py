@@ -33,20 +33,22 @@ exception.
    least ``LEAST`` shingles on both sides and a Jaccard similarity of at least
    0.8 is cut out (the densest stretch where blocks cannot be aligned). The
    similarity of each result is exact.
-5. A representative may hold the key but not the passage. Windows that are not
-   similar to it make a second star; then all documents of a key are compared
-   pair by pair, but for those whose windows lie in passages that verified rows
-   already join (components of overlapping passages) or that are both similar
-   to the star's representative. Whole copies meet others through their first.
+5. A representative may hold the key but not the passage. Windows of a key are
+   then compared in cells of bounded size by the shingles around them, but for
+   those whose windows lie in passages that verified rows already join
+   (components of overlapping passages, or passages found in the cell) or that
+   are both similar to the star's representative. A bound on shared shingles
+   rules out pairs before passages are looked for. Whole copies meet others
+   through their first.
 
 The result has a row per passage and representative (``doc_id, start_word,
 end_word, match_id, match_start, match_end, similarity``; word numbers, end
 exclusive). Copies of one passage point at their representative and need not be
-expanded into pairs; passages that no representative joins have a row per pair.
+expanded into pairs; passages that no representative joins have rows that join them.
 All numbers that links depend on are functions of one document, so results do
 not depend on how rows are dealt out.
 
-Step 5 grows with the square of the documents that hold one key without a
+The counting of step 5 grows with the square of the documents that hold one key without a
 passage in common; that is the price of leaving out no pair.
 
 Edge cases: NULL, empty and short texts have no windows; rows without a doc_id
