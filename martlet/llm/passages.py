@@ -31,15 +31,19 @@ exception.
 4. Candidates are verified on the shingles of both regions: blocks of equal
    shingles are aligned, and the longest stretch from block to block with at
    least ``LEAST`` shingles on both sides and a Jaccard similarity of at least
-   0.8 is cut out (the densest stretch where blocks cannot be aligned). The
-   similarity of each result is exact.
+   0.8 is cut out (the densest stretch where blocks cannot be aligned), with
+   what follows of shingles that both sides hold already. The similarity of
+   each result is exact.
 5. A representative may hold the key but not the passage. Windows of a key are
    then compared in cells of bounded size by the shingles around them, but for
    those whose windows lie in passages that verified rows already join
    (components of overlapping passages, or passages found in the cell) or that
-   are both similar to the star's representative. A bound on shared shingles
-   rules out pairs before passages are looked for. Whole copies meet others
-   through their first.
+   are both similar to the star's representative. Windows whose surroundings
+   are similar to none of the others, all taken together, leave first; equal
+   passages with repeated shingles (a word said 50 times) are joined as stars;
+   a bound on shared shingles, counted for many pairs at once, rules out most
+   others before passages are looked for. Whole copies meet others through
+   their first.
 
 The result has a row per passage and representative (``doc_id, start_word,
 end_word, match_id, match_start, match_end, similarity``; word numbers, end
@@ -48,8 +52,9 @@ expanded into pairs; passages that no representative joins have rows that join t
 All numbers that links depend on are functions of one document, so results do
 not depend on how rows are dealt out.
 
-The counting of step 5 grows with the square of the documents that hold one key without a
-passage in common; that is the price of leaving out no pair.
+The counting of step 5 grows with the square of the windows of one key that
+could be similar to some other but have no passage in common with it; that is
+the price of leaving out no pair.
 
 Edge cases: NULL, empty and short texts have no windows; rows without a doc_id
 cannot be named in a result and are left out; rows with one id are one
@@ -77,7 +82,7 @@ HASHES = 5
 BLOCK = 19           # shingles in a row that similar passages share
 MARGIN = LEAST + BLOCK + 2 * SHINGLE  # a passage reaches so far from a place in its blocks
 NEAR = 128           # windows of a key so near are compared as one
-CELL = 256           # windows of a key whose surroundings are counted against as many
+CELL = 1024          # windows of a key whose surroundings are counted against as many
 SIMILARITY = 0.8
 CHUNK = 500_000      # shingles handled at once (a longer text is a chunk of its own)
 _SEEDS = [np.uint64(xxhash.xxh64_intdigest(b"window", i)) for i in range(HASHES)]
@@ -385,16 +390,43 @@ def _densest(member: np.ndarray, cost: int) -> tuple[int, int]:
     return int(np.flatnonzero(sums[:end + 1] == low[end])[0]) if end else 0, end
 
 
-def _occurrence(x: np.ndarray) -> np.ndarray:
-    """How often each element came before."""
-    order = np.argsort(x, kind="stable")
-    j = np.arange(len(x))
-    same = np.concatenate(([False], x[order][1:] == x[order][:-1]))
-    out = np.empty(len(x), np.int64)
-    out[order] = j - np.maximum.accumulate(np.where(same, 0, j))
+def _numbered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Both arrays with their values numbered from 0 on, and the count of numbers."""
+    both = np.concatenate((a, b))
+    order = np.argsort(both, kind="stable")
+    value = both[order]
+    number = np.cumsum(value[1:] != value[:-1])
+    out = np.zeros(len(both), np.int64)
+    out[order[1:]] = number
+    return out[:len(a)], out[len(a):], int(number[-1]) + 1 if len(number) else len(both)
+
+
+def _held(x: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n, bool)
+    out[x] = True
     return out
 
 
+def _paired(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each place of a the place of the same occurrence of its number in b,
+    -1 where there is none."""
+    in_a, in_b = np.bincount(a, minlength=n), np.bincount(b, minlength=n)
+    if in_a.max() < 2 and in_b.max() < 2:
+        to = np.full(n, -1)
+        to[b] = np.arange(len(b))
+        return to[a]
+    order = np.argsort(np.concatenate((a, b)), kind="stable")    # those of a before those of b
+    first = np.cumsum(in_a + in_b) - in_a - in_b
+    at = np.flatnonzero(order < len(a))
+    place = order[at]
+    number = a[place]
+    nth = at - first[number]
+    some = nth < in_b[number]
+    to = np.full(len(a), -1)
+    to[place[some]] = order[(first[number] + in_a[number] + nth)[some]] - len(a)
+    return to
+
+
 def _chain(start: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Rows of the heaviest chain of blocks whose starts increase."""
     if (start[1:] > start[:-1]).all():
@@ -417,23 +449,20 @@ def _chain(start: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.array(out[::-1])
 
 
-def _aligned(a: np.ndarray, b: np.ndarray, least: int, similarity: float):
+def _aligned(a: np.ndarray, b: np.ndarray, n: int, least: int, similarity: float):
     """(a from, a to, b from, b to) of the longest stretch whose aligned blocks
-    of equal shingles reach the similarity, or None.
+    of equal shingles reach the similarity, or None; shingles are numbers
+    under n.
 
     Shingles are paired by value and occurrence. A stretch from block i to
     block j with s shared shingles and f others on both sides together has the
     similarity s / (s + f). A stretch of under ``least`` shingles is filled up
     with its neighbours."""
-    shared = np.flatnonzero(np.isin(a, b))
+    to = _paired(a, b, n)
+    shared = np.flatnonzero(to >= 0)
     if not len(shared):
         return None
-    nth_a, nth_b = _occurrence(a), _occurrence(b)
-    order = np.lexsort((nth_b, b))
-    first = np.searchsorted(b[order], a[shared])
-    held = np.searchsorted(b[order], a[shared], side="right") - first
-    paired = nth_a[shared] < held
-    shared, to = shared[paired], order[(first + nth_a[shared])[paired]]
+    to = to[shared]
     new = np.concatenate(([True], (np.diff(shared) != 1) | (np.diff(to) != 1)))
     at = np.flatnonzero(new)
     size = np.diff(np.append(at, len(shared)))
@@ -486,7 +515,7 @@ def _before(x: np.ndarray) -> np.ndarray:
 
 
 def _density(before: np.ndarray, member: np.ndarray, first: int, last: int, least: int = LEAST,
-             similarity: float = SIMILARITY) -> float:
+             similarity: float = SIMILARITY, cost: float | None = None) -> float:
     """The most that a stretch of ``least`` places or more which reaches into
     [first, last] has in different members, each other shingle counting against
     eight (at 0.8). Two stretches share no more than the mean of their members,
@@ -495,7 +524,7 @@ def _density(before: np.ndarray, member: np.ndarray, first: int, last: int, leas
     n = len(member)
     if n < least:
         return -np.inf
-    weight = np.where(member, 1, -2 * similarity / (1 - similarity))
+    weight = np.where(member, 1, -(2 * similarity / (1 - similarity) if cost is None else cost))
     if (before < 0).all():
         low, sums = np.zeros(n + 1), np.zeros(n + 1)
         np.cumsum(weight, out=sums[1:])
@@ -509,45 +538,72 @@ def _density(before: np.ndarray, member: np.ndarray, first: int, last: int, leas
     return float(sums[place >= np.maximum(start + least - 1, first)].max(initial=-np.inf)) + 1e-6
 
 
-def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    left, right = np.unique(a), np.unique(b)
-    both = len(np.intersect1d(left, right, assume_unique=True))
-    return both / (len(left) + len(right) - both)
+def _jaccard(a: np.ndarray, b: np.ndarray, n: int) -> float:
+    left, right = _held(a, n), _held(b, n)
+    return int(np.count_nonzero(left & right)) / int(np.count_nonzero(left | right))
+
+
+def _extended(a: np.ndarray, b: np.ndarray, lo: int, hi: int, found: tuple) -> tuple:
+    """A match with the shingles before and after it that both of its sides
+    hold already, as where a word goes on: its similarity is the same."""
+    x, y, p, q, j = found
+    both = set(a[x:y].tolist()).intersection(b[p:q].tolist())
+
+    def ends(values, begin, end, first, last):
+        while begin > first and int(values[begin - 1]) in both:
+            begin -= 1
+        while end < last and int(values[end]) in both:
+            end += 1
+        return begin, end
+    return (*ends(a, x, y, lo, hi), *ends(b, p, q, 0, len(b)), j)
 
 
 def verify(a: np.ndarray, b: np.ndarray, least: int = LEAST, similarity: float = SIMILARITY):
     """(a from, a to, b from, b to, Jaccard) of matching stretches of two
     shingle arrays; ends exclusive. First the longest aligned stretch that is
     similar as a whole; where there is none, the densest ones."""
-    member = np.isin(a, b)
+    a, b, n = _numbered(a, b)
+    held_a, held_b = _held(a, n), _held(b, n)
+    member = held_b[a]
     if np.count_nonzero(member) < int(least * similarity):     # no stretch can be similar
         return []
-    other = _density(_before(b), np.isin(b, a), 0, len(b), least, similarity)
+    places = lambda x, held: _before(x) if np.count_nonzero(held) < len(x) else np.full(len(x), -1)
+    other = None
+
+    def ruled_out(lo, hi):
+        nonlocal other
+        if other is None:
+            other = _density(places(b, held_b), held_a[b], 0, len(b), least, similarity)
+        before = places(a[lo:hi], held_a if hi - lo == len(a) else _held(a[lo:hi], n))
+        return _density(before, member[lo:hi], 0, hi - lo, least, similarity) + other < 0
+
     out, todo = [], [(0, len(a))]
     while todo:
         lo, hi = todo.pop()
-        if hi - lo < least or _density(_before(a[lo:hi]), member[lo:hi], 0, hi - lo, least, similarity) + other < 0:
+        part = a[lo:hi]
+        if hi - lo < least or out and ruled_out(lo, hi):          # the whole is mostly similar
             continue
         best = None
-        whole = _aligned(a[lo:hi], b, least, similarity)
+        whole = _aligned(part, b, n, least, similarity)
         if whole:
             x, y, p, q = lo + whole[0], lo + whole[1], *whole[2:]
-            j = _jaccard(a[x:y], b[p:q])
+            j = _jaccard(a[x:y], b[p:q], n)
             if j >= similarity:
                 best = (x, y, p, q, j)
-        for cost in () if best else (4, 9):
-            x, y = _densest(np.isin(a[lo:hi], b), cost)
+        for cost in () if best or not out and ruled_out(lo, hi) else (4, 9):
+            x, y = _densest(member[lo:hi], cost)
             if y - x < least:
                 continue
             x, y = lo + x, lo + y
-            p, q = _densest(np.isin(b, a[x:y]), cost)
+            p, q = _densest(_held(a[x:y], n)[b], cost)
             if q - p < least:
                 continue
-            j = _jaccard(a[x:y], b[p:q])
+            j = _jaccard(a[x:y], b[p:q], n)
             if j >= similarity:
                 best = (x, y, p, q, j)
                 break
         if best:
+            best = _extended(a, b, lo, hi, best)
             out.append(best)
             todo += [(lo, best[0]), (best[1], hi)]
     return out
@@ -664,27 +720,132 @@ def _least_shared(before: np.ndarray) -> int:
     poorest stretch of ``LEAST`` places has."""
     if len(before) < LEAST:
         return 0
-    places = np.lib.stride_tricks.sliding_window_view(before, LEAST)
-    fewest = (places < np.arange(len(places))[:, None]).sum(axis=1).min()
+    fewest = LEAST
+    if (before >= 0).any():
+        places = np.lib.stride_tricks.sliding_window_view(before, LEAST)
+        fewest = (places < np.arange(len(places))[:, None]).sum(axis=1).min()
     return max(1, int(np.ceil(SIMILARITY * fewest - 1e-9)))
 
 
-def _shared_counts(holds: np.ndarray) -> np.ndarray:
-    """How many shingles each two rows of an incidence matrix share."""
-    holds = holds[:, np.count_nonzero(holds, axis=0) > 1]
-    shared = np.zeros((len(holds), len(holds)), np.float32)
+def _shared_counts(holds: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """How many shingles some rows of an incidence matrix share with each row."""
+    shared = np.zeros((len(rows), len(holds)), np.float32)
     for low in range(0, holds.shape[1], 4096):
         part = holds[:, low:low + 4096].astype(np.float32)
-        shared += part @ part.T
+        shared += part[rows] @ part.T
     return shared
 
 
+class _Surroundings:
+    """The surroundings of a cell's windows side by side: numbers of their
+    shingles (0 for those that one row alone holds), which row holds which, and
+    where stretches that reach into a row's windows may end."""
+
+    def __init__(self, contexts: list[np.ndarray], before: list[np.ndarray], place: np.ndarray, last: np.ndarray):
+        self.before, self.place, self.last = before, place, last
+        self.size = np.array([len(x) for x in contexts])
+        self.plain = np.array([bool((x < 0).all()) for x in before])       # no shingle twice
+        row = np.repeat(np.arange(len(contexts)), self.size)
+        value = np.unique(np.concatenate(contexts), return_inverse=True)[1]
+        new = np.concatenate(before) < 0
+        number = np.cumsum(np.bincount(value[new]) > 1)
+        number = np.where(np.bincount(value[new]) > 1, number, 0)[value]
+        self.holds = np.zeros((len(contexts), int(number.max()) + 1), bool)
+        self.holds[row, number] = True
+        self.holds[:, 0] = False
+        width = int(self.size.max())
+        at = np.arange(width)
+        self.number = np.zeros((len(contexts), width), np.int32)
+        self.number[at < self.size[:, None]] = number
+        self.end = np.arange(LEAST, width + 1)
+        self.open = (self.end <= self.size[:, None]) & (self.end > place[:, None])
+        self.start = np.minimum(self.end - LEAST, last[:, None])
+
+    def member(self, rows: np.ndarray, by: np.ndarray) -> np.ndarray:
+        return self.holds[by[:, None], self.number[rows]]
+
+    def densities(self, rows: np.ndarray, member: np.ndarray, cost: float) -> np.ndarray:
+        """``_density`` of rows without repeated shingles, each with its members."""
+        sums = np.zeros((len(rows), member.shape[1] + 1), np.float32)
+        np.cumsum(np.where(member, np.float32(1), np.float32(-cost)), axis=1, out=sums[:, 1:])
+        low = np.take_along_axis(np.minimum.accumulate(sums, axis=1), self.start[rows], axis=1)
+        return np.where(self.open[rows], sums[:, LEAST:] - low, -np.inf).max(axis=1, initial=-np.inf) + 1e-3
+
+    def density(self, row: int, member: np.ndarray, cost: float) -> float:
+        if self.plain[row]:
+            return float(self.densities(np.array([row]), member[None], cost)[0])
+        return _density(self.before[row], member[:self.size[row]], self.place[row], self.last[row], cost=cost)
+
+    def alone(self) -> np.ndarray:
+        """Rows that are similar to no other: a passage's other shingles count
+        four times at most what it shares with all others together."""
+        cost = SIMILARITY / (1 - SIMILARITY)
+        out = np.zeros(len(self.size), bool)
+        plain = np.flatnonzero(self.plain)
+        for k in range(0, len(plain), 512):
+            rows = plain[k:k + 512]
+            out[rows] = self.densities(rows, self.number[rows] > 0, cost) < 0
+        for k in np.flatnonzero(~self.plain).tolist():
+            out[k] = self.density(k, self.number[k] > 0, cost) < 0
+        return out
+
+    def possible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of rows may be similar around their windows; True where
+        that is not told for many at once."""
+        cost, out = 2 * SIMILARITY / (1 - SIMILARITY), np.ones(len(a), bool)
+        told = np.flatnonzero(self.plain[a] & self.plain[b])
+        for k in range(0, len(told), 1024):
+            x, y = a[told[k:k + 1024]], b[told[k:k + 1024]]
+            out[told[k:k + 1024]] = self.densities(x, self.member(x, y), cost) + self.densities(y, self.member(y, x), cost) >= 0
+        return out
+
+    def pair_possible(self, x: int, y: int) -> bool:
+        if self.plain[x] and self.plain[y]:
+            return True                               # told before
+        cost = 2 * SIMILARITY / (1 - SIMILARITY)
+        return (self.density(x, self.holds[y, self.number[x]], cost) + self.density(y, self.holds[x, self.number[y]], cost)) >= 0
+
+
+def _equal_stretches(around: _Surroundings, contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, row, whole) of rows with repeated shingles that have stretches of
+    ``LEAST`` places with the same set of shingles, a star for each set; whole
+    where such stretches hold all windows of both. Those come first."""
+    rows, starts, sums = [], [], []
+    for k in np.flatnonzero(~around.plain).tolist():
+        begin, end = max(0, int(around.place[k]) - LEAST + 1), min(int(around.last[k]), int(around.size[k]) - LEAST)
+        if end < begin:
+            continue
+        at = np.arange(begin, end + 1)
+        views = [np.lib.stride_tricks.sliding_window_view(x[begin:end + LEAST], LEAST)
+                 for x in (_mixed(contexts[k].astype(np.uint64)), around.before[k])]
+        rows.append(np.full(len(at), k))
+        starts.append(at)
+        sums.append(np.where(views[1] < at[:, None], views[0], np.uint64(0)).sum(axis=1))
+    if not rows:
+        return (np.zeros(0, np.int64),) * 3
+    rows, starts, sums = (np.concatenate(x) for x in (rows, starts, sums))
+    order = np.lexsort((starts, rows, sums))
+    rows, starts, sums = (x[order] for x in (rows, starts, sums))
+    new = np.flatnonzero(np.append(True, (sums[1:] != sums[:-1]) | (rows[1:] != rows[:-1])))
+    final = np.append(new[1:], len(rows)) - 1
+    row, sums = rows[new], sums[new]
+    whole = (starts[new] <= around.place[row]) & (starts[final] + LEAST > around.last[row])
+    order = np.lexsort((row, ~whole, sums))
+    row, sums, whole = row[order], sums[order], whole[order]
+    _, to = star(sums)
+    more = np.flatnonzero(to != np.arange(len(to)))
+    a, b, whole = row[to[more]], row[more], whole[more] & whole[to[more]]
+    order = np.argsort(~whole, kind="stable")
+    return a[order], b[order], whole[order]
+
+
 def _cell_pairs(doc, of, settled, block, place, last, contexts: list[np.ndarray]) -> list[tuple[int, int]]:
     """Pairs of a cell's windows (rows, the lower doc first) with similar
     passages around both; ``place`` and ``last`` are where a row's windows lie
-    in its surroundings. Those whose surroundings share most come first; pairs
-    whose classes ``of`` are one, or were joined by a passage with all windows
-    of both rows, are left out."""
+    in its surroundings. Equal passages of few words are joined as stars. Of
+    the others those whose surroundings share most come first; pairs whose
+    classes ``of`` are one, or were joined by a passage with all windows of
+    both rows, are left out."""
     # copies of a class and its surroundings stand for each other: the first,
     # or the first of another document where that is the other window's
     names, first, second = {}, [], {}
@@ -694,45 +855,54 @@ def _cell_pairs(doc, of, settled, block, place, last, contexts: list[np.ndarray]
             first.append(k)
         elif n not in second and doc[k] != doc[first[n]]:
             second[n] = k
-    before = {k: _before(contexts[k]) for k in first}
-    need = np.array([_least_shared(before[k]) for k in first])
-    use = np.array(first)[need > 0]
-    if not len(use) or (of[use] == of[use[0]]).all():
-        return []
-    other = [second.get(n) for n in np.flatnonzero(need > 0).tolist()]
-    settled, block, need = settled[use], block[use], need[need > 0]
-    which = np.unique(of[use], return_inverse=True)[1]
-    before = [before[k] for k in use.tolist()]
-    sizes = [len(x) for x in before]
-    number = np.unique(np.concatenate([contexts[k] for k in use]), return_inverse=True)[1]
-    holds = np.zeros((len(use), int(number.max()) + 1), bool)
-    holds[np.repeat(np.arange(len(use)), sizes), number] = True
-    number = np.split(number, np.cumsum(sizes)[:-1])
-    shared = _shared_counts(holds)
-    may = (shared >= np.maximum(need[:, None], need)) & (which[:, None] < which) & ~(settled[:, None] & settled)
-    if (block != block[0]).any():                 # each block's own pairs are another cell's
-        may &= block[:, None] != block
+    use, other = [k for k in first if len(contexts[k]) >= LEAST], {k: second.get(n) for n, k in enumerate(first)}
+    while True:                                       # without those that can be similar to none of the others
+        if len(use) < 2 or (of[use] == of[use[0]]).all() or settled[use].all():
+            return []
+        around = _Surroundings([contexts[k] for k in use], [_before(contexts[k]) for k in use], place[use], last[use])
+        alone = around.alone()
+        if not alone.any():
+            break
+        use = np.array(use)[~alone].tolist()
+    need = np.array([_least_shared(x) for x in around.before])
+    use, held, parts = np.array(use), settled[use], block[use]
+    root, found = np.unique(of[use], return_inverse=True)[1], {}
+
+    def ends(x, y):
+        """The rows that stand for a pair, of two documents."""
+        i, j = int(use[x]), int(use[y])
+        if doc[i] == doc[j]:
+            i, j = (i, other[j]) if other[j] is not None else (other[i], j)
+        return None if i is None else (i, j) if doc[i] < doc[j] else (j, i)
+
+    a, b, whole = _equal_stretches(around, [contexts[k] for k in use.tolist()])
+    may = ~(held[a] & held[b]) & ((parts[a] != parts[b]) | (parts == parts[0]).all())
+    for x, y, joins in zip(a[may].tolist(), b[may].tolist(), whole[may].tolist()):
+        if root[x] != root[y] and (pair := ends(x, y)):
+            found[pair] = True
+            if joins:
+                root[root == root[y]] = root[x]
+    opens = np.flatnonzero(~held)
+    shared = _shared_counts(around.holds, opens)
+    may = (shared >= np.maximum(need[opens][:, None], need)) & (root[opens][:, None] != root)
+    may &= held | (opens[:, None] < np.arange(len(use)))                # each pair once
+    if (parts != parts[0]).any():                 # each block's own pairs are another cell's
+        may &= parts[opens][:, None] != parts
     a, b = np.nonzero(may)
-    order = np.argsort(-shared[a, b], kind="stable")
-    root, found = which.copy(), []
+    shared, a = shared[a, b], opens[a]
+    some = around.possible(a, b)
+    a, b, shared = a[some], b[some], shared[some]
+    order = np.argsort(-shared, kind="stable")
     for x, y in zip(a[order].tolist(), b[order].tolist()):
-        if root[x] == root[y]:
-            continue
-        i, j = int(use[x]), int(use[y])
-        if doc[i] == doc[j] and other[x] is None and other[y] is None:
+        if root[x] == root[y] or not (pair := ends(x, y)) or pair in found or not around.pair_possible(x, y):
             continue
-        if (_density(before[x], holds[y, number[x]], place[i], last[i])
-                + _density(before[y], holds[x, number[y]], place[j], last[j])) < 0:
-            continue
-        if doc[i] == doc[j]:
-            i, j = (i, other[y]) if other[y] is not None else (other[x], j)
-        i, j = (i, j) if doc[i] < doc[j] else (j, i)
+        i, j = pair
         matches = verify(contexts[i], contexts[j])
         if any(p <= last[i] and q > place[i] and r <= last[j] and t > place[j] for p, q, r, t, _ in matches):
-            found.append((i, j))
+            found[pair] = True
             if any(p <= place[i] and q > last[i] and r <= place[j] and t > last[j] for p, q, r, t, _ in matches):
                 root[root == root[y]] = root[x]
-    return found
+    return list(found)
 
 
 _CELL = ["g_doc", "g_at", "i", "j"]
@@ -802,7 +972,8 @@ def _meetings(placed: DataFrame, content: DataFrame) -> DataFrame:
                     "doc", "at", "lr", "class", "settled", "block", "context",
                     (F.shiftright("lr", 32) - F.col("from")).alias("place"),
                     (F.col("lr").bitwiseAND(F.lit(0xFFFFFFFF)) - F.col("from")).alias("last")))
-    return (rows.repartition(*_CELL).sortWithinPartitions(*_CELL, "doc", "at")
+    width = max(1, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return (rows.repartition(width, *_CELL).sortWithinPartitions(*_CELL, "doc", "at")
             .mapInArrow(_join_cells(), T.StructType(LINKS.fields[1:])))
 
 
