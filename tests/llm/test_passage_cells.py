@@ -93,7 +93,7 @@ def test_bounds_of_many_rows_are_those_of_one():
         around = passages._Surroundings(rows, [passages._before(x) for x in rows], place, last)
         a, b = (x.ravel() for x in np.indices((8, 8)))
         a, b = a[a < b], b[a < b]
-        possible, alone = around.possible(a, b), around.alone()
+        possible, alone = around.possible(a, b, np.full(len(a), 200)), around.alone(np.arange(8))
         for x, y, may in zip(a.tolist(), b.tolist(), possible.tolist()):
             one = sum(passages._density(passages._before(rows[i]), np.isin(rows[i], rows[j]), 40, 44) for i, j in ((x, y), (y, x)))
             if around.plain[x] and around.plain[y]:
