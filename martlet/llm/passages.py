@@ -978,6 +978,7 @@ def _meetings(placed: DataFrame, content: DataFrame) -> DataFrame:
              .where("low != high AND open > 0").select(
                  *group, F.when(F.col("n") <= CELL, 1).otherwise(blocks(F.col("open"))).alias("opens"),
                  F.when(F.col("n") <= CELL, 0).otherwise(blocks(F.col("n") - F.col("open"))).alias("others")))
+    sizes = materialise(sizes, "passage-cells")
     rows = (placed.join(sizes, group)
             .withColumn("block", F.expr("IF(settled AND others > 0, opens + pmod(hash(doc, at), others), pmod(hash(doc, at), opens))"))
             .withColumn("from", F.greatest(F.shiftright("lr", 32) - MARGIN, F.lit(0)))
@@ -1000,6 +1001,7 @@ def _unsettled(windows: DataFrame, found: DataFrame, content: DataFrame, verifie
     group = ["g_doc", "g_at"]
     several = (windows.groupBy(*group).agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("settled").alias("all"))
                .where("low < high AND NOT all").select(*group))
+    several = materialise(several, "passage-groups")  # so that a hot key's windows can be split in the join
     windows = materialise(windows.join(several, group, "left_semi"), "passage-members")
     placed = materialise(_placed(windows, _classes(found)), "passage-placed")
     return verified(_by_pair(_meetings(placed, content)))
